@@ -79,21 +79,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _segments() -> list:
+    """Both 32-bit segments, the second with bit 37 set."""
+    return [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 37))]
+
+
 def _variants(one: DataFrame) -> DataFrame:
     """The 64 one-wildcard variants (key, fp) of each fingerprint."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    keys = [F.lit((s * 32 + i) << 32).bitwiseOR(seg.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i)))) for s, seg in enumerate((low, high)) for i in range(32)]
+    keys = [seg.bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit(i << 32)) for seg in _segments() for i in range(32)]
     return one.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
     """a, b: links between distinct fingerprints (fp) that keep every component whole."""
-    variants = _variants(prints.select("fp"))
-    met = spool(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-met")
+    one = prints.select("fp")
+    met = spool(_variants(one).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-met")
     near = F.expr("bit_count(a ^ b) <= 2")
     two = met.where("n = 2").select("a", "b").where(near).distinct()
-    held = spool(variants.join(met.where("n > 2").select("key", "n"), "key"), "simhash-held")
+    # members of the larger variants: by the two whole segments that a variant stands for, so
+    # that fingerprints come twice and not 64 times
+    bit = F.shiftright("key", 32).bitwiseAND(F.lit(31)).cast("int")
+    off = F.col("key").bitwiseAND(F.lit(~(31 << 32)))
+    whole = F.array(off, off.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+    wanted = met.where("n > 2").select("key", "n", F.explode(whole).alias("segment"))
+    segments = one.select(F.explode(F.array(*_segments())).alias("segment"), "fp")
+    held = spool(wanted.join(segments, "segment").select("key", "n", "fp"), "simhash-held")
     few = held.where(F.col("n") <= crowd).select("key", "fp")
     some = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(near).select("a", "b").distinct()
     many = held.where(F.col("n") > crowd).select("fp").distinct()
