@@ -8,8 +8,7 @@ smaller id. Only suffixes that can matter are sorted:
    their anchors, each once, to hash buckets, which return those met in two units or more.
 3. A shared anchor's suffix, with what stands before it, goes to the bucket of its leading
    tokens; bucket limits are quantiles of a sample of anchors. Equal suffixes of a unit are
-   sent once, with the smallest id. Suffixes whose anchor stands in a large part of all units
-   are cut into single windows first, which are salted over the buckets.
+   sent once, with the smallest id. Suffixes whose anchor stands in thousands of units are cut into single windows first, which are salted over the buckets.
 4. A bucket sorts its strings word by word, ties only (multikey quicksort), and compares
    neighbours: the smallest id of an equal run covers the others. A limit never parts equal
    leads, and equal windows have equal leads, so no run crosses a bucket's boundary.
@@ -43,13 +42,17 @@ U64 = np.uint64
 NULL = np.iinfo(np.int64).max
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _known(content: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if content else {}
+
+
+def _pack(*arrays: np.ndarray, known: bytes = b"") -> bytes:
     raw = b"".join(len(b := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + b for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3, **_known(known)).compress(raw)
 
 
-def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+def _unpack(blob: bytes, *kinds: type, known: bytes = b"") -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor(**_known(known)).decompress(blob), 0, []
     for k in kinds:
         n = int.from_bytes(raw[at : at + 8], "little")
         out.append(np.frombuffer(raw, k, n // np.dtype(k).itemsize, at + 8))
@@ -136,8 +139,8 @@ def _several(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 def _cut(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Rows of up to ``2 * window - lead`` bytes: ``count`` windows from ``start`` on."""
     width = 2 * WINDOW - LEAD
-    at = start[:, None] + np.arange(width)
-    out = data[np.minimum(at, len(data) - 1)]
+    at = start[:, None].astype(np.int32 if len(data) < 1 << 30 else np.int64) + np.arange(width, dtype=np.int32)
+    out = data[np.minimum(at, len(data) - 1, out=at)]
     out[np.arange(width) >= (count + WINDOW - 1)[:, None]] = 0
     return out
 
@@ -219,9 +222,9 @@ def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
     return ((g >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def shared_anchors(packed: DataFrame, buckets: int, every: int, hot_share: float = 0.05, hot_least: int = 64) -> DataFrame:
-    """unit, bucket, keys (low hash words met in another unit), hot (those met in a large part
-    of all units); unit -1 holds sampled leads."""
+def shared_anchors(packed: DataFrame, buckets: int, every: int, hot_units: int = 2000) -> DataFrame:
+    """unit, bucket, keys (low hash words met in another unit), hot (those met in ``hot_units`` units
+    or more); unit -1 holds sampled leads."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -237,9 +240,6 @@ def shared_anchors(packed: DataFrame, buckets: int, every: int, hot_share: float
                 rows.append((u.unit, -1, b"".join(u.raw[i : i + LEAD] for i in at.tolist())))
             yield pa.RecordBatch.from_pylist([dict(zip(("unit", "bucket", "keys"), r)) for r in rows], pa.schema([("unit", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary())]))
 
-    total = packed.count()
-    hot_from = max(hot_least, math.ceil(hot_share * total))
-
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return pd.DataFrame({"unit": -1, "bucket": -1, "keys": [b"".join(pdf["keys"])], "hot": [b""]})
@@ -247,7 +247,7 @@ def shared_anchors(packed: DataFrame, buckets: int, every: int, hot_share: float
         merged = np.sort(np.concatenate(keys))
         new = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         count, merged = np.diff(np.append(new, len(merged))), merged[new]
-        twice, hot = merged[count > 1], merged[count >= hot_from]
+        twice, hot = merged[count > 1], merged[count >= hot_units]
         out = [(int(u), int(key[0]), k[np.isin(k, twice, assume_unique=True)].tobytes(), k[np.isin(k, hot, assume_unique=True)].tobytes()) for u, k in zip(pdf["unit"], keys)]
         return pd.DataFrame([r for r in out if r[2]], columns=["unit", "bucket", "keys", "hot"])
 
@@ -263,9 +263,10 @@ def _in(keys: list[tuple[int, bytes]], g: np.ndarray, buckets: int) -> np.ndarra
     return np.isin((g & U64(0xFFFFFFFF)) | (_bucket(g, buckets).astype(U64) << U64(32)), full)
 
 
-def covered(units_shared: DataFrame, buckets: int, limits: list[bytes]) -> DataFrame:
+def covered(units_shared: DataFrame, buckets: int, limits: list[bytes], known: bytes = b"") -> DataFrame:
     """unit, spans: packed (start, end) of covered bytes, from units with ``shared`` (bucket,
-    keys, hot) and ``copies`` (numbers of documents that copy a whole smaller one)."""
+    keys, hot) and ``copies`` (numbers of documents that copy a whole smaller one). ``known`` is
+    sample text that what is sent is compressed against."""
     edges = np.array(limits, f"S{LEAD}")
     places = len(limits) + 1
 
@@ -297,18 +298,23 @@ def covered(units_shared: DataFrame, buckets: int, limits: list[bytes]) -> DataF
                 lead = u.data[at[:, None] + np.arange(LEAD)]
                 go = ~done & (out | _several(ranks(lead), same))
                 where = np.searchsorted(edges, np.ascontiguousarray(lead[go]).view(f"S{LEAD}").ravel(), side="right")
-                salt = _words(np.ascontiguousarray(strings[go]).ravel()).reshape(-1, strings.shape[1])[:, [0, 8, 16, 24, 32, 40, 42]] if go.any() else np.zeros((0, 7), U64)
-                mixed = ((salt * U64(0x9E3779B97F4A7C15)) ^ (salt >> U64(23))).sum(axis=1, dtype=U64) * U64(0xBF58476D1CE4E5B9) >> U64(33)
-                where = np.where(hotly[go], (where + (mixed % U64(places)).astype(np.int64)) % places, where)
+                hotly = hotly[go]
+                if hotly.any():
+                    text = np.ascontiguousarray(strings[go][hotly])
+                    words = _words(text.ravel()).reshape(text.shape)[:, [0, 8, 16, 24, 32, 40, 42]]
+                    mixed = ((words * U64(0x9E3779B97F4A7C15)) ^ (words >> U64(23))).sum(axis=1, dtype=U64) * U64(0xBF58476D1CE4E5B9) >> U64(33)
+                    where[hotly] = (where[hotly] + (mixed % U64(places)).astype(np.int64)) % places
                 for b in np.unique(where).tolist():
                     k = np.flatnonzero(go)[where == b]
-                    rows.append((b + 1, u.unit, _pack(first[k], (at[k] - first[k]).astype(np.uint8), count[k].astype(np.uint8), ids[k], strings[k])))
+                    rows.append((b + 1, u.unit, _pack(np.diff(first[k], prepend=0), (at[k] - first[k]).astype(np.uint8), count[k].astype(np.uint8), np.diff(ids[k], prepend=0), strings[k], known=known)))
             yield pa.RecordBatch.from_pylist([{"bucket": b, "unit": i, "blob": x} for b, i, x in rows], pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("blob", pa.binary())]))
 
     width = 2 * WINDOW - LEAD
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(b, np.int64, np.uint8, np.uint8, np.int64, np.uint8) for b in pdf["blob"]]
+        parts = [_unpack(b, np.int64, np.uint8, np.uint8, np.int64, np.uint8, known=known) for b in pdf["blob"]]
+        for p in parts:
+            p[0], p[3] = np.cumsum(p[0]), np.cumsum(p[3])
         of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         first, before, count, ids = (np.concatenate([p[i] for p in parts]) for i in range(4))
         strings = np.concatenate([p[4].reshape(-1, width) for p in parts])
@@ -325,7 +331,7 @@ def covered(units_shared: DataFrame, buckets: int, limits: list[bytes]) -> DataF
         order = np.argsort(group[rest], kind="stable")
         of, first, count, ids, strings, group = of[order], first[order], count[order], ids[order], strings[order], group[rest][order]
         # equal windows have equal leads: some whole leads at a time bound the memory
-        turn = np.cumsum(count) // 200_000
+        turn = np.cumsum(count) // 50_000
         turn = turn[np.searchsorted(group, group)] if len(turn) else turn
         for t in np.unique(turn).tolist():
             mine = np.flatnonzero(turn == t)
@@ -375,7 +381,7 @@ def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_re
     copies = each.join(least, "digest").where("id > least").groupBy("unit").agg(F.sort_array(F.collect_list("k")).alias("copies"))
     copies = spool(copies, "suffix-copies")
     hints = shared.where("unit >= 0").groupBy("unit").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("shared"))
-    spans = covered(packed.drop("extra").join(hints.join(copies, "unit", "full"), "unit", "left"), buckets, limits)
+    spans = covered(packed.drop("extra").join(hints.join(copies, "unit", "full"), "unit", "left"), buckets, limits, b"".join(leads)[: 110 << 10])
     spans = spans.groupBy("unit").agg(F.collect_list("spans").alias("spans"))
     joined = packed.join(spans, "unit", "left").join(copies, "unit", "left")
 

@@ -294,7 +294,7 @@ def test_removed_bytes_equal_brute_force(docs, empty, small, monkeypatch):
     if small:  # many units, buckets and splitters, and every shared anchor hot
         monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5000)
         whole = suffix_dedup.shared_anchors
-        monkeypatch.setattr(suffix_dedup, "shared_anchors", lambda p, b, e: whole(p, b, e, 0.0, 2))
+        monkeypatch.setattr(suffix_dedup, "shared_anchors", lambda p, b, e: whole(p, b, e, 2))
         cut = suffix_dedup.units
         monkeypatch.setattr(suffix_dedup, "units", lambda d, c: cut(d, c, 3000))
     got = suffix_dedup.remove_repeats(docs, ("n_bytes", "n_removed", "n_spans", "kept")).collect()
