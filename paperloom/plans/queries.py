@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import ALIASES, DATASETS, GAPS, HARDWARE, HYPERPARAMETERS, MATH, SECTIONS, THEMES
-from ..operators import extract, search, segment
+from ..functions.constants import ALIASES, ARCHITECTURE, DATASETS, GAPS, HARDWARE, HYPERPARAMETERS, LOWER_IS_BETTER, MATH, METRICS, SECTIONS, THEMES
+from ..operators import chunk, claims, extract, search, segment
 from ..sources.corpus import PAGE_TEXT_SQL, page_text
 
 
@@ -165,11 +165,73 @@ def a8_resolve(spark, sf_dir):
     return wanted.join(known, "paper_id", "left").select("paper_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def a4_upsert(spark, sf_dir):
+    """Pages, those of toxic papers come again in upper case."""
+    stored = pages(spark, sf_dir).withColumn("chunk_id", F.concat("paper_id", F.lit(":"), "page_number"))
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.expr("concat('d', doc_id)").alias("paper_id"))
+    new = stored.join(toxic, "paper_id", "left_semi").where("page_number = 2").withColumn("text", F.upper("text"))
+    return chunk.upsert(stored, new).select("chunk_id", "paper_id", F.md5("text").alias("digest"))
+
+
+def a6_list_papers(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return docs.groupBy("paper_id", "filename").agg(F.count("*").alias("page_count"), F.min_by(F.substring_index("text", "\n", 1), "page_number").alias("title"))
+
+
+def d1_chunks(spark, sf_dir):
+    return chunk.chunks(paragraphs(spark, sf_dir))
+
+
+def d12_citations(spark, sf_dir):
+    """The best chunks of each benchmark item with their pages and paragraphs."""
+    made = chunk.chunks(paragraphs(spark, sf_dir))
+    hits = search.hybrid(made.select(F.col("chunk_id").alias("id"), "text"), _queries(spark, sf_dir))
+    return hits.join(made.select(F.col("chunk_id").alias("id"), "paper_id", "section", "page_number", "pages", "paragraph_ids"), "id")
+
+
+def e2_bullets(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return claims.executive_bullets(docs, segment.paragraphs(docs))
+
+
+def e5_architectures(spark, sf_dir):
+    return claims.architectures(paragraphs(spark, sf_dir))
+
+
+def e11_e12_benchmarks(spark, sf_dir):
+    return claims.benchmark_results(paragraphs(spark, sf_dir))
+
+
+def _tags(paras):
+    """Two tags a paragraph group, some on a page that does not have the paragraph."""
+    wrong = F.when(F.col("para_no") % 3 == 0, F.col("page_number") + 5).otherwise(F.col("page_number"))
+    return paras.select("paper_id", F.expr("para_no div 2").alias("claim_no"), "paragraph_id", wrong.cast("int").alias("page_number"))
+
+
+def e14_repair(spark, sf_dir):
+    paras = paragraphs(spark, sf_dir)
+    return claims.repair(_tags(paras), paras)
+
+
+def e15_audit(spark, sf_dir):
+    paras = paragraphs(spark, sf_dir)
+    return claims.audit(_tags(paras), paras)
+
+
+def f4_architecture_verdicts(spark, sf_dir):
+    return claims.architecture_verdicts(sets(spark, sf_dir), claims.architectures(paragraphs(spark, sf_dir)))
+
+
+def f7_f8_benchmark_verdicts(spark, sf_dir):
+    return claims.benchmark_verdicts(sets(spark, sf_dir), claims.benchmark_results(paragraphs(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         g3_g4_gaps, a2_page_text, a5_delete_papers, a8_resolve, b1_lines, b2_b3_headings, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c4_c5_year_doi, c7_counts, d3_hashed_vectors, d4_term_statistics, d5_bm25, d9_hybrid_search, e1_lead_sentences, e6_hyperparameters, e8_e9_datasets, e10_hardware, f5_hyperparameter_verdicts, g1_g2_gap_sentences, g5_themes, g7_counts,
+        a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts,
     )
 }
 
@@ -286,4 +348,35 @@ select paper_id, section_ord, para_no, paragraph_id, text, 99 + k as ord, m[k] a
     "g5_themes": (_GAPS + f", tagged as (select set_id, paper_id, unnest(list_filter([{', '.join(map(_q, THEMES))}], lambda t: contains(lower(statement), t))) as theme from gaps)", "select set_id, theme, count(distinct paper_id) as n_papers, count(*) as n_items from tagged group by set_id, theme having count(distinct paper_id) >= 2"),
     "g7_counts": (_GAPS, "select set_id, category, count(*) as n from gaps group by set_id, category"),
 }
+_METRIC = _q(r"\b(" + "|".join(METRICS) + r")\b")
+_BENCH = _PARAS + rf""",
+w as (select *, regexp_extract(text, {_METRIC}, 1, 'i') as word, regexp_extract_all(text, '-?\d+(?:\.\d+)?') as nums, list_position(['Results', 'Abstract', 'Discussion', 'Introduction'], section)::int as scan from paras where section in ('Results', 'Abstract', 'Discussion', 'Introduction')),
+c as (select *, try_cast(nullif(regexp_extract(text, 'from\s+(-?\d+(?:\.\d+)?)\s+to\s+(-?\d+(?:\.\d+)?)', 1, 'i'), '') as double) as lo, try_cast(nullif(regexp_extract(text, 'from\s+(-?\d+(?:\.\d+)?)\s+to\s+(-?\d+(?:\.\d+)?)', 2, 'i'), '') as double) as hi from w where word <> '' and len(nums) > 0),
+n as (select paper_id, para_no, i, v, abs(instr(text, word) - instr(text, case when v = floor(v) and contains(text, v::bigint::varchar) then v::bigint::varchar else v::varchar end)) as far from (select *, nums[i]::double as v from (select *, unnest(range(1, len(nums) + 1)) as i from c))),
+near as (select paper_id, para_no, v from (select *, row_number() over (partition by paper_id, para_no order by far, i) as r from n) where r = 1),
+b as (select c.paper_id, scan, c.para_no, paragraph_id, coalesce(nullif(regexp_extract(text, '\bon\s+([A-Z][\w\-]*(?:\s+[a-z\d]+)?)', 1), ''), section || ' evaluation') as task, case when length(word) <= 4 then upper(word) else word end as metric, case when lo is not null then lo else 0 end::double as baseline, case when lo is not null then hi else v end as score, row_number() over (partition by c.paper_id, scan order by c.para_no) as r from c join near using (paper_id, para_no)),
+m as (select paper_id, {', '.join(f'count(*) filter (where scan = {k}) as n{k}' for k in range(1, 5))} from b group by paper_id),
+m1 as (select *, least(n1, 10) as k1 from m), m2 as (select *, least(n2, greatest(10 - k1, 1)) as k2 from m1), m3 as (select *, least(n3, greatest(10 - k1 - k2, 1)) as k3 from m2), m4 as (select *, least(n4, greatest(10 - k1 - k2 - k3, 1)) as k4 from m3),
+res as (select paper_id, row_number() over (partition by paper_id order by scan, para_no)::int as ord, task, metric, baseline, score, round(score - baseline, 6) as delta, lower(metric) not in ({', '.join(map(_q, LOWER_IS_BETTER))}) as higher_is_better, paragraph_id from b join m4 using (paper_id) where r <= case scan when 1 then k1 when 2 then k2 when 3 then k3 else k4 end)"""
+_ARCH = _PARAS + rf""",
+arch as (select paper_id, ({_sentences('text')})[1] as architecture, paragraph_id from (select *, row_number() over (partition by paper_id order by (not regexp_matches(lower(text), {_q('|'.join(ARCHITECTURE))}))::int, (section <> 'Methodology')::int, para_no) as r from paras where section in ('Methodology', 'Abstract')) where r = 1)"""
+_TAGS = _PARAS + """,
+tags as (select paper_id, para_no // 2 as claim_no, paragraph_id, page_number + case when para_no % 3 = 0 then 5 else 0 end as page_number from paras),
+good as (select t.* from tags t semi join paras p on t.paper_id = p.paper_id and t.paragraph_id = p.paragraph_id and t.page_number = p.page_number)"""
+_SETS = "sets as (select doc_id // 10 as set_id, 'd' || doc_id as paper_id from documents)"
+_MAIN |= {
+    "a4_upsert": (_PAGES + ", tox as (select 'd' || doc_id as paper_id from labels where toxic = 1)", "select paper_id || ':' || page_number as chunk_id, paper_id, md5(case when page_number = 2 and paper_id in (select paper_id from tox) then upper(text) else text end) as digest from pages"),
+    "a6_list_papers": (_PAGES, "select paper_id, filename, count(*) as page_count, min_by(string_split(text, chr(10))[1], page_number) as title from pages group by paper_id, filename"),
+    "e2_bullets": (_PARAS + f""",
+ld as (select paper_id, section, first(({_sentences('text')})[1] order by para_no) as s from paras group by paper_id, section),
+wide as (select paper_id, {', '.join(f"max(s) filter (where section = {_q(x)}) as {x.lower().replace(' ', '_')}" for x in SECTIONS)} from (select distinct paper_id from pages) left join ld using (paper_id) group by paper_id)""", """select paper_id, 1 as bullet_no, coalesce(abstract, introduction, 'Not stated in the paper.') as text from wide union all
+select paper_id, 2, coalesce(results, discussion, 'Not stated in the paper.') from wide union all
+select paper_id, 3, coalesce(nullif(concat_ws(' ', limitations, future_work), ''), discussion, 'Not stated in the paper.') from wide"""),
+    "e5_architectures": (_ARCH, "select * from arch"),
+    "e11_e12_benchmarks": (_BENCH, "select * from res"),
+    "e14_repair": (_TAGS + ", bare as (select distinct paper_id, claim_no from tags except select paper_id, claim_no from good)", "select paper_id, claim_no, paragraph_id, page_number from good union all select paper_id, claim_no, a.paragraph_id, a.page_number from bare join (select * from (select *, row_number() over (partition by paper_id order by section_ord, para_no) as r from paras) where r = 1) a using (paper_id)"),
+    "e15_audit": (_TAGS, "select t.paper_id, count(*) - coalesce(any_value(g.n), 0) as n_unknown, count(*) = coalesce(any_value(g.n), 0) as clean from tags t left join (select paper_id, count(*) as n from good group by paper_id) g using (paper_id) group by t.paper_id"),
+    "f4_architecture_verdicts": (_ARCH + ", " + _SETS, "select set_id, n_values, case when n = 1 then 'single-source' when n_values = 0 then 'n/a' when n_values = 1 then 'consensus' else 'divergent' end as verdict from (select set_id, count(*) as n, count(distinct substr(architecture, 1, 300)) as n_values from sets left join arch using (paper_id) group by set_id)"),
+    "f7_f8_benchmark_verdicts": (_BENCH + ", " + _SETS + r""", last as (select set_id, regexp_replace(lower(task), '[^\p{L}\p{N}_]+', '', 'g') as task_key, regexp_replace(lower(metric), '[^\p{L}\p{N}_]+', '', 'g') as metric_key, paper_id, max_by(delta, ord) as delta from res join sets using (paper_id) group by 1, 2, 3, 4)""", "select set_id, task_key, metric_key, n_papers, case when n_papers < 2 then 'single-source' when up and down then 'contradiction' else 'consensus' end as verdict from (select set_id, task_key, metric_key, count(*) as n_papers, bool_or(delta > 0) as up, bool_or(delta < 0) as down from last group by 1, 2, 3)"),
+}
 ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}

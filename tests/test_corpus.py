@@ -3,7 +3,7 @@
 import pytest
 
 from paperloom.functions import text as T
-from paperloom.operators import extract, search, segment
+from paperloom.operators import chunk, claims, extract, search, segment
 
 A = """A Weighted Transformer for Translation
 Ann Writer, Ben Reader
@@ -76,3 +76,38 @@ def test_search(spark):
     queries = spark.createDataFrame([(7, "BLEU WMT14"), (8, "  ")], "query_id long, text string")
     got = search.hybrid(texts, queries).collect()
     assert {r.query_id for r in got} == {7} and got[0].id == 1 and got[0].bm25_score > 0
+
+
+def test_chunks_cover_paragraphs_in_order(paras):
+    want = {p: [r.paragraph_id for r in paras.where(paras.paper_id == p).orderBy("section_ord", "para_no").collect()] for p in "abd"}
+    rows = chunk.chunks(paras, target=80, overlap=1).orderBy("chunk_no").collect()
+    for p, ids in want.items():
+        mine = [r for r in rows if r.paper_id == p]
+        seen = list(dict.fromkeys(i for r in mine for i in r.paragraph_ids))
+        assert seen == ids and [r.chunk_no for r in mine] == list(range(len(mine)))
+        assert all(len("".join(r.text.split("\n\n"))) >= 80 for r in mine[:-1])
+
+
+def test_chunk_quirks():
+    para = lambda i, n: ("Results", f"p{i}", 1, "x" * n)
+    # a carried paragraph that fills a chunk alone comes again by itself
+    assert [[p[1] for p in c] for c in chunk.pack([para(1, 100), para(2, 10)], 50, 1)] == [["p1"], ["p1"], ["p2"]]
+    long = ("Results", "p1", 1, "One sentence here. " * 20)
+    (only,) = chunk.pack([long], 100, 1)
+    assert len(only) > 1 and {p[1] for p in only} == {"p1"} and all(len(p[3]) <= 100 for p in only)
+    assert list(chunk.pack([], 100, 1)) == []
+
+
+def test_results_and_citations(spark, paras):
+    got = by(claims.benchmark_results(paras), "paper_id")["a"]
+    assert (got.metric, got.baseline, got.score, got.delta, got.task) == ("BLEU", 24.1, 28.4, 4.3, "WMT14")
+    tags = spark.createDataFrame([("a", 1, "p1", 1), ("a", 1, "p9999", 1), ("a", 2, "p9999", 1)], "paper_id string, claim_no int, paragraph_id string, page_number int")
+    fixed = sorted((r.claim_no, r.paragraph_id) for r in claims.repair(tags, paras).collect())
+    assert fixed == [(1, "p1"), (2, "p1")]
+    assert by(claims.audit(tags, paras), "paper_id")["a"].n_unknown == 2
+    papers = spark.createDataFrame([("a",), ("c",)], "paper_id string")
+    assert claims.executive_bullets(papers, paras).count() == 6
+    stored = spark.createDataFrame([("x:1", "x", "old"), ("x:2", "x", "old")], "chunk_id string, paper_id string, text string")
+    new = spark.createDataFrame([("x:1", "x", "new")], "chunk_id string, paper_id string, text string")
+    assert sorted(r.text for r in chunk.upsert(stored, new).collect()) == ["new", "old"]
+    assert [r.text for r in chunk.upsert(stored, new, whole_papers=True).collect()] == ["new"]
