@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import ARCHITECTURE, LOWER_IS_BETTER, METRICS
+from ..functions.constants import ARCHITECTURE, LOWER_IS_BETTER, METRICS, SECTIONS
 from .extract import lead_sentences
 
 NUMBER = r"-?\d+(?:\.\d+)?"
@@ -101,3 +101,63 @@ def architecture_verdicts(sets: DataFrame, found: DataFrame) -> DataFrame:
     """set_id, n_values, verdict of the architecture row; 300 characters count."""
     joined = sets.join(found, "paper_id", "left").groupBy("set_id").agg(F.count("*").alias("n"), F.count_distinct(F.substring("architecture", 1, 300)).alias("n_values"))
     return joined.select("set_id", "n_values", F.when(F.col("n") == 1, "single-source").when(F.col("n_values") == 0, "n/a").when(F.col("n_values") == 1, "consensus").otherwise("divergent").alias("verdict"))
+
+
+def loss_expressions(paras: DataFrame) -> DataFrame:
+    """paper_id, ord, expression, description, paragraph_id of math spans of 4 characters or more.
+
+    Of Methodology, Abstract and Introduction, the first section that has any gives those of its
+    first paragraph that does; each later one those of its opening paragraph."""
+    rank = F.array_position(F.array(F.lit("Methodology"), F.lit("Abstract"), F.lit("Introduction")), F.col("section")).cast("int")
+    spans = F.filter(F.transform(T.math_spans(F.col("text")), T.strip), lambda s: F.length(s) >= 4)
+    read = paras.withColumn("rank", rank).where("rank > 0").withColumn("spans", spans).withColumn("has", F.size("spans") > 0)
+    paper, section = Window.partitionBy("paper_id"), Window.partitionBy("paper_id", "rank")
+    read = read.withColumns({"first": F.min(F.when(F.col("has"), F.col("rank"))).over(paper), "yields": F.min(F.when(F.col("has"), F.col("para_no"))).over(section), "opens": F.min("para_no").over(section)})
+    picked = read.where("(rank = first and para_no = yields) or (rank > first and para_no = opens)")
+    each = picked.select("paper_id", "rank", "paragraph_id", T.sentences(F.col("text")).alias("s"), F.posexplode("spans").alias("k", "expression"))
+    once = each.withColumn("_r", F.row_number().over(Window.partitionBy("paper_id", "expression").orderBy("rank", "k"))).where("_r = 1")
+    said = F.coalesce(F.get(F.filter("s", lambda x: F.contains(x, F.substring("expression", 1, 20))), F.lit(0)), F.get("s", F.lit(0)))
+    return once.select("paper_id", F.row_number().over(Window.partitionBy("paper_id").orderBy("rank", "k")).alias("ord"), "expression", F.substring(said, 1, 300).alias("description"), "paragraph_id")
+
+
+PRIORITY = ["Abstract", "Results", "Methodology", "Introduction", "Discussion", "Limitations", "Future Work", "Preamble", "References"]
+
+
+def contexts(heads: DataFrame, paras: DataFrame, budget: int = 15000) -> DataFrame:
+    """paper_id, context: a head and whole tagged sections, the most telling first, until one
+    overflows; a high-priority one is cut if more than 200 characters are left. heads: paper_id,
+    head."""
+    tagged = F.concat(F.lit("["), "paragraph_id", F.lit("|p."), F.col("page_number").cast("string"), F.lit("] "), "text")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_no", tagged.alias("t")))), lambda x: x["t"]), "\n")
+    made = paras.groupBy("paper_id", "section").agg(body.alias("body"))
+    always = heads.select("paper_id", F.explode(F.array(*map(F.lit, SECTIONS[1:8]))).alias("section"))
+    block = F.concat(F.lit("## "), F.col("section"), F.coalesce(F.concat(F.lit("\n"), "body"), F.lit("")), F.lit("\n\n"))
+    blocks = always.join(made, ["paper_id", "section"], "full").select("paper_id", block.alias("block"), F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("section")).cast("int").alias("ord")).join(heads, "paper_id")
+    upto = Window.partitionBy("paper_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = (F.length("head") + F.sum(F.length("block")).over(upto)).cast("int")
+    placed = blocks.withColumn("used", used).withColumn("last", F.min(F.when(F.col("used") > budget, F.col("ord"))).over(Window.partitionBy("paper_id")))
+    room = (budget - (F.col("used") - F.length("block"))).cast("int")
+    cut = F.when((F.col("ord") == F.col("last")) & (room > 200) & (F.col("ord") <= 3), F.concat(F.substring(F.col("block"), F.lit(1), room), F.lit("\n[truncated]\n\n")))
+    kept = placed.withColumn("part", F.when(F.col("last").isNull() | (F.col("ord") < F.col("last")), F.col("block")).otherwise(cut)).where("part is not null or ord = 1")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("part", F.lit("")).alias("part")))), lambda x: x["part"]), "")
+    return kept.groupBy("paper_id", "head").agg(text.alias("t")).select("paper_id", F.concat("head", "t").alias("context"))
+
+
+def tldr(papers: DataFrame, paras: DataFrame) -> DataFrame:
+    """paper_id, tldr: the abstract's first sentence, else the title. papers: paper_id, title."""
+    lead = lead_sentences(paras.where("section = 'Abstract'"), 1).select("paper_id", "text")
+    return papers.join(lead, "paper_id", "left").select("paper_id", F.coalesce("text", F.concat("title", F.lit(".")), F.lit("")).alias("tldr"))
+
+
+def badges(tags: DataFrame, shown: int = 4) -> DataFrame:
+    """paper_id, claim_no, badges (``pid · p.N`` of the first tags), more (how many others)."""
+    each = F.sort_array(F.collect_list(F.struct(F.length("paragraph_id").alias("l"), "paragraph_id", "page_number")))
+    made = tags.groupBy("paper_id", "claim_no").agg(each.alias("t"))
+    one = F.transform(F.slice("t", 1, shown), lambda x: F.concat(x["paragraph_id"], F.lit(" · p."), x["page_number"].cast("string")))
+    return made.select("paper_id", "claim_no", F.array_join(one, ", ").alias("badges"), F.greatest(F.size("t") - shown, F.lit(0)).alias("more"))
+
+
+def wide_matrix(sets: DataFrame, values: DataFrame, papers: list[str]) -> DataFrame:
+    """One column a paper of one set: name and each paper's value, a dash where there is none."""
+    wide = values.join(sets, "paper_id").groupBy("name").pivot("paper_id", papers).agg(F.first("value"))
+    return wide.select("name", *(F.coalesce(F.col(f"`{p}`"), F.lit("—")).alias(p) for p in papers))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import ALIASES, ARCHITECTURE, DATASETS, GAPS, HARDWARE, HYPERPARAMETERS, LOWER_IS_BETTER, MATH, METRICS, SECTIONS, THEMES
-from ..operators import chunk, claims, extract, search, segment
+from ..operators import chunk, claims, dense, extract, metadata, search, segment
 from ..sources.corpus import PAGE_TEXT_SQL, page_text
 
 
@@ -226,12 +226,57 @@ def f7_f8_benchmark_verdicts(spark, sf_dir):
     return claims.benchmark_verdicts(sets(spark, sf_dir), claims.benchmark_results(paragraphs(spark, sf_dir)))
 
 
+def c2_titles(spark, sf_dir):
+    return metadata.titles(pages(spark, sf_dir))
+
+
+def c3_authors(spark, sf_dir):
+    return metadata.authors(pages(spark, sf_dir))
+
+
+def c6_abstracts(spark, sf_dir):
+    return metadata.abstracts(paragraphs(spark, sf_dir))
+
+
+def c8_enrichment(spark, sf_dir):
+    """Papers completed from a catalogue of every third of them."""
+    none = lambda t: F.lit(None).cast(t)
+    found = metadata.titles(pages(spark, sf_dir)).select("paper_id", "title", none("array<string>").alias("authors"), none("int").alias("year"), none("string").alias("abstract"), none("string").alias("venue"), none("string").alias("doi"), none("string").alias("url"))
+    docs = _table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    catalog = docs.select(F.expr("concat('STUDY ', doc_id, ' of learned sequence models')").alias("title"), F.array(F.lit("A"), F.lit("B")).alias("authors"), (F.col("doc_id") % 30 + 1990).cast("int").alias("year"), none("string").alias("abstract"), F.lit("V").alias("venue"), none("string").alias("doi"), none("string").alias("url"))
+    return metadata.enrich(found, catalog).select("paper_id", "title", "year", "venue", F.size(F.coalesce("authors", F.array())).alias("n_authors"), "enrichment_source")
+
+
+def d7_dense_top_k(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return dense.dense_top_k(rows, rows.where("id % 20 = 0"))
+
+
+def e4_tldr(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return claims.tldr(metadata.titles(docs), segment.paragraphs(docs))
+
+
+def e7_losses(spark, sf_dir):
+    return claims.loss_expressions(paragraphs(spark, sf_dir))
+
+
+def e16_contexts(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    heads = metadata.titles(docs).select("paper_id", F.concat(F.lit("TITLE: "), "title", F.lit("\n\n")).alias("head"))
+    return claims.contexts(heads, segment.paragraphs(docs), 4000).select("paper_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+
+
+def g8_badges(spark, sf_dir):
+    return claims.badges(paragraphs(spark, sf_dir).select("paper_id", F.col("section").alias("claim_no"), "paragraph_id", "page_number"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         g3_g4_gaps, a2_page_text, a5_delete_papers, a8_resolve, b1_lines, b2_b3_headings, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c4_c5_year_doi, c7_counts, d3_hashed_vectors, d4_term_statistics, d5_bm25, d9_hybrid_search, e1_lead_sentences, e6_hyperparameters, e8_e9_datasets, e10_hardware, f5_hyperparameter_verdicts, g1_g2_gap_sentences, g5_themes, g7_counts,
-        a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts,
+        a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts, c2_titles, c3_authors, c6_abstracts, c8_enrichment, d7_dense_top_k, e4_tldr, e7_losses, e16_contexts, g8_badges,
     )
 }
 
@@ -379,4 +424,30 @@ select paper_id, 3, coalesce(nullif(concat_ws(' ', limitations, future_work), ''
     "f4_architecture_verdicts": (_ARCH + ", " + _SETS, "select set_id, n_values, case when n = 1 then 'single-source' when n_values = 0 then 'n/a' when n_values = 1 then 'consensus' else 'divergent' end as verdict from (select set_id, count(*) as n, count(distinct substr(architecture, 1, 300)) as n_values from sets left join arch using (paper_id) group by set_id)"),
     "f7_f8_benchmark_verdicts": (_BENCH + ", " + _SETS + r""", last as (select set_id, regexp_replace(lower(task), '[^\p{L}\p{N}_]+', '', 'g') as task_key, regexp_replace(lower(metric), '[^\p{L}\p{N}_]+', '', 'g') as metric_key, paper_id, max_by(delta, ord) as delta from res join sets using (paper_id) group by 1, 2, 3, 4)""", "select set_id, task_key, metric_key, n_papers, case when n_papers < 2 then 'single-source' when up and down then 'contradiction' else 'consensus' end as verdict from (select set_id, task_key, metric_key, count(*) as n_papers, bool_or(delta > 0) as up, bool_or(delta < 0) as down from last group by 1, 2, 3)"),
 }
+_MAIN |= {
+    "c2_titles": (_LINES, "select paper_id, coalesce(t, replace(regexp_replace(filename, '\\.[^.]*$', ''), '_', ' ')) as title from (select paper_id, min(filename) as filename from pages group by paper_id) left join (select paper_id, min_by(line, line_no) as t from lines where page_number = 1 and length(line) >= 15 group by paper_id) using (paper_id)"),
+    "c3_authors": (_PAGES, "select distinct paper_id, ['Alice Researcher', 'Bob Scientist'] as authors from pages"),
+    "c6_abstracts": (_PARAS, "select paper_id, substr(string_agg(text, chr(10) || chr(10) order by para_no), 1, 2000) as abstract from paras where section = 'Abstract' group by paper_id"),
+    "c8_enrichment": ("d as (select doc_id, doc_id % 3 = 0 as hit from documents)", "select 'd' || doc_id as paper_id, case when hit then 'STUDY ' || doc_id || ' of learned sequence models' else 'Study ' || doc_id || ' of Learned Sequence Models' end as title, case when hit then (doc_id % 30 + 1990)::int end as year, case when hit then 'V' end as venue, case when hit then 2 else 0 end::int as n_authors, case when hit then 'catalog' else 'heuristic' end as enrichment_source from d"),
+    "d7_dense_top_k": ("s as (select q.vec_id as query_id, x.vec_id as id, list_cosine_similarity(q.embedding::double[], x.embedding::double[]) as score from embeddings x, embeddings q where q.vec_id % 20 = 0), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from s)", "select query_id, rank, id, round(score, 6) as score from r where rank <= 10"),
+}
+_PRIORITY = "[" + ", ".join(map(_q, claims.PRIORITY)) + "]"
+_SPANS = r"list_filter(list_transform(regexp_extract_all(text, '\$\$.+?\$\$|\$.+?\$|\\\[.+?\\\]|\\\(.+?\\\)', 0, 's'), lambda s: trim(s)), lambda s: length(s) >= 4)"
+_MAIN |= {
+    "e4_tldr": (_PARAS + f", ab as (select paper_id, first(({_sentences('text')})[1] order by para_no) as s from paras where section = 'Abstract' group by paper_id)", "select paper_id, coalesce(s, 'Study ' || substr(paper_id, 2) || ' of Learned Sequence Models.') as tldr from (select distinct paper_id from pages) left join ab using (paper_id)"),
+    "e7_losses": (_PARAS + f""",
+rd as (select *, {_SPANS} as spans, list_position(['Methodology', 'Abstract', 'Introduction'], section) as rank from paras where section in ('Methodology', 'Abstract', 'Introduction')),
+rw as (select *, min(case when len(spans) > 0 then rank end) over (partition by paper_id) as f, min(case when len(spans) > 0 then para_no end) over (partition by paper_id, rank) as y, min(para_no) over (partition by paper_id, rank) as o from rd),
+ex as (select *, spans[k] as expression from (select *, unnest(range(1, len(spans) + 1)) as k from rw where (rank = f and para_no = y) or (rank > f and para_no = o))),
+oc as (select * from (select *, row_number() over (partition by paper_id, expression order by rank, k) as r from ex) where r = 1)""", f"select paper_id, row_number() over (partition by paper_id order by rank, k)::int as ord, expression, substr(coalesce(list_filter({_sentences('text')}, lambda x: contains(x, substr(expression, 1, 20)))[1], ({_sentences('text')})[1]), 1, 300) as description, paragraph_id from oc"),
+    "e16_contexts": (_PARAS + f""",
+md as (select paper_id, section, string_agg('[' || paragraph_id || '|p.' || page_number || '] ' || text, chr(10) order by para_no) as body from paras group by paper_id, section),
+al as (select distinct paper_id, section from pages, (select unnest({_PRIORITY}[:7]) as section)),
+bl as (select paper_id, 'TITLE: Study ' || substr(paper_id, 2) || ' of Learned Sequence Models' || chr(10) || chr(10) as head, '## ' || section || coalesce(chr(10) || body, '') || chr(10) || chr(10) as block, list_position({_PRIORITY}, section) as ord from al full join md using (paper_id, section)),
+us as (select *, length(head) + sum(length(block)) over (partition by paper_id order by ord) as used from bl),
+la as (select *, min(case when used > 4000 then ord end) over (partition by paper_id) as last, 4000 - (used - length(block)) as room from us),
+pt as (select paper_id, head, ord, case when last is null or ord < last then block when ord = last and room > 200 and ord <= 3 then substr(block, 1, room::int) || chr(10) || '[truncated]' || chr(10) || chr(10) else '' end as part from la),
+cx as (select paper_id, head || string_agg(part, '' order by ord) as context from pt group by paper_id, head)""", "select paper_id, length(context)::int as n_chars, md5(context) as digest from cx"),
+    "g8_badges": (_PARAS + ", o as (select *, row_number() over (partition by paper_id, section order by length(paragraph_id), paragraph_id, page_number) as r from paras)", "select paper_id, section as claim_no, string_agg(paragraph_id || ' · p.' || page_number, ', ' order by r) filter (where r <= 4) as badges, greatest(count(*) - 4, 0)::int as more from o group by paper_id, section"),
+}
 ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}

@@ -3,7 +3,9 @@
 import pytest
 
 from paperloom.functions import text as T
-from paperloom.operators import chunk, claims, extract, search, segment
+from paperloom.operators import chunk, claims, dense, extract, metadata, search, segment
+from paperloom.sources import intake
+from paperloom.streaming import ingest
 
 A = """A Weighted Transformer for Translation
 Ann Writer, Ben Reader
@@ -111,3 +113,47 @@ def test_results_and_citations(spark, paras):
     new = spark.createDataFrame([("x:1", "x", "new")], "chunk_id string, paper_id string, text string")
     assert sorted(r.text for r in chunk.upsert(stored, new).collect()) == ["new", "old"]
     assert [r.text for r in chunk.upsert(stored, new, whole_papers=True).collect()] == ["new"]
+
+
+def test_metadata(spark):
+    pages = spark.createDataFrame([("a", "a_b.pdf", 1, A), ("e", "x_y.pdf", 1, "short")], "paper_id string, filename string, page_number int, text string")
+    assert {r.paper_id: r.title for r in metadata.titles(pages).collect()} == {"a": "A Weighted Transformer for Translation", "e": "x y"}
+    assert by(metadata.authors(pages), "paper_id")["a"].authors == ["Ann Writer", "Ben Reader"]
+    spans = spark.createDataFrame([("a", 1, 800.0, 1, 10.0, 9.0, "small text here"), ("a", 1, 800.0, 2, 20.0, 20.0, "Large title text"), ("a", 1, 800.0, 3, 700.0, 30.0, "Low and larger text")], "paper_id string, page_number int, page_height double, span_no int, top double, size double, text string")
+    assert by(metadata.titles_by_font(spans), "paper_id")["a"].title == "Large title text"
+    lines = spark.createDataFrame([("a", 1, 0, "Experimental Setupp"), ("a", 1, 1, "Something else")], "paper_id string, page_number int, line_no int, line string")
+    hints = spark.createDataFrame([("a", "Experimental setup"), ("a", "no section")], "paper_id string, hint_text string")
+    assert [(r.line_no, r.heading) for r in metadata.hint_headings(lines, hints).collect()] == [(0, "Methodology")]
+
+
+def test_contexts_stop_at_the_budget(spark, paras):
+    heads = spark.createDataFrame([("a", "HEAD\n\n")], "paper_id string, head string")
+    only = paras.where("paper_id = 'a'")
+    (whole,) = claims.contexts(heads, only).collect()
+    assert whole.context.startswith("HEAD\n\n## Abstract\n[p2|p.1] ") and "## Discussion\n\n" in whole.context and whole.context.index("## Results") < whole.context.index("## Methodology")
+    (part,) = claims.contexts(heads, only, 400).collect()
+    assert part.context.endswith("[truncated]\n\n") and len(part.context) == 400 + len("\n[truncated]\n\n")
+    assert claims.loss_expressions(only).first().expression == r"$L_{loss} = \lambda$"
+    sets = spark.createDataFrame([("a",), ("b",)], "paper_id string")
+    matrix = by(claims.wide_matrix(sets, extract.hyperparameters(paras), ["a", "b"]), "name")
+    assert matrix["layers"].a == "12" and matrix["layers"].b == "—"
+
+
+def test_dense_top_k(spark):
+    import numpy as np
+
+    x = np.random.default_rng(0).normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = dense.dense_top_k(df, df.where("id % 20 = 0"), top_k=3, block=7).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 20, 40):
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(-(unit @ unit[q]))[:3].tolist()
+
+
+def test_intake_and_stream(spark, tmp_path):
+    files = spark.createDataFrame([("a.pdf", 5, bytearray(b"%PDF-")), ("b.txt", 5, bytearray(b"%PDF-")), ("c.PDF", 0, bytearray(b"")), ("d.pdf", 60 << 20, bytearray(b"%PDF")), ("e.pdf", 3, bytearray(b"abc"))], "path string, length long, content binary")
+    assert [r.reason for r in intake.judged(files).orderBy("path").collect()] == [None, "name is not .pdf", "empty", "larger than 50 MiB", "not a PDF"]
+    for n, text in ((1, A), (2, "Results\nagain something")):
+        spark.createDataFrame([("a", "a.pdf", 1, text)], ingest.PAGES).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.follow(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert [r.text for r in ingest.latest(spark, f"{tmp_path}/out").collect()] == ["again something"]
