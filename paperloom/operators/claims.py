@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..functions.constants import ARCHITECTURE, LOWER_IS_BETTER, METRICS, SECTIONS
+from ..functions.constants import ARCHITECTURE, LOWER_IS_BETTER, METRICS, SECTIONS, THEMES
 from .extract import lead_sentences
 
 NUMBER = r"-?\d+(?:\.\d+)?"
@@ -161,3 +163,37 @@ def wide_matrix(sets: DataFrame, values: DataFrame, papers: list[str]) -> DataFr
     """One column a paper of one set: name and each paper's value, a dash where there is none."""
     wide = values.join(sets, "paper_id").groupBy("name").pivot("paper_id", papers).agg(F.first("value"))
     return wide.select("name", *(F.coalesce(F.col(f"`{p}`"), F.lit("—")).alias(p) for p in papers))
+
+
+def section_summaries(paras: DataFrame) -> DataFrame:
+    """paper_id, ord, section, text: two lead sentences of each canonical section, by priority."""
+    lead = lead_sentences(paras.where(F.col("section").isin(SECTIONS[1:8])), 2)
+    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("section"))
+    return lead.select("paper_id", F.row_number().over(Window.partitionBy("paper_id").orderBy(rank)).alias("ord"), "section", "text")
+
+
+@F.pandas_udf(StringType())
+def cell_text(baseline: pd.Series, score: pd.Series, delta: pd.Series, metric: pd.Series) -> pd.Series:
+    return pd.Series([f"{b:g} → {s:g} (Δ{d:+.4g} {m})" for b, s, d, m in zip(baseline, score, delta, metric)])
+
+
+def benchmark_findings(sets: DataFrame, results: DataFrame) -> DataFrame:
+    """set_id, task_key, metric_key, paper_ids of groups that two papers or more report."""
+    placed = results.join(sets, "paper_id").select("set_id", "paper_id", T.key(F.col("task")).alias("task_key"), T.key(F.col("metric")).alias("metric_key"))
+    met = placed.groupBy("set_id", "task_key", "metric_key").agg(F.sort_array(F.collect_set("paper_id")).alias("p")).where(F.size("p") >= 2)
+    return met.select("set_id", "task_key", "metric_key", F.array_join("p", ",").alias("paper_ids"))
+
+
+def cross_cutting(capped: DataFrame, most: int = 10, chars: int = 120) -> DataFrame:
+    """set_id, theme, category, paper_ids, text: themes that two papers or more name, the first
+    seen first; the category of the first item and each paper's first statement.
+
+    capped: set_id, category, ord, paper_id, statement."""
+    place = F.array_position(F.array(*map(F.lit, ["failure_modes", "dataset_shortfalls", "methodological_blinds"])), F.col("category")) * 100 + F.col("ord")
+    found = F.filter(F.array(*map(F.lit, THEMES)), lambda t: F.contains(F.lower(F.col("statement")), t))
+    tagged = capped.select("set_id", "paper_id", "category", "statement", place.alias("at"), F.explode(found).alias("theme"))
+    paper = tagged.groupBy("set_id", "theme", "paper_id").agg(F.min(F.struct("at", "category", "statement")).alias("f"))
+    met = paper.groupBy("set_id", "theme").agg(F.sort_array(F.collect_list("f")).alias("f"), F.sort_array(F.collect_list("paper_id")).alias("p")).where(F.size("p") >= 2)
+    kept = met.withColumn("first", F.get("f", F.lit(0))).withColumn("r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.col("first.at"), F.array_position(F.array(*map(F.lit, THEMES)), F.col("theme"))))).where(F.col("r") <= most)
+    text = F.array_join(F.transform("f", lambda x: F.substring(x["statement"], 1, chars)), " | ")
+    return kept.select("set_id", "theme", F.col("first.category").alias("category"), F.array_join("p", ",").alias("paper_ids"), text.alias("text"))

@@ -271,12 +271,42 @@ def g8_badges(spark, sf_dir):
     return claims.badges(paragraphs(spark, sf_dir).select("paper_id", F.col("section").alias("claim_no"), "paragraph_id", "page_number"))
 
 
+def a7_lookup(spark, sf_dir):
+    """The Results section of every paper, by a name in any case."""
+    return b9_sections(spark, sf_dir).where(F.lower("section") == F.lower(F.lit("RESULTS"))).select("paper_id", "section", "text")
+
+
+def a9_reuse(spark, sf_dir):
+    """Hyperparameters, stored ones of the even papers and extracted ones of the others."""
+    paras = paragraphs(spark, sf_dir)
+    even = F.substring("paper_id", 2, 20).cast("long") % 2 == 0
+    stored = paras.where(even).select("paper_id").distinct().select("paper_id", F.lit("learning_rate").alias("name"), F.lit("stored").alias("value"))
+    rest = paras.join(stored.select("paper_id").distinct(), "paper_id", "left_anti")
+    return stored.unionByName(extract.hyperparameters(rest).select("paper_id", "name", "value"))
+
+
+def e3_section_summaries(spark, sf_dir):
+    return claims.section_summaries(paragraphs(spark, sf_dir))
+
+
+def f9_findings(spark, sf_dir):
+    return claims.benchmark_findings(sets(spark, sf_dir), claims.benchmark_results(paragraphs(spark, sf_dir)))
+
+
+def f10_cells(spark, sf_dir):
+    return e11_e12_benchmarks(spark, sf_dir).select("paper_id", "ord", claims.cell_text("baseline", "score", "delta", "metric").alias("cell"))
+
+
+def g6_cross_cutting(spark, sf_dir):
+    return claims.cross_cutting(g3_g4_gaps(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         g3_g4_gaps, a2_page_text, a5_delete_papers, a8_resolve, b1_lines, b2_b3_headings, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c4_c5_year_doi, c7_counts, d3_hashed_vectors, d4_term_statistics, d5_bm25, d9_hybrid_search, e1_lead_sentences, e6_hyperparameters, e8_e9_datasets, e10_hardware, f5_hyperparameter_verdicts, g1_g2_gap_sentences, g5_themes, g7_counts,
-        a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts, c2_titles, c3_authors, c6_abstracts, c8_enrichment, d7_dense_top_k, e4_tldr, e7_losses, e16_contexts, g8_badges,
+        a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts, c2_titles, c3_authors, c6_abstracts, c8_enrichment, d7_dense_top_k, e4_tldr, e7_losses, e16_contexts, g8_badges, a7_lookup, a9_reuse, e3_section_summaries, f9_findings, f10_cells, g6_cross_cutting,
     )
 }
 
@@ -450,4 +480,16 @@ pt as (select paper_id, head, ord, case when last is null or ord < last then blo
 cx as (select paper_id, head || string_agg(part, '' order by ord) as context from pt group by paper_id, head)""", "select paper_id, length(context)::int as n_chars, md5(context) as digest from cx"),
     "g8_badges": (_PARAS + ", o as (select *, row_number() over (partition by paper_id, section order by length(paragraph_id), paragraph_id, page_number) as r from paras)", "select paper_id, section as claim_no, string_agg(paragraph_id || ' · p.' || page_number, ', ' order by r) filter (where r <= 4) as badges, greatest(count(*) - 4, 0)::int as more from o group by paper_id, section"),
 }
+_E1 = _MAIN["e1_lead_sentences"]
+_MAIN |= {
+    "a7_lookup": (_MAIN["b9_sections"][0], "select paper_id, section, text from (" + _MAIN["b9_sections"][1] + ") where lower(section) = 'results'"),
+    "a9_reuse": (_HP, "select distinct paper_id, 'learning_rate' as name, 'stored' as value from paras where substr(paper_id, 2)::bigint % 2 = 0 union all select paper_id, name, value from hp where substr(paper_id, 2)::bigint % 2 = 1"),
+    "e3_section_summaries": (_E1[0], f"select paper_id, row_number() over (partition by paper_id order by list_position({_PRIORITY}, section))::int as ord, section, text from ({_E1[1]}) where section not in ('Preamble', 'References')"),
+    "f9_findings": (_BENCH + ", " + _SETS, r"select * from (select set_id, regexp_replace(lower(task), '[^\p{L}\p{N}_]+', '', 'g') as task_key, lower(metric) as metric_key, string_agg(distinct paper_id, ',' order by paper_id) as paper_ids from res join sets using (paper_id) group by 1, 2, 3) where contains(paper_ids, ',')"),
+    "f10_cells": (_BENCH, "select paper_id, ord, printf('%g → %g (Δ%+.4g %s)', baseline, score, delta, metric) as cell from res"),
+    "g6_cross_cutting": (_GAPS + f""",
+tg as (select *, unnest(list_filter([{', '.join(map(_q, THEMES))}], lambda t: contains(lower(statement), t))) as theme, list_position(['failure_modes', 'dataset_shortfalls', 'methodological_blinds'], category) * 100 + ord as place from gaps),
+pp as (select * from (select *, row_number() over (partition by set_id, theme, paper_id order by place) as r from tg) where r = 1),
+th as (select set_id, theme, min(place) as f, min_by(category, place) as category, string_agg(paper_id, ',' order by paper_id) as paper_ids, string_agg(substr(statement, 1, 120), ' | ' order by place) as text from pp group by set_id, theme having count(*) >= 2)""", f"select set_id, theme, category, paper_ids, text from (select *, row_number() over (partition by set_id order by f, list_position([{', '.join(map(_q, THEMES))}], theme)) as r from th) where r <= 10"),
+}
 ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}
