@@ -32,7 +32,9 @@ def section_ord(section):
 def paragraphs(pages: DataFrame) -> DataFrame:
     """paper_id, section_ord, section, para_no, paragraph_id, page_number, text.
 
-    One exchange, by paper: all windows and the grouping share its partitioning."""
+    One exchange, of whole pages by paper: lines, windows and grouping share its partitioning,
+    and the work on lines is spread however the input files are cut."""
+    pages = pages.repartition("paper_id")
     order = Window.partitionBy("paper_id").orderBy("page_number", "line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     breaks = (F.col("heading").isNotNull() | (F.col("line") == "")).cast("int")
