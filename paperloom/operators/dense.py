@@ -19,7 +19,7 @@ def _blocks(vectors: DataFrame, key: str, size: int) -> DataFrame:
                 cut = pdf.iloc[lo : lo + size]
                 yield pd.DataFrame({"ids": [cut["id"].tolist()], "flat": [np.concatenate(cut["v"].to_list()).astype(np.float64)]})
 
-    return vectors.where("v is not null and size(v) > 0").mapInPandas(run, "ids array<long>, flat array<double>").withColumnsRenamed({"ids": f"{key}_ids", "flat": f"{key}_flat"})
+    return vectors.where("v is not null and size(v) > 0").mapInPandas(run, f"ids array<{dict(vectors.dtypes)['id']}>, flat array<double>").withColumnsRenamed({"ids": f"{key}_ids", "flat": f"{key}_flat"})
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = 1024) -> DataFrame:
@@ -40,6 +40,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block:
                 yield pd.DataFrame({"query_id": np.repeat(np.asarray(r.q_ids), k), "id": ids[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
 
     pairs = _blocks(vectors, "x", block).crossJoin(_blocks(queries, "q", block))  # blocks, not rows
-    found = pairs.mapInPandas(best, "query_id long, id long, score double")
+    kind = [dict(df.dtypes)["id"] for df in (queries, vectors)]
+    found = pairs.mapInPandas(best, f"query_id {kind[0]}, id {kind[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
