@@ -39,7 +39,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block:
                 k = order.shape[1]
                 yield pd.DataFrame({"query_id": np.repeat(np.asarray(r.q_ids), k), "id": ids[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
 
-    pairs = _blocks(vectors, "x", block).crossJoin(_blocks(queries, "q", block))  # blocks, not rows
+    # blocks, not rows; the exchange keeps the query blocks from being made anew for each partition
+    pairs = _blocks(vectors, "x", block).crossJoin(_blocks(queries, "q", block).repartition(F.hash("q_ids")))
     kind = [dict(df.dtypes)["id"] for df in (queries, vectors)]
     found = pairs.mapInPandas(best, f"query_id {kind[0]}, id {kind[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import ALIASES, ARCHITECTURE, DATASETS, GAPS, HARDWARE, HYPERPARAMETERS, LOWER_IS_BETTER, MATH, METRICS, SECTIONS, THEMES
-from ..operators import chunk, claims, dense, extract, metadata, search, segment
+from ..operators import chunk, claims, dense, extract, matrix, metadata, nested, search, segment
+from ..sources import intake
 from ..sources.corpus import PAGE_TEXT_SQL, page_text
 
 
@@ -301,12 +302,116 @@ def g6_cross_cutting(spark, sf_dir):
     return claims.cross_cutting(g3_g4_gaps(spark, sf_dir))
 
 
+def a1_intake(spark, sf_dir):
+    """Files made of documents, some misnamed, too large, empty or of another kind."""
+    files = _table(spark, sf_dir, "documents").selectExpr(
+        "concat('d', doc_id, case when doc_id % 9 = 4 then '.txt' when doc_id % 9 = 5 then '.PDF' else '.pdf' end) as path",
+        "case when doc_id % 10 = 7 then 'text/html' when doc_id % 2 = 0 then 'application/pdf' else '' end as content_type",
+        "cast(case when doc_id % 7 = 0 then 0 when doc_id % 7 = 1 then 52428800 + n_chars else n_chars end as long) as length",
+        "cast(case when doc_id % 5 = 0 then coalesce(substr(text, 1, 8), '') else '%PDF-1.4' end as binary) as content",
+    )
+    return intake.judged(files)
+
+
+def a3_nested_papers(spark, sf_dir):
+    """Papers nested, written as JSON strings, read back and laid flat."""
+    docs = pages(spark, sf_dir)
+    made = nested.papers(metadata.titles(docs), segment.paragraphs(docs))
+    back = made.select(F.from_json(F.to_json(F.struct(*made.columns)), nested.PAPER).alias("p")).select("p.*")
+    return nested.flat(back)
+
+
+def b4_hint_headings(spark, sf_dir):
+    """Lines that nearly equal a heading of the paper's table of contents."""
+    docs = pages(spark, sf_dir)
+    contents = F.array(*map(F.lit, ["2 Methodology", "3 Results", "5 Limitations", "6 Future Work", "No section"]))
+    hints = docs.select("paper_id").distinct().select("paper_id", F.explode(contents).alias("hint_text"))
+    return metadata.hint_headings(segment.lines(docs), hints)
+
+
+def c1_titles_by_font(spark, sf_dir):
+    """Page lines as spans, one of the first lines and one low on the page in large type."""
+    found = segment.lines(pages(spark, sf_dir))
+    size = F.when(F.col("line_no") == F.substring("paper_id", 2, 20).cast("long") % 3, 18.0).when(F.col("line_no") > 16, 30.0).otherwise(10.0)
+    spans = found.select("paper_id", "page_number", F.lit(800.0).alias("page_height"), F.col("line_no").alias("span_no"), (F.col("line_no") * 20.0).alias("top"), size.alias("size"), F.col("line").alias("text"))
+    return metadata.titles_by_font(spans)
+
+
+def d10_scoped_search(spark, sf_dir):
+    """Each benchmark item searches the twenty papers that it names."""
+    texts = _texts(spark, sf_dir).select("id", F.col("id").alias("paper_id"), "text")
+    queries = _queries(spark, sf_dir)
+    scope = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")).select("query_id", (F.col("query_id") * 3 + F.col("k") * 7).alias("paper_id"))
+    return search.scoped(texts, queries, scope)
+
+
+def d11_lexical_overlap(spark, sf_dir):
+    return search.lexical_overlap(_texts(spark, sf_dir), _queries(spark, sf_dir))
+
+
+def _parts(docs):
+    paras = segment.paragraphs(docs)
+    return {
+        "bullets": claims.executive_bullets(docs, paras),
+        "sections": claims.section_summaries(paras),
+        "tldr": claims.tldr(metadata.titles(docs), paras),
+        "architecture": claims.architectures(paras),
+        "hyperparameters": extract.hyperparameters(paras),
+        "losses": claims.loss_expressions(paras),
+        "datasets": extract.datasets(paras),
+        "hardware": extract.hardware(paras),
+        "results": claims.benchmark_results(paras),
+    }
+
+
+def e13_envelope(spark, sf_dir):
+    """Everything extracted from a paper, nested; counted and digested by part."""
+    docs = pages(spark, sf_dir)
+    whole = nested.envelope(docs, _parts(docs))
+    counts = [F.size(n).alias(f"n_{n}") for n in _PARTS]
+    return whole.select("paper_id", "source", *counts, F.get("tldr", F.lit(0))["tldr"].alias("tldr"), F.array_join(F.transform("hyperparameters", lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";").alias("settings"))
+
+
+def f1_paper_refs(spark, sf_dir):
+    return matrix.paper_refs(sets(spark, sf_dir), c2_titles(spark, sf_dir), c4_c5_year_doi(spark, sf_dir).select("paper_id", "year"))
+
+
+def _values(docs):
+    """paper_id, dimension, kind, value of all rows but the benchmarks' of a comparison."""
+    paras = segment.paragraphs(docs)
+    row = lambda df, dimension, kind, value: df.select("paper_id", dimension.alias("dimension"), F.lit(kind).alias("kind"), value.alias("value"))
+    return (
+        row(claims.tldr(metadata.titles(docs), paras), F.lit("tl_dr"), "metadata", F.nullif("tldr", F.lit("")))
+        .unionByName(row(claims.architectures(paras), F.lit("architecture"), "methodology", F.substring("architecture", 1, 300)))
+        .unionByName(row(extract.hyperparameters(paras), F.concat(F.lit("hyperparameter:"), "name"), "methodology", F.col("value")))
+        .unionByName(row(extract.datasets(paras), F.concat(F.lit("dataset:"), "name"), "dataset", F.coalesce(F.nullif(F.substring("details", 1, 200), F.lit("")), F.lit("evaluated"))))
+    )
+
+
+def f2_f3_matrix(spark, sf_dir):
+    return matrix.cells(sets(spark, sf_dir), _values(pages(spark, sf_dir)))
+
+
+def f6_dataset_verdicts(spark, sf_dir):
+    return matrix.dataset_verdicts(sets(spark, sf_dir), e8_e9_datasets(spark, sf_dir))
+
+
+def f11_wide_matrix(spark, sf_dir):
+    values = e6_hyperparameters(spark, sf_dir).select("paper_id", F.col("name").alias("dimension"), "value")
+    return matrix.wide(sets(spark, sf_dir), values, 10)
+
+
+#: Parts of an envelope and the queries whose rows they hold.
+_PARTS = {"bullets": "e2_bullets", "sections": "e3_section_summaries", "tldr": "e4_tldr", "architecture": "e5_architectures", "hyperparameters": "e6_hyperparameters", "losses": "e7_losses", "datasets": "e8_e9_datasets", "hardware": "e10_hardware", "results": "e11_e12_benchmarks"}
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         g3_g4_gaps, a2_page_text, a5_delete_papers, a8_resolve, b1_lines, b2_b3_headings, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c4_c5_year_doi, c7_counts, d3_hashed_vectors, d4_term_statistics, d5_bm25, d9_hybrid_search, e1_lead_sentences, e6_hyperparameters, e8_e9_datasets, e10_hardware, f5_hyperparameter_verdicts, g1_g2_gap_sentences, g5_themes, g7_counts,
         a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts, c2_titles, c3_authors, c6_abstracts, c8_enrichment, d7_dense_top_k, e4_tldr, e7_losses, e16_contexts, g8_badges, a7_lookup, a9_reuse, e3_section_summaries, f9_findings, f10_cells, g6_cross_cutting,
+        a1_intake, a3_nested_papers, b4_hint_headings, c1_titles_by_font, d10_scoped_search, d11_lexical_overlap, e13_envelope, f1_paper_refs, f2_f3_matrix, f6_dataset_verdicts, f11_wide_matrix,
     )
 }
 
@@ -492,4 +597,43 @@ tg as (select *, unnest(list_filter([{', '.join(map(_q, THEMES))}], lambda t: co
 pp as (select * from (select *, row_number() over (partition by set_id, theme, paper_id order by place) as r from tg) where r = 1),
 th as (select set_id, theme, min(place) as f, min_by(category, place) as category, string_agg(paper_id, ',' order by paper_id) as paper_ids, string_agg(substr(statement, 1, 120), ' | ' order by place) as text from pp group by set_id, theme having count(*) >= 2)""", f"select set_id, theme, category, paper_ids, text from (select *, row_number() over (partition by set_id order by f, list_position([{', '.join(map(_q, THEMES))}], theme)) as r from th) where r <= 10"),
 }
+
+def _sub(name: str) -> str:
+    return "(with {} {})".format(*_MAIN[name])
+
+
+_SCOPED = f"""sc as (select distinct item_id as query_id, doc_id as id from (select item_id, item_id * 3 + unnest(range(20)) * 7 as doc_id from benchmark where trim(text) <> '') join documents using (doc_id)),
+""" + _BM25.split(",\nst as")[0] + f""",
+st as (select query_id, count(*) as n, avg(len(t)) as mean from sc join (select doc_id as id, {_TOKENS.format("coalesce(text, '')")} as t from documents) using (id) group by query_id),
+hit as (select query_id, id, term, tf, size, times from p join sc using (id) join q using (query_id, term)),
+df as (select query_id, term, count(*) as df from hit group by query_id, term),
+bm as (select query_id, id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) as b from hit join df using (query_id, term) join st using (query_id) group by query_id, id),
+{_vectors("documents", "doc_id", "v")}, {_vectors("benchmark", "item_id", "u")},
+cs as (select sc.query_id, sc.id, sum(v.weight * u.weight) as d from sc join v on v.id = sc.id join u on u.id = sc.query_id and u.bucket = v.bucket group by 1, 2),
+bo as (select query_id, id, coalesce(d, 0) as d, coalesce(b, 0) as b from sc left join cs using (query_id, id) left join bm using (query_id, id)),
+pl as (select *, row_number() over (partition by query_id order by round(d, 9) desc, id) as rd, row_number() over (partition by query_id order by round(b, 9) desc, id) as rb from bo),
+fu as (select *, case when rd <= 10 then 0.6 / (60 + rd) else 0 end + case when b > 0 and rb <= 10 then 0.4 / (60 + rb) else 0 end as score from pl)"""
+_DIMS = f"""sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents),
+vals as (select paper_id, 'tl_dr' as dimension, 'metadata' as kind, nullif(tldr, '') as value from {_sub("e4_tldr")}
+  union all select paper_id, 'architecture', 'methodology', substr(architecture, 1, 300) from {_sub("e5_architectures")}
+  union all select paper_id, 'hyperparameter:' || name, 'methodology', value from {_sub("e6_hyperparameters")}
+  union all select paper_id, 'dataset:' || name, 'dataset', coalesce(nullif(substr(details, 1, 200), ''), 'evaluated') from {_sub("e8_e9_datasets")})"""
+_MAIN |= {
+    "a1_intake": (
+        "f as (select 'd' || doc_id || case when doc_id % 9 = 4 then '.txt' when doc_id % 9 = 5 then '.PDF' else '.pdf' end as path, (case when doc_id % 7 = 0 then 0 when doc_id % 7 = 1 then 52428800 + n_chars else n_chars end)::bigint as length, doc_id % 10 = 7 as other, case when doc_id % 5 = 0 then coalesce(substr(text, 1, 8), '') else '%PDF-1.4' end as content from documents)",
+        "select path, length, case when not ends_with(lower(path), '.pdf') then 'name is not .pdf' when other then 'unsupported content type' when length > 52428800 then 'larger than 50 MiB' when length = 0 then 'empty' when left(content, 4) <> '%PDF' then 'not a PDF' end as reason from f",
+    ),
+    "a3_nested_papers": (_PARAS, "select paper_id, section_ord, section, para_no, paragraph_id, page_number, text from paras"),
+    "c1_titles_by_font": (_LINES + ", sp as (select paper_id, line_no, line, case when line_no = substr(paper_id, 2)::bigint % 3 then 18 when line_no > 16 then 30 else 10 end as size from lines where page_number = 1 and line_no * 20 <= 320 and length(line) >= 10)", "select paper_id, line as title from (select *, row_number() over (partition by paper_id order by size desc, line_no) as r from sp) where r = 1"),
+    "d10_scoped_search": (_SCOPED, "select query_id, rank, id, round(score, 6) as score, round(case when rd <= 10 then d else 0 end, 6) as dense_score, round(b, 6) as bm25_score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from fu where score > 0) where rank <= 5"),
+    "d11_lexical_overlap": (_POST + f", q as (select distinct item_id as query_id, unnest({_TOKENS.format('text')}) as term from benchmark), s as (select query_id, id, count(*) as score from p join q using (term) group by query_id, id)", "select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from s) where rank <= 5"),
+    "e13_envelope": (
+        ", ".join(f"x_{n} as (select * from {_sub(q)})" for n, q in _PARTS.items()) + ", " + ", ".join(f"c_{n} as (select paper_id, count(*)::int as n_{n} from x_{n} group by paper_id)" for n in _PARTS),
+        "select paper_id, 'heuristic-fallback' as source, " + ", ".join(f"coalesce(n_{n}, 0)::int as n_{n}" for n in _PARTS) + ", tldr, coalesce(settings, '') as settings from x_tldr left join (select paper_id, string_agg(name || '=' || value, ';' order by name) as settings from x_hyperparameters group by paper_id) using (paper_id) " + " ".join(f"left join c_{n} using (paper_id)" for n in _PARTS),
+    ),
+    "f1_paper_refs": (f"sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents), t as {_sub('c2_titles')}, y as {_sub('c4_c5_year_doi')}", "select set_id, paper_ord, paper_id, coalesce(nullif(title, ''), 'Untitled') as title, year from sets left join t using (paper_id) left join y using (paper_id)"),
+    "f2_f3_matrix": (_DIMS + ", held as (select * from sets join vals using (paper_id)), sf as (select set_id, dimension, kind, s.paper_ord, s.paper_id from (select distinct set_id, dimension, kind from held) join sets s using (set_id))", "select set_id, dimension, kind, sf.paper_ord, paper_id, coalesce(value, '—') as value from sf left join (select set_id, dimension, kind, paper_id, min(value) as value from held group by all) using (set_id, dimension, kind, paper_id)"),
+    "f6_dataset_verdicts": (f"ds as {_sub('e8_e9_datasets')}, " + _SETS, "select *, case when contains(paper_ids, ',') then 'consensus' else 'single-source' end as verdict, case when contains(paper_ids, ',') then 'Shared evaluation on ' || name || '.' else '' end as note from (select set_id, name, string_agg(distinct paper_id, ',' order by paper_id) as paper_ids from ds join sets using (paper_id) group by set_id, name)"),
+    "f11_wide_matrix": (f"hv as {_sub('e6_hyperparameters')}, sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents)", "select set_id, name as dimension, " + ", ".join(f"coalesce(min(value) filter (where paper_ord = {k}), '—') as p{k}" for k in range(10)) + " from hv join sets using (paper_id) group by set_id, name"),
+}
 ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}

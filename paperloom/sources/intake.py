@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES = 50 << 20
+# The content types that are taken for a PDF.
+CONTENT_TYPES = ["application/pdf", "application/octet-stream", "binary/octet-stream"]
 
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
@@ -13,9 +15,12 @@ def raw_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def judged(files: DataFrame) -> DataFrame:
-    """path, length, reason: null where a file is accepted. files: path, length, content."""
+    """path, length, reason: null where a file is accepted. files: path, length, content and,
+    where it was given, content_type."""
+    kind = F.nullif("content_type", F.lit("")) if "content_type" in files.columns else F.lit(None).cast("string")
     reason = (
-        F.when(~F.lower("path").endswith(".pdf"), "name is not .pdf")
+        F.when(~F.coalesce(F.lower("path").endswith(".pdf"), F.lit(False)), "name is not .pdf")
+        .when(~kind.isin(CONTENT_TYPES), "unsupported content type")
         .when(F.col("length") > MOST_BYTES, "larger than 50 MiB")
         .when((F.col("length") == 0) | F.col("content").isNull(), "empty")
         .when(F.substring("content", 1, 4) != F.lit(b"%PDF"), "not a PDF")

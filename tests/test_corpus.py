@@ -3,8 +3,9 @@
 import pytest
 
 from paperloom.functions import text as T
-from paperloom.operators import chunk, claims, dense, extract, metadata, search, segment
+from paperloom.operators import chunk, claims, dense, extract, matrix, metadata, nested, search, segment
 from paperloom.sources import intake
+from paperloom.sources import nested as nested_files
 from paperloom.streaming import ingest
 
 A = """A Weighted Transformer for Translation
@@ -153,7 +154,40 @@ def test_dense_top_k(spark):
 def test_intake_and_stream(spark, tmp_path):
     files = spark.createDataFrame([("a.pdf", 5, bytearray(b"%PDF-")), ("b.txt", 5, bytearray(b"%PDF-")), ("c.PDF", 0, bytearray(b"")), ("d.pdf", 60 << 20, bytearray(b"%PDF")), ("e.pdf", 3, bytearray(b"abc"))], "path string, length long, content binary")
     assert [r.reason for r in intake.judged(files).orderBy("path").collect()] == [None, "name is not .pdf", "empty", "larger than 50 MiB", "not a PDF"]
+    typed = intake.judged(files.selectExpr("*", "case when path = 'a.pdf' then 'text/html' else '' end as content_type"))
+    assert typed.where("path = 'a.pdf'").first().reason == "unsupported content type"
     for n, text in ((1, A), (2, "Results\nagain something")):
         spark.createDataFrame([("a", "a.pdf", 1, text)], ingest.PAGES).write.mode("append").parquet(f"{tmp_path}/in")
         ingest.follow(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert [r.text for r in ingest.latest(spark, f"{tmp_path}/out").collect()] == ["again something"]
+
+
+def test_nested_papers_are_read_back(spark, paras, tmp_path):
+    titles = spark.createDataFrame([("a", "A title"), ("b", None), ("z", "No text")], "paper_id string, title string")
+    made = nested.papers(titles, paras)
+    for kind in ("json", "parquet"):
+        nested_files.write(made, f"{tmp_path}/{kind}", kind)
+        back = nested_files.read(spark, f"{tmp_path}/{kind}", kind)
+        assert sorted(back.select("paper_id", "title").collect()) == sorted(titles.collect()) if kind == "parquet" else back.count() == 3
+        assert sorted(nested.flat(back).collect()) == sorted(paras.where("paper_id in ('a', 'b')").select(nested.flat(back).columns).collect())
+    whole = by(nested.envelope(titles, {"settings": extract.hyperparameters(paras), "hardware": extract.hardware(paras)}), "paper_id")
+    assert [x.name for x in whole["a"].settings] == sorted(x.name for x in whole["a"].settings) and len(whole["a"].settings) == 8
+    assert whole["a"].hardware[0].hardware == "8xV100" and whole["z"].settings == [] and whole["z"].source == "heuristic-fallback"
+
+
+def test_matrix_has_a_cell_for_each_paper(spark):
+    sets = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "set_id long, paper_ord long, paper_id string")
+    values = spark.createDataFrame([("a", "x", "k", "1"), ("c", "y", "k", None)], "paper_id string, dimension string, kind string, value string")
+    assert sorted((r.set_id, r.dimension, r.paper_id, r.value) for r in matrix.cells(sets, values).collect()) == [(1, "x", "a", "1"), (1, "x", "b", "—"), (2, "y", "c", "—")]
+    assert {(r.set_id, r.p0, r.p1) for r in matrix.wide(sets, values, 2).collect()} == {(1, "1", "—"), (2, "—", "—")}
+    found = spark.createDataFrame([("a", "D1"), ("b", "D1"), ("c", "D1")], "paper_id string, name string")
+    assert {(r.set_id, r.paper_ids, r.verdict) for r in matrix.dataset_verdicts(sets, found).collect()} == {(1, "a,b", "consensus"), (2, "c", "single-source")}
+
+
+def test_scoped_search_keeps_to_its_papers(spark):
+    texts = spark.createDataFrame([(1, "a", "bleu score on wmt14 rises"), (2, "b", "graphs and trees"), (3, "b", None), (4, "c", "bleu")], "id long, paper_id string, text string")
+    queries = spark.createDataFrame([(7, "BLEU WMT14"), (8, " "), (9, "bleu")], "query_id long, text string")
+    scope = spark.createDataFrame([(7, "b"), (7, "a"), (7, "a"), (8, "a"), (9, "x")], "query_id long, paper_id string")
+    got = search.scoped(texts, queries, scope).collect()
+    assert {(r.query_id, r.id) for r in got} == {(7, 1), (7, 2), (7, 3)} and min(got, key=lambda r: r["rank"]).id == 1
+    assert [(r.query_id, r.id, r.score) for r in search.lexical_overlap(texts, queries).where("rank = 1").orderBy("query_id").collect()] == [(7, 1, 2), (9, 1, 1)]
