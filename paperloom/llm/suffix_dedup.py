@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import spool
+from .tables import join_hot, spool
 
 WINDOW, LEAD = 50, 24
 UNIT_BYTES, BUCKET_BYTES, SAMPLES = 2 << 20, 16 << 20, 20_000
@@ -377,8 +377,8 @@ def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_re
     limits = sorted({leads[len(leads) * i // buckets] for i in range(1, buckets)}) if leads else []
 
     each = packed.select("unit", F.posexplode(F.arrays_zip("doc_ids", "digests", "lengths")).alias("k", "d")).select("unit", "k", F.col("d.doc_ids").alias("id"), F.col("d.digests").alias("digest")).where(F.col("d.lengths") >= WINDOW)
-    least = each.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    copies = each.join(least, "digest").where("id > least").groupBy("unit").agg(F.sort_array(F.collect_list("k")).alias("copies"))
+    least = each.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    copies = join_hot(each, spool(least, "suffix-least"), "digest").where("id > least").groupBy("unit").agg(F.sort_array(F.collect_list("k")).alias("copies"))
     copies = spool(copies, "suffix-copies")
     hints = shared.where("unit >= 0").groupBy("unit").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("shared"))
     spans = covered(packed.drop("extra").join(hints.join(copies, "unit", "full"), "unit", "left"), buckets, limits, b"".join(leads)[: 110 << 10])

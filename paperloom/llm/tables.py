@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,14 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """Inner join of rows with keyed, which has one row a key and in ``n`` the number of rows that
+    have it. Keys with over 1/parts of these rows, fewer than ``parts`` whatever the input, are
+    broadcast; the others are shuffled, so no task gets all rows of a hot key."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * parts > total
+    hot = keyed.where(is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~is_hot).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
