@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import spool
+from .tables import join_hot, spool
 
 BLOCK = 1 << 22
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -117,10 +117,10 @@ def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
 def near_duplicates(docs: DataFrame, crowd: int = 32) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable over links of two bits or fewer)."""
     rows = spool(fingerprints(docs), "simhash-fp")
-    prints = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    prints = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "simhash-nodes")
     linked = links(prints, crowd)
     a = prints.select(F.col("fp").alias("a"), F.col("node").alias("na"))
     b = prints.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
     edges = linked.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a is not null and b is not null")
-    found = prints.join(connected_components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = prints.join(connected_components(edges), "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    return join_hot(rows, spool(found, "simhash-found"), "fp").select("doc_id", "fp", "component_id")
