@@ -2,18 +2,20 @@
 
 An item leaks into a document if some window of it has edit similarity of at least
 ``similarity`` (1 - distance / item length, over lower-cased text with single spaces, in UTF-8
-bytes). Item-sized windows are looked at where a document and an item share at least
-``SEEDS`` places with equal ``GRAM``-byte strings on neighbouring diagonals. Each window is
-embedded by CGK random walks, which turn a small edit distance into a small Hamming distance;
-every repetition samples a few positions of its walk, and a window and an item that agree on
-all of them in any repetition are candidates. Repetitions are as many as reach ``recall`` for
-windows whose walks agree on ``agree`` of their positions. Candidates are verified exactly by
-a bit-parallel approximate match.
+bytes). Places are looked at where a document and an item share at least ``SEEDS`` places, or
+one for each ``SPREAD`` bytes of a longer item, with equal ``GRAM``-byte strings on neighbouring
+diagonals. For items of more than ``DIRECT`` bytes, item-sized windows there, ``APART`` bytes from
+each other, are embedded by CGK random walks, which turn a small edit distance into a small
+Hamming distance; every repetition samples a few positions of its walk, and a window and an item
+that agree on all of them in any repetition are candidates. Repetitions are as many as reach
+``recall`` for windows whose walks agree on ``agree`` of their positions. For shorter items,
+every such place is a candidate. Candidates are verified exactly, many at a time in a band of
+diagonals, and what is left by a bit-parallel approximate match.
 
 The items are read in blocks of at most ``block_bytes``; each block goes over all documents.
 
 Defined results: null and empty texts and items match nothing; items shorter than ``SHORT``
-bytes match only as they stand; repeated documents are reported each, repeated items by
+bytes are looked for by pieces of which one must be left as it is; repeated documents are reported each, repeated items by
 their smallest id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, SEEDS, SHORT = 12, 4, 32
+GRAM, SEEDS, SPREAD, DIRECT, APART, SHORT = 8, 2, 10, 512, 4, 32
 U64 = np.uint64
 
 
@@ -35,16 +37,14 @@ def normal(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode()
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` bytes from each position on."""
-    n = max(len(data) - GRAM + 1, 0)
-    w = np.zeros(n + 8, U64)
-    for i in range(4):
-        part = data[i : i + n + 8]
-        w[: len(part)] |= part.astype(U64) << U64(8 * i)
-    w = w[:n] | (w[4 : n + 4] << U64(32)), w[8 : n + 8]
-    h = (w[0] ^ (w[1] * U64(0xC2B2AE3D27D4EB4F))) * U64(0x9E3779B97F4A7C15)
-    return h ^ (h >> U64(29))
+def grams(data: np.ndarray, gap: int) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each position on, with ``gap`` bytes left out amid them."""
+    n = max(len(data) - GRAM - gap + 1, 0)
+    if not n:
+        return np.zeros(0, U64)
+    half = np.ndarray((n + GRAM // 2 + gap,), "<u4", np.ascontiguousarray(data), 0, (1,))
+    h = (half[:n] | (half[GRAM // 2 + gap :].astype(U64) << U64(32))) * U64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> U64(29))) * U64(0xC2B2AE3D27D4EB4F)
 
 
 def edits(item: bytes, text: bytes) -> tuple[int, int]:
@@ -67,6 +67,45 @@ def edits(item: bytes, text: bytes) -> tuple[int, int]:
     return best
 
 
+def _places(data: bytes, piece: bytes) -> Iterator[int]:
+    at = data.find(piece)
+    while at >= 0:
+        yield at
+        at = data.find(piece, at + 1)
+
+
+def within(items: list[bytes], parts: list[bytes], slack: np.ndarray) -> np.ndarray:
+    """Which items are at most ``slack`` edits from a piece of their part. A part is longer than its
+    item by the diagonals that the piece may lie on; newlines stand for what is beyond the text."""
+    ok = np.zeros(len(items), bool)
+    by = sorted(range(len(items)), key=lambda i: ((len(parts[i]) - len(items[i])).bit_length(), len(items[i])))
+    lo = 0
+    while lo < len(by):
+        some = by[lo : lo + 256]
+        some = some[: max(1, (1 << 20) // max(len(parts[i]) - len(items[i]) + 1 for i in some))]  # bounds the memory
+        who, lo = np.array(some), lo + len(some)
+        rows = max(len(items[i]) for i in who.tolist())
+        length = np.array([len(items[i]) for i in who.tolist()])
+        band = max(len(parts[i]) - len(items[i]) for i in who.tolist()) + 1
+        lay = lambda texts, width, fill: np.frombuffer(b"".join(t.ljust(width, fill) for t in texts), np.uint8).reshape(-1, width).T.copy()
+        x, y = lay([items[i] for i in who.tolist()], rows, b"\n"), lay([parts[i] for i in who.tolist()], rows + band, b"\n")
+        limit, ramp = slack[who], np.arange(band, dtype=np.int16)[:, None]
+        d = np.zeros((band + 1, len(who)), np.int16)
+        d[band] = np.int16(1 << 14)
+        for i in range(rows):
+            best = np.minimum(d[:-1] + (y[i : i + band] != x[i]), d[1:] + np.int16(1)) - ramp
+            d[:-1] = np.minimum.accumulate(best, axis=0) + ramp
+            if i % 16 == 15 or (length == i + 1).any():
+                least = d[:-1].min(axis=0)
+                ok[who[(length == i + 1) & (least <= limit)]] = True
+                live = (length > i + 1) & (least <= limit)
+                if not live.all():
+                    who, length, limit, x, y, d = who[live], length[live], limit[live], x[:, live], y[:, live], d[:, live]
+                    if not len(who):
+                        break
+    return ok
+
+
 class Walks:
     """CGK embeddings of byte windows and their sampled signatures."""
 
@@ -99,11 +138,13 @@ class Index:
         self.walks = Walks(recall, agree, sampled)
         self.lengths = np.array([len(t) for _, t in items], np.int64)
         self.slack = np.floor(self.lengths * (1 - similarity) + 1e-9).astype(np.int64)
+        self.seeds = np.where(self.lengths < SHORT, 1, np.maximum(SEEDS, self.lengths // SPREAD))
         hashes, item, offset = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (_, t) in enumerate(items):
             if len(t) >= SHORT:
-                g = grams(np.frombuffer(t, np.uint8))
-                hashes.append(g), item.append(np.full(len(g), k)), offset.append(np.arange(len(g)))
+                for gap in (0, 1):
+                    g = grams(np.frombuffer(t, np.uint8), gap)
+                    hashes.append(g), item.append(np.full(len(g), k)), offset.append(np.arange(len(g)))
         h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
         h, self.item, self.offset = h[order], np.concatenate(item)[order], np.concatenate(offset)[order]
@@ -112,7 +153,11 @@ class Index:
         self.bits = 20
         self.known = np.zeros(1 << self.bits, bool)
         self.known[h >> U64(64 - self.bits)] = True
-        self.short = [(k, t) for k, (_, t) in enumerate(items) if 0 < len(t) < SHORT]
+        self.short = [(k, t) for k, (_, t) in enumerate(items) if 0 < len(t) < SHORT and not self.slack[k]]
+        self.pieces = []
+        for k, (_, t) in enumerate(items):
+            if len(t) < SHORT and (n := int(self.slack[k]) + 1) > 1:  # n - 1 edits leave one of n pieces as it is
+                self.pieces += [(k, i * len(t) // n, t[i * len(t) // n : (i + 1) * len(t) // n]) for i in range(n)]
         self.own = self.signed(np.arange(len(items)), [t for _, t in items]) if items else None
 
     def signed(self, item: np.ndarray, windows: list[bytes]) -> np.ndarray:
@@ -125,57 +170,84 @@ class Index:
             out[part] = self.walks.signatures(rows, self.lengths[item[part]])
         return out
 
-    def windows(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, document number and place of each window worth embedding."""
-        h = grams(np.frombuffer(data, np.uint8))
-        at = np.flatnonzero(self.known[h >> U64(64 - self.bits)])
-        e = np.minimum(np.searchsorted(self.hash, h[at]), max(len(self.hash) - 1, 0))
-        ok = self.hash[e] == h[at] if len(self.hash) else np.zeros(len(at), bool)
-        at, e = at[ok], e[ok]
+    def windows(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Item, document number, place and group of each window where enough grams are shared; a
+        group is of one item and document on neighbouring diagonals."""
+        found = []
+        for gap in (0, 1):
+            h = grams(np.frombuffer(data, np.uint8), gap)
+            at = np.flatnonzero(self.known[h >> U64(64 - self.bits)])
+            e, h = np.minimum(np.searchsorted(self.hash, h[at]), max(len(self.hash) - 1, 0)), h[at]
+            ok = self.hash[e] == h if len(self.hash) else np.zeros(len(at), bool)
+            found.append((at[ok], e[ok]))
+        at, e = (np.concatenate(x) for x in zip(*found))
         n = self.count[e]
         entry = np.repeat(self.first[e], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, place = self.item[entry], np.repeat(at, n) - self.offset[entry]
-        doc = np.searchsorted(starts, np.repeat(at, n), side="right") - 1
+        at = np.repeat(at, n)
+        if self.pieces:
+            more = [(k, i, i - o) for k, o, piece in self.pieces for i in _places(data, piece)]
+            k, i, o = np.array(more, np.int64).reshape(-1, 3).T
+            item, at, place = np.concatenate([item, k]), np.concatenate([at, i]), np.concatenate([place, o])
+        doc = np.searchsorted(starts, at, side="right") - 1
         order = np.lexsort((place, item, doc))
         item, place, doc = item[order], place[order], doc[order]
         if not len(item):
-            return item, doc, place
+            return item, doc, place, item
         far = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > self.slack[item[1:]])
         group = np.cumsum(np.concatenate([[False], far]))
-        keep = np.bincount(group)[group] >= SEEDS
+        keep = np.bincount(group)[group] >= self.seeds[item]
         keep &= np.concatenate([[True], far | (place[1:] != place[:-1])])
-        return item[keep], doc[keep], place[keep]
+        return item[keep], doc[keep], place[keep], group[keep]
+
+    def alike(self, texts: list[bytes], item: np.ndarray, doc: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """The groups of long items with a window that has a signature of its item."""
+        low = np.minimum.reduceat(place, first := np.flatnonzero(np.diff(group, prepend=-1)))
+        step = (place - np.repeat(low, np.diff(np.append(first, len(group))))) // APART
+        pick = np.diff(group, prepend=-1).astype(bool) | (np.diff(step, prepend=-1) != 0)
+        item, doc, place, group = item[pick], doc[pick], place[pick], group[pick]
+        cut = [texts[d][max(p, 0) : max(p, 0) + n] for d, p, n in zip(doc.tolist(), place.tolist(), self.lengths[item].tolist())]
+        return np.unique(group[(self.signed(item, cut) == self.own[item]).any(axis=1)])
 
     def leaks(self, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int]]:
         """(text number, item number) -> (distance, end of the match in the text)."""
         data = b"\n".join(texts) + b"\n"  # no text holds a newline, and so no gram crosses one
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        item, doc, place = self.windows(data, starts)
+        item, doc, place, group = self.windows(data, starts)
         found: dict[tuple[int, int], tuple[int, int]] = {}
         for k, t in self.short:
             for d, text in enumerate(texts):
                 if (i := text.find(t)) >= 0:
                     found[d, k] = (0, i + len(t))
         if len(item):
-            cut = []
-            for k, d, p in zip(item.tolist(), doc.tolist(), (place - starts[doc]).tolist()):
-                cut.append(texts[d][max(p, 0) : max(p, 0) + int(self.lengths[k])])
-            alike = (self.signed(item, cut) == self.own[item]).any(axis=1)
-            for k, d, p in sorted(set(zip(item[alike].tolist(), doc[alike].tolist(), (place - starts[doc])[alike].tolist()))):
+            place -= starts[doc]
+            long = self.lengths[item] > DIRECT
+            if long.any():
+                keep = ~long | np.isin(group, self.alike(texts, item[long], doc[long], place[long], group[long]))
+                item, doc, place, group = item[keep], doc[keep], place[keep], group[keep]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            tries, parts = [], []
+            for k, d, p, q in zip(item[first].tolist(), doc[first].tolist(), place[first].tolist(), place[np.append(first[1:], len(group)) - 1].tolist()):
                 t, slack, text = self.items[k][1], int(self.slack[k]), texts[d]
-                if (best := found.get((d, k))) and best[0] == 0:
+                if (d, k) in found:
                     continue
                 if (i := text.find(t)) >= 0:
                     found[d, k] = (0, i + len(t))
                     continue
                 lo = max(0, p - slack)
-                distance, end = edits(t, text[lo : p + len(t) + slack])
-                if distance <= slack and (not best or distance < best[0]):
-                    found[d, k] = (distance, lo + end)
+                part = text[lo : max(0, q + len(t) + slack)]
+                tries.append((k, d, lo, part))
+                parts.append((b"\n" * max(0, slack - p) + part).ljust(q - p + len(t) + 2 * slack, b"\n"))
+            near = within([self.items[x[0]][1] for x in tries], parts, self.slack[[x[0] for x in tries]]) if tries else []
+            for (k, d, lo, part), ok in zip(tries, near):
+                if ok:
+                    distance, end = edits(self.items[k][1], part)
+                    if distance <= self.slack[k] and ((d, k) not in found or distance < found[d, k][0]):
+                        found[d, k] = (distance, lo + end)
         return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.4, sampled: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, distance, similarity, match_end: each document's leaked items."""
     items = benchmark.where("length(text) > 0").groupBy("text").agg(F.min("item_id").alias("item_id"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

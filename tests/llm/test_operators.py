@@ -409,3 +409,35 @@ def test_leaks_are_found_and_clean_texts_left(spark, docs, empty):
     assert {(r.doc_id, r.item_id) for r in blocks} == set(got)
     assert decontaminate.contaminated(empty, bench).collect() == []
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == []
+
+
+def test_leaks_at_a_fifth_of_the_bytes():
+    draw = random.Random(12)
+    word = lambda: bytes(draw.choices(b"abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 8)))
+    prose = lambda n: b" ".join(word() for _ in range(n))
+    items = [prose(n) for n in range(3, 73)]
+    index = decontaminate.Index(list(enumerate(items)), 0.8, 0.95, 0.3, 2)
+    kinds = {"every fifth byte": lambda t, at: [*range(4, len(t), 5)], "any bytes": lambda t, at: sorted(draw.sample(range(len(t)), at))}
+    for name, places in kinds.items():
+        for edit in (lambda c: b"#", lambda c: b"", lambda c: b"#" + c):
+            texts = []
+            for t in items:
+                places_ = set(places(t, int(index.slack[len(texts)])))
+                body = b"".join(edit(t[i : i + 1]) if i in places_ else t[i : i + 1] for i in range(len(t)))
+                texts.append(b" ".join((prose(20), body, prose(20))))
+            found = index.leaks(texts)
+            missed = [k for k in range(len(items)) if (k, k) not in found]
+            assert len(missed) <= 0.05 * len(items), (name, missed)
+            assert all(n == decontaminate.edits(items[k], texts[d])[0] <= index.slack[k] for (d, k), (n, _) in found.items())
+
+
+def test_banded_decision_equals_edits():
+    draw = random.Random(13)
+    some = lambda n: bytes(draw.choices(b"abc", k=n))
+    items = [some(draw.randint(5, 60)) for _ in range(300)]
+    slack = np.array([len(t) // 5 for t in items])
+    parts = [some(len(t) + 2 * k) for t, k in zip(items, slack.tolist())]
+    parts[::2] = [some(k) + t[: len(t) // 2] + some(k) + t[len(t) // 2 :] for t, k in zip(items[::2], slack[::2].tolist())]
+    got = decontaminate.within(items, parts, slack)
+    want = np.array([decontaminate.edits(t, p)[0] <= k for t, p, k in zip(items, parts, slack.tolist())])
+    assert want.any() and not want.all() and (got == want).all()
