@@ -205,11 +205,12 @@ class Unit:
             yield first[ok] + lo, count[ok], at[ok] + lo, g[ok], of[ok]
 
     def copies_inside(self) -> np.ndarray:
-        """Documents whose text an earlier or smaller one of this unit has too."""
-        best: dict[bytes, int] = {}
-        for k in np.argsort(self.ids, kind="stable").tolist():
-            best.setdefault(self.digests[k], k)
-        return np.array([best[d] != k for k, d in enumerate(self.digests)], bool)
+        """Documents whose text one of a smaller id in this unit has too. Rows of equal id are each
+        taken apart, as they do not cover each other and lose the same passages."""
+        least: dict[bytes, int] = {}
+        for d, i in zip(self.digests, self.ids.tolist()):
+            least[d] = min(least.get(d, i), i)
+        return self.ids > np.array([least[d] for d in self.digests], np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

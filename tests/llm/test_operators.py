@@ -302,6 +302,17 @@ def test_removed_bytes_equal_brute_force(docs, empty, small, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_lose_what_a_smaller_id_has(spark, parts):
+    random.seed(9)
+    some = lambda n: "".join(random.choices("abcdefghij ", k=n))
+    passage, other = some(80), some(90)
+    twice, nameless = some(60) + passage + some(70), some(30) + other + some(40)
+    rows = [(1, passage + some(20)), (2, some(10) + other), (7, twice), (7, twice), (9, twice), (None, nameless), (None, nameless), (None, nameless + passage)]
+    got = suffix_dedup.remove_repeats(documents(spark, rows).coalesce(parts), ("n_bytes", "n_removed", "n_spans", "kept")).collect()
+    assert sorted((1 << 62 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain_kept(rows)
+
+
 def test_strip_keeps_columns(docs):
     got = suffix_dedup.strip_repeats(docs)
     assert got.dtypes == docs.dtypes and got.count() == docs.count()
