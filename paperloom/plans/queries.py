@@ -268,6 +268,13 @@ def e16_contexts(spark, sf_dir):
     return claims.contexts(heads, segment.paragraphs(docs), 4000).select("paper_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
 
 
+def e16_whole_contexts(spark, sf_dir):
+    """e16_contexts with the operator's budget of 15,000 characters."""
+    docs = pages(spark, sf_dir)
+    heads = metadata.titles(docs).select("paper_id", F.concat(F.lit("TITLE: "), "title", F.lit("\n\n")).alias("head"))
+    return claims.contexts(heads, segment.paragraphs(docs)).select("paper_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+
+
 def g8_badges(spark, sf_dir):
     return claims.badges(paragraphs(spark, sf_dir).select("paper_id", F.col("section").alias("claim_no"), "paragraph_id", "page_number"))
 
@@ -411,7 +418,7 @@ QUERIES = {
         g3_g4_gaps, a2_page_text, a5_delete_papers, a8_resolve, b1_lines, b2_b3_headings, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c4_c5_year_doi, c7_counts, d3_hashed_vectors, d4_term_statistics, d5_bm25, d9_hybrid_search, e1_lead_sentences, e6_hyperparameters, e8_e9_datasets, e10_hardware, f5_hyperparameter_verdicts, g1_g2_gap_sentences, g5_themes, g7_counts,
         a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts, c2_titles, c3_authors, c6_abstracts, c8_enrichment, d7_dense_top_k, e4_tldr, e7_losses, e16_contexts, g8_badges, a7_lookup, a9_reuse, e3_section_summaries, f9_findings, f10_cells, g6_cross_cutting,
-        a1_intake, a3_nested_papers, b4_hint_headings, c1_titles_by_font, d10_scoped_search, d11_lexical_overlap, e13_envelope, f1_paper_refs, f2_f3_matrix, f6_dataset_verdicts, f11_wide_matrix,
+        a1_intake, a3_nested_papers, b4_hint_headings, c1_titles_by_font, d10_scoped_search, d11_lexical_overlap, e13_envelope, f1_paper_refs, f2_f3_matrix, f6_dataset_verdicts, f11_wide_matrix, e16_whole_contexts,
     )
 }
 
@@ -636,4 +643,5 @@ _MAIN |= {
     "f6_dataset_verdicts": (f"ds as {_sub('e8_e9_datasets')}, " + _SETS, "select *, case when contains(paper_ids, ',') then 'consensus' else 'single-source' end as verdict, case when contains(paper_ids, ',') then 'Shared evaluation on ' || name || '.' else '' end as note from (select set_id, name, string_agg(distinct paper_id, ',' order by paper_id) as paper_ids from ds join sets using (paper_id) group by set_id, name)"),
     "f11_wide_matrix": (f"hv as {_sub('e6_hyperparameters')}, sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents)", "select set_id, name as dimension, " + ", ".join(f"coalesce(min(value) filter (where paper_ord = {k}), '—') as p{k}" for k in range(10)) + " from hv join sets using (paper_id) group by set_id, name"),
 }
+_MAIN["e16_whole_contexts"] = (_MAIN["e16_contexts"][0].replace("4000", "15000"), _MAIN["e16_contexts"][1])
 ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}

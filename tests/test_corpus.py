@@ -191,3 +191,12 @@ def test_scoped_search_keeps_to_its_papers(spark):
     got = search.scoped(texts, queries, scope).collect()
     assert {(r.query_id, r.id) for r in got} == {(7, 1), (7, 2), (7, 3)} and min(got, key=lambda r: r["rank"]).id == 1
     assert [(r.query_id, r.id, r.score) for r in search.lexical_overlap(texts, queries).where("rank = 1").orderBy("query_id").collect()] == [(7, 1, 2), (9, 1, 1)]
+
+
+def test_whole_contexts_hold_a_long_introduction(spark, tmp_path):
+    from paperloom.plans import queries
+
+    rows = [(1, "some plain words " * 600, "en", "s", 10200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    (got,) = queries.QUERIES["e16_whole_contexts"](spark, str(tmp_path)).collect()
+    assert 10200 < got.n_chars <= 15000 and "used > 15000" in queries.ORACLE_SQL["e16_whole_contexts"]
