@@ -9,9 +9,11 @@ each character, and from it where pre-tokens begin, without a regular expression
 
 Pre-tokens are merged by rank and cached; byte offsets of the tokens are kept for decoding.
 
-Defined results: null text counts as empty and has no tokens; a text is cut only where the
-pattern always has a boundary, so long ones need bounded memory; repeated rows stay; an empty
-table gives no rows; other columns are ignored.
+Defined results: null text counts as empty and has no tokens; null ids are kept; a very long
+text is cut wherever the pattern has a boundary for certain, so its pieces are bounded but for
+a single run of letters, of numbers or of white space, which is one pre-token and taken whole;
+of pairs of equal rank the leftmost merges first; repeated rows stay; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ _AFTER = {
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WIDTH = 64
 NONE = np.int32(2**31 - 1)
-LONG = 1 << 22
+LONG = 1 << 20
 
 
 @functools.cache
@@ -139,19 +141,26 @@ def pre_tokens(texts: list[str]) -> Iterator[list[str]]:
         first = s + 1
 
 
-def pieces(text: str, most: int = 1 << 20) -> Iterator[str]:
-    """The text cut where white space follows something else: always a boundary."""
+def pieces(text: str, most: int = LONG, look: int = 4096) -> Iterator[str]:
+    """The text cut where a pre-token begins whatever stands before: where letters, numbers or other
+    characters end, except before a letter that other characters precede (a contraction)."""
     at = 0
     while len(text) - at > most:
         end = at + most
-        while end < len(text) and not (text[end] == " " and text[end - 1].isalnum()):
-            end += 1
+        while end < len(text):
+            kind = _classes()[np.frombuffer(text[end - 1 : end + look].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            a, b = kind[:-1], kind[1:]
+            sure = np.flatnonzero((a != MID) & (a != b) & ~((a == OTHER) & (b == LETTER)))
+            if len(sure):
+                end += int(sure[0])
+                break
+            end += len(b)
         yield text[at:end]
         at = end
     yield text[at:]
 
 
-def batched(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
+def batched(texts: list[str], most: int = LONG) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -164,12 +173,14 @@ def batched(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
 
 
 class Merges(dict):
-    """Pre-token -> ids, filled as it is asked for; emptied when it holds ``most``."""
+    """Pre-token -> ids, filled as it is asked for; emptied when it holds about ``most`` bytes, and
+    by its user at the end of a task, as a worker outlives its tasks."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 48 << 20):
         super().__init__()
-        self.ranks, self.most = ranks, most
+        self.ranks, self.most, self.held = ranks, most, 0
         size = max(ranks.values(), default=0) + 1
+        self.numbers = list(range(size))  # one object for each id
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         pairs = {}
         for whole, rank in ranks.items():
@@ -180,29 +191,37 @@ class Merges(dict):
         self.size, keys = size, np.array(sorted(pairs), np.int64)
         self.keys, self.merged = np.append(keys, 1 << 62), np.array([*(pairs[k] for k in keys.tolist()), NONE], np.int32)
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+    def keep(self, piece: str, ids: tuple[int, ...]) -> None:
+        self[piece] = ids
+        self.held += 240 + len(piece) + 8 * len(ids)
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
+        if self.held >= self.most:
             self.clear()
-        self[piece] = ids = self.merge(piece.encode())
+        self.keep(piece, ids := self.merge(piece.encode()))
         return ids
 
     def learn(self, texts: list[list[str]]) -> None:
         """Merge what these pre-tokens hold that is not cached, many side by side."""
-        new = set().union(*texts).difference(self)
-        if len(self) + len(new) > self.most:
+        if self.held >= self.most:
             self.clear()
+        new = set().union(*texts).difference(self)
         by: dict[int, list[tuple[str, bytes]]] = {}
         for t in new:
             data = t.encode()
             if (whole := self.ranks.get(data)) is not None:
-                self[t] = (whole,)
+                self.keep(t, (whole,))
             elif len(data) <= 32:
                 by.setdefault(-(-len(data) // 4) * 4, []).append((t, data))
         for width, held in by.items():
-            for lo in range(0, len(held), 20_000):
-                part = held[lo : lo + 20_000]
+            for lo in range(0, len(held), 8_000):
+                part = held[lo : lo + 8_000]
                 for (t, _), ids in zip(part, self.merge_rows([d for _, d in part], width)):
-                    self[t] = ids
+                    self.keep(t, ids)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -239,7 +258,7 @@ class Merges(dict):
             ranks[n[left], j[left] - 1] = self.pair_ranks(full[n[left], j[left] - 1], least[left])
             rank[live] = ranks
         count = (ids >= 0).sum(axis=1).tolist()
-        return [tuple(r[:c]) for r, c in zip(ids.tolist(), count)]
+        return [tuple(map(self.numbers.__getitem__, r[:c])) for r, c in zip(ids.tolist(), count)]
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         ranks = self.ranks
@@ -285,9 +304,10 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def coder(content: bytes) -> tuple[Merges, list[bytes]]:
-    """The merges and the vocabulary of a rank file, kept for a worker's later tasks."""
+    """The tables of a rank file, some 20 MB, kept for a worker's later tasks; what the merges
+    cache is not."""
     table = parse_ranks(content)
     vocabulary = [b""] * (max(table.values(), default=-1) + 1)
     for k, v in table.items():
@@ -325,28 +345,32 @@ def encode(docs: DataFrame, ranks: bytes, outputs: tuple[str, ...] = ("n_tokens"
             return [list(itertools.chain.from_iterable(map(merges.__getitem__, p))) for p in found]
 
         def results(ids: list[int]) -> dict:
-            out = {"n_tokens": len(ids), "ids": ids}
+            out = {"n_tokens": len(ids)}
+            if "ids" in outputs:
+                out["ids"] = np.array(ids, np.int32)
             if "offsets" in outputs:
                 out["offsets"] = np.concatenate([[0], np.cumsum(lengths[ids])[:-1]]).astype(np.int32) if ids else []
             if "decoded" in outputs or "decoded_sha256" in outputs:
-                out["decoded"] = decode(ids, vocabulary)
-                out["decoded_sha256"] = hashlib.sha256(out["decoded"]).hexdigest()
+                decoded = decode(ids, vocabulary)
+                out |= {"decoded": decoded if "decoded" in outputs else None, "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
             if "ids_sha256" in outputs:
                 out["ids_sha256"] = hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest()
             return out
 
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for lo in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in batch.column(1).slice(lo, 512).to_pylist()]
-                rows = []
-                for group in batched(texts):
-                    long = group.pop() if len(group[-1]) > LONG else None  # such a text is the last of its group
-                    rows += ids_of(group) if group else []
-                    if long is not None:
-                        rows.append([i for cut in pieces(long) for i in ids_of([cut])[0]])
-                rows = [results(ids) for ids in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 512], batch.column(0).type), *(pa.array([r[o] for r in rows], FIELDS[o]) for o in outputs)], [id_col, *outputs])
+        try:
+            for batch in batches:
+                keys = batch.column(0).to_pylist()
+                for lo in range(0, batch.num_rows, 512):
+                    texts = [t or "" for t in batch.column(1).slice(lo, 512).to_pylist()]
+                    rows = []
+                    for group in batched(texts):
+                        long = group.pop() if len(group[-1]) > LONG else None  # such a text is the last of its group
+                        rows += map(results, ids_of(group)) if group else []
+                        if long is not None:
+                            rows.append(results([i for cut in pieces(long) for i in ids_of([cut])[0]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 512], batch.column(0).type), *(pa.array([r[o] for r in rows], FIELDS[o]) for o in outputs)], [id_col, *outputs])
+        finally:
+            merges.clear()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{o} {TYPES[o]}" for o in outputs))

@@ -8,13 +8,15 @@ A variant shared by more than ``crowd`` distinct fingerprints would make many pa
 fingerprints are indexed by all 2,016 variants with two wildcards instead. Those that share
 one differ in at most two bits, and at most four can, so links stay linear and none is lost.
 
-Defined results: null and wordless texts have fingerprint zero and link like any other; null
-ids are kept and take the component of their fingerprint; repeated rows stay; an empty table
-gives no rows; other columns are ignored.
+Defined results: null and wordless texts have fingerprint zero and link like any other; very
+long texts are read whole, in pieces; null ids are kept, link like any other and take the
+smallest id of their component, null if it has none; repeated rows stay; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +30,7 @@ from .components import connected_components
 from .tables import join_hot, spool
 
 BLOCK = 1 << 22
+PRINTS = 16_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 LANES = np.uint64(0x0101010101010101)
 
@@ -85,9 +88,12 @@ def _segments() -> list:
 
 
 def _variants(one: DataFrame) -> DataFrame:
-    """The 64 one-wildcard variants (key, fp) of each fingerprint."""
+    """The 64 one-wildcard variants (key, fp) of each fingerprint, dealt by key. Fingerprints are
+    distinct, so a group of copies is one of them, and counting before the exchange would save
+    nothing; it takes as many tasks as there are tens of thousands of fingerprints."""
     keys = [seg.bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit(i << 32)) for seg in _segments() for i in range(32)]
-    return one.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    spread = one.repartition(max(1, math.ceil(one.count() / PRINTS)), "fp")
+    return spread.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key")
 
 
 def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
@@ -115,12 +121,16 @@ def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, crowd: int = 32) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable over links of two bits or fewer)."""
+    """doc_id, fp, component_id (the smallest id reachable over links of two bits or fewer; null
+    where no row that is reachable has an id).
+
+    Components are made of fingerprints and get their smallest id afterwards, so fingerprints of
+    rows without an id link as any others."""
     rows = spool(fingerprints(docs), "simhash-fp")
-    prints = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "simhash-nodes")
-    linked = links(prints, crowd)
-    a = prints.select(F.col("fp").alias("a"), F.col("node").alias("na"))
-    b = prints.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
-    edges = linked.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a is not null and b is not null")
-    found = prints.join(connected_components(edges), "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    prints = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-prints")
+    linked = prints.join(connected_components(links(prints, crowd)).withColumnRenamed("node", "fp"), "fp")
+    linked = spool(linked.select("fp", "component", "least", "n"), "simhash-linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = join_hot(linked.select("fp", "component", F.col("n").alias("copies")), spool(least, "simhash-least"), "component")
+    found = prints.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n").unionByName(found.select("fp", "component_id", F.col("copies").alias("n")))
     return join_hot(rows, spool(found, "simhash-found"), "fp").select("doc_id", "fp", "component_id")
