@@ -6,9 +6,12 @@ smaller id. Only suffixes that can matter are sorted:
 1. Documents are packed into *units* of a few MB, written once to the shared folder.
 2. Every window is anchored at its minimal ``lead``-byte string. Units send the hashes of
    their anchors, each once, to hash buckets, which return those met in two units or more.
-3. A shared anchor's suffix, with what stands before it, goes to the bucket of its leading
-   tokens; bucket limits are quantiles of a sample of anchors. Equal suffixes of a unit are
-   sent once, with the smallest id. Suffixes whose anchor stands in thousands of units are cut into single windows first, which are salted over the buckets.
+3. A shared anchor's suffix, with what stands before it, goes to the range of its leading
+   tokens; limits are quantiles of a sample of anchors. The sample and the ranges have a fixed
+   number at most, which the driver can hold; where the input is larger than so many buckets, a
+   hash of the lead parts each range. Equal suffixes of a unit are sent once, with the smallest
+   id. Suffixes whose anchor stands in thousands of units are cut into single windows first,
+   which are salted over the buckets.
 4. A bucket sorts its strings word by word, ties only (multikey quicksort), and compares
    neighbours: the smallest id of an equal run covers the others. A limit never parts equal
    leads, and equal windows have equal leads, so no run crosses a bucket's boundary.
@@ -18,14 +21,16 @@ Exact copies of a whole text are told by digest and are not taken apart.
 
 Defined results: null text counts as empty; a null id counts as larger than any other; rows
 that share an id do not cover each other; texts below ``window`` bytes are kept; repeated rows
-stay; an empty table gives no rows; other columns are ignored.
+stay; a very long text is a unit of its own and taken apart in pieces; of equal strings the
+smallest id keeps its own, wherever it stands; an empty table gives no rows; other columns are
+ignored, or carried as they are by ``strip_repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,12 +38,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .tables import join_hot, spool
 
 WINDOW, LEAD = 50, 24
-UNIT_BYTES, BUCKET_BYTES, SAMPLES = 2 << 20, 16 << 20, 20_000
+UNIT_BYTES, BUCKET_BYTES, SAMPLES, RANGES = 2 << 20, 16 << 20, 20_000, 2048
 U64 = np.uint64
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], U64)
 NULL = np.iinfo(np.int64).max
 
 
@@ -145,11 +152,20 @@ def _cut(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def units(docs: DataFrame, carry: str | None = None, unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """unit, doc_ids (null as the largest number), digests, lengths, the strings of the column
-    ``carry``, and the packed bytes.
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def units(docs: DataFrame, carry: tuple[str, ...] = (), unit_bytes: int | None = None) -> DataFrame:
+    """unit, doc_ids (null as the largest number), digests, lengths, the packed bytes, and in
+    ``extra`` the columns ``carry`` as an Arrow stream.
 
     A document longer than a unit is a unit of its own."""
+    unit_bytes = unit_bytes or UNIT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -159,23 +175,29 @@ def units(docs: DataFrame, carry: str | None = None, unit_bytes: int = UNIT_BYTE
         def out() -> pa.RecordBatch:
             data = b"".join(t for _, t in held)
             return pa.RecordBatch.from_pylist(
-                [{"unit": (part << 32) + number, "doc_ids": [i for i, _ in held], "digests": [hashlib.md5(t).digest() for _, t in held], "lengths": [len(t) for _, t in held], "extra": extra if carry else None, "bytes": zstandard.ZstdCompressor(level=1).compress(data)}],
-                pa.schema([("unit", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("extra", pa.list_(pa.string())), ("bytes", pa.binary())]),
+                [{"unit": (part << 32) + number, "doc_ids": [i for i, _ in held], "digests": [hashlib.md5(t).digest() for _, t in held], "lengths": [len(t) for _, t in held], "extra": _ipc(extra) if carry else None, "bytes": zstandard.ZstdCompressor(level=1).compress(data)}],
+                pa.schema([("unit", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("extra", pa.binary()), ("bytes", pa.binary())]),
             )
 
         for b in batches:
-            for i, t, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2) if carry else b.column(0)):
+            others = pa.RecordBatch.from_arrays(b.columns[2:], [str(k) for k in range(len(carry))]) if carry else None
+            each = others.nbytes // b.num_rows if carry and b.num_rows else 0
+            first = 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 held.append((NULL if i is None else i, (t.as_py() or "").encode()))
-                if carry:
-                    extra.append(x.as_py())
-                size += len(held[-1][1])
+                size += len(held[-1][1]) + each
                 if size >= unit_bytes:
+                    if carry:
+                        extra.append(others.slice(first, k + 1 - first))
                     yield out()
-                    number, held, extra, size = number + 1, [], [], 0
+                    number, held, extra, size, first = number + 1, [], [], 0, k + 1
+            if carry and first < b.num_rows:
+                extra.append(others.slice(first))
         if held:
             yield out()
 
-    return docs.select("doc_id", "text", *([F.col(carry).alias("extra")] if carry else [])).mapInArrow(run, "unit long, doc_ids array<long>, digests array<binary>, lengths array<long>, extra array<string>, bytes binary")
+    # columns go by place, so that names can't clash
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), *(F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(carry))).mapInArrow(run, "unit long, doc_ids array<long>, digests array<binary>, lengths array<long>, extra binary, bytes binary")
 
 
 class Unit:
@@ -264,12 +286,13 @@ def _in(keys: list[tuple[int, bytes]], g: np.ndarray, buckets: int) -> np.ndarra
     return np.isin((g & U64(0xFFFFFFFF)) | (_bucket(g, buckets).astype(U64) << U64(32)), full)
 
 
-def covered(units_shared: DataFrame, buckets: int, limits: list[bytes], known: bytes = b"") -> DataFrame:
+def covered(units_shared: DataFrame, buckets: int, limits: list[bytes], known: bytes = b"", parts: int = 1) -> DataFrame:
     """unit, spans: packed (start, end) of covered bytes, from units with ``shared`` (bucket,
-    keys, hot) and ``copies`` (numbers of documents that copy a whole smaller one). ``known`` is
-    sample text that what is sent is compressed against."""
+    keys, hot) and ``copies`` (numbers of documents that copy a whole smaller one). Each range
+    between ``limits`` has ``parts`` buckets. ``known`` is sample text that what is sent is
+    compressed against."""
     edges = np.array(limits, f"S{LEAD}")
-    places = len(limits) + 1
+    places = (len(limits) + 1) * parts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -298,7 +321,10 @@ def covered(units_shared: DataFrame, buckets: int, limits: list[bytes], known: b
                 rows.append((0, u.unit, _pack(first[done], first[done] + count[done] + WINDOW - 1)))
                 lead = u.data[at[:, None] + np.arange(LEAD)]
                 go = ~done & (out | _several(ranks(lead), same))
-                where = np.searchsorted(edges, np.ascontiguousarray(lead[go]).view(f"S{LEAD}").ravel(), side="right")
+                lead = np.ascontiguousarray(lead[go])
+                where = np.searchsorted(edges, lead.view(f"S{LEAD}").ravel(), side="right") * parts
+                if parts > 1:
+                    where += ((lead.view("<u8").reshape(-1, LEAD // 8) * ODD).sum(axis=1, dtype=U64) * ODD[0] >> U64(33)).astype(np.int64) % parts
                 hotly = hotly[go]
                 if hotly.any():
                     text = np.ascontiguousarray(strings[go][hotly])
@@ -365,30 +391,46 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[new], end[np.append(new[1:], len(end)) - 1] if len(new) else end[:0]
 
 
-def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), carry: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept")) -> DataFrame:
     """doc_id and the outputs asked for: n_bytes, n_removed, n_spans, starts and ends (of the
-    removed runs), kept (the remaining bytes), kept_sha256, kept_text (the bytes as text, without
-    characters that a cut has broken), extra (the column ``carry``)."""
+    removed runs), kept (the remaining bytes), kept_sha256."""
+    fields = {"doc_id": (pa.int64(), "long"), "n_bytes": (pa.int64(), "long"), "n_removed": (pa.int64(), "long"), "n_spans": (pa.int64(), "long"), "starts": (pa.list_(pa.int64()), "array<long>"), "ends": (pa.list_(pa.int64()), "array<long>"), "kept": (pa.binary(), "binary"), "kept_sha256": (pa.string(), "string")}
+    names = ("doc_id", *outputs)
+
+    def rows(unit: Unit, cut: list[tuple[np.ndarray, np.ndarray, bytes]], extra: bytes | None) -> pa.RecordBatch:
+        got = []
+        for k, (a, z, kept) in enumerate(cut):
+            r = {"doc_id": None if unit.ids[k] == NULL else int(unit.ids[k]), "n_bytes": int(unit.lengths[k]), "n_removed": int((z - a).sum()), "n_spans": len(a), "starts": a, "ends": z, "kept": kept}
+            if "kept_sha256" in outputs:
+                r["kept_sha256"] = hashlib.sha256(kept).hexdigest()
+            got.append(r)
+        return pa.RecordBatch.from_arrays([pa.array([r[o] for r in got], fields[o][0]) for o in names], list(names))
+
+    return _cut_units(docs, (), rows, ", ".join(f"{o} {fields[o][1]}" for o in names))
+
+
+def _cut_units(docs: DataFrame, carry: tuple[str, ...], rows: Callable, schema: StructType | str) -> DataFrame:
+    """What ``rows`` makes of each unit, of the removed runs and remaining bytes of its documents,
+    and of the carried columns."""
     packed = spool(units(docs, carry), "suffix-units")
     total = packed.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     every = max(1, total // 16 // SAMPLES)
     shared = spool(shared_anchors(packed.drop("extra"), buckets, every), "suffix-shared")
     leads = sorted(r["keys"][i : i + LEAD] for r in shared.where("unit = -1").select("keys").collect() for i in range(0, len(r["keys"]), LEAD))
-    limits = sorted({leads[len(leads) * i // buckets] for i in range(1, buckets)}) if leads else []
+    ranges = min(buckets, RANGES)
+    limits = sorted({leads[len(leads) * i // ranges] for i in range(1, ranges)}) if leads else []
+    parts = math.ceil(buckets / (len(limits) + 1))
 
     each = packed.select("unit", F.posexplode(F.arrays_zip("doc_ids", "digests", "lengths")).alias("k", "d")).select("unit", "k", F.col("d.doc_ids").alias("id"), F.col("d.digests").alias("digest")).where(F.col("d.lengths") >= WINDOW)
     least = each.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
     copies = join_hot(each, spool(least, "suffix-least"), "digest").where("id > least").groupBy("unit").agg(F.sort_array(F.collect_list("k")).alias("copies"))
     copies = spool(copies, "suffix-copies")
     hints = shared.where("unit >= 0").groupBy("unit").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("shared"))
-    spans = covered(packed.drop("extra").join(hints.join(copies, "unit", "full"), "unit", "left"), buckets, limits, b"".join(leads)[: 110 << 10])
+    spans = covered(packed.drop("extra").join(hints.join(copies, "unit", "full"), "unit", "left"), buckets, limits, b"".join(leads)[: 110 << 10], parts)
     spans = spans.groupBy("unit").agg(F.collect_list("spans").alias("spans"))
     joined = packed.join(spans, "unit", "left").join(copies, "unit", "left")
 
-    fields = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept": pa.binary(), "kept_sha256": pa.string(), "kept_text": pa.string(), "extra": pa.string()}
-    types = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "starts": "array<long>", "ends": "array<long>", "kept": "binary", "kept_sha256": "string", "kept_text": "string", "extra": "string"}
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             u = Unit(row)
@@ -399,36 +441,35 @@ def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_re
             # spans never cross documents, but those of neighbours may touch
             doc = np.searchsorted(u.starts + u.lengths, start, side="right")
             order = np.argsort(doc, kind="stable")
-            lows, doc = np.searchsorted(doc[order], np.arange(len(u.ids) + 1)), order
-            got = []
+            lows, got = np.searchsorted(doc[order], np.arange(len(u.ids) + 1)), []
             for k in range(len(u.ids)):
-                s, base = doc[lows[k] : lows[k + 1]], int(u.starts[k])
+                s, base = order[lows[k] : lows[k + 1]], int(u.starts[k])
                 a, z = merge_spans(start[s] - base, end[s] - base)
-                n = int(u.lengths[k])
-                keep = [0, *np.stack([a, z], axis=1).ravel().tolist(), n]
-                kept = b"".join(u.raw[base + x : base + y] for x, y in zip(keep[::2], keep[1::2]))
-                r = {"doc_id": None if u.ids[k] == NULL else int(u.ids[k]), "n_bytes": n, "n_removed": int((z - a).sum()), "n_spans": len(a), "starts": a, "ends": z, "kept": kept}
-                if "kept_text" in outputs:
-                    r["kept_text"] = kept.decode(errors="ignore")
-                if "extra" in outputs:
-                    r["extra"] = row["extra"][k]
-                if "kept_sha256" in outputs:
-                    r["kept_sha256"] = hashlib.sha256(kept).hexdigest()
-                got.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in got], pa.int64()), *(pa.array([r[o] for r in got], fields[o]) for o in outputs)], ["doc_id", *outputs])
-
-    return joined.mapInArrow(cut, "doc_id long, " + ", ".join(f"{o} {types[o]}" for o in outputs))
+                keep = [0, *np.stack([a, z], axis=1).ravel().tolist(), int(u.lengths[k])]
+                got.append((a, z, b"".join(u.raw[base + x : base + y] for x, y in zip(keep[::2], keep[1::2]))))
+            yield rows(u, got, row["extra"])
+
+    return joined.mapInArrow(cut, schema)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """The rows, in all their columns, with repeated passages cut from text and n_chars, where
-    there is such a column, counted anew. A null text stays null."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    extra = F.to_json(F.struct(F.col("text").isNull().alias("__null"), *others))
-    found = remove_repeats(docs.withColumn("__extra", extra), ("kept_text", "extra"), "__extra")
-    schema = ", ".join(["__null boolean", *(f"`{c}` {t}" for c, t in docs.dtypes if c in others)])
-    back = found.withColumn("__x", F.from_json("extra", schema)).withColumn("text", F.when(~F.col("__x.__null"), F.col("kept_text")))
-    columns = {c: F.col(f"__x.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    if "n_chars" in others:
-        columns["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
-    return back.select(*(columns[c].alias(c) for c in docs.columns))
+    """The rows, in all their columns, with repeated passages cut from text (and characters that a
+    cut has broken) and n_chars, where there is such a column, counted anew. A null text stays
+    null; all other columns, of any name and type, are carried as they are."""
+    names = docs.columns
+    carry = tuple(c for c in names if c != "text")
+    schema = docs.schema
+
+    def rows(unit: Unit, cut: list[tuple[np.ndarray, np.ndarray, bytes]], extra: bytes) -> pa.RecordBatch:
+        held = pa.ipc.open_stream(extra).read_all().combine_chunks()
+        columns = {c: held.column(k) for k, c in enumerate((*carry, None))}
+        texts = [kept.decode(errors="ignore") if there else None for (_, _, kept), there in zip(cut, columns[None].to_pylist())]
+        columns["text"] = pa.array(texts, pa.string())
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(t or "") for t in texts], pa.int64()).cast(columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in map(columns.get, names)], names)
+
+    there = "text is there"
+    while there in names:
+        there += "?"
+    return _cut_units(docs.withColumn(there, F.col("text").isNotNull()), (*carry, there), rows, schema)

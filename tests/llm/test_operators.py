@@ -39,7 +39,7 @@ def given(docs):
 
 
 def test_shards_hold_every_row_once_and_keep_groups(docs, empty):
-    rows = sharding.pack(docs, shards=3, split=1).collect()
+    rows = sharding.pack(docs, shards=3).collect()
     assert sorted((r.size, r.text_crc32) for r in rows) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in given(docs))
     for s in range(3):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
@@ -295,8 +295,7 @@ def test_removed_bytes_equal_brute_force(docs, empty, small, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5000)
         whole = suffix_dedup.shared_anchors
         monkeypatch.setattr(suffix_dedup, "shared_anchors", lambda p, b, e: whole(p, b, e, 2))
-        cut = suffix_dedup.units
-        monkeypatch.setattr(suffix_dedup, "units", lambda d, c: cut(d, c, 3000))
+        monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", 3000)
     got = suffix_dedup.remove_repeats(docs, ("n_bytes", "n_removed", "n_spans", "kept")).collect()
     assert sorted((1 << 62 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain_kept(given(docs))
     assert suffix_dedup.remove_repeats(empty).collect() == []
