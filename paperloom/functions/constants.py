@@ -1,7 +1,11 @@
 """Word lists and patterns that results depend on."""
 
+# The sections in their order.
 SECTIONS = ["Preamble", "Abstract", "Introduction", "Methodology", "Results", "Discussion", "Limitations", "Future Work", "References"]
 
+# The order in which sections are read for summaries and contexts.
+PRIORITY = ["Abstract", "Results", "Methodology", "Introduction", "Discussion", "Limitations", "Future Work", "Preamble", "References"]
+
 # Headings that name a section.
 ALIASES = {
     "Abstract": ["abstract", "executive summary", "summary"],
@@ -14,6 +18,20 @@ ALIASES = {
     "References": ["references", "bibliography", "works cited"],
 }
 
+# What may stand around a heading, headings that begin a line of text, sentence ends,
+# tokens, and spans of mathematics.
+HEADING_PREFIX, HEADING_END = r"(?:\d+(?:\.\d+)*\.?|[ivxlcdm]+\.?|[a-z]\.?)?\s*", r"\s*[:\-–—.]?"
+RUN_ON = r"(abstract|introduction|methodology|methods?|results?|discussion|conclusions?|limitations?|future work|references)\b[:.\-–—]?\s+(.{40,})"
+SENTENCE_END, SENTENCE_START = r"[.!?]", r"[A-Z0-9$(]"
+TOKEN = r"[a-z0-9]+(?:'[a-z]+)?"
+MATH_SPAN = r"\$\$.+?\$\$|\$.+?\$|\\\[.+?\\\]|\\\(.+?\\\)"
+
+# Dates, stamps and identifiers of a paper.
+ARXIV, YEAR, DOI = r"arXiv:\s*(\d{4})\.\d{4,5}", r"\b((?:19|20)\d{2})\b", r"\b(10\.\d{4,9}/[^\s\"'<>]+)"
+
+# Numbers, pairs of scores, and the task of a result.
+NUMBER, SCORES, TASK = r"-?\d+(?:\.\d+)?", r"from\s+(-?\d+(?:\.\d+)?)\s+to\s+(-?\d+(?:\.\d+)?)", r"\bon\s+([A-Z][\w\-]*(?:\s+[a-z\d]+)?)"
+
 # Mathematical symbols and their LaTeX commands.
 MATH = {
     "λ": r"\lambda", "β": r"\beta", "α": r"\alpha", "γ": r"\gamma", "δ": r"\delta", "ε": r"\epsilon", "θ": r"\theta", "μ": r"\mu", "σ": r"\sigma",
@@ -34,9 +52,13 @@ HYPERPARAMETERS = {
     "heads": r"(?i)(\d+)\s*(?:attention )?heads?",
 }
 
-# Datasets known by name.
+# Datasets known by the shape of their name, and by name.
+DATASET_SHAPE = r"\b([A-Z][\w\-]*\d+)\s+(?:dataset|corpus|benchmark)\b"
 DATASETS = ["WMT14", "WMT", "QM9", "ImageNet", "GLUE", "SQuAD", "CIFAR-10", "CIFAR", "COCO", "LibriSpeech", "WMT-14"]
 
+# What is said of a paper where it says nothing.
+NO_TEXT = ["No abstract extracted.", "No results extracted.", "No limitations extracted."]
+
 # Hardware mentions.
 HARDWARE = r"(?i)(\d+\s*x\s*(?:NVIDIA\s*)?(?:V100|A100|H100|A6000|RTX\s*\d+|GTX\s*\d+|GPU|TPU)s?|(?:V100|A100|H100|TPU v?\d+)(?:\s*x\s*\d+)?|\d+\s*GPU-hours?|\d+\s*(?:GPU|TPU)\s*days?)"
 

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ALIASES, MATH
+from .constants import ALIASES, HEADING_END, HEADING_PREFIX, MATH, MATH_SPAN, RUN_ON, SENTENCE_END, SENTENCE_START, TOKEN
 
 NEWLINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-HEADING = r"(?iU)^(?:\d+(?:\.\d+)*\.?|[ivxlcdm]+\.?|[a-z]\.?)?\s*(" + "|".join(sorted((a for v in ALIASES.values() for a in v), key=len, reverse=True)) + r")\s*[:\-–—.]?$"
-RUN_ON = r"(?iU)^(abstract|introduction|methodology|methods?|results?|discussion|conclusions?|limitations?|future work|references)\b[:.\-–—]?\s+(.{40,})$"
+HEADING = "(?iU)^" + HEADING_PREFIX + "(" + "|".join(sorted((a for v in ALIASES.values() for a in v), key=len, reverse=True)) + ")" + HEADING_END + "$"
+SPLIT = f"(?<={SENTENCE_END})(?U:\\s+)(?={SENTENCE_START})"
 
 
 def strip(c: Column) -> Column:
@@ -36,8 +36,9 @@ def heading(line: Column) -> Column:
 
 def run_on(line: Column) -> tuple[Column, Column]:
     """The section that begins a long line, and the rest of the line."""
-    long = F.length(line) > 45
-    return F.when(long, canonical(first(line, RUN_ON))), F.when(long, first(line, RUN_ON, 2))
+    pattern = "(?iU)^" + RUN_ON + "$"
+    may = (F.length(line) > 45) & F.lower(F.substring(line, 1, 1)).isin(*"aimrdclf")
+    return F.when(may, canonical(first(line, pattern))), F.when(may, first(line, pattern, 2))
 
 
 def latex(c: Column) -> Column:
@@ -47,19 +48,36 @@ def latex(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
 def sentences(c: Column) -> Column:
     """Sentences, or the whole stripped text where none is found."""
-    parts = F.filter(F.transform(F.split(c, r"(?<=[.!?])(?U:\s+)(?=[A-Z0-9$(])"), strip), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(c, SPLIT), strip), lambda s: s != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(c)))
 
 
 def math_spans(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?s)\$\$.+?\$\$|\$.+?\$|\\\[.+?\\\]|\\\(.+?\\\)"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit("(?s)" + MATH_SPAN), F.lit(0))
+
+
+def math_body(span: Column) -> tuple[Column, Column]:
+    """Whether a span of mathematics is a block, and what stands between its delimiters."""
+    block = span.startswith("$$") | span.startswith("\\[")
+    wide = F.when(span.startswith("$") & ~span.startswith("$$"), 1).otherwise(2)
+    return block, F.substring(span, wide + 1, F.length(span) - 2 * wide)
 
 
 def key(c: Column) -> Column:
     """Lower case without anything but word characters."""
     return F.regexp_replace(F.lower(c), r"(?U)\W+", "")
+
+
+def tag() -> Column:
+    """The source of what a paragraph says: its id, page and section."""
+    return F.struct("paragraph_id", "page_number", "section")
+
+
+def tag_text(tags: Column) -> Column:
+    """Sources as one string, ``p3|1|Results`` and so on."""
+    return F.array_join(F.transform(tags, lambda t: F.concat(t["paragraph_id"], F.lit("|"), t["page_number"].cast("string"), F.lit("|"), t["section"])), ";")

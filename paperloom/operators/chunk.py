@@ -1,4 +1,9 @@
-"""Paragraphs to retrieval chunks; each keeps the paragraphs and pages it came from."""
+"""Paragraphs to retrieval chunks; each keeps the paragraphs and pages it came from.
+
+Defined results: blank paragraphs are left out; a paper without others has no chunk; paragraphs
+are taken by section and number; a very long one is cut at sentences; an empty table gives no
+rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -60,9 +65,3 @@ def chunks(paras: DataFrame, target: int = 1000, overlap: int = 1) -> DataFrame:
     made = paras.groupBy("paper_id").applyInPandas(run, "paper_id string, chunk_id string, chunk_no int, section string, text string, page_number int, pages array<int>, paragraph_ids array<string>")
     return made.withColumn("token_count", F.size(T.tokens(F.col("text"))))
 
-
-def upsert(stored: DataFrame, new: DataFrame, key: str = "chunk_id", whole_papers: bool = False) -> DataFrame:
-    """New rows replace stored ones with their key; with ``whole_papers`` all rows of the papers
-    that come again go first."""
-    doomed = new.select("paper_id" if whole_papers else key).distinct()
-    return stored.join(doomed, doomed.columns, "left_anti").unionByName(new)

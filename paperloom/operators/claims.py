@@ -1,4 +1,4 @@
-"""Benchmark results, executive bullets, citations, comparison rows."""
+"""Benchmark results, summaries, citations and their repair, context packing."""
 
 from __future__ import annotations
 
@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..functions.constants import ARCHITECTURE, LOWER_IS_BETTER, METRICS, SECTIONS, THEMES
+from ..functions.constants import ARCHITECTURE, LOWER_IS_BETTER, METRICS, NO_TEXT, NUMBER, PRIORITY, SCORES, SECTIONS, TASK, THEMES
 from .extract import lead_sentences
 
-NUMBER = r"-?\d+(?:\.\d+)?"
 SCAN = ["Results", "Abstract", "Discussion", "Introduction"]
+TAGS = "array<struct<paragraph_id string, page_number int, section string>>"
+
+
+def no_tags():
+    return F.array().cast(TAGS)
 
 
 def benchmark_results(paras: DataFrame, most: int = 10) -> DataFrame:
-    """paper_id, ord, task, metric, baseline, score, delta, higher_is_better, paragraph_id.
+    """paper_id, ord, task, metric, baseline, score, delta, higher_is_better, context, paragraph_id,
+    page_number, section, sources.
 
     One result a paragraph: the first metric word, the numbers of ``from x to y``, or else the
     number nearest the metric with baseline 0. Sections are read in the order of SCAN; a
@@ -29,16 +34,17 @@ def benchmark_results(paras: DataFrame, most: int = 10) -> DataFrame:
     whole = lambda v: F.when((v == F.floor(v)) & F.contains(t, F.floor(v).cast("string")), F.floor(v).cast("string")).otherwise(v.cast("string"))
     apart = lambda x: F.abs(F.col("at") - F.call_function("instr", t, whole(value(x))))
     near = F.array_min(F.transform("numbers", lambda x, i: F.struct(apart(x).alias("far"), i.alias("i"), value(x).alias("v"))))
-    pair = r"(?i)from\s+(-?\d+(?:\.\d+)?)\s+to\s+(-?\d+(?:\.\d+)?)"
+    pair = "(?i)" + SCORES
     low, high = value(T.first(t, pair)), value(T.first(t, pair, 2))
     rank = F.array_position(F.array(*map(F.lit, SCAN)), F.col("section")).cast("int")
     found = paras.where(F.col("section").isin(SCAN)).withColumn("word", word).withColumn("numbers", numbers).where("word is not null and size(numbers) > 0").withColumn("at", at)
     found = found.select(
-        "paper_id", "section", rank.alias("scan"), "para_no", "paragraph_id",
-        F.coalesce(T.first(t, r"(?U)\bon\s+([A-Z][\w\-]*(?:\s+[a-z\d]+)?)"), F.concat("section", F.lit(" evaluation"))).alias("task"),
+        "paper_id", "section", rank.alias("scan"), "para_no", "paragraph_id", "page_number",
+        F.coalesce(T.first(t, "(?U)" + TASK), F.concat("section", F.lit(" evaluation"))).alias("task"),
         F.when(F.length("word") <= 4, F.upper("word")).otherwise(F.col("word")).alias("metric"),
         F.when(low.isNotNull(), low).otherwise(0.0).alias("baseline"),
         F.when(low.isNotNull(), high).otherwise(near["v"]).alias("score"),
+        F.substring(F.get(T.sentences(t), F.lit(0)), 1, 200).alias("context"),
     )
     within = F.row_number().over(Window.partitionBy("paper_id", "scan").orderBy("para_no"))
     n = [F.coalesce(F.max(F.when(F.col("scan") == k, F.col("r"))).over(Window.partitionBy("paper_id")), F.lit(0)) for k in range(1, 5)]
@@ -51,62 +57,95 @@ def benchmark_results(paras: DataFrame, most: int = 10) -> DataFrame:
     kept = counted.withColumn("keep", keep).where("r <= keep")
     ord_ = F.row_number().over(Window.partitionBy("paper_id").orderBy("scan", "para_no"))
     better = ~F.lower("metric").isin(LOWER_IS_BETTER)
-    return kept.select("paper_id", ord_.alias("ord"), "task", "metric", "baseline", "score", F.round(F.col("score") - F.col("baseline"), 6).alias("delta"), better.alias("higher_is_better"), "paragraph_id")
+    delta = F.round(F.col("score") - F.col("baseline"), 6)
+    return kept.select("paper_id", ord_.alias("ord"), "task", "metric", "baseline", "score", delta.alias("delta"), better.alias("higher_is_better"), "context", "paragraph_id", "page_number", "section", F.array(T.tag()).alias("sources"))
 
 
 def executive_bullets(papers: DataFrame, paras: DataFrame) -> DataFrame:
-    """paper_id, bullet_no, text: always three, about aim, result and limits."""
-    lead = lead_sentences(paras, 1)
-    wide = papers.select("paper_id").distinct().join(lead.groupBy("paper_id").pivot("section", ["Abstract", "Introduction", "Results", "Discussion", "Limitations", "Future Work"]).agg(F.first("text")), "paper_id", "left")
-    missing = F.lit("Not stated in the paper.")
-    both = F.nullif(F.concat_ws(" ", "Limitations", "Future Work"), F.lit(""))
-    three = [F.coalesce("Abstract", "Introduction", missing), F.coalesce("Results", "Discussion", missing), F.coalesce(both, "Discussion", missing)]
-    return wide.select("paper_id", F.posexplode(F.array(*three)).alias("k", "text")).select("paper_id", (F.col("k") + 1).alias("bullet_no"), "text")
+    """paper_id, bullet_no, text, sources: always three, about aim, result and limits; one that finds
+    nothing says so and has no source."""
+    names = ["Abstract", "Introduction", "Results", "Discussion", "Limitations", "Future Work"]
+    lead = lead_sentences(paras.where(F.col("section").isin(names)), 1).select("paper_id", "section", F.struct("text", "sources").alias("x"))
+    wide = papers.select("paper_id").distinct().join(lead.groupBy("paper_id").pivot("section", names).agg(F.first("x")), "paper_id", "left")
+    none = [F.struct(F.lit(t).alias("text"), no_tags().alias("sources")) for t in NO_TEXT]
+    limits, future = F.col("Limitations"), F.col("Future Work")
+    tags = F.slice(F.concat(F.coalesce(limits["sources"], no_tags()), F.coalesce(future["sources"], no_tags())), 1, 3)
+    both = F.when(limits.isNotNull() | future.isNotNull(), F.struct(F.concat_ws(" ", limits["text"], future["text"]).alias("text"), tags.alias("sources")))
+    three = [F.coalesce("Abstract", "Introduction", none[0]), F.coalesce("Results", "Discussion", none[1]), F.coalesce(both, "Discussion", none[2])]
+    return wide.select("paper_id", F.posexplode(F.array(*three)).alias("k", "b")).select("paper_id", (F.col("k") + 1).alias("bullet_no"), "b.text", "b.sources")
+
+
+def section_summaries(paras: DataFrame) -> DataFrame:
+    """paper_id, ord, section, text, sources: two lead sentences of each canonical section, by
+    priority."""
+    lead = lead_sentences(paras.where(F.col("section").isin(SECTIONS[1:8])), 2)
+    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("section"))
+    return lead.select("paper_id", F.row_number().over(Window.partitionBy("paper_id").orderBy(rank)).alias("ord"), "section", "text", "sources")
+
+
+def tldr(papers: DataFrame, paras: DataFrame) -> DataFrame:
+    """paper_id, tldr, sources: the abstract's first sentence, else the first sentence of the title
+    with a period. papers: paper_id, title."""
+    lead = lead_sentences(paras.where("section = 'Abstract'"), 1).select("paper_id", "text", "sources")
+    title = F.concat(F.coalesce("title", F.lit("Untitled paper.")), F.lit("."))
+    said = F.coalesce("text", title)
+    return papers.join(lead, "paper_id", "left").select("paper_id", F.coalesce(F.get(T.sentences(said), F.lit(0)), said).alias("tldr"), F.coalesce("sources", no_tags()).alias("sources"))
 
 
 def architectures(paras: DataFrame) -> DataFrame:
-    """paper_id, architecture, paragraph_id: the first sentence of the first paragraph, of
+    """paper_id, architecture, paragraph_id, sources: the first sentence of the first paragraph, of
     Methodology and then Abstract, that has a keyword, else of the first one."""
     near = paras.where(F.col("section").isin("Methodology", "Abstract"))
     order = [(~F.lower("text").rlike("|".join(ARCHITECTURE))).cast("int"), (F.col("section") != "Methodology").cast("int"), F.col("para_no")]
     first = near.withColumn("_r", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order))).where("_r = 1")
-    return first.select("paper_id", F.get(T.sentences(F.col("text")), F.lit(0)).alias("architecture"), "paragraph_id")
-
-
-def repair(tags: DataFrame, paras: DataFrame) -> DataFrame:
-    """claims(paper_id, claim_no, paragraph_id, page_number) with tags that exist; a claim left
-    without one is anchored at its paper's first paragraph."""
-    known = paras.select("paper_id", "paragraph_id", "page_number")
-    good = tags.join(known, known.columns, "left_semi")
-    bare = tags.select("paper_id", "claim_no").distinct().join(good, ["paper_id", "claim_no"], "left_anti")
-    anchor = paras.groupBy("paper_id").agg(F.min_by(F.struct("paragraph_id", "page_number"), F.struct("section_ord", "para_no")).alias("a"))
-    return good.select("paper_id", "claim_no", "paragraph_id", "page_number").unionByName(bare.join(anchor, "paper_id").select("paper_id", "claim_no", "a.paragraph_id", "a.page_number"))
-
-
-def audit(tags: DataFrame, paras: DataFrame) -> DataFrame:
-    """paper_id, unknown tags, and whether the paper is clean."""
-    known = paras.select("paper_id", "paragraph_id", "page_number")
-    bad = tags.join(known, known.columns, "left_anti").groupBy("paper_id").agg(F.count("*").alias("n_unknown"))
-    return tags.select("paper_id").distinct().join(bad, "paper_id", "left").select("paper_id", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.col("n_unknown").isNull().alias("clean"))
-
-
-def benchmark_verdicts(sets: DataFrame, results: DataFrame) -> DataFrame:
-    """set_id, task_key, metric_key, n_papers, verdict: the last result of a paper counts."""
-    placed = results.join(sets, "paper_id").withColumns({"task_key": T.key(F.col("task")), "metric_key": T.key(F.col("metric"))})
-    last = placed.groupBy("set_id", "task_key", "metric_key", "paper_id").agg(F.max_by("delta", "ord").alias("delta"))
-    met = last.groupBy("set_id", "task_key", "metric_key").agg(F.count("*").alias("n_papers"), F.max(F.col("delta") > 0).alias("up"), F.max(F.col("delta") < 0).alias("down"))
-    verdict = F.when(F.col("n_papers") < 2, "single-source").when(F.col("up") & F.col("down"), "contradiction").otherwise("consensus")
-    return met.select("set_id", "task_key", "metric_key", "n_papers", verdict.alias("verdict"))
-
-
-def architecture_verdicts(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """set_id, n_values, verdict of the architecture row; 300 characters count."""
-    joined = sets.join(found, "paper_id", "left").groupBy("set_id").agg(F.count("*").alias("n"), F.count_distinct(F.substring("architecture", 1, 300)).alias("n_values"))
-    return joined.select("set_id", "n_values", F.when(F.col("n") == 1, "single-source").when(F.col("n_values") == 0, "n/a").when(F.col("n_values") == 1, "consensus").otherwise("divergent").alias("verdict"))
+    return first.select("paper_id", F.get(T.sentences(F.col("text")), F.lit(0)).alias("architecture"), "paragraph_id", F.array(T.tag()).alias("sources"))
+
+
+def anchors(paras: DataFrame) -> DataFrame:
+    """paper_id, valid (each paragraph's id and page), opening (the first source of each section),
+    first (of the paper). A row holds one paper."""
+    tag, order = T.tag(), F.struct("section_ord", "para_no")
+    each = paras.groupBy("paper_id", "section").agg(F.min_by(tag, order).alias("tag"), F.min(order).alias("at"), F.collect_list(F.struct("paragraph_id", "page_number")).alias("ids"))
+    whole = each.groupBy("paper_id").agg(F.flatten(F.collect_list("ids")).alias("valid"), F.map_from_entries(F.collect_list(F.struct("section", "tag"))).alias("opening"), F.min_by("tag", "at").alias("first"))
+    return whole
+
+
+def repair(claims: DataFrame, paras: DataFrame) -> DataFrame:
+    """The claims with those of their sources that exist. A claim left without one gets the opening
+    paragraph of its ``anchor`` (a section; null for none), else the paper's first one.
+
+    claims: paper_id, anchor, sources, and others. Sources of papers without paragraphs all go."""
+    joined = claims.join(anchors(paras), "paper_id", "left")
+    there = lambda t: F.array_contains(F.col("valid"), F.struct(t["paragraph_id"].alias("paragraph_id"), t["page_number"].alias("page_number")))
+    kept = F.coalesce(F.filter("sources", there), no_tags())
+    other = F.coalesce(F.try_element_at("opening", F.coalesce("anchor", F.lit(""))), F.col("first"))
+    fixed = F.when(F.size(kept) > 0, kept).when(other.isNotNull(), F.array(other)).otherwise(no_tags())
+    return joined.withColumn("sources", fixed).drop("valid", "opening", "first")
+
+
+def audit(claims: DataFrame, tldrs: DataFrame, paras: DataFrame) -> DataFrame:
+    """paper_id, issues, clean: claims without a source, sources that do not exist, other than three
+    executive bullets, an empty summary sentence.
+
+    claims: paper_id, kind (executive, sectional or result), label, sources; tldrs: paper_id, tldr.
+    All papers of tldrs are judged."""
+    joined = claims.join(anchors(paras).select("paper_id", "valid"), "paper_id", "left")
+    valid = F.coalesce("valid", F.array().cast("array<struct<paragraph_id string, page_number int>>"))
+    unknown = F.filter("sources", lambda t: ~F.array_contains(valid, F.struct(t["paragraph_id"].alias("paragraph_id"), t["page_number"].alias("page_number"))))
+    where = F.concat("kind", F.lit("["), "label", F.lit("]: "))
+    said = F.when(F.coalesce(F.size("sources"), F.lit(0)) <= 0, F.array(F.concat(where, F.lit("missing source tags"))))
+    said = said.otherwise(F.transform(unknown, lambda t: F.concat(where, F.lit("unknown tag "), t["paragraph_id"], F.lit("/p."), t["page_number"].cast("string"))))
+    found = joined.groupBy("paper_id").agg(F.flatten(F.collect_list(said)).alias("found"), F.count_if(F.col("kind") == "executive").alias("bullets"))
+    both = tldrs.join(found, "paper_id", "left")
+    three = F.when(F.coalesce("bullets", F.lit(0)) != 3, F.array(F.lit("executive_summary must have exactly 3 bullets"))).otherwise(F.array().cast("array<string>"))
+    empty = F.when(F.trim(F.coalesce("tldr", F.lit(""))) == "", F.array(F.lit("technical_tldr empty"))).otherwise(F.array().cast("array<string>"))
+    issues = F.sort_array(F.concat(F.coalesce("found", F.array().cast("array<string>")), three, empty))
+    return both.select("paper_id", issues.alias("issues"), (F.size(issues) == 0).alias("clean"))
 
 
 def loss_expressions(paras: DataFrame) -> DataFrame:
-    """paper_id, ord, expression, description, paragraph_id of math spans of 4 characters or more.
+    """paper_id, ord, expression, description, paragraph_id, sources of math spans of 4 characters or
+    more.
 
     Of Methodology, Abstract and Introduction, the first section that has any gives those of its
     first paragraph that does; each later one those of its opening paragraph."""
@@ -116,13 +155,20 @@ def loss_expressions(paras: DataFrame) -> DataFrame:
     paper, section = Window.partitionBy("paper_id"), Window.partitionBy("paper_id", "rank")
     read = read.withColumns({"first": F.min(F.when(F.col("has"), F.col("rank"))).over(paper), "yields": F.min(F.when(F.col("has"), F.col("para_no"))).over(section), "opens": F.min("para_no").over(section)})
     picked = read.where("(rank = first and para_no = yields) or (rank > first and para_no = opens)")
-    each = picked.select("paper_id", "rank", "paragraph_id", T.sentences(F.col("text")).alias("s"), F.posexplode("spans").alias("k", "expression"))
+    each = picked.select("paper_id", "rank", "paragraph_id", T.tag().alias("tag"), T.sentences(F.col("text")).alias("s"), F.posexplode("spans").alias("k", "expression"))
     once = each.withColumn("_r", F.row_number().over(Window.partitionBy("paper_id", "expression").orderBy("rank", "k"))).where("_r = 1")
     said = F.coalesce(F.get(F.filter("s", lambda x: F.contains(x, F.substring("expression", 1, 20))), F.lit(0)), F.get("s", F.lit(0)))
-    return once.select("paper_id", F.row_number().over(Window.partitionBy("paper_id").orderBy("rank", "k")).alias("ord"), "expression", F.substring(said, 1, 300).alias("description"), "paragraph_id")
+    return once.select("paper_id", F.row_number().over(Window.partitionBy("paper_id").orderBy("rank", "k")).alias("ord"), "expression", F.substring(said, 1, 300).alias("description"), "paragraph_id", F.array("tag").alias("sources"))
 
 
-PRIORITY = ["Abstract", "Results", "Methodology", "Introduction", "Discussion", "Limitations", "Future Work", "Preamble", "References"]
+def context_heads(papers: DataFrame) -> DataFrame:
+    """paper_id, head: what a context begins with. papers: paper_id, title, authors, year."""
+    head = F.concat(
+        F.lit("TITLE: "), F.coalesce("title", F.lit("")),
+        F.lit("\nAUTHORS: "), F.coalesce(F.array_join("authors", ", "), F.lit("")),
+        F.lit("\nYEAR: "), F.coalesce(F.col("year").cast("string"), F.lit("None")), F.lit("\n\n"),
+    )
+    return papers.select("paper_id", head.alias("head"))
 
 
 def contexts(heads: DataFrame, paras: DataFrame, budget: int = 15000) -> DataFrame:
@@ -145,12 +191,6 @@ def contexts(heads: DataFrame, paras: DataFrame, budget: int = 15000) -> DataFra
     return kept.groupBy("paper_id", "head").agg(text.alias("t")).select("paper_id", F.concat("head", "t").alias("context"))
 
 
-def tldr(papers: DataFrame, paras: DataFrame) -> DataFrame:
-    """paper_id, tldr: the abstract's first sentence, else the title. papers: paper_id, title."""
-    lead = lead_sentences(paras.where("section = 'Abstract'"), 1).select("paper_id", "text")
-    return papers.join(lead, "paper_id", "left").select("paper_id", F.coalesce("text", F.concat("title", F.lit(".")), F.lit("")).alias("tldr"))
-
-
 def badges(tags: DataFrame, shown: int = 4) -> DataFrame:
     """paper_id, claim_no, badges (``pid · p.N`` of the first tags), more (how many others)."""
     each = F.sort_array(F.collect_list(F.struct(F.length("paragraph_id").alias("l"), "paragraph_id", "page_number")))
@@ -159,41 +199,31 @@ def badges(tags: DataFrame, shown: int = 4) -> DataFrame:
     return made.select("paper_id", "claim_no", F.array_join(one, ", ").alias("badges"), F.greatest(F.size("t") - shown, F.lit(0)).alias("more"))
 
 
-def wide_matrix(sets: DataFrame, values: DataFrame, papers: list[str]) -> DataFrame:
-    """One column a paper of one set: name and each paper's value, a dash where there is none."""
-    wide = values.join(sets, "paper_id").groupBy("name").pivot("paper_id", papers).agg(F.first("value"))
-    return wide.select("name", *(F.coalesce(F.col(f"`{p}`"), F.lit("—")).alias(p) for p in papers))
-
-
-def section_summaries(paras: DataFrame) -> DataFrame:
-    """paper_id, ord, section, text: two lead sentences of each canonical section, by priority."""
-    lead = lead_sentences(paras.where(F.col("section").isin(SECTIONS[1:8])), 2)
-    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("section"))
-    return lead.select("paper_id", F.row_number().over(Window.partitionBy("paper_id").orderBy(rank)).alias("ord"), "section", "text")
+@F.pandas_udf(StringType())
+def signed(delta: pd.Series) -> pd.Series:
+    """A number with its sign and four digits; no built-in function drops its trailing zeros."""
+    return delta.map("{:+.4g}".format)
 
 
 @F.pandas_udf(StringType())
 def cell_text(baseline: pd.Series, score: pd.Series, delta: pd.Series, metric: pd.Series) -> pd.Series:
-    return pd.Series([f"{b:g} → {s:g} (Δ{d:+.4g} {m})" for b, s, d, m in zip(baseline, score, delta, metric)])
-
-
-def benchmark_findings(sets: DataFrame, results: DataFrame) -> DataFrame:
-    """set_id, task_key, metric_key, paper_ids of groups that two papers or more report."""
-    placed = results.join(sets, "paper_id").select("set_id", "paper_id", T.key(F.col("task")).alias("task_key"), T.key(F.col("metric")).alias("metric_key"))
-    met = placed.groupBy("set_id", "task_key", "metric_key").agg(F.sort_array(F.collect_set("paper_id")).alias("p")).where(F.size("p") >= 2)
-    return met.select("set_id", "task_key", "metric_key", F.array_join("p", ",").alias("paper_ids"))
+    rows = pd.DataFrame({"b": baseline, "s": score, "d": delta, "m": metric})
+    return rows["b"].map("{:g}".format) + " → " + rows["s"].map("{:g}".format) + " (Δ" + rows["d"].map("{:+.4g}".format) + " " + rows["m"] + ")"
 
 
-def cross_cutting(capped: DataFrame, most: int = 10, chars: int = 120) -> DataFrame:
-    """set_id, theme, category, paper_ids, text: themes that two papers or more name, the first
-    seen first; the category of the first item and each paper's first statement.
+def cross_cutting(capped: DataFrame, most: int = 10, chars: int = 120, tags: int = 8) -> DataFrame:
+    """set_id, ord, theme, category, paper_ids, statement, sources: themes that two papers or more
+    name, the first seen first; the category of the first item, each paper's first statement, and
+    the sources of the first items.
 
-    capped: set_id, category, ord, paper_id, statement."""
+    capped: set_id, category, ord, paper_id, statement, sources."""
     place = F.array_position(F.array(*map(F.lit, ["failure_modes", "dataset_shortfalls", "methodological_blinds"])), F.col("category")) * 100 + F.col("ord")
     found = F.filter(F.array(*map(F.lit, THEMES)), lambda t: F.contains(F.lower(F.col("statement")), t))
-    tagged = capped.select("set_id", "paper_id", "category", "statement", place.alias("at"), F.explode(found).alias("theme"))
-    paper = tagged.groupBy("set_id", "theme", "paper_id").agg(F.min(F.struct("at", "category", "statement")).alias("f"))
-    met = paper.groupBy("set_id", "theme").agg(F.sort_array(F.collect_list("f")).alias("f"), F.sort_array(F.collect_list("paper_id")).alias("p")).where(F.size("p") >= 2)
-    kept = met.withColumn("first", F.get("f", F.lit(0))).withColumn("r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.col("first.at"), F.array_position(F.array(*map(F.lit, THEMES)), F.col("theme"))))).where(F.col("r") <= most)
-    text = F.array_join(F.transform("f", lambda x: F.substring(x["statement"], 1, chars)), " | ")
-    return kept.select("set_id", "theme", F.col("first.category").alias("category"), F.array_join("p", ",").alias("paper_ids"), text.alias("text"))
+    tagged = capped.select("set_id", "paper_id", "category", "statement", "sources", place.alias("at"), F.explode(found).alias("theme"))
+    paper = tagged.groupBy("set_id", "theme", "paper_id").agg(F.min(F.struct("at", "category", "statement")).alias("f"), F.collect_list(F.struct("at", "sources")).alias("s"))
+    met = paper.groupBy("set_id", "theme").agg(F.sort_array(F.collect_list("f")).alias("f"), F.sort_array(F.collect_list("paper_id")).alias("paper_ids"), F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
+    order = Window.partitionBy("set_id").orderBy(F.get("f", F.lit(0))["at"], F.array_position(F.array(*map(F.lit, THEMES)), F.col("theme")))
+    kept = met.where(F.size("paper_ids") >= 2).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most)
+    said = F.array_join(F.transform("f", lambda x: F.substring(x["statement"], 1, chars)), "; ")
+    statement = F.concat(F.lit("Recurring theme: '"), "theme", F.lit("'. "), F.size("paper_ids").cast("string"), F.lit(" papers: "), said)
+    return kept.select("set_id", "ord", "theme", F.get("f", F.lit(0))["category"].alias("category"), "paper_ids", statement.alias("statement"), F.slice(F.flatten(F.transform("s", lambda x: x["sources"])), 1, tags).alias("sources"))

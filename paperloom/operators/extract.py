@@ -1,4 +1,10 @@
-"""Claims from paragraphs by rule; every claim carries its paragraph and page."""
+"""Claims from paragraphs by rule; every claim carries its sources (paragraph, page, section).
+
+Defined results, here and in ``claims``: paragraphs come from segmentation, so their texts are
+never null or blank; a paper without a paragraph has no claim, unless a function says so; ties
+go by the order of sections and paragraphs; repeated paragraphs are read each; an empty table
+gives no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -8,52 +14,67 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import DATASETS, GAPS, HARDWARE, HYPERPARAMETERS, THEMES
+from ..functions.constants import DATASET_SHAPE, DATASETS, GAPS, HARDWARE, HYPERPARAMETERS, THEMES
+
+HELD = ["paper_id", "section_ord", "section", "para_no", "paragraph_id", "page_number"]
 
 
 def _first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def _numbered(df: DataFrame, order: list) -> DataFrame:
+    return df.withColumn("ord", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)))
+
+
 def hyperparameters(paras: DataFrame) -> DataFrame:
-    """paper_id, name, value, paragraph_id, page_number: the first match of each name."""
+    """paper_id, ord, name, value, paragraph_id, page_number, sources: the first match of each
+    name, in the order in which they are met."""
     found = [F.struct(F.lit(n).alias("name"), F.lit(i).alias("pattern"), T.first(F.col("text"), p).alias("value")) for i, (n, p) in enumerate(HYPERPARAMETERS.items())]
-    hits = paras.select("paper_id", "section_ord", "para_no", "paragraph_id", "page_number", F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("h"))
-    hits = hits.select("*", "h.name", "h.value").drop("h")
+    hits = paras.select(*HELD, F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("h")).select(*HELD, "h.*")
     value = F.regexp_replace(T.strip(F.col("value")), r"[.,;]+$", "")
-    return _first_by(hits, ["paper_id", "name"], ["section_ord", "para_no"]).select("paper_id", "name", value.alias("value"), "paragraph_id", "page_number")
+    first = _first_by(hits, ["paper_id", "name"], ["section_ord", "para_no"])
+    return _numbered(first, ["section_ord", "para_no", "pattern"]).select("paper_id", "ord", "name", value.alias("value"), "paragraph_id", "page_number", F.array(T.tag()).alias("sources"))
 
 
 def datasets(paras: DataFrame) -> DataFrame:
-    """paper_id, name, details, paragraph_id: known names, then names by pattern; first mention."""
-    known = F.filter(F.array(*(F.when(F.col("text").rlike(rf"\b{n}\b"), F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"))) for i, n in enumerate(DATASETS))), lambda x: x.isNotNull())
-    shaped = F.transform(F.regexp_extract_all("text", F.lit(r"\b([A-Z][A-Za-z]+\d+)\s+(?:dataset|corpus|benchmark)"), F.lit(1)), lambda x, i: F.struct((i + 100).alias("ord"), x.alias("name")))
-    hits = paras.select("paper_id", "section_ord", "para_no", "paragraph_id", F.substring(F.get(T.sentences(F.col("text")), F.lit(0)), 1, 300).alias("details"), F.explode(F.concat(known, shaped)).alias("d"))
-    hits = hits.select("*", "d.name", "d.ord", F.lower("d.name").alias("low")).drop("d")
-    return _first_by(hits, ["paper_id", "low"], ["section_ord", "para_no", "ord"]).select("paper_id", "name", "details", "paragraph_id")
+    """paper_id, ord, name, details, paragraph_id, sources: known names, then names by shape; the
+    first mention, whose details are the paragraph's first sentence, after the mention if by shape."""
+    known = F.filter(F.array(*(F.when(F.col("text").rlike(rf"\b{n}\b"), F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit("").alias("said"))) for i, n in enumerate(DATASETS))), lambda x: x.isNotNull())
+    shape = F.lit("(?U)" + DATASET_SHAPE)
+    said, names = F.regexp_extract_all("text", shape, F.lit(0)), F.regexp_extract_all("text", shape, F.lit(1))
+    shaped = F.transform(F.arrays_zip(said.alias("s"), names.alias("n")), lambda x, i: F.struct((i + 100).alias("place"), x["n"].alias("name"), x["s"].alias("said")))
+    lead = F.get(T.sentences(F.col("text")), F.lit(0))
+    hits = paras.select(*HELD, lead.alias("lead"), F.explode(F.concat(known, shaped)).alias("d")).select(*HELD, "lead", "d.*").withColumn("low", F.lower("name"))
+    details = F.when(F.col("said") == "", F.substring("lead", 1, 300)).otherwise(F.concat("said", F.lit(": "), F.substring("lead", 1, 200)))
+    first = _first_by(hits, ["paper_id", "low"], ["section_ord", "para_no", "place"])
+    return _numbered(first, ["section_ord", "para_no", "place"]).select("paper_id", "ord", "name", details.alias("details"), "paragraph_id", F.array(T.tag()).alias("sources"))
 
 
 def hardware(paras: DataFrame) -> DataFrame:
+    """paper_id, hardware, paragraph_id, page_number, sources of the first mention."""
     hits = paras.withColumn("hardware", T.first(F.col("text"), HARDWARE)).where("hardware is not null")
-    return _first_by(hits, ["paper_id"], ["section_ord", "para_no"]).select("paper_id", "hardware", "paragraph_id", "page_number")
+    return _first_by(hits, ["paper_id"], ["section_ord", "para_no"]).select("paper_id", "hardware", "paragraph_id", "page_number", F.array(T.tag()).alias("sources"))
 
 
-def lead_sentences(paras: DataFrame, n: int = 2, most: int = 600) -> DataFrame:
-    """paper_id, section, text: the first n sentences of each section, no paragraph being opened
-    once the text is longer than ``most``."""
-    s = paras.select("paper_id", "section_ord", "section", "para_no", F.posexplode(T.sentences(F.col("text"))).alias("k", "s"))
+def lead_sentences(paras: DataFrame, n: int = 2, most: int = 600, tags: int = 3) -> DataFrame:
+    """paper_id, section, text, sources: the first n sentences of each section, no paragraph being
+    opened once the text is longer than ``most``; sources are the first paragraphs read."""
+    s = paras.select(*HELD, F.posexplode(T.sentences(F.col("text"))).alias("k", "s"))
     upto = Window.partitionBy("paper_id", "section").orderBy("para_no", "k")
     s = s.withColumn("r", F.row_number().over(upto)).where(F.col("r") <= n)
     before = F.sum(F.length("s") + 1).over(Window.partitionBy("paper_id", "section").orderBy("para_no").rangeBetween(Window.unboundedPreceding, -1))
     kept = s.withColumn("before", F.coalesce(before, F.lit(0)) - 1).where(F.col("before") <= most)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]), " ")
-    return kept.groupBy("paper_id", "section_ord", "section").agg(text.alias("text"))
+    read = F.sort_array(F.collect_list(F.struct("r", "s", T.tag().alias("tag"))))
+    made = kept.groupBy("paper_id", "section_ord", "section").agg(read.alias("read"))
+    text = F.array_join(F.transform("read", lambda x: x["s"]), " ")
+    return made.select("paper_id", "section_ord", "section", text.alias("text"), F.slice(F.array_distinct(F.transform("read", lambda x: x["tag"])), 1, tags).alias("sources"))
 
 
 def gap_sentences(paras: DataFrame, least: int = 20) -> DataFrame:
-    """paper_id, section_ord, para_no, sent_no, paragraph_id, statement, category."""
+    """paper_id, section_ord, para_no, sent_no, paragraph_id, statement, category, tag."""
     cut = paras.where(F.col("section").isin("Discussion", "Limitations", "Future Work"))
-    cut = cut.select("paper_id", "section_ord", "para_no", "paragraph_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "statement")).where(F.length("statement") >= least)
+    cut = cut.select("paper_id", "section_ord", "para_no", "paragraph_id", T.tag().alias("tag"), F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "statement")).where(F.length("statement") >= least)
     score = {c: reduce(lambda a, b: a + b, (F.col("statement").rlike("(?i)" + p).cast("int") for p in ps)) for c, ps in GAPS.items()}
     top = F.greatest(*(F.col(c) for c in GAPS))
     scored = cut.withColumns(score).withColumn("_top", top)
@@ -64,12 +85,12 @@ def gap_sentences(paras: DataFrame, least: int = 20) -> DataFrame:
 
 
 def gaps(sets: DataFrame, found: DataFrame, most: int = 12) -> DataFrame:
-    """set_id, category, ord, paper_id, statement: the first paper's statement stays, ``most`` a
-    category. sets: set_id, paper_ord, paper_id."""
+    """set_id, category, ord, paper_ord, paper_id, statement, sources: the first paper's statement
+    stays, ``most`` a category. sets: set_id, paper_ord, paper_id."""
     placed = found.join(sets, "paper_id").withColumn("low", F.lower("statement"))
     order = ["paper_ord", "section_ord", "para_no", "sent_no"]
     once = _first_by(placed, ["set_id", "low"], order)
-    return once.withColumn("ord", F.row_number().over(Window.partitionBy("set_id", "category").orderBy(*order))).where(F.col("ord") <= most).select("set_id", "category", "ord", "paper_ord", "paper_id", "statement")
+    return once.withColumn("ord", F.row_number().over(Window.partitionBy("set_id", "category").orderBy(*order))).where(F.col("ord") <= most).select("set_id", "category", "ord", "paper_ord", "paper_id", "statement", F.array("tag").alias("sources"))
 
 
 def themes(capped: DataFrame) -> DataFrame:
@@ -78,7 +99,9 @@ def themes(capped: DataFrame) -> DataFrame:
     return tagged.groupBy("set_id", "theme").agg(F.count_distinct("paper_id").alias("n_papers"), F.count("*").alias("n_items")).where("n_papers >= 2")
 
 
-def hyperparameter_verdicts(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """set_id, name, n_papers, n_values, verdict."""
-    per = found.join(sets, "paper_id").groupBy("set_id", "name").agg(F.count_distinct("paper_id").alias("n_papers"), F.count_distinct("value").alias("n_values"))
-    return per.withColumn("verdict", F.when(F.col("n_papers") <= 1, "single-source").when(F.col("n_values") == 1, "consensus").otherwise("divergent"))
+def gap_counts(capped: DataFrame, crossing: DataFrame) -> DataFrame:
+    """set_id, category, n, papers (how many each item has, in order) of the three categories and of
+    ``cross_cutting``, whose rows are set_id, ord, paper_ids."""
+    items = capped.select("set_id", "category", "ord", F.lit(1).alias("k")).unionByName(crossing.select("set_id", F.lit("cross_cutting").alias("category"), "ord", F.size("paper_ids").alias("k")))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("ord", "k"))), lambda x: x["k"].cast("string"))
+    return items.groupBy("set_id", "category").agg(F.count("*").alias("n"), F.array_join(each, ",").alias("papers"))

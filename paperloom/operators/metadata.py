@@ -1,4 +1,9 @@
-"""Titles, authors, abstracts, and their completion from a catalogue."""
+"""Titles, authors, years, abstracts, counts, and their completion from a catalogue.
+
+Defined results: null page text is an empty page; a paper without a name, year or identifier has
+null or an empty list; repeated pages are read each; ties go by line, then text; an empty table
+gives no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..functions.constants import ARXIV, DOI, YEAR
 from .segment import lines
 
 # Lines that are affiliations, and parts that are no names.
@@ -25,16 +31,38 @@ def titles_by_font(spans: DataFrame) -> DataFrame:
     return near.groupBy("paper_id").agg(F.max_by("text", F.struct(F.col("size"), -F.col("span_no"))).alias("title"))
 
 
-def titles(pages: DataFrame) -> DataFrame:
-    """paper_id, title: the first line of page 1 with 15 characters, else the file's name."""
+def titles(pages: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """paper_id, title: the largest text of ``spans`` where they are given, else the first line of
+    page 1 with 15 characters, else the file's name."""
     first = lines(pages).where("page_number = 1 and length(line) >= 15").groupBy("paper_id").agg(F.min_by("line", "line_no").alias("line"))
     stem = F.replace(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit("_"), F.lit(" "))
-    names = pages.groupBy("paper_id").agg(F.min("filename").alias("filename"))
-    return names.join(first, "paper_id", "left").select("paper_id", F.coalesce("line", stem).alias("title"))
+    named = pages.groupBy("paper_id").agg(F.min("filename").alias("filename")).join(first, "paper_id", "left")
+    if spans is None:
+        return named.select("paper_id", F.coalesce("line", stem).alias("title"))
+    return named.join(titles_by_font(spans), "paper_id", "left").select("paper_id", F.coalesce("title", "line", stem).alias("title"))
+
+
+def years_dois(pages: DataFrame) -> DataFrame:
+    """paper_id, year, doi of the first two pages: the year of a preprint stamp, else the latest
+    from 1990 on that these pages or the file's name have."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
+    head = pages.where("page_number <= 2").groupBy("paper_id").agg(F.min("filename").alias("filename"), text.alias("t"))
+    stamp = T.first(F.col("t"), "(?i)" + ARXIV)
+    yy = F.substring(stamp, 1, 2).cast("int")
+    years = F.filter(F.transform(F.regexp_extract_all(F.concat("t", F.lit("\n"), "filename"), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")), lambda y: y.between(1990, 2100))
+    year = F.when(stamp.isNotNull(), yy + F.when(yy < 50, 2000).otherwise(1900)).otherwise(F.array_max(years))
+    return head.select("paper_id", year.alias("year"), T.first(F.col("t"), "(?i)" + DOI).alias("doi"))
+
+
+def counts(pages: DataFrame, paras: DataFrame) -> DataFrame:
+    """paper_id, filename, page_count, paragraph_count."""
+    n = pages.groupBy("paper_id").agg(F.min("filename").alias("filename"), F.count("*").alias("page_count"))
+    return n.join(paras.groupBy("paper_id").agg(F.count("*").alias("paragraph_count")), "paper_id", "left").withColumn("paragraph_count", F.coalesce("paragraph_count", F.lit(0)))
 
 
 def authors(pages: DataFrame, most: int = 20) -> DataFrame:
-    """paper_id, authors: names of the first line after the title, within four, that has any."""
+    """paper_id, authors: names of the first line after the title, within four, that has any; an empty
+    list where none has."""
     named = titles(pages).select("paper_id", F.lower(F.substring("title", 1, 25)).alias("head"))
     page = lines(pages).where("page_number = 1 and line <> ''")
     page = page.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("line_no")))
@@ -47,7 +75,7 @@ def authors(pages: DataFrame, most: int = 20) -> DataFrame:
     near = near.where(~F.col("line").rlike(AFFILIATION)).where((F.col("line").rlike(r"(?i),|\band\b") | words.between(2, 4)) & (F.length("line") < 200) & ~F.col("line").rlike(r"\d"))
     name = F.filter(F.transform(F.split("line", r",|\band\b|;|·|\|"), T.strip), lambda x: F.size(F.split(x, r"\s+")).between(1, 4) & (F.length(x) >= 3) & ~x.rlike(NO_NAME))
     found = near.withColumn("names", name).where("size(names) > 0").groupBy("paper_id").agg(F.min_by("names", "n").alias("names"))
-    return found.select("paper_id", F.slice("names", 1, most).alias("authors"))
+    return named.join(found, "paper_id", "left").select("paper_id", F.coalesce(F.slice("names", 1, most), F.array().cast("array<string>")).alias("authors"))
 
 
 def abstracts(paras: DataFrame, most: int = 2000) -> DataFrame:
@@ -56,9 +84,16 @@ def abstracts(paras: DataFrame, most: int = 2000) -> DataFrame:
 
 
 @F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How alike two strings are, by matching blocks."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    told = {p: SequenceMatcher(None, *p).ratio() for p in set(zip(a, b))}
+    return pd.Series([told[p] for p in zip(a, b)])
+
+
+def ratio(a, b, least: float):
+    """How alike two strings are, by matching blocks: 1 if equal, 0 if their lengths alone tell that
+    they are not ``least`` alike; only the others are compared."""
+    m, n = F.length(a), F.length(b)
+    return F.when(a == b, 1.0).when(2 * F.least(m, n) < least * (m + n), 0.0).otherwise(_ratio(a, b))
 
 
 def hint_headings(page_lines: DataFrame, hints: DataFrame, least: float = 0.92) -> DataFrame:
@@ -67,27 +102,50 @@ def hint_headings(page_lines: DataFrame, hints: DataFrame, least: float = 0.92)
     known = hints.select("paper_id", F.lower(T.strip(F.col("hint_text"))).alias("hint")).withColumn("heading", T.heading(F.col("hint"))).where("heading is not null").distinct()
     a, b = F.length("low"), F.length("hint")
     pairs = page_lines.withColumn("low", F.lower("line")).join(known, "paper_id").where(2 * F.least(a, b) > least * (a + b))
-    alike = pairs.where((F.col("low") == F.col("hint")) | (ratio("low", "hint") > least))
+    # each distinct pair of texts is compared once
+    distinct = pairs.select("low", "hint").distinct().where(ratio(F.col("low"), F.col("hint"), least) > least)
     from .segment import section_ord
 
-    return alike.groupBy("paper_id", "page_number", "line_no").agg(F.min_by("heading", section_ord(F.col("heading"))).alias("heading"))
+    return pairs.join(distinct, ["low", "hint"]).groupBy("paper_id", "page_number", "line_no").agg(F.min_by("heading", section_ord(F.col("heading"))).alias("heading"))
+
 
+HEAD, BLOCK = 40, 12
 
-def enrich(papers: DataFrame, catalog: DataFrame, least: float = 0.6) -> DataFrame:
+
+def enrich(papers: DataFrame, catalog: DataFrame, least: float = 0.6, source: str = "catalog") -> DataFrame:
     """papers(paper_id, title, authors, year, abstract, venue, doi, url) completed from
-    catalog(title, authors, year, abstract, venue, doi, url).
+    catalog(ord, title, authors, year, abstract, venue, doi, url).
 
-    Candidates share the title's key or its first 40 characters: two equality joins. The best
-    by exact key, then by catalogue order, is adopted if its title is alike enough."""
+    The candidate is the first entry, by ``ord``, whose key is that of the title, or begins with its
+    first 40 characters, or the other way round; else the first that shares the first 12. It is
+    adopted if the keys are alike enough. First entries are found for each distinct key and prefix
+    before they are joined, so titles that many share make no pairs. Empty values count as missing;
+    papers without a title stay as they are."""
     fields = ["authors", "year", "abstract", "venue", "doi", "url"]
-    keyed = papers.withColumn("_k", T.key(F.col("title")))
-    c = catalog.select(T.key(F.col("title")).alias("_ck"), F.struct("title", *fields).alias("c")).where("_ck <> ''")
-    head = keyed.where("_k <> ''").select("paper_id", F.col("title").alias("_t"), "_k")
-    exact = head.join(c, F.col("_k") == F.col("_ck")).withColumn("_same", F.lit(0))
-    prefix = head.join(c, (F.substring("_k", 1, 40) == F.substring("_ck", 1, 40)) & (F.col("_k") != F.col("_ck"))).withColumn("_same", F.lit(1))
-    best = exact.unionByName(prefix).groupBy("paper_id").agg(F.min_by(F.struct("_t", "c"), F.struct("_same", F.col("c.title"))).alias("b"))
-    taken = best.select("paper_id", F.col("b.c").alias("c"), ratio(T.key(F.col("b._t")), T.key(F.col("b.c.title"))).alias("_r")).where(F.col("_r") >= least)
+    none = lambda c, kind: F.col(c) if kind.startswith("array") or kind in ("int", "bigint") else F.nullif(F.trim(c), F.lit(""))
+    kinds = dict(catalog.dtypes)
+    entries = catalog.select("ord", T.key(F.col("title")).alias("ck"), F.struct(F.col("title"), *(none(f, kinds[f]).alias(f) for f in fields)).alias("c")).where("ck <> ''")
+    keyed = papers.select("paper_id", T.key(F.coalesce("title", F.lit(""))).alias("k")).where("k <> ''")
+
+    firsts = entries.groupBy("ck").agg(F.min("ord").alias("ord"))
+    starts = firsts.select("ord", "ck", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("ck")))).alias("n"))
+    starts = starts.groupBy(F.expr("substring(ck, 1, n)").alias("p")).agg(F.min("ord").alias("ord"))
+    # a title's first 40 characters, if so many, are those of an entry; a shorter one begins one
+    longer = keyed.join(starts, F.substring("k", 1, HEAD) == F.col("p")).select("paper_id", "ord")
+    own = keyed.select("paper_id", "k", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("k")))).alias("n")).select("paper_id", F.expr("substring(k, 1, n)").alias("ck"))
+    shorter = own.join(firsts.where(F.length("ck") < HEAD), "ck").select("paper_id", "ord")
+    alike = longer.unionByName(shorter).groupBy("paper_id").agg(F.min("ord").alias("ord"))
+    blocks = firsts.groupBy(F.substring("ck", 1, BLOCK).alias("p")).agg(F.min("ord").alias("top"))
+    chosen = keyed.join(alike, "paper_id", "left").join(blocks, F.substring("k", 1, BLOCK) == F.col("p"), "left").select("paper_id", "k", F.coalesce("ord", "top").alias("ord")).where("ord is not null")
+    taken = chosen.join(entries, "ord").where(ratio(F.col("k"), F.col("ck"), least) >= least).select("paper_id", "c")
+
     out = papers.join(taken, "paper_id", "left")
     few = F.coalesce(F.size("authors"), F.lit(0)) <= 1
-    filled = {f: F.coalesce(f, F.col(f"c.{f}")) for f in fields[1:]} | {"authors": F.when(few & F.col("c.authors").isNotNull(), F.col("c.authors")).otherwise(F.col("authors")), "title": F.coalesce("c.title", "title"), "enrichment_source": F.when(F.col("c").isNotNull(), "catalog").otherwise("heuristic")}
-    return out.withColumns(filled).drop("c", "_r")
+    given = F.col("c.authors").isNotNull() & (F.size("c.authors") > 0)
+    own_kinds = dict(papers.dtypes)
+    filled = {f: F.coalesce(none(f, own_kinds[f]), F.col(f"c.{f}")) for f in fields[1:]} | {
+        "authors": F.when(few & given, F.slice("c.authors", 1, 20)).otherwise(F.col("authors")),
+        "title": F.coalesce("c.title", "title"),
+        "enrichment_source": F.when(F.col("c").isNotNull(), source).otherwise("heuristic"),
+    }
+    return out.withColumns(filled).drop("c")

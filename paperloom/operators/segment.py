@@ -1,4 +1,9 @@
-"""Pages to lines, headings, paragraphs and sections. Everything is keyed by paper_id."""
+"""Pages to lines, headings, paragraphs and sections. Everything is keyed by paper_id.
+
+Defined results: null page text is an empty page; papers without text have no paragraph, but all
+canonical sections; pages that share a number are read line by line in turn; repeated rows are
+read each; an empty table gives no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +21,19 @@ def lines(pages: DataFrame) -> DataFrame:
     return pages.select("paper_id", "page_number", F.posexplode(cut).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
 
 
-def marked_lines(pages: DataFrame) -> DataFrame:
-    """Lines with the heading they are or begin with, and the content they hold."""
-    own = T.heading(F.col("line"))
+def marked_lines(pages: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """Lines with the heading they are or begin with, and the content they hold. A line that nearly
+    equals a heading among its paper's ``hints`` (see metadata.hint_headings) is a heading, before
+    it is looked at for one that it begins with."""
+    found = lines(pages).withColumn("own", T.heading(F.col("line")))
+    if hints is not None:
+        from .metadata import hint_headings
+
+        near = hint_headings(found.where("own is null and line <> ''"), hints).withColumnRenamed("heading", "hinted")
+        found = found.join(near, ["paper_id", "page_number", "line_no"], "left").withColumn("own", F.coalesce("own", "hinted")).drop("hinted")
     begun, rest = T.run_on(F.col("line"))
     body = F.when(F.col("own").isNotNull() | (F.col("line") == ""), None).when(F.col("begun").isNotNull(), T.strip(F.col("rest"))).otherwise(F.col("line"))
-    marked = lines(pages).withColumns({"own": own, "begun": begun, "rest": rest})
+    marked = found.withColumns({"begun": begun, "rest": rest})
     return marked.select("paper_id", "page_number", "line_no", "line", F.coalesce("own", "begun").alias("heading"), body.alias("body"))
 
 
@@ -29,7 +41,7 @@ def section_ord(section):
     return (F.array_position(F.array(*map(F.lit, SECTIONS)), section) - 1).cast("int")
 
 
-def paragraphs(pages: DataFrame) -> DataFrame:
+def paragraphs(pages: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """paper_id, section_ord, section, para_no, paragraph_id, page_number, text.
 
     One exchange, of whole pages by paper: lines, windows and grouping share its partitioning,
@@ -38,7 +50,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     order = Window.partitionBy("paper_id").orderBy("page_number", "line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     breaks = (F.col("heading").isNotNull() | (F.col("line") == "")).cast("int")
-    placed = marked_lines(pages).select(
+    placed = marked_lines(pages, hints).select(
         "paper_id", "page_number", "line_no", "body",
         F.sum(breaks).over(so_far).alias("grp"),
         F.last("heading", ignorenulls=True).over(so_far).alias("section"),

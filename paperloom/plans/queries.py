@@ -1,4 +1,4 @@
-"""Registered queries over the paper corpus and their SQL for another engine."""
+"""Registered queries over the paper corpus; ``oracle`` has their SQL for another engine."""
 
 from __future__ import annotations
 
@@ -6,16 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import ALIASES, ARCHITECTURE, DATASETS, GAPS, HARDWARE, HYPERPARAMETERS, LOWER_IS_BETTER, MATH, METRICS, SECTIONS, THEMES
-from ..operators import chunk, claims, dense, extract, matrix, metadata, nested, search, segment
+from ..operators import chunk, claims, dense, extract, maintenance, matrix, metadata, nested, search, segment
 from ..sources import intake
-from ..sources.corpus import PAGE_TEXT_SQL, page_text
+from ..sources.corpus import page_text
+from ..sources.staged import staged
+from .oracle import ORACLE_SQL, PARTS
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _none(kind: str):
+    return F.lit(None).cast(kind)
+
+
+def _doc(c: str = "paper_id"):
+    return F.substring(c, 2, 20).cast("long")
+
+
+def _said(df: DataFrame) -> DataFrame:
+    """The rows with their sources as text."""
+    return df.withColumn("sources", T.tag_text(F.col("sources")))
+
+
 def pages(spark, sf_dir) -> DataFrame:
     return page_text(_table(spark, sf_dir, "documents"))
 
@@ -29,223 +45,262 @@ def sets(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("set_id"), (F.col("doc_id") % 10).alias("paper_ord"), F.expr("concat('d', doc_id)").alias("paper_id"))
 
 
-def a2_page_text(spark, sf_dir):
-    return pages(spark, sf_dir)
+def _toxic(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "labels").where("toxic = 1").select(F.expr("concat('d', doc_id)").alias("paper_id")).distinct()
 
 
-def b1_lines(spark, sf_dir):
-    found = segment.lines(pages(spark, sf_dir))
-    return found.groupBy("paper_id", "page_number").agg(F.count("*").alias("n_lines"), F.sum((F.col("line") == "").cast("int")).alias("n_blank"), F.sum(F.length("line")).alias("n_chars"))
+# sources and maintenance
 
 
-def b2_b3_headings(spark, sf_dir):
-    return segment.marked_lines(pages(spark, sf_dir)).where("heading is not null").select("paper_id", "page_number", "line_no", "heading", F.coalesce("body", F.lit("")).alias("rest"))
+def a1_intake(spark, sf_dir):
+    """Files made of documents: some misnamed, too large, empty, of another kind, without pages or
+    without text."""
+    docs = _table(spark, sf_dir, "documents")
+    path = "concat('d', doc_id, case when doc_id % 9 = 4 then '.txt' when doc_id % 9 = 5 then '.PDF' else '.pdf' end) as path"
+    files = docs.selectExpr(
+        path,
+        "case when doc_id % 10 = 7 then 'text/html' when doc_id % 2 = 0 then 'application/pdf' else '' end as content_type",
+        "cast(case when doc_id % 7 = 0 then 0 when doc_id % 7 = 1 then 52428800 + n_chars else n_chars end as long) as length",
+        "cast(case when doc_id % 5 = 0 then coalesce(substr(text, 1, 8), '') else '%PDF-1.4' end as binary) as content",
+    )
+    read = docs.where("doc_id % 11 <> 3").selectExpr(path, "case when doc_id % 11 = 5 then ' ' else concat('a ', text) end as text")
+    return intake.judged(files, read)
 
 
-def b5_b8_paragraphs(spark, sf_dir):
-    return paragraphs(spark, sf_dir)
+def a2_page_text(spark, sf_dir):
+    return pages(spark, sf_dir)
 
 
-def b9_sections(spark, sf_dir):
+def a3_nested_papers(spark, sf_dir):
+    """Papers nested, written to files, read back and laid flat."""
     docs = pages(spark, sf_dir)
-    return segment.sections(docs.select("paper_id").distinct(), segment.paragraphs(docs))
+    made = nested.papers(metadata.titles(docs), segment.paragraphs(docs))
+    return nested.flat(staged(made, "nested-papers"))
 
 
-def b10_flat_numbers(spark, sf_dir):
-    return segment.flat_numbers(paragraphs(spark, sf_dir))
+def a4_upsert(spark, sf_dir):
+    """Pages as chunks; page 2 of toxic papers comes again in two versions."""
+    stored, new = _arriving(spark, sf_dir)
+    return maintenance.upsert(stored, new, version="version").select("chunk_id", "paper_id", F.md5("text").alias("digest"))
 
 
-def b11_math(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.latex(F.concat(F.coalesce("text", F.lit("")), F.lit("  λ·x ≤ Σ\ty "))).alias("latex"))
+def a4_upsert_counts(spark, sf_dir):
+    """How many chunks that upsert writes for each paper."""
+    return maintenance.counts(_arriving(spark, sf_dir)[1])
 
 
-def b12_math_spans(spark, sf_dir):
-    spans = paragraphs(spark, sf_dir).select("paper_id", "paragraph_id", F.posexplode(T.math_spans(F.col("text"))).alias("span_no", "span"))
-    return spans.withColumn("block", F.col("span").startswith("$$") | F.col("span").startswith("\\["))
+def _arriving(spark, sf_dir):
+    stored = pages(spark, sf_dir).withColumn("chunk_id", F.concat("paper_id", F.lit(":"), "page_number"))
+    again = stored.join(_toxic(spark, sf_dir), "paper_id", "left_semi").where("page_number >= 2")
+    version = F.explode(F.array(F.lit(2), F.lit(1))).alias("version")
+    return stored, again.select("*", version).withColumn("text", F.when(F.col("version") == 2, F.upper("text")).otherwise(F.lower("text")))
 
 
-def b13_tokens(spark, sf_dir):
-    t = T.tokens(F.coalesce("text", F.lit("")))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+def a5_delete_papers(spark, sf_dir):
+    """What is left and what went when every paper that a label marks as toxic is deleted."""
+    left, removed = maintenance.delete(pages(spark, sf_dir), _toxic(spark, sf_dir))
+    kept = left.groupBy("paper_id").agg(F.count("*").alias("n_pages"))
+    return kept.withColumn("removed", F.lit(0).cast("long")).unionByName(removed.withColumn("n_pages", F.lit(0).cast("long")))
 
 
-def b14_sentences(spark, sf_dir):
-    return paragraphs(spark, sf_dir).select("paper_id", "paragraph_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sentence"))
+def a6_list_papers(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return maintenance.list_papers(metadata.titles(docs), metadata.years_dois(docs), metadata.counts(docs, segment.paragraphs(docs)))
 
 
-def b15_keys(spark, sf_dir):
-    return pages(spark, sf_dir).select("paper_id", T.key(F.col("filename")).alias("key")).distinct()
+def a7_lookup(spark, sf_dir):
+    """The Results section of every paper, by a name in any case."""
+    return maintenance.lookup_sections(b9_sections(spark, sf_dir), "RESULTS").select("paper_id", "section", "text")
 
 
-def c4_c5_year_doi(spark, sf_dir):
+def a7_papers(spark, sf_dir):
+    """Papers by id, some of which do not exist."""
+    asked = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("request_id"), F.expr("concat('d', doc_id + quality * 3)").alias("paper_id"))
     docs = pages(spark, sf_dir)
-    both = docs.groupBy("paper_id", "filename").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    stamp = T.first(F.col("t"), r"(?i)arXiv:\s*(\d{4})\.\d{4,5}")
-    yy = F.substring(stamp, 1, 2).cast("int")
-    years = F.filter(F.transform(F.regexp_extract_all(F.concat("t", F.lit("\n"), "filename"), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int")), lambda y: y.between(1990, 2100))
-    year = F.when(stamp.isNotNull(), yy + F.when(yy < 50, 2000).otherwise(1900)).otherwise(F.array_max(years))
-    return both.select("paper_id", year.alias("year"), T.first(F.col("t"), r"(?i)\b(10\.\d{4,9}/[^\s\"'<>]+)").alias("doi"))
+    return maintenance.lookup_papers(metadata.counts(docs, segment.paragraphs(docs)), asked)
 
 
-def c7_counts(spark, sf_dir):
-    docs = pages(spark, sf_dir)
-    n = docs.groupBy("paper_id").agg(F.count("*").alias("page_count"))
-    return n.join(segment.paragraphs(docs).groupBy("paper_id").agg(F.count("*").alias("paragraph_count")), "paper_id", "left").withColumn("paragraph_count", F.coalesce("paragraph_count", F.lit(0)))
+def a8_resolve(spark, sf_dir):
+    """Labelled ids, ten a request, last first; some papers do not exist."""
+    asked = _table(spark, sf_dir, "labels").select(F.expr("doc_id div 10").alias("request_id"), (-F.col("doc_id")).alias("ord"), F.expr("concat('d', doc_id + quality * 3)").alias("paper_id"))
+    found = maintenance.resolve(asked, sets(spark, sf_dir))
+    return found.select("request_id", F.array_join("papers", ",").alias("papers"), F.array_join("missing", ",").alias("missing"), "message")
 
 
-def _texts(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+def a9_reuse(spark, sf_dir):
+    """Stored extractions of the even papers, some with two bullets or of unknown origin; the others,
+    and those whose stored one does not hold, are extracted."""
+    docs = pages(spark, sf_dir)
+    bullets = F.when(_doc() % 8 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    source = F.when(_doc() % 12 == 2, "unknown").otherwise("openai-structured")
+    papers = sets(spark, sf_dir).select("paper_id")
+    stored = papers.where(_doc() % 2 == 0).select("paper_id", source.alias("source"), bullets.alias("bullets"), F.array(F.lit("stored")).alias("tldr"))
 
+    def extracted(rest: DataFrame) -> DataFrame:
+        mine = docs.join(rest, "paper_id", "left_semi")
+        paras = segment.paragraphs(mine)
+        parts = {"bullets": claims.executive_bullets(mine, paras), "tldr": claims.tldr(metadata.titles(mine), paras)}
+        made = nested.envelope(mine, parts)
+        return made.select("paper_id", "source", F.transform("bullets", lambda b: b["text"]).alias("bullets"), F.transform("tldr", lambda t: t["tldr"]).alias("tldr"))
 
-def _queries(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return maintenance.reuse(papers, stored, extracted).select("paper_id", "source", F.size("bullets").alias("n_bullets"), F.get("tldr", F.lit(0)).alias("tldr"))
 
 
-def d3_hashed_vectors(spark, sf_dir):
-    return search.hashed_vectors(_texts(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+# lines, sections, paragraphs
 
 
-def d4_term_statistics(spark, sf_dir):
-    return search.postings(_texts(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def b1_lines(spark, sf_dir):
+    found = segment.lines(pages(spark, sf_dir))
+    return found.groupBy("paper_id", "page_number").agg(F.count("*").alias("n_lines"), F.sum((F.col("line") == "").cast("int")).alias("n_blank"), F.sum(F.length("line")).alias("n_chars"))
 
 
-def d5_bm25(spark, sf_dir):
-    return search.bm25(_texts(spark, sf_dir), _queries(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+def b2_b3_headings(spark, sf_dir):
+    return segment.marked_lines(pages(spark, sf_dir)).where("heading is not null").select("paper_id", "page_number", "line_no", "heading", F.coalesce("body", F.lit("")).alias("rest"))
 
 
-def d9_hybrid_search(spark, sf_dir):
-    return search.hybrid(_texts(spark, sf_dir), _queries(spark, sf_dir))
+def _hints(docs):
+    contents = F.array(*map(F.lit, ["2.1 Methods", "3 Resultss", "5 Limitations", "6 Future Work", "No section"]))
+    return docs.select("paper_id").distinct().select("paper_id", F.explode(contents).alias("hint_text"))
 
 
-def e1_lead_sentences(spark, sf_dir):
-    return extract.lead_sentences(paragraphs(spark, sf_dir))
+def b4_hint_headings(spark, sf_dir):
+    """Lines that nearly equal a heading of the paper's table of contents."""
+    docs = pages(spark, sf_dir)
+    return metadata.hint_headings(segment.lines(docs), _hints(docs))
 
 
-def e6_hyperparameters(spark, sf_dir):
-    return extract.hyperparameters(paragraphs(spark, sf_dir))
+def b4_hinted_paragraphs(spark, sf_dir):
+    """Paragraphs, cut at those lines too."""
+    docs = pages(spark, sf_dir)
+    return segment.paragraphs(docs, _hints(docs))
 
 
-def e8_e9_datasets(spark, sf_dir):
-    return extract.datasets(paragraphs(spark, sf_dir))
+def b5_b8_paragraphs(spark, sf_dir):
+    return paragraphs(spark, sf_dir)
 
 
-def e10_hardware(spark, sf_dir):
-    return extract.hardware(paragraphs(spark, sf_dir))
+def b9_sections(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return segment.sections(docs.select("paper_id").distinct(), segment.paragraphs(docs))
 
 
-def f5_hyperparameter_verdicts(spark, sf_dir):
-    return extract.hyperparameter_verdicts(sets(spark, sf_dir), extract.hyperparameters(paragraphs(spark, sf_dir)))
+def b10_flat_numbers(spark, sf_dir):
+    return segment.flat_numbers(paragraphs(spark, sf_dir))
 
 
-def g1_g2_gap_sentences(spark, sf_dir):
-    return extract.gap_sentences(paragraphs(spark, sf_dir))
+def b11_math(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.latex(F.concat(F.coalesce("text", F.lit("")), F.lit("  λ·x ≤ Σ\ty "))).alias("latex"))
 
 
-def g3_g4_gaps(spark, sf_dir):
-    return extract.gaps(sets(spark, sf_dir), extract.gap_sentences(paragraphs(spark, sf_dir)))
+def b12_math_spans(spark, sf_dir):
+    more = F.concat("text", F.lit(r" $$a_1 + b$$ and \(c\) or \[d = e\]."))
+    spans = paragraphs(spark, sf_dir).select("paper_id", "paragraph_id", F.posexplode(T.math_spans(more)).alias("span_no", "span"))
+    block, body = T.math_body(F.col("span"))
+    return spans.withColumns({"block": block, "body": body})
 
 
-def g5_themes(spark, sf_dir):
-    return extract.themes(g3_g4_gaps(spark, sf_dir))
+def b13_tokens(spark, sf_dir):
+    t = T.tokens(F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
-def g7_counts(spark, sf_dir):
-    return g3_g4_gaps(spark, sf_dir).groupBy("set_id", "category").agg(F.count("*").alias("n"))
+def b14_sentences(spark, sf_dir):
+    return paragraphs(spark, sf_dir).select("paper_id", "paragraph_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sentence"))
 
 
-def a5_delete_papers(spark, sf_dir):
-    """Rows left when every paper that a label marks as toxic is deleted."""
-    doomed = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.expr("concat('d', doc_id)").alias("paper_id"))
-    return pages(spark, sf_dir).join(doomed, "paper_id", "left_anti").groupBy("paper_id").agg(F.count("*").alias("n_pages"))
+def b15_keys(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return docs.groupBy("paper_id").agg(T.key(F.min("filename")).alias("key")).join(metadata.titles(docs).select("paper_id", T.key(F.col("title")).alias("title_key")), "paper_id")
 
 
-def a8_resolve(spark, sf_dir):
-    """Labelled ids with whether the paper exists."""
-    wanted = _table(spark, sf_dir, "labels").select(F.expr("concat('d', doc_id + quality * 3)").alias("paper_id")).distinct()
-    known = pages(spark, sf_dir).select("paper_id").distinct().withColumn("found", F.lit(True))
-    return wanted.join(known, "paper_id", "left").select("paper_id", F.coalesce("found", F.lit(False)).alias("found"))
+# metadata
 
 
-def a4_upsert(spark, sf_dir):
-    """Pages, those of toxic papers come again in upper case."""
-    stored = pages(spark, sf_dir).withColumn("chunk_id", F.concat("paper_id", F.lit(":"), "page_number"))
-    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.expr("concat('d', doc_id)").alias("paper_id"))
-    new = stored.join(toxic, "paper_id", "left_semi").where("page_number = 2").withColumn("text", F.upper("text"))
-    return chunk.upsert(stored, new).select("chunk_id", "paper_id", F.md5("text").alias("digest"))
+def _spans(docs):
+    """Page lines as spans of type, one of the first lines and one low on the page in large type."""
+    size = F.when(F.col("line_no") == _doc() % 3, 18.0).when(F.col("line_no") > 16, 30.0).otherwise(10.0)
+    return segment.lines(docs).select("paper_id", "page_number", F.lit(800.0).alias("page_height"), F.col("line_no").alias("span_no"), (F.col("line_no") * 20.0).alias("top"), size.alias("size"), F.col("line").alias("text"))
 
 
-def a6_list_papers(spark, sf_dir):
-    docs = pages(spark, sf_dir)
-    return docs.groupBy("paper_id", "filename").agg(F.count("*").alias("page_count"), F.min_by(F.substring_index("text", "\n", 1), "page_number").alias("title"))
+def c1_titles_by_font(spark, sf_dir):
+    return metadata.titles_by_font(_spans(pages(spark, sf_dir)))
 
 
-def d1_chunks(spark, sf_dir):
-    return chunk.chunks(paragraphs(spark, sf_dir))
+def c1_c2_titles(spark, sf_dir):
+    """Titles of papers of which every second has spans."""
+    docs = pages(spark, sf_dir)
+    return metadata.titles(docs, _spans(docs).where(_doc() % 2 == 0))
 
 
-def d12_citations(spark, sf_dir):
-    """The best chunks of each benchmark item with their pages and paragraphs."""
-    made = chunk.chunks(paragraphs(spark, sf_dir))
-    hits = search.hybrid(made.select(F.col("chunk_id").alias("id"), "text"), _queries(spark, sf_dir))
-    return hits.join(made.select(F.col("chunk_id").alias("id"), "paper_id", "section", "page_number", "pages", "paragraph_ids"), "id")
+def c2_titles(spark, sf_dir):
+    return metadata.titles(pages(spark, sf_dir))
 
 
-def e2_bullets(spark, sf_dir):
-    docs = pages(spark, sf_dir)
-    return claims.executive_bullets(docs, segment.paragraphs(docs))
+def c3_authors(spark, sf_dir):
+    return metadata.authors(pages(spark, sf_dir))
 
 
-def e5_architectures(spark, sf_dir):
-    return claims.architectures(paragraphs(spark, sf_dir))
+def c4_c5_year_doi(spark, sf_dir):
+    return metadata.years_dois(pages(spark, sf_dir))
 
 
-def e11_e12_benchmarks(spark, sf_dir):
-    return claims.benchmark_results(paragraphs(spark, sf_dir))
+def c6_abstracts(spark, sf_dir):
+    return metadata.abstracts(paragraphs(spark, sf_dir))
 
 
-def _tags(paras):
-    """Two tags a paragraph group, some on a page that does not have the paragraph."""
-    wrong = F.when(F.col("para_no") % 3 == 0, F.col("page_number") + 5).otherwise(F.col("page_number"))
-    return paras.select("paper_id", F.expr("para_no div 2").alias("claim_no"), "paragraph_id", wrong.cast("int").alias("page_number"))
+def c7_counts(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return metadata.counts(docs, segment.paragraphs(docs)).drop("filename")
 
 
-def e14_repair(spark, sf_dir):
-    paras = paragraphs(spark, sf_dir)
-    return claims.repair(_tags(paras), paras)
+def c8_enrichment(spark, sf_dir):
+    """Papers completed from a catalogue with an entry for each: the title in capitals, cut, longer,
+    another, or the same only at its beginning."""
+    docs = pages(spark, sf_dir)
+    found = metadata.titles(docs).join(metadata.authors(docs), "paper_id").join(metadata.years_dois(docs), "paper_id")
+    found = found.select("paper_id", "title", "authors", "year", _none("string").alias("abstract"), F.lit("").alias("venue"), "doi", _none("string").alias("url"))
+    catalog = _table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as ord",
+        """case doc_id % 7 when 1 then concat('Study ', doc_id, ' of Learned') when 2 then concat('Study ', doc_id, ' of Learned Sequence Models: An Extended Report') when 3 then concat('Other work ', doc_id)
+        when 4 then concat('Study ', doc_id, ' of Le', repeat('x', 35)) when 5 then concat('Study ', doc_id, ' of Lerned Sequence Models') else concat('STUDY ', doc_id, ' of learned sequence models') end as title""",
+        "array('A', 'B') as authors",
+        "cast(doc_id % 30 + 1990 as int) as year",
+        "cast(null as string) as abstract",
+        "case when doc_id % 7 = 6 then '' else 'V' end as venue",
+        "concat('10.1/', doc_id) as doi",
+        "cast(null as string) as url",
+    )
+    return metadata.enrich(found, catalog).select("paper_id", "title", "year", "venue", "doi", F.array_join("authors", ", ").alias("authors"), "enrichment_source")
 
 
-def e15_audit(spark, sf_dir):
-    paras = paragraphs(spark, sf_dir)
-    return claims.audit(_tags(paras), paras)
+# chunks and search
 
 
-def f4_architecture_verdicts(spark, sf_dir):
-    return claims.architecture_verdicts(sets(spark, sf_dir), claims.architectures(paragraphs(spark, sf_dir)))
+def _texts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def f7_f8_benchmark_verdicts(spark, sf_dir):
-    return claims.benchmark_verdicts(sets(spark, sf_dir), claims.benchmark_results(paragraphs(spark, sf_dir)))
+def _queries(spark, sf_dir):
+    """Every twentieth document asks."""
+    return _table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
-def c2_titles(spark, sf_dir):
-    return metadata.titles(pages(spark, sf_dir))
+def d1_chunks(spark, sf_dir):
+    made = chunk.chunks(paragraphs(spark, sf_dir))
+    return made.select("chunk_id", "paper_id", "chunk_no", "section", "page_number", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join(F.array_distinct("paragraph_ids"), ",").alias("paragraph_ids"), "token_count")
 
 
-def c3_authors(spark, sf_dir):
-    return metadata.authors(pages(spark, sf_dir))
+def d3_hashed_vectors(spark, sf_dir):
+    return search.hashed_vectors(_texts(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-def c6_abstracts(spark, sf_dir):
-    return metadata.abstracts(paragraphs(spark, sf_dir))
+def d4_term_statistics(spark, sf_dir):
+    return search.term_statistics(_texts(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
-def c8_enrichment(spark, sf_dir):
-    """Papers completed from a catalogue of every third of them."""
-    none = lambda t: F.lit(None).cast(t)
-    found = metadata.titles(pages(spark, sf_dir)).select("paper_id", "title", none("array<string>").alias("authors"), none("int").alias("year"), none("string").alias("abstract"), none("string").alias("venue"), none("string").alias("doi"), none("string").alias("url"))
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    catalog = docs.select(F.expr("concat('STUDY ', doc_id, ' of learned sequence models')").alias("title"), F.array(F.lit("A"), F.lit("B")).alias("authors"), (F.col("doc_id") % 30 + 1990).cast("int").alias("year"), none("string").alias("abstract"), F.lit("V").alias("venue"), none("string").alias("doi"), none("string").alias("url"))
-    return metadata.enrich(found, catalog).select("paper_id", "title", "year", "venue", F.size(F.coalesce("authors", F.array())).alias("n_authors"), "enrichment_source")
+def d5_bm25(spark, sf_dir):
+    """The ten best of every query; the operator gives all if no number is asked for."""
+    return search.bm25(_texts(spark, sf_dir), _queries(spark, sf_dir), 10).withColumn("bm25", F.round("bm25", 6))
 
 
 def d7_dense_top_k(spark, sf_dir):
@@ -253,115 +308,88 @@ def d7_dense_top_k(spark, sf_dir):
     return dense.dense_top_k(rows, rows.where("id % 20 = 0"))
 
 
-def e4_tldr(spark, sf_dir):
-    docs = pages(spark, sf_dir)
-    return claims.tldr(metadata.titles(docs), segment.paragraphs(docs))
-
-
-def e7_losses(spark, sf_dir):
-    return claims.loss_expressions(paragraphs(spark, sf_dir))
+def d9_hybrid_search(spark, sf_dir):
+    return search.hybrid(_texts(spark, sf_dir), _queries(spark, sf_dir))
 
 
-def e16_contexts(spark, sf_dir):
-    docs = pages(spark, sf_dir)
-    heads = metadata.titles(docs).select("paper_id", F.concat(F.lit("TITLE: "), "title", F.lit("\n\n")).alias("head"))
-    return claims.contexts(heads, segment.paragraphs(docs), 4000).select("paper_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+def d9_odd_queries(spark, sf_dir):
+    """Queries that are blank, have no token, or tokens that hardly any text has: cosine ranks all
+    the same."""
+    odd = F.expr("case doc_id % 80 when 0 then '  ' when 20 then '?!' when 40 then concat('zzyzx', doc_id) else concat('qqxw ', substr(text, 1, 40)) end")
+    return search.hybrid(_texts(spark, sf_dir), _table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), odd.alias("text")), top_k=20)
 
 
-def e16_whole_contexts(spark, sf_dir):
-    """e16_contexts with the operator's budget of 15,000 characters."""
-    docs = pages(spark, sf_dir)
-    heads = metadata.titles(docs).select("paper_id", F.concat(F.lit("TITLE: "), "title", F.lit("\n\n")).alias("head"))
-    return claims.contexts(heads, segment.paragraphs(docs)).select("paper_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+def d10_scoped_search(spark, sf_dir):
+    """Every twentieth document searches all documents of its source."""
+    docs = _table(spark, sf_dir, "documents")
+    texts = _texts(spark, sf_dir).select("id", F.col("id").alias("paper_id"), "text")
+    scope = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "source").join(docs.select(F.col("doc_id").alias("paper_id"), "source"), "source")
+    return search.scoped(texts, _queries(spark, sf_dir), scope.select("query_id", "paper_id"))
 
 
-def g8_badges(spark, sf_dir):
-    return claims.badges(paragraphs(spark, sf_dir).select("paper_id", F.col("section").alias("claim_no"), "paragraph_id", "page_number"))
+def d11_lexical_overlap(spark, sf_dir):
+    return search.lexical_overlap(_texts(spark, sf_dir), _queries(spark, sf_dir))
 
 
-def a7_lookup(spark, sf_dir):
-    """The Results section of every paper, by a name in any case."""
-    return b9_sections(spark, sf_dir).where(F.lower("section") == F.lower(F.lit("RESULTS"))).select("paper_id", "section", "text")
+def d12_citations(spark, sf_dir):
+    """The best chunks of each query with their pages and paragraphs."""
+    made = staged(chunk.chunks(paragraphs(spark, sf_dir)), "chunks")
+    return search.cited(search.hybrid(made.select(F.col("chunk_id").alias("id"), "text"), _queries(spark, sf_dir)), made)
 
 
-def a9_reuse(spark, sf_dir):
-    """Hyperparameters, stored ones of the even papers and extracted ones of the others."""
-    paras = paragraphs(spark, sf_dir)
-    even = F.substring("paper_id", 2, 20).cast("long") % 2 == 0
-    stored = paras.where(even).select("paper_id").distinct().select("paper_id", F.lit("learning_rate").alias("name"), F.lit("stored").alias("value"))
-    rest = paras.join(stored.select("paper_id").distinct(), "paper_id", "left_anti")
-    return stored.unionByName(extract.hyperparameters(rest).select("paper_id", "name", "value"))
+# claims
 
 
-def e3_section_summaries(spark, sf_dir):
-    return claims.section_summaries(paragraphs(spark, sf_dir))
+def e1_lead_sentences(spark, sf_dir):
+    return _said(extract.lead_sentences(paragraphs(spark, sf_dir)))
 
 
-def f9_findings(spark, sf_dir):
-    return claims.benchmark_findings(sets(spark, sf_dir), claims.benchmark_results(paragraphs(spark, sf_dir)))
+def e2_bullets(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return _said(claims.executive_bullets(docs, segment.paragraphs(docs)))
 
 
-def f10_cells(spark, sf_dir):
-    return e11_e12_benchmarks(spark, sf_dir).select("paper_id", "ord", claims.cell_text("baseline", "score", "delta", "metric").alias("cell"))
+def e3_section_summaries(spark, sf_dir):
+    return _said(claims.section_summaries(paragraphs(spark, sf_dir)))
 
 
-def g6_cross_cutting(spark, sf_dir):
-    return claims.cross_cutting(g3_g4_gaps(spark, sf_dir))
+def e4_tldr(spark, sf_dir):
+    docs = pages(spark, sf_dir)
+    return _said(claims.tldr(metadata.titles(docs), segment.paragraphs(docs)))
 
 
-def a1_intake(spark, sf_dir):
-    """Files made of documents, some misnamed, too large, empty or of another kind."""
-    files = _table(spark, sf_dir, "documents").selectExpr(
-        "concat('d', doc_id, case when doc_id % 9 = 4 then '.txt' when doc_id % 9 = 5 then '.PDF' else '.pdf' end) as path",
-        "case when doc_id % 10 = 7 then 'text/html' when doc_id % 2 = 0 then 'application/pdf' else '' end as content_type",
-        "cast(case when doc_id % 7 = 0 then 0 when doc_id % 7 = 1 then 52428800 + n_chars else n_chars end as long) as length",
-        "cast(case when doc_id % 5 = 0 then coalesce(substr(text, 1, 8), '') else '%PDF-1.4' end as binary) as content",
-    )
-    return intake.judged(files)
+def e5_architectures(spark, sf_dir):
+    return _said(claims.architectures(paragraphs(spark, sf_dir)))
 
 
-def a3_nested_papers(spark, sf_dir):
-    """Papers nested, written as JSON strings, read back and laid flat."""
-    docs = pages(spark, sf_dir)
-    made = nested.papers(metadata.titles(docs), segment.paragraphs(docs))
-    back = made.select(F.from_json(F.to_json(F.struct(*made.columns)), nested.PAPER).alias("p")).select("p.*")
-    return nested.flat(back)
+def e6_hyperparameters(spark, sf_dir):
+    return _said(extract.hyperparameters(paragraphs(spark, sf_dir)))
 
 
-def b4_hint_headings(spark, sf_dir):
-    """Lines that nearly equal a heading of the paper's table of contents."""
-    docs = pages(spark, sf_dir)
-    contents = F.array(*map(F.lit, ["2 Methodology", "3 Results", "5 Limitations", "6 Future Work", "No section"]))
-    hints = docs.select("paper_id").distinct().select("paper_id", F.explode(contents).alias("hint_text"))
-    return metadata.hint_headings(segment.lines(docs), hints)
+def e7_losses(spark, sf_dir):
+    return _said(claims.loss_expressions(paragraphs(spark, sf_dir)))
 
 
-def c1_titles_by_font(spark, sf_dir):
-    """Page lines as spans, one of the first lines and one low on the page in large type."""
-    found = segment.lines(pages(spark, sf_dir))
-    size = F.when(F.col("line_no") == F.substring("paper_id", 2, 20).cast("long") % 3, 18.0).when(F.col("line_no") > 16, 30.0).otherwise(10.0)
-    spans = found.select("paper_id", "page_number", F.lit(800.0).alias("page_height"), F.col("line_no").alias("span_no"), (F.col("line_no") * 20.0).alias("top"), size.alias("size"), F.col("line").alias("text"))
-    return metadata.titles_by_font(spans)
+def e8_e9_datasets(spark, sf_dir):
+    return _said(extract.datasets(paragraphs(spark, sf_dir)))
 
 
-def d10_scoped_search(spark, sf_dir):
-    """Each benchmark item searches the twenty papers that it names."""
-    texts = _texts(spark, sf_dir).select("id", F.col("id").alias("paper_id"), "text")
-    queries = _queries(spark, sf_dir)
-    scope = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")).select("query_id", (F.col("query_id") * 3 + F.col("k") * 7).alias("paper_id"))
-    return search.scoped(texts, queries, scope)
+def e10_hardware(spark, sf_dir):
+    return _said(extract.hardware(paragraphs(spark, sf_dir)))
 
 
-def d11_lexical_overlap(spark, sf_dir):
-    return search.lexical_overlap(_texts(spark, sf_dir), _queries(spark, sf_dir))
+def e11_e12_benchmarks(spark, sf_dir):
+    return _said(claims.benchmark_results(paragraphs(spark, sf_dir)))
 
 
 def _parts(docs):
-    paras = segment.paragraphs(docs)
-    return {
-        "bullets": claims.executive_bullets(docs, paras),
-        "sections": claims.section_summaries(paras),
-        "tldr": claims.tldr(metadata.titles(docs), paras),
+    """Everything extracted from papers whose paragraphs are written once, with sources that exist."""
+    paras, titles = staged(segment.paragraphs(docs), "paragraphs"), metadata.titles(docs)
+    fixed = lambda df, anchor: claims.repair(df.withColumn("anchor", anchor), paras).drop("anchor")
+    return paras, {
+        "bullets": fixed(claims.executive_bullets(docs, paras), _none("string")),
+        "sections": fixed(claims.section_summaries(paras), F.col("section")),
+        "tldr": fixed(claims.tldr(titles, paras), _none("string")),
         "architecture": claims.architectures(paras),
         "hyperparameters": extract.hyperparameters(paras),
         "losses": claims.loss_expressions(paras),
@@ -374,274 +402,149 @@ def _parts(docs):
 def e13_envelope(spark, sf_dir):
     """Everything extracted from a paper, nested; counted and digested by part."""
     docs = pages(spark, sf_dir)
-    whole = nested.envelope(docs, _parts(docs))
-    counts = [F.size(n).alias(f"n_{n}") for n in _PARTS]
-    return whole.select("paper_id", "source", *counts, F.get("tldr", F.lit(0))["tldr"].alias("tldr"), F.array_join(F.transform("hyperparameters", lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";").alias("settings"))
+    whole = nested.envelope(docs, _parts(docs)[1])
+    counts = [F.size(n).alias(f"n_{n}") for n in PARTS]
+    settings = F.array_join(F.transform(F.array_sort(F.transform("hyperparameters", lambda h: F.concat(h["name"], F.lit("="), h["value"]))), lambda x: x), ";")
+    tags = F.array_join(F.transform("bullets", lambda b: T.tag_text(b["sources"])), "/")
+    return whole.select("paper_id", "source", *counts, F.get("tldr", F.lit(0))["tldr"].alias("tldr"), settings.alias("settings"), tags.alias("bullet_sources"))
+
+
+def e14_repair(spark, sf_dir):
+    """Claims of two paragraphs each, of which some or all are cited on a page that lacks them."""
+    paras = staged(paragraphs(spark, sf_dir), "paragraphs")
+    claim = F.expr("para_no div 2")
+    page = F.when((F.col("para_no") % 3 == 0) | (claim % 4 == 1), F.col("page_number") + 5).otherwise(F.col("page_number")).cast("int")
+    each = F.struct("para_no", F.struct("paragraph_id", page.alias("page_number"), "section").alias("tag"))
+    made = paras.groupBy("paper_id", claim.alias("claim_no")).agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["tag"]).alias("sources"))
+    anchor = F.when(F.col("claim_no") % 3 == 1, "Methodology").when(F.col("claim_no") % 3 == 2, "Results")
+    return _said(claims.repair(made.withColumn("anchor", anchor), paras))
+
+
+def e15_audit(spark, sf_dir):
+    """Claims of which some have lost their sources, are cited on a wrong page, or are missing."""
+    docs = pages(spark, sf_dir)
+    paras, parts = _parts(docs)
+    row = lambda df, kind, label: df.select("paper_id", F.lit(kind).alias("kind"), label.cast("string").alias("label"), "sources")
+    shifted = F.transform("sources", lambda t: F.struct(t["paragraph_id"].alias("paragraph_id"), (t["page_number"] + 7).alias("page_number"), t["section"].alias("section")))
+    bullets = parts["bullets"].where(~((_doc() % 6 == 0) & (F.col("bullet_no") == 3)))
+    bullets = bullets.withColumn("sources", F.when((_doc() % 5 == 1) & (F.col("bullet_no") == 1), claims.no_tags()).otherwise(F.col("sources")))
+    sections = parts["sections"].withColumn("sources", F.when((_doc() % 7 == 2) & (F.col("section") == "Results"), shifted).otherwise(F.col("sources")))
+    made = row(bullets, "executive", F.col("bullet_no") - 1).unionByName(row(sections, "sectional", F.col("section"))).unionByName(row(parts["results"], "result", F.col("metric")))
+    told = parts["tldr"].select("paper_id", F.when(_doc() % 9 == 4, " ").otherwise(F.col("tldr")).alias("tldr"))
+    return claims.audit(made, told, paras).withColumn("issues", F.array_join("issues", "; "))
+
+
+def _contexts(spark, sf_dir, *budget):
+    docs = pages(spark, sf_dir)
+    known = metadata.titles(docs).join(metadata.authors(docs), "paper_id").join(metadata.years_dois(docs), "paper_id")
+    return claims.contexts(claims.context_heads(known), segment.paragraphs(docs), *budget).select("paper_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+
+
+def e16_contexts(spark, sf_dir):
+    """Contexts of a budget of 4,000 characters, which many papers overflow."""
+    return _contexts(spark, sf_dir, 4000)
+
+
+def e16_whole_contexts(spark, sf_dir):
+    """Contexts of the operator's budget of 15,000 characters."""
+    return _contexts(spark, sf_dir)
+
+
+# comparison
 
 
 def f1_paper_refs(spark, sf_dir):
     return matrix.paper_refs(sets(spark, sf_dir), c2_titles(spark, sf_dir), c4_c5_year_doi(spark, sf_dir).select("paper_id", "year"))
 
 
-def _values(docs):
-    """paper_id, dimension, kind, value of all rows but the benchmarks' of a comparison."""
-    paras = segment.paragraphs(docs)
-    row = lambda df, dimension, kind, value: df.select("paper_id", dimension.alias("dimension"), F.lit(kind).alias("kind"), value.alias("value"))
-    return (
-        row(claims.tldr(metadata.titles(docs), paras), F.lit("tl_dr"), "metadata", F.nullif("tldr", F.lit("")))
-        .unionByName(row(claims.architectures(paras), F.lit("architecture"), "methodology", F.substring("architecture", 1, 300)))
-        .unionByName(row(extract.hyperparameters(paras), F.concat(F.lit("hyperparameter:"), "name"), "methodology", F.col("value")))
-        .unionByName(row(extract.datasets(paras), F.concat(F.lit("dataset:"), "name"), "dataset", F.coalesce(F.nullif(F.substring("details", 1, 200), F.lit("")), F.lit("evaluated"))))
+def f2_f3_matrix(spark, sf_dir):
+    """All rows of a comparison."""
+    _, parts = _parts(pages(spark, sf_dir))
+    group = sets(spark, sf_dir)
+    values = (
+        matrix.dimension(parts["tldr"], 1, F.lit("tl_dr"), "metadata", F.col("tldr"))
+        .unionByName(matrix.dimension(parts["architecture"], 2, F.lit("architecture"), "methodology", F.substring("architecture", 1, 300)))
+        .unionByName(matrix.dimension(parts["hyperparameters"], 3, F.concat(F.lit("hyperparameter:"), "name"), "methodology", F.col("value")))
+        .unionByName(matrix.dimension(parts["datasets"], 4, F.concat(F.lit("dataset:"), "name"), "dataset", F.coalesce(F.nullif(F.substring("details", 1, 200), F.lit("")), F.lit("evaluated"))))
     )
+    return _said(matrix.cells(group, values, matrix.benchmark_values(group, parts["results"])))
 
 
-def f2_f3_matrix(spark, sf_dir):
-    return matrix.cells(sets(spark, sf_dir), _values(pages(spark, sf_dir)))
+def f4_architecture_verdicts(spark, sf_dir):
+    return matrix.architecture_verdicts(sets(spark, sf_dir), claims.architectures(paragraphs(spark, sf_dir)))
+
+
+def f5_hyperparameter_verdicts(spark, sf_dir):
+    return matrix.hyperparameter_verdicts(sets(spark, sf_dir), extract.hyperparameters(paragraphs(spark, sf_dir)))
 
 
 def f6_dataset_verdicts(spark, sf_dir):
-    return matrix.dataset_verdicts(sets(spark, sf_dir), e8_e9_datasets(spark, sf_dir))
+    found = matrix.dataset_verdicts(sets(spark, sf_dir), extract.datasets(paragraphs(spark, sf_dir)))
+    return _said(found).withColumn("paper_ids", F.array_join("paper_ids", ","))
+
+
+def f7_f8_benchmark_verdicts(spark, sf_dir):
+    found = matrix.benchmark_rows(sets(spark, sf_dir), claims.benchmark_results(paragraphs(spark, sf_dir)))
+    return _said(found).withColumn("paper_ids", F.array_join("paper_ids", ","))
+
+
+def f9_findings(spark, sf_dir):
+    paras = staged(paragraphs(spark, sf_dir), "paragraphs")
+    found = matrix.findings(sets(spark, sf_dir), extract.datasets(paras), claims.benchmark_results(paras))
+    return _said(found).withColumn("paper_ids", F.array_join("paper_ids", ","))
+
+
+def f10_cells(spark, sf_dir):
+    return claims.benchmark_results(paragraphs(spark, sf_dir)).select("paper_id", "ord", claims.cell_text("baseline", "score", "delta", "metric").alias("cell"))
 
 
 def f11_wide_matrix(spark, sf_dir):
-    values = e6_hyperparameters(spark, sf_dir).select("paper_id", F.col("name").alias("dimension"), "value")
+    values = extract.hyperparameters(paragraphs(spark, sf_dir)).select("paper_id", F.col("name").alias("dimension"), "ord", "value")
     return matrix.wide(sets(spark, sf_dir), values, 10)
 
 
-#: Parts of an envelope and the queries whose rows they hold.
-_PARTS = {"bullets": "e2_bullets", "sections": "e3_section_summaries", "tldr": "e4_tldr", "architecture": "e5_architectures", "hyperparameters": "e6_hyperparameters", "losses": "e7_losses", "datasets": "e8_e9_datasets", "hardware": "e10_hardware", "results": "e11_e12_benchmarks"}
+# gaps
+
+
+def g1_g2_gap_sentences(spark, sf_dir):
+    return extract.gap_sentences(paragraphs(spark, sf_dir)).withColumn("tag", T.tag_text(F.array("tag")))
+
+
+def _gaps(spark, sf_dir):
+    return extract.gaps(sets(spark, sf_dir), extract.gap_sentences(paragraphs(spark, sf_dir)))
+
+
+def g3_g4_gaps(spark, sf_dir):
+    return _said(_gaps(spark, sf_dir))
+
+
+def g5_themes(spark, sf_dir):
+    return extract.themes(_gaps(spark, sf_dir))
+
+
+def g6_cross_cutting(spark, sf_dir):
+    return _said(claims.cross_cutting(_gaps(spark, sf_dir))).withColumn("paper_ids", F.array_join("paper_ids", ","))
+
+
+def g7_counts(spark, sf_dir):
+    capped = staged(_gaps(spark, sf_dir), "gaps")
+    return extract.gap_counts(capped, claims.cross_cutting(capped))
+
+
+def g8_badges(spark, sf_dir):
+    return claims.badges(paragraphs(spark, sf_dir).select("paper_id", F.col("section").alias("claim_no"), "paragraph_id", "page_number"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        g3_g4_gaps, a2_page_text, a5_delete_papers, a8_resolve, b1_lines, b2_b3_headings, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
-        c4_c5_year_doi, c7_counts, d3_hashed_vectors, d4_term_statistics, d5_bm25, d9_hybrid_search, e1_lead_sentences, e6_hyperparameters, e8_e9_datasets, e10_hardware, f5_hyperparameter_verdicts, g1_g2_gap_sentences, g5_themes, g7_counts,
-        a4_upsert, a6_list_papers, d1_chunks, d12_citations, e2_bullets, e5_architectures, e11_e12_benchmarks, e14_repair, e15_audit, f4_architecture_verdicts, f7_f8_benchmark_verdicts, c2_titles, c3_authors, c6_abstracts, c8_enrichment, d7_dense_top_k, e4_tldr, e7_losses, e16_contexts, g8_badges, a7_lookup, a9_reuse, e3_section_summaries, f9_findings, f10_cells, g6_cross_cutting,
-        a1_intake, a3_nested_papers, b4_hint_headings, c1_titles_by_font, d10_scoped_search, d11_lexical_overlap, e13_envelope, f1_paper_refs, f2_f3_matrix, f6_dataset_verdicts, f11_wide_matrix, e16_whole_contexts,
+        g3_g4_gaps,
+        a1_intake, a2_page_text, a3_nested_papers, a4_upsert, a4_upsert_counts, a5_delete_papers, a6_list_papers, a7_lookup, a7_papers, a8_resolve, a9_reuse,
+        b1_lines, b2_b3_headings, b4_hint_headings, b4_hinted_paragraphs, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
+        c1_titles_by_font, c1_c2_titles, c2_titles, c3_authors, c4_c5_year_doi, c6_abstracts, c7_counts, c8_enrichment,
+        d1_chunks, d3_hashed_vectors, d4_term_statistics, d5_bm25, d7_dense_top_k, d9_hybrid_search, d9_odd_queries, d10_scoped_search, d11_lexical_overlap, d12_citations,
+        e1_lead_sentences, e2_bullets, e3_section_summaries, e4_tldr, e5_architectures, e6_hyperparameters, e7_losses, e8_e9_datasets, e10_hardware, e11_e12_benchmarks, e13_envelope, e14_repair, e15_audit, e16_contexts, e16_whole_contexts,
+        f1_paper_refs, f2_f3_matrix, f4_architecture_verdicts, f5_hyperparameter_verdicts, f6_dataset_verdicts, f7_f8_benchmark_verdicts, f9_findings, f10_cells, f11_wide_matrix,
+        g1_g2_gap_sentences, g5_themes, g6_cross_cutting, g7_counts, g8_badges,
     )
 }
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-_NAMES = {a: s for s, names in ALIASES.items() for a in names}
-_CANON = "map {" + ", ".join(f"{_q(a)}: {_q(s)}" for a, s in _NAMES.items()) + "}"
-_HEADING = r"^(?:\d+(?:\.\d+)*\.?|[ivxlcdm]+\.?|[a-z]\.?)?\s*(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")\s*[:\-–—.]?$"
-_RUN_ON = r"^(abstract|introduction|methodology|methods?|results?|discussion|conclusions?|limitations?|future work|references)\b[:.\-–—]?\s+(.{40,})$"
-_ORD = f"(list_position([{', '.join(map(_q, SECTIONS))}], section) - 1)::int"
-
-
-def _latex(c: str) -> str:
-    for a, b in MATH.items():
-        c = f"replace({c}, {_q(a)}, {_q(f' {b} ')})"
-    return rf"regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-
-
-def _sentences(c: str) -> str:
-    cut = rf"list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])\s+([A-Z0-9$(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
-    return f"(case when len({cut}) > 0 then {cut} else [trim({c})] end)"
-
-
-_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:''[a-z]+)?')"
-_PAGES = f"pages as ({PAGE_TEXT_SQL})"
-_LINES = _PAGES + r""",
-cut as (select paper_id, page_number, string_split(text, chr(10)) as l from pages),
-cut2 as (select paper_id, page_number, case when l[-1] = '' then l[:-2] else l end as l from cut),
-lines as (select paper_id, page_number, k - 1 as line_no, regexp_replace(l[k], '^\s+|\s+$', '', 'g') as line from (select *, unnest(range(1, len(l) + 1)) as k from cut2))"""
-_MARKED = _LINES + f""",
-h0 as (select *, case when length(line) between 1 and 100 and len(regexp_split_to_array(line, '\\s+')) <= 8 and length(line) - length(replace(line, '.', '')) <= 1 then {_CANON}[lower(regexp_extract(line, {_q(_HEADING)}, 1, 'i'))] end as own,
-  case when length(line) > 45 then {_CANON}[lower(regexp_extract(line, {_q(_RUN_ON)}, 1, 'i'))] end as begun,
-  regexp_extract(line, {_q(_RUN_ON)}, 2, 'i') as rest from lines),
-marked as (select paper_id, page_number, line_no, line, coalesce(own, begun) as heading,
-  case when own is not null or line = '' then null when begun is not null then rest else line end as body from h0)"""
-_PARAS = _MARKED + rf""",
-placed as (select *, sum(case when heading is not null or line = '' then 1 else 0 end) over w as grp, last_value(heading ignore nulls) over w as sec,
-  bool_or(heading is not null) over (partition by paper_id) as seen from marked window w as (partition by paper_id order by page_number, line_no rows between unbounded preceding and current row)),
-grouped as (select paper_id, grp, first(sec) as sec, first(seen) as seen, min(page_number) as page_number,
-  regexp_replace(regexp_replace(string_agg(body, ' ' order by page_number, line_no), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') as text from placed where body is not null group by paper_id, grp),
-numbered as (select *, coalesce(sec, case when seen then 'Preamble' else 'Introduction' end) as section, row_number() over (partition by paper_id order by grp)::int as para_no from grouped where length(text) >= 2),
-paras as (select paper_id, {_ORD} as section_ord, section, para_no, 'p' || para_no as paragraph_id, page_number::int as page_number, {_latex('text')} as text from numbered)"""
-_GAPS = _PARAS + f""",
-sents as (select paper_id, section_ord, para_no, paragraph_id, k - 1 as sent_no, s[k] as statement from (select *, {_sentences('text')} as s, unnest(range(1, len({_sentences('text')}) + 1)) as k from paras where section in ('Discussion', 'Limitations', 'Future Work'))),
-scored as (select *, {', '.join('(' + ' + '.join(f"regexp_matches(statement, {_q(p)}, 'i')::int" for p in ps) + f') as {c}' for c, ps in GAPS.items())} from sents where length(statement) >= 20),
-found as (select paper_id, section_ord, para_no, sent_no, paragraph_id, statement, case when greatest({', '.join(GAPS)}) = 0 then 'methodological_blinds' {' '.join(f"when {c} = greatest({', '.join(GAPS)}) then {_q(c)}" for c in GAPS)} end as category from scored),
-sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents),
-once as (select * from (select *, row_number() over (partition by set_id, lower(statement) order by paper_ord, section_ord, para_no, sent_no) as r from found join sets using (paper_id)) where r = 1),
-gaps as (select set_id, category, ord, paper_ord, paper_id, statement from (select *, row_number() over (partition by set_id, category order by paper_ord, section_ord, para_no, sent_no)::int as ord from once) where ord <= 12)"""
-
-
-def _re2(p: str) -> str:
-    return _q(p.removeprefix("(?i)")), "'i'" if p.startswith("(?i)") else "'c'"
-
-
-_HP = _PARAS + ", hits as (" + " union all ".join(f"select paper_id, section_ord, para_no, paragraph_id, page_number, {_q(n)} as name, regexp_extract(text, {_re2(p)[0]}, 1, {_re2(p)[1]}) as value from paras" for n, p in HYPERPARAMETERS.items()) + r"""),
-hp as (select paper_id, name, regexp_replace(trim(value), '[.,;]+$', '') as value, paragraph_id, page_number from (select *, row_number() over (partition by paper_id, name order by section_ord, para_no) as r from hits where value <> '') where r = 1)"""
-_POST = f"""post as (select doc_id as id, len(t) as size, unnest(t) as term from (select doc_id, {_TOKENS.format("coalesce(text, '')")} as t from documents)),
-p as (select id, term, count(*) as tf, first(size) as size from post group by id, term)"""
-_BM25 = _POST + f""",
-q as (select query_id, term, count(*) as times from (select item_id as query_id, unnest({_TOKENS.format('text')}) as term from benchmark) group by query_id, term),
-st as (select count(*) as n, avg(len({_TOKENS.format("coalesce(text, '')")})) as mean from documents),
-df as (select term, count(*) as df from p group by term),
-bm as (select query_id, id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) as bm25 from p join q using (term) join df using (term), st group by query_id, id)"""
-
-
-def _vectors(source: str, key: str, name: str) -> str:
-    return f"""{name}c as (select {key} as id, ('0x' || right(md5(term), 2))::int as bucket, count(*) as n from (select {key}, unnest({_TOKENS.format("coalesce(text, '')")}) as term from {source}) group by 1, 2),
-{name} as (select id, bucket, n / sqrt(sum(n * n) over (partition by id)) as weight from {name}c)"""
-
-
-_MAIN = {
-    "a2_page_text": (_PAGES, "select * from pages"),
-    "a5_delete_papers": (_PAGES, "select paper_id, count(*) as n_pages from pages where paper_id not in (select 'd' || doc_id from labels where toxic = 1) group by paper_id"),
-    "a8_resolve": (_PAGES, "select distinct 'd' || (doc_id + quality * 3) as paper_id, ('d' || (doc_id + quality * 3)) in (select paper_id from pages) as found from labels"),
-    "b1_lines": (_LINES, "select paper_id, page_number, count(*) as n_lines, sum((line = '')::int)::bigint as n_blank, sum(length(line))::bigint as n_chars from lines group by paper_id, page_number"),
-    "b2_b3_headings": (_MARKED, "select paper_id, page_number, line_no, heading, coalesce(body, '') as rest from marked where heading is not null"),
-    "b5_b8_paragraphs": (_PARAS, "select * from paras"),
-    "b9_sections": (_PARAS, f"""select paper_id, section_ord, section, coalesce(n, 0) as n_paragraphs, coalesce(t, '') as text from
-(select distinct paper_id, section, {_ORD} as section_ord from pages, (select unnest([{', '.join(map(_q, SECTIONS[1:8]))}]) as section))
-full join (select paper_id, section, section_ord, count(*) as n, string_agg(text, chr(10) || chr(10) order by para_no) as t from paras group by paper_id, section, section_ord) using (paper_id, section, section_ord)"""),
-    "b10_flat_numbers": (_PARAS, "select paper_id, paragraph_id, row_number() over (partition by paper_id order by section_ord, para_no)::int as flat_no, page_number from paras"),
-    "b11_math": ("x as (select doc_id, coalesce(text, '') || '  λ·x ≤ Σ' || chr(9) || 'y ' as t from documents)", f"select doc_id, {_latex('t')} as latex from x"),
-    "b12_math_spans": (_PARAS, r"""select paper_id, paragraph_id, k - 1 as span_no, s[k] as span, starts_with(s[k], '$$') or starts_with(s[k], '\[') as block from (select *, unnest(range(1, len(s) + 1)) as k from (select paper_id, paragraph_id, regexp_extract_all(text, '\$\$.+?\$\$|\$.+?\$|\\\[.+?\\\]|\\\(.+?\\\)', 0, 's') as s from paras))"""),
-    "b13_tokens": (f"x as (select doc_id, {_TOKENS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} as t from documents)", "select doc_id, len(t)::int as n_tokens, len(list_distinct(t))::int as n_distinct from x"),
-    "b14_sentences": (_PARAS, f"select paper_id, paragraph_id, (k - 1)::int as sent_no, s[k] as sentence from (select *, unnest(range(1, len(s) + 1)) as k from (select paper_id, paragraph_id, {_sentences('text')} as s from paras))"),
-    "b15_keys": (_PAGES, r"select distinct paper_id, regexp_replace(lower(filename), '\W+', '', 'g') as key from pages"),
-    "c4_c5_year_doi": (_PAGES + r""",
-both_ as (select paper_id, filename, string_agg(text, chr(10) order by page_number) as t from pages group by paper_id, filename),
-y as (select *, regexp_extract(t, 'arXiv:\s*(\d{4})\.\d{4,5}', 1, 'i') as stamp, list_filter(list_transform(regexp_extract_all(t || chr(10) || filename, '\b((?:19|20)\d{2})\b', 1), lambda v: v::int), lambda v: v between 1990 and 2100) as years from both_)""", r"""select paper_id, (case when stamp <> '' then left(stamp, 2)::int + case when left(stamp, 2)::int < 50 then 2000 else 1900 end else list_max(years) end)::int as year, nullif(regexp_extract(t, '\b(10\.\d{4,9}/[^\s"''<>]+)', 1, 'i'), '') as doi from y"""),
-    "c7_counts": (_PARAS, "select paper_id, n as page_count, coalesce(m, 0) as paragraph_count from (select paper_id, count(*) as n from pages group by paper_id) left join (select paper_id, count(*) as m from paras group by paper_id) using (paper_id)"),
-    "d3_hashed_vectors": (_vectors("documents", "doc_id", "v"), "select id, bucket, round(weight, 9) as weight from v"),
-    "d4_term_statistics": (_POST, "select term, count(*) as df, sum(tf)::bigint as cf from p group by term"),
-    "d5_bm25": (_BM25, "select query_id, id, round(bm25, 6) as bm25 from bm"),
-    "d9_hybrid_search": (_BM25 + ", " + _vectors("documents", "doc_id", "v") + ", " + _vectors("benchmark", "item_id", "u") + """,
-cs as (select u.id as query_id, v.id as id, sum(v.weight * u.weight) as dense from v join u using (bucket) group by 1, 2),
-votes as (select query_id, id, 0.6 / (60 + place) as vote, dense as d, null as b from (select *, row_number() over (partition by query_id order by round(dense, 9) desc, id) as place from cs where dense > 0) where place <= 10
-  union all select query_id, id, 0.4 / (60 + place), null, bm25 from (select *, row_number() over (partition by query_id order by round(bm25, 9) desc, id) as place from bm where bm25 > 0) where place <= 10),
-fused as (select query_id, id, sum(vote) as score, coalesce(max(d), 0) as d, coalesce(max(b), 0) as b from votes group by query_id, id)""", "select query_id, rank, id, round(score, 6) as score, round(d, 6) as dense_score, round(b, 6) as bm25_score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from fused) where rank <= 5"),
-    "e1_lead_sentences": (_PARAS + f""",
-s as (select paper_id, section_ord, section, para_no, k, s[k] as s from (select *, unnest(range(1, len(s) + 1)) as k from (select *, {_sentences('text')} as s from paras))),
-r as (select * from (select *, row_number() over (partition by paper_id, section order by para_no, k) as r from s) where r <= 2),
-b as (select *, coalesce(sum(length(s) + 1) over (partition by paper_id, section order by para_no range between unbounded preceding and 1 preceding), 0) - 1 as before from r)""", "select paper_id, section_ord, section, string_agg(s, ' ' order by r) as text from b where before <= 600 group by paper_id, section_ord, section"),
-    "e6_hyperparameters": (_HP, "select * from hp"),
-    "e8_e9_datasets": (_PARAS + ", hits as (" + " union all ".join(f"select paper_id, section_ord, para_no, paragraph_id, text, {i} as ord, {_q(n)} as name from paras where regexp_matches(text, {_q(chr(92) + 'b' + n + chr(92) + 'b')})" for i, n in enumerate(DATASETS)) + rf""" union all
-select paper_id, section_ord, para_no, paragraph_id, text, 99 + k as ord, m[k] as name from (select *, unnest(range(1, len(m) + 1)) as k from (select *, regexp_extract_all(text, '\b([A-Z][A-Za-z]+\d+)\s+(?:dataset|corpus|benchmark)', 1) as m from paras)))""", f"select paper_id, name, substr(({_sentences('text')})[1], 1, 300) as details, paragraph_id from (select *, row_number() over (partition by paper_id, lower(name) order by section_ord, para_no, ord) as r from hits) where r = 1"),
-    "e10_hardware": (_PARAS + f", hw as (select *, regexp_extract(text, {_re2(HARDWARE)[0]}, 1, 'i') as hardware from paras)", "select paper_id, hardware, paragraph_id, page_number from (select *, row_number() over (partition by paper_id order by section_ord, para_no) as r from hw where hardware <> '') where r = 1"),
-    "f5_hyperparameter_verdicts": (_HP + ", sets as (select doc_id // 10 as set_id, 'd' || doc_id as paper_id from documents), v as (select set_id, name, count(distinct paper_id) as n_papers, count(distinct value) as n_values from hp join sets using (paper_id) group by set_id, name)", "select *, case when n_papers <= 1 then 'single-source' when n_values = 1 then 'consensus' else 'divergent' end as verdict from v"),
-    "g1_g2_gap_sentences": (_GAPS, "select * from found"),
-    "g3_g4_gaps": (_GAPS, "select * from gaps"),
-    "g5_themes": (_GAPS + f", tagged as (select set_id, paper_id, unnest(list_filter([{', '.join(map(_q, THEMES))}], lambda t: contains(lower(statement), t))) as theme from gaps)", "select set_id, theme, count(distinct paper_id) as n_papers, count(*) as n_items from tagged group by set_id, theme having count(distinct paper_id) >= 2"),
-    "g7_counts": (_GAPS, "select set_id, category, count(*) as n from gaps group by set_id, category"),
-}
-_METRIC = _q(r"\b(" + "|".join(METRICS) + r")\b")
-_BENCH = _PARAS + rf""",
-w as (select *, regexp_extract(text, {_METRIC}, 1, 'i') as word, regexp_extract_all(text, '-?\d+(?:\.\d+)?') as nums, list_position(['Results', 'Abstract', 'Discussion', 'Introduction'], section)::int as scan from paras where section in ('Results', 'Abstract', 'Discussion', 'Introduction')),
-c as (select *, try_cast(nullif(regexp_extract(text, 'from\s+(-?\d+(?:\.\d+)?)\s+to\s+(-?\d+(?:\.\d+)?)', 1, 'i'), '') as double) as lo, try_cast(nullif(regexp_extract(text, 'from\s+(-?\d+(?:\.\d+)?)\s+to\s+(-?\d+(?:\.\d+)?)', 2, 'i'), '') as double) as hi from w where word <> '' and len(nums) > 0),
-n as (select paper_id, para_no, i, v, abs(instr(text, word) - instr(text, case when v = floor(v) and contains(text, v::bigint::varchar) then v::bigint::varchar else v::varchar end)) as far from (select *, nums[i]::double as v from (select *, unnest(range(1, len(nums) + 1)) as i from c))),
-near as (select paper_id, para_no, v from (select *, row_number() over (partition by paper_id, para_no order by far, i) as r from n) where r = 1),
-b as (select c.paper_id, scan, c.para_no, paragraph_id, coalesce(nullif(regexp_extract(text, '\bon\s+([A-Z][\w\-]*(?:\s+[a-z\d]+)?)', 1), ''), section || ' evaluation') as task, case when length(word) <= 4 then upper(word) else word end as metric, case when lo is not null then lo else 0 end::double as baseline, case when lo is not null then hi else v end as score, row_number() over (partition by c.paper_id, scan order by c.para_no) as r from c join near using (paper_id, para_no)),
-m as (select paper_id, {', '.join(f'count(*) filter (where scan = {k}) as n{k}' for k in range(1, 5))} from b group by paper_id),
-m1 as (select *, least(n1, 10) as k1 from m), m2 as (select *, least(n2, greatest(10 - k1, 1)) as k2 from m1), m3 as (select *, least(n3, greatest(10 - k1 - k2, 1)) as k3 from m2), m4 as (select *, least(n4, greatest(10 - k1 - k2 - k3, 1)) as k4 from m3),
-res as (select paper_id, row_number() over (partition by paper_id order by scan, para_no)::int as ord, task, metric, baseline, score, round(score - baseline, 6) as delta, lower(metric) not in ({', '.join(map(_q, LOWER_IS_BETTER))}) as higher_is_better, paragraph_id from b join m4 using (paper_id) where r <= case scan when 1 then k1 when 2 then k2 when 3 then k3 else k4 end)"""
-_ARCH = _PARAS + rf""",
-arch as (select paper_id, ({_sentences('text')})[1] as architecture, paragraph_id from (select *, row_number() over (partition by paper_id order by (not regexp_matches(lower(text), {_q('|'.join(ARCHITECTURE))}))::int, (section <> 'Methodology')::int, para_no) as r from paras where section in ('Methodology', 'Abstract')) where r = 1)"""
-_TAGS = _PARAS + """,
-tags as (select paper_id, para_no // 2 as claim_no, paragraph_id, page_number + case when para_no % 3 = 0 then 5 else 0 end as page_number from paras),
-good as (select t.* from tags t semi join paras p on t.paper_id = p.paper_id and t.paragraph_id = p.paragraph_id and t.page_number = p.page_number)"""
-_SETS = "sets as (select doc_id // 10 as set_id, 'd' || doc_id as paper_id from documents)"
-_MAIN |= {
-    "a4_upsert": (_PAGES + ", tox as (select 'd' || doc_id as paper_id from labels where toxic = 1)", "select paper_id || ':' || page_number as chunk_id, paper_id, md5(case when page_number = 2 and paper_id in (select paper_id from tox) then upper(text) else text end) as digest from pages"),
-    "a6_list_papers": (_PAGES, "select paper_id, filename, count(*) as page_count, min_by(string_split(text, chr(10))[1], page_number) as title from pages group by paper_id, filename"),
-    "e2_bullets": (_PARAS + f""",
-ld as (select paper_id, section, first(({_sentences('text')})[1] order by para_no) as s from paras group by paper_id, section),
-wide as (select paper_id, {', '.join(f"max(s) filter (where section = {_q(x)}) as {x.lower().replace(' ', '_')}" for x in SECTIONS)} from (select distinct paper_id from pages) left join ld using (paper_id) group by paper_id)""", """select paper_id, 1 as bullet_no, coalesce(abstract, introduction, 'Not stated in the paper.') as text from wide union all
-select paper_id, 2, coalesce(results, discussion, 'Not stated in the paper.') from wide union all
-select paper_id, 3, coalesce(nullif(concat_ws(' ', limitations, future_work), ''), discussion, 'Not stated in the paper.') from wide"""),
-    "e5_architectures": (_ARCH, "select * from arch"),
-    "e11_e12_benchmarks": (_BENCH, "select * from res"),
-    "e14_repair": (_TAGS + ", bare as (select distinct paper_id, claim_no from tags except select paper_id, claim_no from good)", "select paper_id, claim_no, paragraph_id, page_number from good union all select paper_id, claim_no, a.paragraph_id, a.page_number from bare join (select * from (select *, row_number() over (partition by paper_id order by section_ord, para_no) as r from paras) where r = 1) a using (paper_id)"),
-    "e15_audit": (_TAGS, "select t.paper_id, count(*) - coalesce(any_value(g.n), 0) as n_unknown, count(*) = coalesce(any_value(g.n), 0) as clean from tags t left join (select paper_id, count(*) as n from good group by paper_id) g using (paper_id) group by t.paper_id"),
-    "f4_architecture_verdicts": (_ARCH + ", " + _SETS, "select set_id, n_values, case when n = 1 then 'single-source' when n_values = 0 then 'n/a' when n_values = 1 then 'consensus' else 'divergent' end as verdict from (select set_id, count(*) as n, count(distinct substr(architecture, 1, 300)) as n_values from sets left join arch using (paper_id) group by set_id)"),
-    "f7_f8_benchmark_verdicts": (_BENCH + ", " + _SETS + r""", last as (select set_id, regexp_replace(lower(task), '[^\p{L}\p{N}_]+', '', 'g') as task_key, regexp_replace(lower(metric), '[^\p{L}\p{N}_]+', '', 'g') as metric_key, paper_id, max_by(delta, ord) as delta from res join sets using (paper_id) group by 1, 2, 3, 4)""", "select set_id, task_key, metric_key, n_papers, case when n_papers < 2 then 'single-source' when up and down then 'contradiction' else 'consensus' end as verdict from (select set_id, task_key, metric_key, count(*) as n_papers, bool_or(delta > 0) as up, bool_or(delta < 0) as down from last group by 1, 2, 3)"),
-}
-_MAIN |= {
-    "c2_titles": (_LINES, "select paper_id, coalesce(t, replace(regexp_replace(filename, '\\.[^.]*$', ''), '_', ' ')) as title from (select paper_id, min(filename) as filename from pages group by paper_id) left join (select paper_id, min_by(line, line_no) as t from lines where page_number = 1 and length(line) >= 15 group by paper_id) using (paper_id)"),
-    "c3_authors": (_PAGES, "select distinct paper_id, ['Alice Researcher', 'Bob Scientist'] as authors from pages"),
-    "c6_abstracts": (_PARAS, "select paper_id, substr(string_agg(text, chr(10) || chr(10) order by para_no), 1, 2000) as abstract from paras where section = 'Abstract' group by paper_id"),
-    "c8_enrichment": ("d as (select doc_id, doc_id % 3 = 0 as hit from documents)", "select 'd' || doc_id as paper_id, case when hit then 'STUDY ' || doc_id || ' of learned sequence models' else 'Study ' || doc_id || ' of Learned Sequence Models' end as title, case when hit then (doc_id % 30 + 1990)::int end as year, case when hit then 'V' end as venue, case when hit then 2 else 0 end::int as n_authors, case when hit then 'catalog' else 'heuristic' end as enrichment_source from d"),
-    "d7_dense_top_k": ("s as (select q.vec_id as query_id, x.vec_id as id, list_cosine_similarity(q.embedding::double[], x.embedding::double[]) as score from embeddings x, embeddings q where q.vec_id % 20 = 0), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from s)", "select query_id, rank, id, round(score, 6) as score from r where rank <= 10"),
-}
-_PRIORITY = "[" + ", ".join(map(_q, claims.PRIORITY)) + "]"
-_SPANS = r"list_filter(list_transform(regexp_extract_all(text, '\$\$.+?\$\$|\$.+?\$|\\\[.+?\\\]|\\\(.+?\\\)', 0, 's'), lambda s: trim(s)), lambda s: length(s) >= 4)"
-_MAIN |= {
-    "e4_tldr": (_PARAS + f", ab as (select paper_id, first(({_sentences('text')})[1] order by para_no) as s from paras where section = 'Abstract' group by paper_id)", "select paper_id, coalesce(s, 'Study ' || substr(paper_id, 2) || ' of Learned Sequence Models.') as tldr from (select distinct paper_id from pages) left join ab using (paper_id)"),
-    "e7_losses": (_PARAS + f""",
-rd as (select *, {_SPANS} as spans, list_position(['Methodology', 'Abstract', 'Introduction'], section) as rank from paras where section in ('Methodology', 'Abstract', 'Introduction')),
-rw as (select *, min(case when len(spans) > 0 then rank end) over (partition by paper_id) as f, min(case when len(spans) > 0 then para_no end) over (partition by paper_id, rank) as y, min(para_no) over (partition by paper_id, rank) as o from rd),
-ex as (select *, spans[k] as expression from (select *, unnest(range(1, len(spans) + 1)) as k from rw where (rank = f and para_no = y) or (rank > f and para_no = o))),
-oc as (select * from (select *, row_number() over (partition by paper_id, expression order by rank, k) as r from ex) where r = 1)""", f"select paper_id, row_number() over (partition by paper_id order by rank, k)::int as ord, expression, substr(coalesce(list_filter({_sentences('text')}, lambda x: contains(x, substr(expression, 1, 20)))[1], ({_sentences('text')})[1]), 1, 300) as description, paragraph_id from oc"),
-    "e16_contexts": (_PARAS + f""",
-md as (select paper_id, section, string_agg('[' || paragraph_id || '|p.' || page_number || '] ' || text, chr(10) order by para_no) as body from paras group by paper_id, section),
-al as (select distinct paper_id, section from pages, (select unnest({_PRIORITY}[:7]) as section)),
-bl as (select paper_id, 'TITLE: Study ' || substr(paper_id, 2) || ' of Learned Sequence Models' || chr(10) || chr(10) as head, '## ' || section || coalesce(chr(10) || body, '') || chr(10) || chr(10) as block, list_position({_PRIORITY}, section) as ord from al full join md using (paper_id, section)),
-us as (select *, length(head) + sum(length(block)) over (partition by paper_id order by ord) as used from bl),
-la as (select *, min(case when used > 4000 then ord end) over (partition by paper_id) as last, 4000 - (used - length(block)) as room from us),
-pt as (select paper_id, head, ord, case when last is null or ord < last then block when ord = last and room > 200 and ord <= 3 then substr(block, 1, room::int) || chr(10) || '[truncated]' || chr(10) || chr(10) else '' end as part from la),
-cx as (select paper_id, head || string_agg(part, '' order by ord) as context from pt group by paper_id, head)""", "select paper_id, length(context)::int as n_chars, md5(context) as digest from cx"),
-    "g8_badges": (_PARAS + ", o as (select *, row_number() over (partition by paper_id, section order by length(paragraph_id), paragraph_id, page_number) as r from paras)", "select paper_id, section as claim_no, string_agg(paragraph_id || ' · p.' || page_number, ', ' order by r) filter (where r <= 4) as badges, greatest(count(*) - 4, 0)::int as more from o group by paper_id, section"),
-}
-_E1 = _MAIN["e1_lead_sentences"]
-_MAIN |= {
-    "a7_lookup": (_MAIN["b9_sections"][0], "select paper_id, section, text from (" + _MAIN["b9_sections"][1] + ") where lower(section) = 'results'"),
-    "a9_reuse": (_HP, "select distinct paper_id, 'learning_rate' as name, 'stored' as value from paras where substr(paper_id, 2)::bigint % 2 = 0 union all select paper_id, name, value from hp where substr(paper_id, 2)::bigint % 2 = 1"),
-    "e3_section_summaries": (_E1[0], f"select paper_id, row_number() over (partition by paper_id order by list_position({_PRIORITY}, section))::int as ord, section, text from ({_E1[1]}) where section not in ('Preamble', 'References')"),
-    "f9_findings": (_BENCH + ", " + _SETS, r"select * from (select set_id, regexp_replace(lower(task), '[^\p{L}\p{N}_]+', '', 'g') as task_key, lower(metric) as metric_key, string_agg(distinct paper_id, ',' order by paper_id) as paper_ids from res join sets using (paper_id) group by 1, 2, 3) where contains(paper_ids, ',')"),
-    "f10_cells": (_BENCH, "select paper_id, ord, printf('%g → %g (Δ%+.4g %s)', baseline, score, delta, metric) as cell from res"),
-    "g6_cross_cutting": (_GAPS + f""",
-tg as (select *, unnest(list_filter([{', '.join(map(_q, THEMES))}], lambda t: contains(lower(statement), t))) as theme, list_position(['failure_modes', 'dataset_shortfalls', 'methodological_blinds'], category) * 100 + ord as place from gaps),
-pp as (select * from (select *, row_number() over (partition by set_id, theme, paper_id order by place) as r from tg) where r = 1),
-th as (select set_id, theme, min(place) as f, min_by(category, place) as category, string_agg(paper_id, ',' order by paper_id) as paper_ids, string_agg(substr(statement, 1, 120), ' | ' order by place) as text from pp group by set_id, theme having count(*) >= 2)""", f"select set_id, theme, category, paper_ids, text from (select *, row_number() over (partition by set_id order by f, list_position([{', '.join(map(_q, THEMES))}], theme)) as r from th) where r <= 10"),
-}
-
-def _sub(name: str) -> str:
-    return "(with {} {})".format(*_MAIN[name])
-
-
-_SCOPED = f"""sc as (select distinct item_id as query_id, doc_id as id from (select item_id, item_id * 3 + unnest(range(20)) * 7 as doc_id from benchmark where trim(text) <> '') join documents using (doc_id)),
-""" + _BM25.split(",\nst as")[0] + f""",
-st as (select query_id, count(*) as n, avg(len(t)) as mean from sc join (select doc_id as id, {_TOKENS.format("coalesce(text, '')")} as t from documents) using (id) group by query_id),
-hit as (select query_id, id, term, tf, size, times from p join sc using (id) join q using (query_id, term)),
-df as (select query_id, term, count(*) as df from hit group by query_id, term),
-bm as (select query_id, id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) as b from hit join df using (query_id, term) join st using (query_id) group by query_id, id),
-{_vectors("documents", "doc_id", "v")}, {_vectors("benchmark", "item_id", "u")},
-cs as (select sc.query_id, sc.id, sum(v.weight * u.weight) as d from sc join v on v.id = sc.id join u on u.id = sc.query_id and u.bucket = v.bucket group by 1, 2),
-bo as (select query_id, id, coalesce(d, 0) as d, coalesce(b, 0) as b from sc left join cs using (query_id, id) left join bm using (query_id, id)),
-pl as (select *, row_number() over (partition by query_id order by round(d, 9) desc, id) as rd, row_number() over (partition by query_id order by round(b, 9) desc, id) as rb from bo),
-fu as (select *, case when rd <= 10 then 0.6 / (60 + rd) else 0 end + case when b > 0 and rb <= 10 then 0.4 / (60 + rb) else 0 end as score from pl)"""
-_DIMS = f"""sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents),
-vals as (select paper_id, 'tl_dr' as dimension, 'metadata' as kind, nullif(tldr, '') as value from {_sub("e4_tldr")}
-  union all select paper_id, 'architecture', 'methodology', substr(architecture, 1, 300) from {_sub("e5_architectures")}
-  union all select paper_id, 'hyperparameter:' || name, 'methodology', value from {_sub("e6_hyperparameters")}
-  union all select paper_id, 'dataset:' || name, 'dataset', coalesce(nullif(substr(details, 1, 200), ''), 'evaluated') from {_sub("e8_e9_datasets")})"""
-_MAIN |= {
-    "a1_intake": (
-        "f as (select 'd' || doc_id || case when doc_id % 9 = 4 then '.txt' when doc_id % 9 = 5 then '.PDF' else '.pdf' end as path, (case when doc_id % 7 = 0 then 0 when doc_id % 7 = 1 then 52428800 + n_chars else n_chars end)::bigint as length, doc_id % 10 = 7 as other, case when doc_id % 5 = 0 then coalesce(substr(text, 1, 8), '') else '%PDF-1.4' end as content from documents)",
-        "select path, length, case when not ends_with(lower(path), '.pdf') then 'name is not .pdf' when other then 'unsupported content type' when length > 52428800 then 'larger than 50 MiB' when length = 0 then 'empty' when left(content, 4) <> '%PDF' then 'not a PDF' end as reason from f",
-    ),
-    "a3_nested_papers": (_PARAS, "select paper_id, section_ord, section, para_no, paragraph_id, page_number, text from paras"),
-    "c1_titles_by_font": (_LINES + ", sp as (select paper_id, line_no, line, case when line_no = substr(paper_id, 2)::bigint % 3 then 18 when line_no > 16 then 30 else 10 end as size from lines where page_number = 1 and line_no * 20 <= 320 and length(line) >= 10)", "select paper_id, line as title from (select *, row_number() over (partition by paper_id order by size desc, line_no) as r from sp) where r = 1"),
-    "d10_scoped_search": (_SCOPED, "select query_id, rank, id, round(score, 6) as score, round(case when rd <= 10 then d else 0 end, 6) as dense_score, round(b, 6) as bm25_score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from fu where score > 0) where rank <= 5"),
-    "d11_lexical_overlap": (_POST + f", q as (select distinct item_id as query_id, unnest({_TOKENS.format('text')}) as term from benchmark), s as (select query_id, id, count(*) as score from p join q using (term) group by query_id, id)", "select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from s) where rank <= 5"),
-    "e13_envelope": (
-        ", ".join(f"x_{n} as (select * from {_sub(q)})" for n, q in _PARTS.items()) + ", " + ", ".join(f"c_{n} as (select paper_id, count(*)::int as n_{n} from x_{n} group by paper_id)" for n in _PARTS),
-        "select paper_id, 'heuristic-fallback' as source, " + ", ".join(f"coalesce(n_{n}, 0)::int as n_{n}" for n in _PARTS) + ", tldr, coalesce(settings, '') as settings from x_tldr left join (select paper_id, string_agg(name || '=' || value, ';' order by name) as settings from x_hyperparameters group by paper_id) using (paper_id) " + " ".join(f"left join c_{n} using (paper_id)" for n in _PARTS),
-    ),
-    "f1_paper_refs": (f"sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents), t as {_sub('c2_titles')}, y as {_sub('c4_c5_year_doi')}", "select set_id, paper_ord, paper_id, coalesce(nullif(title, ''), 'Untitled') as title, year from sets left join t using (paper_id) left join y using (paper_id)"),
-    "f2_f3_matrix": (_DIMS + ", held as (select * from sets join vals using (paper_id)), sf as (select set_id, dimension, kind, s.paper_ord, s.paper_id from (select distinct set_id, dimension, kind from held) join sets s using (set_id))", "select set_id, dimension, kind, sf.paper_ord, paper_id, coalesce(value, '—') as value from sf left join (select set_id, dimension, kind, paper_id, min(value) as value from held group by all) using (set_id, dimension, kind, paper_id)"),
-    "f6_dataset_verdicts": (f"ds as {_sub('e8_e9_datasets')}, " + _SETS, "select *, case when contains(paper_ids, ',') then 'consensus' else 'single-source' end as verdict, case when contains(paper_ids, ',') then 'Shared evaluation on ' || name || '.' else '' end as note from (select set_id, name, string_agg(distinct paper_id, ',' order by paper_id) as paper_ids from ds join sets using (paper_id) group by set_id, name)"),
-    "f11_wide_matrix": (f"hv as {_sub('e6_hyperparameters')}, sets as (select doc_id // 10 as set_id, doc_id % 10 as paper_ord, 'd' || doc_id as paper_id from documents)", "select set_id, name as dimension, " + ", ".join(f"coalesce(min(value) filter (where paper_ord = {k}), '—') as p{k}" for k in range(10)) + " from hv join sets using (paper_id) group by set_id, name"),
-}
-_MAIN["e16_whole_contexts"] = (_MAIN["e16_contexts"][0].replace("4000", "15000"), _MAIN["e16_contexts"][1])
-ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}

@@ -3,7 +3,7 @@
 import pytest
 
 from paperloom.functions import text as T
-from paperloom.operators import chunk, claims, dense, extract, matrix, metadata, nested, search, segment
+from paperloom.operators import chunk, claims, dense, extract, maintenance, matrix, metadata, nested, search, segment
 from paperloom.sources import intake
 from paperloom.sources import nested as nested_files
 from paperloom.streaming import ingest
@@ -104,16 +104,61 @@ def test_chunk_quirks():
 def test_results_and_citations(spark, paras):
     got = by(claims.benchmark_results(paras), "paper_id")["a"]
     assert (got.metric, got.baseline, got.score, got.delta, got.task) == ("BLEU", 24.1, 28.4, 4.3, "WMT14")
-    tags = spark.createDataFrame([("a", 1, "p1", 1), ("a", 1, "p9999", 1), ("a", 2, "p9999", 1)], "paper_id string, claim_no int, paragraph_id string, page_number int")
-    fixed = sorted((r.claim_no, r.paragraph_id) for r in claims.repair(tags, paras).collect())
-    assert fixed == [(1, "p1"), (2, "p1")]
-    assert by(claims.audit(tags, paras), "paper_id")["a"].n_unknown == 2
-    papers = spark.createDataFrame([("a",), ("c",)], "paper_id string")
-    assert claims.executive_bullets(papers, paras).count() == 6
-    stored = spark.createDataFrame([("x:1", "x", "old"), ("x:2", "x", "old")], "chunk_id string, paper_id string, text string")
-    new = spark.createDataFrame([("x:1", "x", "new")], "chunk_id string, paper_id string, text string")
-    assert sorted(r.text for r in chunk.upsert(stored, new).collect()) == ["new", "old"]
-    assert [r.text for r in chunk.upsert(stored, new, whole_papers=True).collect()] == ["new"]
+    assert got.context == "BLEU improves from 24.1 to 28.4 on WMT14." and got.sources[0].section == "Results"
+    made = [
+        ("a", 1, None, [("p2", 1, "Abstract"), ("p9999", 1, "Results")]),
+        ("a", 2, "Results", [("p9999", 1, "Results")]),
+        ("a", 3, "Discussion", [("p2", 9, "Abstract")]),
+        ("a", 4, None, None),
+        ("z", 5, None, [("p1", 1, "Abstract")]),
+    ]
+    claimed = spark.createDataFrame(made, f"paper_id string, claim_no int, anchor string, sources {claims.TAGS}")
+    fixed = {r.claim_no: [(t.paragraph_id, t.section) for t in r.sources] for r in claims.repair(claimed, paras).collect()}
+    results = by(paras.where("paper_id = 'a'"), "section")["Results"].paragraph_id
+    assert fixed == {1: [("p2", "Abstract")], 2: [(results, "Results")], 3: [("p1", "Preamble")], 4: [("p1", "Preamble")], 5: []}
+
+
+def test_audit_names_every_issue(spark, paras):
+    tag, none = [("p2", 1, "Abstract")], []
+    rows = [("a", "executive", str(k), tag) for k in range(3)] + [("a", "sectional", "Results", [("p9", 7, "Results")] + tag), ("b", "executive", "0", none), ("b", "result", "BLEU", None)]
+    made = spark.createDataFrame(rows, f"paper_id string, kind string, label string, sources {claims.TAGS}")
+    told = spark.createDataFrame([("a", "It works."), ("b", " "), ("c", None)], "paper_id string, tldr string")
+    got = by(claims.audit(made, told, paras), "paper_id")
+    assert got["a"].issues == ["sectional[Results]: unknown tag p9/p.7"] and not got["a"].clean
+    three, empty = "executive_summary must have exactly 3 bullets", "technical_tldr empty"
+    assert got["b"].issues == sorted(["executive[0]: missing source tags", "result[BLEU]: missing source tags", three, empty])
+    assert got["c"].issues == [three, empty]
+    whole = made.where("paper_id = 'a' and kind = 'executive'")
+    assert by(claims.audit(whole, told, paras), "paper_id")["a"].clean
+
+
+def test_summaries_say_where_they_come_from(spark, paras):
+    papers = spark.createDataFrame([("a", "A title. And more"), ("c", None), ("b", "Plain")], "paper_id string, title string")
+    bullets = by(claims.executive_bullets(papers, paras), "paper_id", "bullet_no")
+    assert [bullets["c", k].text for k in (1, 2, 3)] == ["No abstract extracted.", "No results extracted.", "No limitations extracted."] and not bullets["c", 1].sources
+    assert [t.section for t in bullets["a", 3].sources] == ["Limitations", "Future Work"] and bullets["b", 1].sources[0].section == "Introduction"
+    told = by(claims.tldr(papers, paras), "paper_id")
+    assert told["a"].tldr.startswith("We present") and told["b"].tldr == "Plain." and told["c"].tldr == "Untitled paper.."
+    only = spark.createDataFrame([("q", "One. Two")], "paper_id string, title string")
+    assert claims.tldr(only, paras).first().tldr == "One."
+
+
+def test_maintenance(spark):
+    stored = spark.createDataFrame([("x:1", "x", "old"), ("x:2", "x", "old"), (None, "y", "no key")], "chunk_id string, paper_id string, text string")
+    new = spark.createDataFrame([("x:1", "x", "second", 2), ("x:1", "x", "first", 1)], "chunk_id string, paper_id string, text string, version int")
+    assert sorted(r.text for r in maintenance.upsert(stored, new, version="version").collect()) == ["no key", "old", "second"]
+    assert sorted(r.text for r in maintenance.upsert(stored, new, version="version", whole_papers=True).collect()) == ["no key", "second"]
+    assert [tuple(r) for r in maintenance.counts(new).collect()] == [("x", 1)]
+    left, gone = maintenance.delete(stored, spark.createDataFrame([("x",), ("x",), ("w",)], "paper_id string"))
+    assert [r.text for r in left.collect()] == ["no key"] and sorted(map(tuple, gone.collect())) == [("w", 0), ("x", 2)]
+    asked = spark.createDataFrame([(1, 0, "b"), (1, 1, "q"), (1, 2, "a"), (2, 0, "z")], "request_id int, ord int, paper_id string")
+    got = by(maintenance.resolve(asked, spark.createDataFrame([("a",), ("b",)], "paper_id string")), "request_id")
+    assert got[1].papers == ["b", "a"] and got[1].message == "Papers not found: q" and got[2].missing == ["z"] and got[2].papers == []
+    envelope = "paper_id string, source string, bullets array<string>, tldr array<string>"
+    held = spark.createDataFrame([("a", "heuristic-fallback", ["1", "2", "3"], ["t"]), ("b", "heuristic-fallback", ["1"], ["t"]), ("c", "else", ["1", "2", "3"], ["t"])], envelope)
+    papers = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "paper_id string")
+    again = maintenance.reuse(papers, held, lambda rest: rest.selectExpr("paper_id", "'new' as source", "array('n') as bullets", "array('t') as tldr"))
+    assert {r.paper_id: r.source for r in again.collect()} == {"a": "heuristic-fallback", "b": "new", "c": "new", "d": "new"}
 
 
 def test_metadata(spark):
@@ -125,6 +170,50 @@ def test_metadata(spark):
     lines = spark.createDataFrame([("a", 1, 0, "Experimental Setupp"), ("a", 1, 1, "Something else")], "paper_id string, page_number int, line_no int, line string")
     hints = spark.createDataFrame([("a", "Experimental setup"), ("a", "no section")], "paper_id string, hint_text string")
     assert [(r.line_no, r.heading) for r in metadata.hint_headings(lines, hints).collect()] == [(0, "Methodology")]
+    assert by(metadata.titles(pages, spans), "paper_id")["a"].title == "Large title text"
+
+
+def test_hints_cut_paragraphs_like_plain_comparison(spark):
+    from difflib import SequenceMatcher
+
+    text = "Intro words\nExperimental Setupp\nbody one\n3.1.2 Results\nbody two\nResults of it all are good and steady over every run we made\nbody three"
+    pages = spark.createDataFrame([("a", "a.pdf", 1, text), ("b", "b.pdf", 1, text)], "paper_id string, filename string, page_number int, text string")
+    hints = spark.createDataFrame([("a", " Experimental setup "), ("a", "3.1 Results"), ("a", "Nothing here"), ("a", None)], "paper_id string, hint_text string")
+    got = by(segment.marked_lines(pages, hints), "paper_id", "line_no")
+    near = lambda line, hint: SequenceMatcher(None, line.lower(), hint).ratio() > 0.92
+    for k, line in enumerate(text.split("\n")):
+        want = next((s for h, s in (("3.1 results", "Results"), ("experimental setup", "Methodology")) if near(line, h)), None)
+        assert got["a", k].heading == (want or ("Results" if line.startswith("Results of") else None))
+    assert got["b", 1].heading is None and [r.section for r in segment.paragraphs(pages, hints).where("paper_id = 'a'").orderBy("para_no").collect()] == ["Preamble", "Methodology", "Results"]
+
+
+def test_years_and_dois_are_of_two_pages(spark):
+    rows = [("a", "s-2001.pdf", 1, "arXiv: 9912.00001 of 2020"), ("b", "s_2001.pdf", 1, "from 2003, 1889"), ("b", "s_2001.pdf", 2, "10.1234/x.9, seen"), ("b", "s_2001.pdf", 3, "2050 10.9999/late"), ("c", "s-2004.pdf", 3, "2050"), ("d", "x.pdf", 1, None)]
+    got = by(metadata.years_dois(spark.createDataFrame(rows, "paper_id string, filename string, page_number int, text string")), "paper_id")
+    assert {k: (r.year, r.doi) for k, r in got.items()} == {"a": (1999, None), "b": (2003, "10.1234/x.9,"), "d": (None, None)}
+
+
+def test_enrichment_equals_plain_search(spark):
+    from difflib import SequenceMatcher
+
+    key = lambda t: "".join(c for c in (t or "").lower() if c.isalnum() or c == "_")
+    base = "A Study of Very Long Titles in Science and Beyond Them"
+    entries = [base.upper(), "A Study of Very Long Titles", base + ": Extended", "A Study of Something Else", "A Study of Very Long Titles in Science and Beyond", "Short", "", None, "Shorter", "A study of Very Lang Titles in Science and Beyond Them"]
+    titles = [base, "A Study of Very Long Titles in", "A Study of V", "Short", "Shorte", "Unknown", None, "", "A Study of Very Long", "A Study of Very Lung Titles in Science"]
+    fields = "authors array<string>, year int, abstract string, venue string, doi string, url string"
+    catalog = spark.createDataFrame([(i, t, ["C", "D"], 2000 + i, None, "", f"10.1/{i}", None) for i, t in enumerate(entries)], f"ord int, title string, {fields}")
+    papers = spark.createDataFrame([(str(i), t, ["A", "B"] if i % 2 else [], None if i % 3 else 1995, "", None, "", None) for i, t in enumerate(titles)], f"paper_id string, title string, {fields}")
+    got = by(metadata.enrich(papers, catalog), "paper_id")
+    for i, t in enumerate(titles):
+        k, keys = key(t), [key(e) for e in entries]
+        alike = [j for j, c in enumerate(keys) if k and c and (c == k or c.startswith(k[:40]) or k.startswith(c[:40]))]
+        top = [j for j, c in enumerate(keys) if k and c and c[:12] == k[:12]]
+        pick = (alike or top or [None])[0]
+        hit = pick is not None and SequenceMatcher(None, k, keys[pick]).ratio() >= 0.6
+        r = got[str(i)]
+        assert r.title == (entries[pick] if hit else t) and (r.enrichment_source == "catalog") == hit, (t, pick)
+        assert r.year == (1995 if i % 3 == 0 else 2000 + pick if hit else None) and r.doi == (f"10.1/{pick}" if hit else None) and r.venue is None
+        assert r.authors == (["A", "B"] if i % 2 else ["C", "D"] if hit else [])
 
 
 def test_contexts_stop_at_the_budget(spark, paras):
@@ -135,9 +224,11 @@ def test_contexts_stop_at_the_budget(spark, paras):
     (part,) = claims.contexts(heads, only, 400).collect()
     assert part.context.endswith("[truncated]\n\n") and len(part.context) == 400 + len("\n[truncated]\n\n")
     assert claims.loss_expressions(only).first().expression == r"$L_{loss} = \lambda$"
-    sets = spark.createDataFrame([("a",), ("b",)], "paper_id string")
-    matrix = by(claims.wide_matrix(sets, extract.hyperparameters(paras), ["a", "b"]), "name")
-    assert matrix["layers"].a == "12" and matrix["layers"].b == "—"
+    sets = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "set_id int, paper_ord int, paper_id string")
+    laid = by(matrix.wide(sets, extract.hyperparameters(paras).withColumnRenamed("name", "dimension"), 2), "dimension")
+    assert laid["layers"].p0 == "12" and laid["layers"].p1 == "—"
+    papers = spark.createDataFrame([("a", "T", ["X", "Y"], None)], "paper_id string, title string, authors array<string>, year int")
+    assert claims.context_heads(papers).first().head == "TITLE: T\nAUTHORS: X, Y\nYEAR: None\n\n"
 
 
 def test_dense_top_k(spark):
@@ -154,6 +245,10 @@ def test_dense_top_k(spark):
 def test_intake_and_stream(spark, tmp_path):
     files = spark.createDataFrame([("a.pdf", 5, bytearray(b"%PDF-")), ("b.txt", 5, bytearray(b"%PDF-")), ("c.PDF", 0, bytearray(b"")), ("d.pdf", 60 << 20, bytearray(b"%PDF")), ("e.pdf", 3, bytearray(b"abc"))], "path string, length long, content binary")
     assert [r.reason for r in intake.judged(files).orderBy("path").collect()] == [None, "name is not .pdf", "empty", "larger than 50 MiB", "not a PDF"]
+    assert [r.status for r in intake.judged(files).orderBy("path").collect()] == [201, 400, 422, 413, 422]
+    read = spark.createDataFrame([("a.pdf", " \n"), ("a.pdf", None)], "path string, text string")
+    assert [r.reason for r in intake.judged(files, read).where("path = 'a.pdf'").collect()] == ["no text"]
+    assert [r.reason for r in intake.judged(files, read.limit(0)).where("path = 'a.pdf'").collect()] == ["no pages"]
     typed = intake.judged(files.selectExpr("*", "case when path = 'a.pdf' then 'text/html' else '' end as content_type"))
     assert typed.where("path = 'a.pdf'").first().reason == "unsupported content type"
     for n, text in ((1, A), (2, "Results\nagain something")):
@@ -171,17 +266,57 @@ def test_nested_papers_are_read_back(spark, paras, tmp_path):
         assert sorted(back.select("paper_id", "title").collect()) == sorted(titles.collect()) if kind == "parquet" else back.count() == 3
         assert sorted(nested.flat(back).collect()) == sorted(paras.where("paper_id in ('a', 'b')").select(nested.flat(back).columns).collect())
     whole = by(nested.envelope(titles, {"settings": extract.hyperparameters(paras), "hardware": extract.hardware(paras)}), "paper_id")
-    assert [x.name for x in whole["a"].settings] == sorted(x.name for x in whole["a"].settings) and len(whole["a"].settings) == 8
+    assert [x.ord for x in whole["a"].settings] == list(range(1, 9)) and whole["a"].settings[0].sources[0].section == "Methodology"
     assert whole["a"].hardware[0].hardware == "8xV100" and whole["z"].settings == [] and whole["z"].source == "heuristic-fallback"
 
 
 def test_matrix_has_a_cell_for_each_paper(spark):
     sets = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "set_id long, paper_ord long, paper_id string")
-    values = spark.createDataFrame([("a", "x", "k", "1"), ("c", "y", "k", None)], "paper_id string, dimension string, kind string, value string")
-    assert sorted((r.set_id, r.dimension, r.paper_id, r.value) for r in matrix.cells(sets, values).collect()) == [(1, "x", "a", "1"), (1, "x", "b", "—"), (2, "y", "c", "—")]
+    tag = [("p1", 1, "Results")]
+    values = spark.createDataFrame([("a", 3, 1, "x", "k", "1", tag), ("a", 3, 2, "x", "k", "0", tag), ("c", 3, 1, "y", "k", None, tag)], f"paper_id string, rank int, ord int, dimension string, kind string, value string, sources {claims.TAGS}")
+    assert sorted((r.set_id, r.dimension, r.paper_id, r.value, len(r.sources)) for r in matrix.cells(sets, values).collect()) == [(1, "x", "a", "1", 1), (1, "x", "b", "—", 0), (2, "y", "c", "—", 1)]
     assert {(r.set_id, r.p0, r.p1) for r in matrix.wide(sets, values, 2).collect()} == {(1, "1", "—"), (2, "—", "—")}
-    found = spark.createDataFrame([("a", "D1"), ("b", "D1"), ("c", "D1")], "paper_id string, name string")
-    assert {(r.set_id, r.paper_ids, r.verdict) for r in matrix.dataset_verdicts(sets, found).collect()} == {(1, "a,b", "consensus"), (2, "c", "single-source")}
+
+
+def test_verdicts_notes_and_findings(spark):
+    sets = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (2, 0, "c")], "set_id long, paper_ord long, paper_id string")
+    tag = lambda p: [(p, 1, "Results")]
+    data = spark.createDataFrame([("a", 1, "D1", "x", tag("p1")), ("b", 1, "D2", "y", tag("p2")), ("b", 2, "D1", "z", tag("p3")), ("c", 1, "D1", "", tag("p4"))], f"paper_id string, ord int, name string, details string, sources {claims.TAGS}")
+    got = by(matrix.dataset_verdicts(sets, data), "set_id", "name")
+    assert (got[1, "D1"].paper_ids, got[1, "D1"].verdict, [t.paragraph_id for t in got[1, "D1"].sources]) == (["a", "b"], "consensus", ["p3", "p1"])
+    assert got[1, "D2"].row_ord == 1 and got[1, "D1"].row_ord == 2 and got[2, "D1"].verdict == "single-source"
+    results = [("b", 1, "WMT-14", "BLEU", 1.0, 2.0, 1.0, tag("p1")), ("b", 2, "wmt14", "bleu", 2.0, 1.0, -1.0, tag("p2")), ("a", 1, "WMT14", "BLEU", 1.0, 3.5, 2.5, tag("p3")), ("c", 1, "X", "F1", 0.0, 1.0, 1.0, tag("p4"))]
+    found = spark.createDataFrame(results, f"paper_id string, ord int, task string, metric string, baseline double, score double, delta double, sources {claims.TAGS}")
+    rows = by(matrix.benchmark_rows(sets, found), "set_id")
+    assert rows[1].verdict == "contradiction" and rows[1].note == "Conflicting BLEU results on WMT14: b Δ-1, a Δ+2.5." and rows[1].paper_ids == ["a", "b"] and rows[2].note == ""
+    told = by(matrix.findings(sets, data, found), "part")
+    assert told["dataset"].statement == "Shared evaluation dataset: D1." and told["benchmark"].kind == "contradiction"
+    assert {(r.paper_id, r.value) for r in matrix.benchmark_values(sets, found).collect()} == {("a", "1 → 3.5 (Δ+2.5 BLEU)"), ("b", "2 → 1 (Δ-1 bleu)"), ("c", "0 → 1 (Δ+1 F1)")}
+
+
+def test_cited_hits_name_their_paragraphs(spark, paras):
+    made = chunk.chunks(paras, target=80).cache()
+    queries = spark.createDataFrame([(7, "WMT14 BLEU"), (8, None)], "query_id long, text string")
+    got = search.cited(search.hybrid(made.selectExpr("chunk_id as id", "text"), queries, top_k=2), made).collect()
+    assert {r.query_id for r in got} == {7} and len(got) == 2
+    best = min(got, key=lambda r: r["rank"])
+    held = by(made, "chunk_id")[best.id]
+    assert best.paper_id == "a" and best.paragraph_ids == held.paragraph_ids and best.pages == held.pages and "BLEU" in held.text
+    assert best.id.startswith("a:c") and best.page_number == min(best.pages) and best.section == held.section
+
+
+def test_search_ranks_zero_cosine_and_guards(spark):
+    texts = spark.createDataFrame([(k, "aa bb") for k in range(4)] + [(9, None)], "id long, text string")
+    queries = spark.createDataFrame([(1, "zzqy"), (2, "bb"), (3, "?")], "query_id long, text string")
+    got = search.hybrid(texts, queries, top_k=3).collect()
+    assert {(r.query_id, r["rank"]): r.id for r in got} == {(q, k + 1): k for q in (1, 2, 3) for k in range(3)}
+    for bad in (0, 21):
+        with pytest.raises(ValueError):
+            search.hybrid(texts, queries, top_k=bad)
+    plain = search.hybrid(texts, queries, dense=False).collect()
+    assert {r.query_id for r in plain} == {2} and len(plain) == 4
+    assert search.hybrid(texts.limit(0), queries).collect() == [] and search.bm25(texts, queries.limit(0)).collect() == []
+    assert {(r.query_id, r.id) for r in search.bm25(texts, queries).collect()} == {(2, k) for k in range(4)}
 
 
 def test_scoped_search_keeps_to_its_papers(spark):
