@@ -1,17 +1,22 @@
 """A training corpus from raw documents: five stages, each written and read by the next.
 
 A stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one its
-tokens. Nulls, empty texts and repeated rows follow the operators' definitions.
+tokens. Each works on all rows that the one before has kept.
+
+Defined results, for every stage: a null text counts as empty, which no language is told for, so
+the first stage drops it; rows without an id are judged by their text like others, and at most one
+row of a near-duplicate component stays; repeated rows are one component; ties go to the smallest
+id; very long texts are read whole; columns beside those of documents are carried, whatever their
+names and types; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, decontaminate, langid, simhash, suffix_dedup
 from paperloom.llm.queries import ranks_path
-from paperloom.llm.tables import spool, table
+from paperloom.llm.tables import release, spool, spooled, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; one row, if rows repeat."""
-    found = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__component")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__component")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each component of fingerprints within two bits one row stays, that of the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +36,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaked = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(spool(leaked, "leaked"), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,13 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.read_ranks(ranks_path()), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
-STAGES = [("language_id", language_stage), ("simhash_near_dedup", near_duplicate_stage), ("suffix_array_dedup", repeat_stage), ("benchmark_decontamination", decontamination_stage), ("byte_bpe", token_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("suffix_array_dedup", repeat_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("byte_bpe", token_stage),
+]
 
 #: The stages embed XXH64, zstandard and BPE, which SQL can't express; tests use brute force.
 ORACLE_SQL = None
@@ -49,8 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = spool(docs, f"pipeline-{name}")
-    return docs
+    first = len(spooled(spark))
+    for name, stage in STAGES[:-1]:
+        docs = spool(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, first, -1)  # what the stage has read and made on its way
+    return STAGES[-1][1](spark, docs, sf_dir)
