@@ -10,7 +10,8 @@ control string can occur in them and the original is always recovered.
 
 Defined results: null text and null role count as empty; a null turn sorts first; equal
 turn numbers are ordered by role, then text; repeated rows stay; rows with a null
-conversation id form one conversation; an empty table gives no rows.
+conversation id form one conversation; a very long text is one string of the row that holds its
+conversation; other columns, of any name, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

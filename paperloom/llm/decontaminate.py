@@ -2,21 +2,26 @@
 
 An item leaks into a document if some window of it has edit similarity of at least
 ``similarity`` (1 - distance / item length, over lower-cased text with single spaces, in UTF-8
-bytes). Places are looked at where a document and an item share at least ``SEEDS`` places, or
-one for each ``SPREAD`` bytes of a longer item, with equal ``GRAM``-byte strings on neighbouring
-diagonals. For items of more than ``DIRECT`` bytes, item-sized windows there, ``APART`` bytes from
-each other, are embedded by CGK random walks, which turn a small edit distance into a small
-Hamming distance; every repetition samples a few positions of its walk, and a window and an item
-that agree on all of them in any repetition are candidates. Repetitions are as many as reach
-``recall`` for windows whose walks agree on ``agree`` of their positions. For shorter items,
-every such place is a candidate. Candidates are verified exactly, many at a time in a band of
-diagonals, and what is left by a bit-parallel approximate match.
+bytes). Item-sized windows are embedded by CGK random walks, which turn a small edit distance
+into a small Hamming distance: a walk reads a byte at every step and a random function of step
+and byte tells whether it moves on. Every repetition walks anew and samples a few of its steps; a
+window and an item that read the same bytes at all of them in any repetition are candidates, and
+only those are verified, exactly: many at a time in a band of diagonals, and what is left by a
+bit-parallel approximate match. Repetitions are as many as reach ``recall`` for windows whose walks
+agree on ``agree`` of their steps. A walk is stopped at its first sampled step where the bytes differ.
+
+To embed every window of every document would take some thousand times longer than reading them.
+A window is embedded if, within as many diagonals as the item may have edits, document and item
+share enough ``GRAM``-byte strings, whole or parted by one edit: ``SEEDS``, or one for each
+``SPREAD`` bytes of a longer item. Windows of one place are ``APART`` bytes from each other.
 
 The items are read in blocks of at most ``block_bytes``; each block goes over all documents.
 
-Defined results: null and empty texts and items match nothing; items shorter than ``SHORT``
-bytes are looked for by pieces of which one must be left as it is; repeated documents are reported each, repeated items by
-their smallest id; an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts and items match nothing; null ids are reported like others;
+items shorter than ``SHORT`` bytes are looked for by pieces of which one must be left as it is;
+repeated documents are reported each, repeated items by their smallest id; of several matches of
+an item in a document the one of least distance is told, the first of equals; very long texts are
+read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, SEEDS, SPREAD, DIRECT, APART, SHORT = 8, 2, 10, 512, 4, 32
+GRAM, SEEDS, SPREAD, APART, SHORT = 8, 2, 10, 8, 32
 U64 = np.uint64
 
 
@@ -107,27 +112,68 @@ def within(items: list[bytes], parts: list[bytes], slack: np.ndarray) -> np.ndar
 
 
 class Walks:
-    """CGK embeddings of byte windows and their sampled signatures."""
+    """CGK embeddings of byte windows, read at the sampled steps of every repetition."""
 
     def __init__(self, recall: float, agree: float, sampled: int, seed: int = 7):
         self.times = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled)))
-        draw = np.random.default_rng(seed)
-        self.share, self.seed = draw.random((self.times, sampled)), seed
-
-    def signatures(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """n x repetitions numbers; rows hold the windows, zero beyond their lengths."""
-        n, width = rows.shape
-        steps = 2 * width
-        odd = np.random.default_rng(self.seed + 1).integers(1, 1 << 31, (steps, self.times), dtype=np.uint32) | np.uint32(1)
-        places = (self.share[None] * 2 * lengths[:, None, None]).astype(np.int64)
-        rows = np.concatenate([rows, np.zeros((n, 1), np.uint8)], axis=1)
-        at, who = np.zeros((n, self.times), np.int64), np.arange(n)[:, None]
-        seen = np.zeros((steps, n, self.times), np.uint8)
-        for j in range(steps):
-            seen[j] = c = rows[who, at]
-            at = np.minimum(at + ((((c.astype(np.uint32) + np.uint32(1)) * odd[j]) >> np.uint32(15)) & np.uint32(1)), width)
-        got = seen[np.minimum(places, steps - 1), np.arange(n)[:, None, None], np.arange(self.times)[None, :, None]].astype(np.int64)
-        return (got << (8 * np.arange(got.shape[2]))).sum(axis=2)
+        self.seed, self.held = seed, []
+        self.share = np.sort(np.random.default_rng(seed).random((self.times, sampled)), axis=1)
+
+    def moves(self, step: int, kept: int = 1024) -> np.ndarray:
+        """Whether a walk moves on, by repetition and byte; never past the end of a window. The tables
+        of the first steps are kept."""
+        if step < len(self.held):
+            return self.held[step]
+        table = np.random.default_rng((self.seed, step)).integers(0, 2, (self.times, 256), np.uint8)
+        table[:, 0] = 0
+        if step == len(self.held) < kept:
+            self.held.append(table.ravel())
+        return table.ravel()
+
+    def steps(self, lengths: np.ndarray, sample: int) -> np.ndarray:
+        """The step of a repetition's ``sample``-th reading (rows: lengths; columns: repetitions)."""
+        return (self.share[:, sample] * 2 * lengths[:, None]).astype(np.int64)
+
+    def read(self, flat: np.ndarray, at: np.ndarray, times: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The byte that each walk, of a repetition ``times`` from a place ``at``, reads at a step."""
+        order = np.argsort(step, kind="stable")
+        place, row, step = at[order].astype(np.int32), (times[order] * 256).astype(np.int32), step[order]
+        cut = np.searchsorted(step, np.arange(int(step[-1]) + 2)) if len(step) else [0]
+        out = np.zeros(len(step), np.uint8)
+        for j in range(len(cut) - 1):
+            live = slice(cut[j], None)
+            byte = flat.take(place[live])
+            out[cut[j] : cut[j + 1]] = byte[: cut[j + 1] - cut[j]]
+            place[live] += self.moves(j).take(row[live] + byte)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def samples(self, windows: list[bytes]) -> np.ndarray:
+        """What each repetition reads (windows x repetitions x samples)."""
+        lengths = np.array([len(w) for w in windows], np.int64)
+        flat = np.frombuffer(b"".join(w + b"\0" for w in windows) or b"\0", np.uint8)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        n, out = len(windows), np.zeros((len(windows), *self.share.shape), np.uint8)
+        times = np.tile(np.arange(self.times), n)
+        for k in range(self.share.shape[1]):
+            out[:, :, k] = self.read(flat, np.repeat(starts, self.times), times, self.steps(lengths, k).ravel()).reshape(n, self.times)
+        return out
+
+    def alike(self, windows: list[bytes], lengths: np.ndarray, item: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which windows read what their item (a row of ``own``) does in some repetition. lengths: of
+        the items; a window is as long, or shorter where the text ends."""
+        flat = np.frombuffer(b"".join(w + b"\0" for w in windows) or b"\0", np.uint8)
+        size = np.array([len(w) + 1 for w in windows], np.int64)
+        starts = np.cumsum(size) - size
+        who, times = np.repeat(np.arange(len(windows)), self.times), np.tile(np.arange(self.times), len(windows))
+        for k in range(self.share.shape[1]):
+            step = (self.share[times, k] * 2 * lengths[who]).astype(np.int64)
+            same = self.read(flat, starts[who], times, step) == own[item[who], times, k]
+            who, times = who[same], times[same]
+        out = np.zeros(len(windows), bool)
+        out[who] = True
+        return out
 
 
 class Index:
@@ -135,8 +181,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], similarity: float, recall: float, agree: float, sampled: int):
         self.items, self.similarity = items, similarity
-        self.walks = Walks(recall, agree, sampled)
         self.lengths = np.array([len(t) for _, t in items], np.int64)
+        self.walks = Walks(recall, agree, sampled)
         self.slack = np.floor(self.lengths * (1 - similarity) + 1e-9).astype(np.int64)
         self.seeds = np.where(self.lengths < SHORT, 1, np.maximum(SEEDS, self.lengths // SPREAD))
         hashes, item, offset = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -150,7 +196,7 @@ class Index:
         h, self.item, self.offset = h[order], np.concatenate(item)[order], np.concatenate(offset)[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         self.hash, self.first, self.count = h[first], first, np.diff(np.append(first, len(h)))
-        self.bits = 20
+        self.bits = 22
         self.known = np.zeros(1 << self.bits, bool)
         self.known[h >> U64(64 - self.bits)] = True
         self.short = [(k, t) for k, (_, t) in enumerate(items) if 0 < len(t) < SHORT and not self.slack[k]]
@@ -158,17 +204,7 @@ class Index:
         for k, (_, t) in enumerate(items):
             if len(t) < SHORT and (n := int(self.slack[k]) + 1) > 1:  # n - 1 edits leave one of n pieces as it is
                 self.pieces += [(k, i * len(t) // n, t[i * len(t) // n : (i + 1) * len(t) // n]) for i in range(n)]
-        self.own = self.signed(np.arange(len(items)), [t for _, t in items]) if items else None
-
-    def signed(self, item: np.ndarray, windows: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(windows), self.walks.times), np.int64)
-        by = np.argsort(self.lengths[item], kind="stable")
-        for lo in range(0, len(by), 256):
-            part = by[lo : lo + 256]
-            width = int(self.lengths[item[part]].max())
-            rows = np.frombuffer(b"".join(windows[i][:width].ljust(width, b"\0") for i in part.tolist()), np.uint8).reshape(-1, width)
-            out[part] = self.walks.signatures(rows, self.lengths[item[part]])
-        return out
+        self.own = self.walks.samples([t for _, t in items])
 
     def windows(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Item, document number, place and group of each window where enough grams are shared; a
@@ -194,20 +230,25 @@ class Index:
         item, place, doc = item[order], place[order], doc[order]
         if not len(item):
             return item, doc, place, item
-        far = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > self.slack[item[1:]])
-        group = np.cumsum(np.concatenate([[False], far]))
-        keep = np.bincount(group)[group] >= self.seeds[item]
-        keep &= np.concatenate([[True], far | (place[1:] != place[:-1])])
+        item, doc, place = self.dense(item, doc, place)
+        other = np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > self.slack[item[1:]])])[: len(item)]
+        group = np.cumsum(other)
+        low = place[np.flatnonzero(other)][group - 1] if len(item) else place
+        step = (place - low) // APART
+        keep = other | (np.diff(step, prepend=0) != 0)
         return item[keep], doc[keep], place[keep], group[keep]
 
-    def alike(self, texts: list[bytes], item: np.ndarray, doc: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """The groups of long items with a window that has a signature of its item."""
-        low = np.minimum.reduceat(place, first := np.flatnonzero(np.diff(group, prepend=-1)))
-        step = (place - np.repeat(low, np.diff(np.append(first, len(group))))) // APART
-        pick = np.diff(group, prepend=-1).astype(bool) | (np.diff(step, prepend=-1) != 0)
-        item, doc, place, group = item[pick], doc[pick], place[pick], group[pick]
-        cut = [texts[d][max(p, 0) : max(p, 0) + n] for d, p, n in zip(doc.tolist(), place.tolist(), self.lengths[item].tolist())]
-        return np.unique(group[(self.signed(item, cut) == self.own[item]).any(axis=1)])
+    def dense(self, item: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted shared strings those with enough others on the diagonals nearby: first in chains,
+        then within the slack on either side."""
+        far = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > self.slack[item[1:]])
+        chain = np.cumsum(np.concatenate([[False], far]))
+        keep = np.bincount(chain)[chain] >= self.seeds[item]
+        item, doc, place, chain = item[keep], doc[keep], place[keep], chain[keep]
+        key = chain * (int(place.max(initial=0)) - min(int(place.min(initial=0)), 0) + 2 * int(self.slack.max(initial=0)) + 1) + place
+        near = np.searchsorted(key, key + self.slack[item], "right") - np.searchsorted(key, key - self.slack[item])
+        keep = near >= self.seeds[item]
+        return item[keep], doc[keep], place[keep]
 
     def leaks(self, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int]]:
         """(text number, item number) -> (distance, end of the match in the text)."""
@@ -221,10 +262,11 @@ class Index:
                     found[d, k] = (0, i + len(t))
         if len(item):
             place -= starts[doc]
-            long = self.lengths[item] > DIRECT
-            if long.any():
-                keep = ~long | np.isin(group, self.alike(texts, item[long], doc[long], place[long], group[long]))
-                item, doc, place, group = item[keep], doc[keep], place[keep], group[keep]
+            cut = [texts[d][max(p, 0) : max(p, 0) + n] for d, p, n in zip(doc.tolist(), place.tolist(), self.lengths[item].tolist())]
+            hit = np.zeros(len(item), bool)
+            for lo in range(0, len(item), 2048):
+                hit[lo : lo + 2048] = self.walks.alike(cut[lo : lo + 2048], self.lengths[item[lo : lo + 2048]], item[lo : lo + 2048], self.own)
+            item, doc, place, group = item[hit], doc[hit], place[hit], group[hit]
             first = np.flatnonzero(np.diff(group, prepend=-1))
             tries, parts = [], []
             for k, d, p, q in zip(item[first].tolist(), doc[first].tolist(), place[first].tolist(), place[np.append(first[1:], len(group)) - 1].tolist()):
@@ -247,32 +289,42 @@ class Index:
         return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, item_id, distance, similarity, match_end: each document's leaked items."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The distinct items, with their smallest ids, in blocks of bounded size."""
     items = benchmark.where("length(text) > 0").groupBy("text").agg(F.min("item_id").alias("item_id"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    out = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # one block
         least: dict[bytes, int] = {}
-        for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0)):
+        for r in sorted(items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0)):
             least.setdefault(normal(r["text"]), r["item_id"])
-        block = [(i, t) for t, i in least.items() if t]
+        yield [(i, t) for t, i in least.items() if t]
+
+
+def _leaks(index: Index, column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
+    """Row, item number, distance and end of each leak; some texts at a time."""
+    texts, first, size = [], 0, 0
+    for k in range(len(column) + 1):
+        if k == len(column) or size > most:
+            for (d, i), (n, e) in sorted(index.leaks(texts).items() if texts else []):
+                yield first + d, i, n, e
+            texts, first, size = [], k, 0
+        if k < len(column):
+            texts.append(normal(column[k].as_py()))
+            size += len(texts[-1])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, item_id, distance, similarity, match_end: each document's leaked items."""
+    out = None
+    for block in _blocks(benchmark, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, similarity, recall, agree, sampled)
             for batch in batches:
-                ids, got = batch.column(0).to_pylist(), []
-                texts, first, size = [], 0, 0
-                for k in range(batch.num_rows + 1):
-                    if k == batch.num_rows or size > 1 << 20:
-                        got += [(ids[first + d], index.items[i][0], n, 1 - n / len(index.items[i][1]), e) for (d, i), (n, e) in sorted((index.leaks(texts) if texts else {}).items())]
-                        texts, first, size = [], k, 0
-                    if k < batch.num_rows:
-                        texts.append(normal(batch.column(1)[k].as_py()))
-                        size += len(texts[-1])
+                ids = batch.column(0).to_pylist()
+                got = [(ids[k], *(index.items[i][0], n, 1 - n / len(index.items[i][1]), e)) for k, i, n, e in _leaks(index, batch.column(1))]
                 cols = list(zip(*got)) or [()] * 5
                 kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "distance", "similarity", "match_end"])
@@ -280,3 +332,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance long, similarity double, match_end long")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows, in all their columns, that hold no item. Rows are judged where they are, so nothing
+    is exchanged and rows without an id are judged like others; a block of items reads what the
+    blocks before it have left."""
+    where = docs.columns.index("text")
+    for block in _blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, similarity, recall, agree, sampled)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for k, *_ in _leaks(index, batch.column(where)):
+                    clean[k] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

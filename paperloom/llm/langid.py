@@ -3,15 +3,18 @@
 For each language a raw-content zstandard dictionary is made of whole sample texts; a text
 is encoded with every dictionary, block by block, and gets the language whose encodings are
 smallest in sum; a narrow margin is measured again by zstandard's closest parse, and if it
-stays narrow the text is rejected. Case, digits and symbols are levelled first. Blocks keep the dictionary's share of the work alike at every text length
-and bound memory; the whole text is always encoded.
+stays narrow the text is rejected. Case, digits and symbols are levelled first. Blocks keep the
+dictionary's share of the work alike at every text length and bound memory; the whole text is
+always encoded.
 
 The sample is bounded: per language the ``sample_docs`` texts of lowest hashed id among those
 of 200 to 8,000 bytes (or, where a language has none, of any length), up to ``dict_bytes``.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected;
-no labelled text at all makes every text ``und``; ties go to the first language in order;
-repeated rows stay; an empty table gives no rows; other columns are ignored.
+no labelled text at all makes every text ``und``; encodings of equal size go to the first language
+in order; a very long text is encoded whole, block by block; null ids are kept and never held out;
+repeated rows stay; an empty table gives no rows; other columns are ignored, or carried by
+``keep_identified``.
 """
 
 from __future__ import annotations

@@ -6,9 +6,11 @@ to the pooled one, then to its diagonal. Cholesky factors are computed once and
 tasks; a score is the logistic of the difference of log densities (Mahalanobis distance and
 log determinant) plus the log prior ratio.
 
-Defined results: null texts count as empty, which is scored like any text; a class without
-rows falls back to the pooled statistics; without labels every score is the prior 0.5;
-repeated rows stay; an empty table gives no rows; other columns are ignored.
+Defined results: null texts count as empty, which is scored like any text; a very long text is
+measured whole; null ids are kept, have no label and are never held out; a class without rows
+falls back to the pooled statistics; without labels every score is the prior 0.5; of several
+labels of an id the lower one counts; equal texts have equal scores; repeated rows stay; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from .tables import spool
 
 NAMES = ("log_bytes", "log_words", "mean_word", "upper", "digits", "symbols", "marks", "other_ascii", "high_bytes", "distinct_words", "top_word", "next_equal", "dup_lines", "line_words")
-PIECE = 1 << 22
 
 
 def _set(chars: str) -> np.ndarray:

@@ -6,9 +6,11 @@ of them and pruned on the last third; rows it covers leave; the next rule is lea
 counts by feature and threshold come to the driver. ``verdict`` is the list as one ordered
 CASE expression.
 
-Defined results: null and wordless texts have zero counts and fail the base rules; a repeated
-row is measured like any other; with no labelled rows the list is empty and keeps all that
-passes the base rules; an empty table gives no rows; other columns are ignored.
+Defined results: null and wordless texts have zero counts and fail the base rules; a very long
+text is measured whole, in its own row; null ids are kept and have no label; a repeated row is
+measured like any other, and of several labels of an id the lower one counts; of thresholds of
+equal gain the first is taken, by feature and value; with no labelled rows the list is empty and
+keeps all that passes the base rules; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

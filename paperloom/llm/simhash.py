@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .tables import join_hot, spool
@@ -120,6 +121,12 @@ def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
     return two.unionByName(some).unionByName(clique)
 
 
+def _grouped(prints: DataFrame, crowd: int) -> DataFrame:
+    """prints(fp, n, and others) with the component of each fingerprint, itself where it is alone."""
+    found = connected_components(links(prints, crowd)).select(F.col("node").alias("fp"), "component")
+    return spool(prints.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-grouped")
+
+
 def near_duplicates(docs: DataFrame, crowd: int = 32) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable over links of two bits or fewer; null
     where no row that is reachable has an id).
@@ -128,9 +135,31 @@ def near_duplicates(docs: DataFrame, crowd: int = 32) -> DataFrame:
     rows without an id link as any others."""
     rows = spool(fingerprints(docs), "simhash-fp")
     prints = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-prints")
-    linked = prints.join(connected_components(links(prints, crowd)).withColumnRenamed("node", "fp"), "fp")
-    linked = spool(linked.select("fp", "component", "least", "n"), "simhash-linked")
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    found = join_hot(linked.select("fp", "component", F.col("n").alias("copies")), spool(least, "simhash-least"), "component")
-    found = prints.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n").unionByName(found.select("fp", "component_id", F.col("copies").alias("n")))
-    return join_hot(rows, spool(found, "simhash-found"), "fp").select("doc_id", "fp", "component_id")
+    grouped = _grouped(prints, crowd)
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = join_hot(grouped.select("fp", "component", F.col("n").alias("copies")), spool(least, "simhash-least"), "component")
+    return join_hot(rows, spool(found.select("fp", "component_id", F.col("copies").alias("n")), "simhash-found"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, crowd: int = 32) -> DataFrame:
+    """One row of each component, in all its columns: that of the smallest id, a row without an id
+    only where none has one; of rows that share it the smallest fingerprint's, then the first.
+
+    Rows are written with a number, so that their columns are exchanged once, to meet the numbers
+    that stay; all else moves fingerprints."""
+    names = docs.columns
+    fp, number = (next(w for w in (stem + "_" * k for k in range(len(names) + 1)) if w not in names) for stem in ("fingerprint", "row_number"))
+    where = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.fromiter((fingerprint(t.as_py()) for t in b.column(where)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made.view(np.int64))], [*names, fp])
+
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
+    rows = spool(docs.mapInArrow(run, schema).withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
+    keys = rows.select("doc_id", F.col(fp).alias("fp"), F.col(number).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row")).alias("first")
+    grouped = _grouped(spool(keys.groupBy("fp").agg(F.count("*").alias("n"), first), "simhash-prints"), crowd)
+    kept = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
+    return rows.join(spool(kept, "simhash-kept"), number, "left_semi").select(*(F.col(f"`{c}`") for c in names))
