@@ -137,14 +137,16 @@ class Walks:
     def read(self, flat: np.ndarray, at: np.ndarray, times: np.ndarray, step: np.ndarray) -> np.ndarray:
         """The byte that each walk, of a repetition ``times`` from a place ``at``, reads at a step."""
         order = np.argsort(step, kind="stable")
-        place, row, step = at[order].astype(np.int32), (times[order] * 256).astype(np.int32), step[order]
+        place, row, step = at[order].astype(np.intp), (times[order] * 256).astype(np.intp), step[order]
         cut = np.searchsorted(step, np.arange(int(step[-1]) + 2)) if len(step) else [0]
         out = np.zeros(len(step), np.uint8)
+        cut, spare = [int(c) for c in cut], np.empty_like(row)
         for j in range(len(cut) - 1):
-            live = slice(cut[j], None)
-            byte = flat.take(place[live])
-            out[cut[j] : cut[j + 1]] = byte[: cut[j + 1] - cut[j]]
-            place[live] += self.moves(j).take(row[live] + byte)
+            a, z = cut[j], cut[j + 1]
+            byte = flat.take(place[a:], mode="clip")
+            out[a:z] = byte[: z - a]
+            seen = np.add(row[z:], byte[z - a :], out=spare[z:])
+            place[z:] += self.moves(j).take(seen, mode="clip")
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -198,7 +200,11 @@ class Index:
         self.hash, self.first, self.count = h[first], first, np.diff(np.append(first, len(h)))
         self.bits = 22
         self.known = np.zeros(1 << self.bits, bool)
-        self.known[h >> U64(64 - self.bits)] = True
+        top = self.hash >> U64(64 - self.bits)
+        self.known[top] = True
+        self.slot = np.zeros(1 << self.bits, np.int32)  # the first hash with these leading bits
+        self.slot[top[::-1]] = np.arange(len(top), dtype=np.int32)[::-1]
+        self.depth = int(np.unique(top, return_counts=True)[1].max(initial=0))
         self.short = [(k, t) for k, (_, t) in enumerate(items) if 0 < len(t) < SHORT and not self.slack[k]]
         self.pieces = []
         for k, (_, t) in enumerate(items):
@@ -212,11 +218,13 @@ class Index:
         found = []
         for gap in (0, 1):
             h = grams(np.frombuffer(data, np.uint8), gap)
-            at = np.flatnonzero(self.known[h >> U64(64 - self.bits)])
-            e, h = np.minimum(np.searchsorted(self.hash, h[at]), max(len(self.hash) - 1, 0)), h[at]
-            ok = self.hash[e] == h if len(self.hash) else np.zeros(len(at), bool)
-            found.append((at[ok], e[ok]))
-        at, e = (np.concatenate(x) for x in zip(*found))
+            top = h >> U64(64 - self.bits)
+            at = np.flatnonzero(self.known.take(top))
+            h, e = h[at], self.slot.take(top[at]).astype(np.int64)
+            for k in range(self.depth):
+                ok = (e + k < len(self.hash)) & (self.hash.take(e + k, mode="clip") == h)
+                found.append((at[ok], e[ok] + k))
+        at, e = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *found))
         n = self.count[e]
         entry = np.repeat(self.first[e], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, place = self.item[entry], np.repeat(at, n) - self.offset[entry]
@@ -225,9 +233,14 @@ class Index:
             more = [(k, i, i - o) for k, o, piece in self.pieces for i in _places(data, piece)]
             k, i, o = np.array(more, np.int64).reshape(-1, 3).T
             item, at, place = np.concatenate([item, k]), np.concatenate([at, i]), np.concatenate([place, o])
+        # sorted by document, item and place as one number: places begin before a text by an item's length at most
         doc = np.searchsorted(starts, at, side="right") - 1
-        order = np.lexsort((place, item, doc))
-        item, place, doc = item[order], place[order], doc[order]
+        least = int(place.min(initial=0))
+        wide = int(place.max(initial=0)) - least + 1
+        key = np.sort((doc * len(self.items) + item) * wide + (place - least))
+        owner, place = np.divmod(key, wide)
+        doc, item = np.divmod(owner, len(self.items))
+        place += least
         if not len(item):
             return item, doc, place, item
         item, doc, place = self.dense(item, doc, place)
