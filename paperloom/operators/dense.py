@@ -1,4 +1,12 @@
-"""Exact dense top-k: a stated query set against all vectors, block by block."""
+"""Exact dense top-k: a stated query set against all vectors, block by block.
+
+Where the queries are a fixed part of the vectors, the pairs of blocks grow with the square of the
+input; each keeps only its best, so what is exchanged grows with the blocks.
+
+Defined results: null and empty vectors are no candidates and ask nothing; a zero vector has cosine
+0; equal scores, to nine digits, go by id; repeated rows are ranked each; all vectors have one
+width; empty tables give no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 

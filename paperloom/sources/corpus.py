@@ -1,4 +1,8 @@
-"""Page text of papers made from a table of documents: the same in every SQL dialect."""
+"""Page text of papers made from a table of documents: the same in every SQL dialect.
+
+Defined results: a null text is an empty line of its page; repeated documents are papers of one
+id; an empty table gives no pages; other columns are ignored.
+"""
 
 from __future__ import annotations
 

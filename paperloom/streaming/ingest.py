@@ -1,4 +1,8 @@
-"""Arriving page text, segmented and merged into the stored paragraphs batch by batch."""
+"""Arriving page text, segmented and merged into the stored paragraphs batch by batch.
+
+Defined results: a paper that comes again replaces its paragraphs as a whole; one without text has
+none; a batch that runs again replaces what it wrote; no files give no batch.
+"""
 
 from __future__ import annotations
 
