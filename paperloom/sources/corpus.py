@@ -10,11 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _HEAD = "CASE WHEN doc_id % 13 = 0 THEN '' ELSE '{0}' END"
-TITLE = "CASE WHEN doc_id % 17 = 3 THEN concat('Study ', doc_id) WHEN doc_id % 9 = 5 THEN concat('Study ', doc_id, ' of Learned Sequence Models in Long and Careful Settings') ELSE concat('Study ', doc_id, ' of Learned Sequence Models') END"
+TITLE = (
+    "CASE WHEN doc_id % 17 = 3 THEN concat('Study ', doc_id) "
+    "WHEN doc_id % 9 = 5 THEN concat('Study ', doc_id, ' of Learned Sequence Models in Long and Careful Settings') "
+    "ELSE concat('Study ', doc_id, ' of Learned Sequence Models') END"
+)
 PAGE_1 = ", ".join(
     [
         f"{TITLE}",
-        "CASE doc_id % 8 WHEN 0 THEN 'Alice Researcher, Bob Scientist' WHEN 1 THEN 'Institute of Text and Speech' WHEN 2 THEN 'Alice Researcher and Bob Scientist' WHEN 3 THEN 'Carol Ng; Dan Roe, Eve Poe' WHEN 4 THEN 'Author 1, Author 2' WHEN 5 THEN '" + ", ".join(f"Ann {c}x" for c in "ABCDEFGHIJKLMNOPQRSTUVW") + "' WHEN 6 THEN 'Journal of Things, Mary Major' ELSE 'Solo Writer' END",
+        "CASE doc_id % 8 WHEN 0 THEN 'Alice Researcher, Bob Scientist' WHEN 1 THEN 'Institute of Text and Speech' "
+        "WHEN 2 THEN 'Alice Researcher and Bob Scientist' WHEN 3 THEN 'Carol Ng; Dan Roe, Eve Poe' WHEN 4 THEN 'Author 1, Author 2' "
+        "WHEN 5 THEN '" + ", ".join(f"Ann {c}x" for c in "ABCDEFGHIJKLMNOPQRSTUVW") + "' "
+        "WHEN 6 THEN 'Journal of Things, Mary Major' ELSE 'Solo Writer' END",
         "CASE WHEN doc_id % 16 = 1 THEN 'Nora Next and Otto Other' ELSE 'Institute of Text' END",
         "CASE WHEN doc_id % 3 = 0 THEN concat('arXiv: ', 1700 + doc_id % 900, '.12345') WHEN doc_id % 3 = 1 THEN 'Published 2019, revised 2021 10.1234/abc.5' ELSE '' END",
         "''",
@@ -32,10 +39,14 @@ PAGE_2 = ", ".join(
         "concat('We use a ', 4 + doc_id % 9, '-layer transformer with ', 2 + doc_id % 7, ' attention heads and hidden size 512.')",
         "CASE WHEN doc_id % 2 = 0 THEN 'We optimize with Adam at learning rate 3e-4, batch size 32, for 100 epochs with dropout 0.1.' ELSE 'We use SGD at learning rate 1e-2.' END",
         "concat('Training uses the ', CASE WHEN doc_id % 4 = 0 THEN 'WMT14' WHEN doc_id % 4 = 1 THEN 'CIFAR-10' WHEN doc_id % 8 = 2 THEN 'Multi-News5' ELSE 'Corpora22' END, ' dataset.')",
-        "CASE doc_id % 5 WHEN 0 THEN concat('Experiments run on ', 1 + doc_id % 8, 'xV100 GPUs.') WHEN 1 THEN 'It takes 4 x NVIDIA A100 in all.' WHEN 2 THEN concat('We train on TPU v', 2 + doc_id % 3, ' x 8 for 12 GPU-hours.') ELSE '' END",
+        "CASE doc_id % 5 WHEN 0 THEN concat('Experiments run on ', 1 + doc_id % 8, 'xV100 GPUs.') WHEN 1 THEN 'It takes 4 x NVIDIA A100 in all.' "
+        "WHEN 2 THEN concat('We train on TPU v', 2 + doc_id % 3, ' x 8 for 12 GPU-hours.') ELSE '' END",
         "''",
         "CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 11 = 4 THEN 'Results of our evaluation over many tasks are good and steady across all runs' ELSE '3. Results' END",
-        "CASE doc_id % 4 WHEN 2 THEN concat('Perplexity of 3 runs goes from ', 30 + doc_id % 9, ' to ', 28 + doc_id % 11, '.25 on PTB test.') WHEN 3 THEN concat('The final accuracy is ', 80 + doc_id % 15, '.125 over 3 runs on ImageNet, 2 below the best.') ELSE concat('BLEU score moves from ', 20 + doc_id % 6, '.5 to ', 22 + doc_id % 4, '.5 on ', CASE WHEN doc_id % 12 = 1 THEN 'WMT-14' ELSE 'WMT14' END, ' newstest.') END",
+        "CASE doc_id % 4 WHEN 2 THEN concat('Perplexity of 3 runs goes from ', 30 + doc_id % 9, ' to ', 28 + doc_id % 11, '.25 on PTB test.') "
+        "WHEN 3 THEN concat('The final accuracy is ', 80 + doc_id % 15, '.125 over 3 runs on ImageNet, 2 below the best.') "
+        "ELSE concat('BLEU score moves from ', 20 + doc_id % 6, '.5 to ', 22 + doc_id % 4, '.5 on ', "
+        "CASE WHEN doc_id % 12 = 1 THEN 'WMT-14' ELSE 'WMT14' END, ' newstest.') END",
         "CASE WHEN doc_id % 6 = 2 THEN '' ELSE ' ' END",
         "CASE WHEN doc_id % 6 = 2 THEN concat('An F1 of ', doc_id % 100, '.5 on SQuAD dev is as good. It holds up.') ELSE '' END",
         "''",
