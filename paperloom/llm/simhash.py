@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .tables import join_hot, spool
@@ -143,23 +142,21 @@ def near_duplicates(docs: DataFrame, crowd: int = 32) -> DataFrame:
 
 def keep_one(docs: DataFrame, crowd: int = 32) -> DataFrame:
     """One row of each component, in all its columns: that of the smallest id, a row without an id
-    only where none has one; of rows that share it the smallest fingerprint's, then the first.
+    only where none has one; of rows that share it the smallest fingerprint's.
 
-    Rows are written with a number, so that their columns are exchanged once, to meet the numbers
-    that stay; all else moves fingerprints."""
+    A digest of id and text stands for a row until the end, so texts are exchanged once, to meet the
+    digests that stay; repeated rows share one, and the first of them is taken there."""
     names = docs.columns
-    fp, number = (next(w for w in (stem + "_" * k for k in range(len(names) + 1)) if w not in names) for stem in ("fingerprint", "row_number"))
-    where = names.index("text")
+    key = next(w for w in ("row_digest" + "_" * k for k in range(len(names) + 1)) if w not in names)
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.fromiter((fingerprint(t.as_py()) for t in b.column(where)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made.view(np.int64))], [*names, fp])
-
-    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
-    rows = spool(docs.mapInArrow(run, schema).withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
-    keys = rows.select("doc_id", F.col(fp).alias("fp"), F.col(number).alias("row"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row")).alias("first")
-    grouped = _grouped(spool(keys.groupBy("fp").agg(F.count("*").alias("n"), first), "simhash-prints"), crowd)
-    kept = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
-    return rows.join(spool(kept, "simhash-kept"), number, "left_semi").select(*(F.col(f"`{c}`") for c in names))
+            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "key"])
+
+    rows = spool(keyed.select("doc_id", "text", key).mapInArrow(run, "doc_id long, fp long, key binary"), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "key")).alias("first")
+    grouped = _grouped(spool(rows.groupBy("fp").agg(F.count("*").alias("n"), first), "simhash-prints"), crowd)
+    kept = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(spool(kept, "simhash-kept"), key, "left_semi").dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in names))

@@ -35,6 +35,32 @@ def given(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
+def test_spooled_tables_go_when_released(spark, docs, monkeypatch):
+    import glob
+
+    from paperloom.llm import tables
+
+    first = len(tables.spooled(spark))
+    held = tables.spool(docs.select("doc_id"), "probe")
+    path = tables.spooled(spark)[-1]
+    assert held.count() == docs.count() and glob.glob(path.removeprefix("file://") + "/*.parquet")
+    tables.release(spark, first)
+    assert len(tables.spooled(spark)) == first and not glob.glob(path.removeprefix("file://"))
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from paperloom.llm import tables
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(session)
+    context.getCheckpointDir = lambda: "hdfs://shared/"
+    assert tables.shared_dir(session) == "hdfs://shared"
+
+
 # 1 sharding
 
 
