@@ -15,11 +15,13 @@ A window is embedded if, within as many diagonals as the item may have edits, do
 share enough ``GRAM``-byte strings, whole or parted by one edit: ``SEEDS``, or one for each
 ``SPREAD`` bytes of a longer item. Windows of one place are ``APART`` bytes from each other.
 
-The items are read in blocks of at most ``block_bytes``; each block goes over all documents.
+The items are read in blocks of about ``block_bytes``; each block goes over all documents. Its
+index, some sixty times its bytes, is built once and broadcast.
 
 Defined results: null and empty texts and items match nothing; null ids are reported like others;
 items shorter than ``SHORT`` bytes are looked for by pieces of which one must be left as it is;
-repeated documents are reported each, repeated items by their smallest id; of several matches of
+a group of texts whose candidates the walks all refuse has no leaks, so results do not depend on
+how rows are partitioned; repeated documents are reported each, repeated items by their smallest id; of several matches of
 an item in a document the one of least distance is told, the first of equals; very long texts are
 read whole; an empty table gives no rows; other columns are ignored.
 """
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,9 +283,10 @@ class Index:
             for lo in range(0, len(item), 2048):
                 hit[lo : lo + 2048] = self.walks.alike(cut[lo : lo + 2048], self.lengths[item[lo : lo + 2048]], item[lo : lo + 2048], self.own)
             item, doc, place, group = item[hit], doc[hit], place[hit], group[hit]
-            first = np.flatnonzero(np.diff(group, prepend=-1))
+            first = np.flatnonzero(np.diff(group, prepend=-1))  # none where the walks refuse all windows
+            last = np.append(first[1:], len(group))[: len(first)] - 1
             tries, parts = [], []
-            for k, d, p, q in zip(item[first].tolist(), doc[first].tolist(), place[first].tolist(), place[np.append(first[1:], len(group)) - 1].tolist()):
+            for k, d, p, q in zip(item[first].tolist(), doc[first].tolist(), place[first].tolist(), place[last].tolist()):
                 t, slack, text = self.items[k][1], int(self.slack[k]), texts[d]
                 if (d, k) in found:
                     continue
@@ -302,8 +306,8 @@ class Index:
         return found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The distinct items, with their smallest ids, in blocks of bounded size."""
+def _indexes(benchmark: DataFrame, similarity: float, recall: float, agree: float, sampled: int, block_bytes: int) -> Iterator[Broadcast[Index]]:
+    """The distinct items, with their smallest ids, as indexes over blocks of bounded size."""
     items = benchmark.where("length(text) > 0").groupBy("text").agg(F.min("item_id").alias("item_id"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
@@ -311,7 +315,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         least: dict[bytes, int] = {}
         for r in sorted(items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0)):
             least.setdefault(normal(r["text"]), r["item_id"])
-        yield [(i, t) for t, i in least.items() if t]
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(i, t) for t, i in least.items() if t], similarity, recall, agree, sampled))
 
 
 def _leaks(index: Index, column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
@@ -327,14 +331,13 @@ def _leaks(index: Index, column: pa.Array, most: int = 1 << 20) -> Iterator[tupl
             size += len(texts[-1])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, item_id, distance, similarity, match_end: each document's leaked items."""
     out = None
-    for block in _blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for sent in _indexes(benchmark, similarity, recall, agree, sampled, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, similarity, recall, agree, sampled)
+            index = sent.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 got = [(ids[k], *(index.items[i][0], n, 1 - n / len(index.items[i][1]), e)) for k, i, n, e in _leaks(index, batch.column(1))]
@@ -347,16 +350,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, agree: float = 0.3, sampled: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
     """The rows, in all their columns, that hold no item. Rows are judged where they are, so nothing
     is exchanged and rows without an id are judged like others; a block of items reads what the
     blocks before it have left."""
     where = docs.columns.index("text")
-    for block in _blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for sent in _indexes(benchmark, similarity, recall, agree, sampled, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, similarity, recall, agree, sampled)
+            index = sent.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for k, *_ in _leaks(index, batch.column(where)):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
-from .tables import spool, table
+from .tables import scope, spool, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,8 +23,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scope(spark):
+        found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+        return spool(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "op2")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,57 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: dict[str, list[str]] = {}
+from ..sources.staged import release_all_but_last, scope, shared_dir
+from ..sources.staged import staged as spool
+
+__all__ = ["join_hot", "release_all_but_last", "scope", "shared_dir", "spool", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, a session whose tasks all run in
-    the driver's process gets one of its own; a cluster must name one, as a folder of one machine
-    would be lost with it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def spooled(spark: SparkSession) -> list[str]:
-    """The tables that this application has spooled and not released, oldest first."""
-    return _written.setdefault(spark.sparkContext.applicationId, [])
-
-
-def spool(df: DataFrame, tag: str) -> DataFrame:
-    """Write a stage's rows to the shared folder and read them back: the lineage ends
-    at files that outlive any executor, and a result used twice is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spooled(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, start: int = 0, stop: int | None = None) -> None:
-    """Delete spooled tables, by their places in ``spooled``, once nothing reads them any more."""
-    held = spooled(spark)
-    for path in held[start:stop]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del held[start:stop]
-
-
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, parts: int = 1000) -> DataFrame:
     """Inner join of rows with keyed, which has one row a key and in ``n`` the number of rows that
     have it. Keys with over 1/parts of these rows, fewer than ``parts`` whatever the input, are

@@ -35,17 +35,33 @@ def given(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
-def test_spooled_tables_go_when_released(spark, docs, monkeypatch):
-    import glob
+def test_tables_of_a_scope_go_by_name(spark, docs):
+    import os
+    import threading
 
     from paperloom.llm import tables
 
-    first = len(tables.spooled(spark))
-    held = tables.spool(docs.select("doc_id"), "probe")
-    path = tables.spooled(spark)[-1]
-    assert held.count() == docs.count() and glob.glob(path.removeprefix("file://") + "/*.parquet")
-    tables.release(spark, first)
-    assert len(tables.spooled(spark)) == first and not glob.glob(path.removeprefix("file://"))
+    there = lambda path: os.path.isdir(path.removeprefix("file://"))
+    other = []
+
+    def beside():
+        with tables.scope(spark) as made:
+            tables.spool(docs.select("doc_id"), "beside")
+            other.extend(made)
+
+    with tables.scope(spark) as outer:
+        with tables.scope(spark) as made:
+            tables.spool(docs.select("doc_id"), "probe")
+            thread = threading.Thread(target=beside)
+            thread.start(), thread.join()
+            held = tables.spool(docs.select("text"), "probe")
+            first, last = made
+        assert outer == [last] and not there(first) and there(last) and there(other[0])
+        assert held.count() == docs.count()
+    with pytest.raises(ZeroDivisionError), tables.scope(spark) as made:
+        tables.spool(docs.select("doc_id"), "probe")
+        1 / 0  # noqa: B018
+    assert not there(made[0])
 
 
 def test_a_cluster_must_name_a_shared_folder():
@@ -702,3 +718,40 @@ def test_banded_decision_equals_edits():
     got = decontaminate.within(items, parts, slack)
     want = np.array([decontaminate.edits(t, p)[0] <= k for t, p, k in zip(items, parts, slack.tolist())])
     assert want.any() and not want.all() and (got == want).all()
+
+
+def refused(draw):
+    """Items, and texts that share two 8-byte strings with one: candidates that no walk accepts."""
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(30) for _ in range(12)]
+    return items, [prose(8) + t[40:49] + prose(3)[:12] + t[58:75] + prose(8) for t in items] + [prose(20) for _ in range(4)]
+
+
+def test_texts_whose_candidates_are_all_refused():
+    items, texts = refused(random.Random(3))
+    index = decontaminate.Index([(i, decontaminate.normal(t)) for i, t in enumerate(items)], 0.8, 0.95, 0.3, 2)
+    texts = [decontaminate.normal(t) for t in texts]
+    assert sum(len(index.windows(t + b"\n", np.array([0]))[0]) > 0 for t in texts) >= 6
+    assert all(index.leaks([t]) == {} for t in texts) and index.leaks(texts) == {}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_leaks_do_not_depend_on_partitions(spark, parts):
+    items, texts = refused(random.Random(3))
+    rows = list(enumerate(texts + ["by the way " + items[4] + " and so on", items[7].upper()]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(16, 4), (17, 7)}
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == set(range(16))
+
+
+@pytest.mark.parametrize("parts", [1, 16, 200])
+def test_leaks_of_the_small_corpus_in_any_partitions(spark, parts):
+    where = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/benchmark.parquet")
+    found = decontaminate.contaminated(docs.repartition(parts), bench).collect()
+    assert LEAKS.setdefault("rows", sorted(map(tuple, found))) == sorted(map(tuple, found)) and found
+
+
+LEAKS: dict[str, list] = {}
