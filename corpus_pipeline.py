@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import bpe, decontaminate, langid, simhash, suffix_dedup
 from paperloom.llm.queries import ranks_path
-from paperloom.llm.tables import release, spool, spooled, table
+from paperloom.llm.tables import release_all_but_last, scope, spool, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    first = len(spooled(spark))
-    for name, stage in STAGES[:-1]:
-        docs = spool(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark, first, -1)  # what the stage has read and made on its way
+    with scope(spark) as made:
+        for name, stage in STAGES[:-1]:
+            docs = spool(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            release_all_but_last(spark, made)  # what the stage has read and made on its way
     return STAGES[-1][1](spark, docs, sf_dir)
