@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
+from . import bpe, chat, decontaminate, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
 from .tables import scope, spool, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def ranks_path() -> str:
@@ -17,6 +18,12 @@ def ranks_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
+def words_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORDS)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack(table(spark, sf_dir, "documents"), shards=8)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
@@ -76,7 +83,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_suffix_dedup, op8_quality_classifier, op9_chat_format, op10_decontamination)}
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode(table(spark, sf_dir, "documents"), word_bpe.read_tokenizer(words_path()), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_suffix_dedup, op8_quality_classifier, op9_chat_format, op10_decontamination, op11_word_bpe)}
 
 ORACLE_SQL = {
     "op7_suffix_dedup": r"""

@@ -9,9 +9,9 @@ import pytest
 import xxhash
 from fixtures import documents, texts
 
-from paperloom.llm import bpe, chat, decontaminate, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
+from paperloom.llm import bpe, chat, decontaminate, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
 from paperloom.llm.components import connected_components
-from paperloom.llm.queries import ranks_path
+from paperloom.llm.queries import QUERIES, ranks_path, words_path
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -755,3 +755,66 @@ def test_leaks_of_the_small_corpus_in_any_partitions(spark, parts):
 
 
 LEAKS: dict[str, list] = {}
+
+
+# 11 BPE with word ends
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(words_path())
+
+
+@pytest.fixture(scope="module")
+def word_coder():
+    return word_bpe.Coder(word_bpe.read_tokenizer(words_path()))
+
+
+def as_library(library, coder, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    return np.frombuffer(coder.encode(text), "<u4").tolist() == ids and coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_word_bpe_equals_the_library_and_decodes(spark, docs, empty, library):
+    content = word_bpe.read_tokenizer(words_path())
+    rows = texts() + ["<|startoftext|>a<|endoftext|><|endoftext|", "ΣΑΣ İI ﬁ A\u030a \x1c\x85\u3000 We'LL ''sam", "\u105c0 \U000105c0x \U00010d50"]
+    got = {r.doc_id: r for r in word_bpe.encode(documents(spark, list(enumerate(rows))), content, tuple(word_bpe.FIELDS)).collect()}
+    for k, t in enumerate(rows):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        said = library.decode(ids, skip_special_tokens=False)
+        assert got[k].ids == ids and got[k].n_tokens == len(ids) and got[k].decoded == said
+        assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[k].decoded_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert word_bpe.encode(docs, content).count() == docs.count() and word_bpe.encode(empty, content).count() == 0
+    tokens = word_bpe.encode(docs, content, ("ids", "decoded"))
+    assert [r.decoded for r in word_bpe.decode_ids(tokens, content).collect()] == [r.decoded for r in tokens.collect()]
+    assert word_bpe.decode_ids(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), content).first().decoded == ""
+
+
+def test_every_character_is_encoded_as_the_library_does(library, word_coder):
+    assert [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not as_library(library, word_coder, f"a{chr(c)}b1{chr(c)}")] == []
+
+
+def test_random_texts_are_encoded_as_the_library_does(library, word_coder):
+    draw = random.Random(1)
+    signs = [*"abcAΣσs'tTréÉé \n\t\x1c\x85\u3000 123!!-日本한가İ", "<|startoftext|>", "<|endoftext|>", "'ll", "'re", "ing", "tion"]
+    assert all(as_library(library, word_coder, "".join(draw.choices(signs, k=draw.randint(0, 40)))) for _ in range(3000))
+
+
+def test_long_pre_tokens_and_small_caches(library):
+    coder = word_bpe.Coder(word_bpe.read_tokenizer(words_path()), most=2_000)
+    for t in ("ab" * 40_000, "x" * 30_001, " ".join(f"word{k}" for k in [*range(200), *range(200)])):
+        assert as_library(library, coder, t)
+    assert coder.held <= 2_500 and len(coder.old) <= 20
+    coder.clear()
+    assert not coder and not coder.old
+
+
+def test_op11_query(spark, library):
+    rows = {r.doc_id: r for r in QUERIES["op11_word_bpe"](spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for r in docs:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert (rows[r.doc_id].n_tokens, rows[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
