@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
+from . import bpe, chat, decontaminate, importance, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
 from .tables import scope, spool, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -87,7 +87,11 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode(table(spark, sf_dir, "documents"), word_bpe.read_tokenizer(words_path()), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_suffix_dedup, op8_quality_classifier, op9_chat_format, op10_decontamination, op11_word_bpe)}
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_suffix_dedup, op8_quality_classifier, op9_chat_format, op10_decontamination, op11_word_bpe, op12_importance)}
 
 ORACLE_SQL = {
     "op7_suffix_dedup": r"""
@@ -114,4 +118,20 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   (sum(length(x) + case when before is null then length('<|open|>' || r || '<|text|>') when before = role then length('<|next|>') else length('<|close|><|open|>' || r || '<|text|>') end) + length('<|close|>'))::bigint as formatted_chars
 from e group by conv_id""",
+    "op12_importance": r"""
+with tab as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+texts as (select true as own, doc_id, text from documents union all select false, item_id, text from benchmark),
+w as (select own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+f as (select own, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from w),
+bytes as (select f, hex(encode(f)) as h from (select distinct f from f)),
+crc as (select f, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from bytes, tab),
+hits as (select own, doc_id, bucket from f join crc using (f)),
+n as (select bucket, count(*) filter (where own) as s, count(*) filter (where not own) as t from hits group by bucket),
+total as (select sum(s)::double as sa, sum(t)::double as ta from n),
+gain as (select bucket, floor(1000 * ln(((t + 1)::double * (sa + 10000)) / ((s + 1)::double * (ta + 10000))))::bigint as gain from n, total),
+weight as (select doc_id, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight from hits join gain using (bucket) where own group by doc_id),
+noise as (select doc_id, len(w) >= 20 as eligible, floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as noise from w where own),
+scored as (select n.doc_id, eligible, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, coalesce(weight, 0)::bigint + noise as score from noise n left join weight using (doc_id)),
+placed as (select *, row_number() over (partition by eligible order by score desc, doc_id) as place, count(*) filter (where eligible) over () as n from scored)
+select doc_id, n_features, weight, score, case when eligible and place <= 25 * n // 100 then place end as rank from placed""",
 }

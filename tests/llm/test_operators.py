@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from fixtures import documents, texts
 
-from paperloom.llm import bpe, chat, decontaminate, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
+from paperloom.llm import bpe, chat, decontaminate, importance, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
 from paperloom.llm.components import connected_components
 from paperloom.llm.queries import QUERIES, ranks_path, words_path
 
@@ -793,7 +793,8 @@ def test_word_bpe_equals_the_library_and_decodes(spark, docs, empty, library):
 
 
 def test_every_character_is_encoded_as_the_library_does(library, word_coder):
-    assert [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not as_library(library, word_coder, f"a{chr(c)}b1{chr(c)}")] == []
+    signs = [f"a{chr(c)}b1{chr(c)} " for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert [lo for lo in range(0, len(signs), 500) if not as_library(library, word_coder, "".join(signs[lo : lo + 500]))] == []
 
 
 def test_random_texts_are_encoded_as_the_library_does(library, word_coder):
@@ -818,3 +819,67 @@ def test_op11_query(spark, library):
     for r in docs:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert (rows[r.doc_id].n_tokens, rows[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
+# 12 importance resampling
+
+
+def plain_features(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    return len(words), [zlib.crc32(f.encode()) % 10_000 for f in [*words, *map(" ".join, zip(words, words[1:]))]]
+
+
+def plain_resample(rows, target):
+    """doc_id -> (n_features, weight, score, rank), where ids are unique."""
+    import math
+
+    found = {i: plain_features(t) for i, t in rows}
+    s, t = collections.Counter(), collections.Counter()
+    for _, f in found.values():
+        s.update(f)
+    for x in target:
+        t.update(plain_features(x)[1])
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000)))) for b in range(10_000)]
+    out = {}
+    for i, (n, f) in found.items():
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out[i] = (n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+    able = sorted((-score, i is None, i or 0, i) for i, (n, _, _, score) in out.items() if n >= 20)
+    ranks = {i: k + 1 for k, (*_, i) in enumerate(able[: 25 * len(able) // 100])}
+    return {i: (f, w, score, ranks.get(i)) for i, (n, f, w, score) in out.items()}
+
+
+@pytest.mark.parametrize("block", [50, 2 << 20])
+def test_resampling_equals_a_plain_one(spark, empty, block, monkeypatch):
+    monkeypatch.setattr(importance, "BLOCK", block)  # reaches the tasks of a local session's forked workers at least
+    draw = random.Random(4)
+    word = lambda: draw.choice(["Alpha", "beta", "gamma7", "délta", "été", "x", "日本"]) + draw.choice(["", "s", "-", "!", ". "])
+    rows = list(enumerate(texts() + [" ".join(word() for _ in range(draw.randint(0, 60))) for _ in range(120)])) + [(None, "no id " * 30)]
+    target = [None, "", "alpha beta gamma7", "Alphas été délta " * 5]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(target)], "item_id long, text string")
+    got = importance.resample(documents(spark, rows), items).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == plain_resample(rows, target) and len(got) == len(rows)
+    assert importance.resample(empty, items).collect() == []
+    bare = importance.resample(documents(spark, rows), items.limit(0)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in bare} == plain_resample(rows, [])
+
+
+def test_repeated_rows_share_no_rank(spark):
+    rows = [(k % 5, "one two three " * 9) for k in range(40)] + [(None, "one two three " * 9)] * 40
+    got = importance.resample(documents(spark, rows), documents(spark, rows)).collect()
+    assert len(got) == 80 and sorted(r.rank for r in got if r.rank) == list(range(1, 21))
+
+
+def test_pieces_of_long_texts_have_the_same_buckets(monkeypatch):
+    data = " ".join(f"w{k * k}" for k in range(4_000)).encode()
+    monkeypatch.setattr(importance, "BLOCK", 1_000)
+    assert sum(importance.words_of(data), []) == data.split() and len(list(importance.words_of(data))) > 20
+    (found,) = importance.feature_buckets([data.split()], 10_000)
+    assert found.tolist() == plain_features(data.decode())[1]
+
+
+def test_crc_of_rows():
+    rows = np.random.default_rng(0).integers(0, 256, (50, 17), np.uint8)
+    assert importance.crc_rows(rows).tolist() == [zlib.crc32(r.tobytes()) for r in rows]
