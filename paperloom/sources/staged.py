@@ -47,9 +47,9 @@ def release(spark: SparkSession, names: Iterable[str]) -> None:
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[list[str]]:
-    """The names of the tables that this thread stages inside. At the end the last one, the result,
-    passes to the enclosing scope, and the others are deleted; names taken out of the list stay."""
+def scope(spark: SparkSession, keep: int = 1) -> Iterator[list[str]]:
+    """The names of the tables that this thread stages inside. At the end the last ``keep``, the result,
+    pass to the enclosing scope, and the others are deleted; names taken out of the list stay."""
     outer, made = _scope.get(), []
     token = _scope.set(made)
     try:
@@ -59,12 +59,13 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
         raise
     finally:
         _scope.reset(token)
-    release(spark, made[:-1])
+    cut = max(len(made) - keep, 0)
+    release(spark, made[:cut])
     if outer is not None:
-        outer.extend(made[-1:])
+        outer.extend(made[cut:])
 
 
-def release_all_but_last(spark: SparkSession, made: list[str]) -> None:
-    """In a loop whose every round reads only the table of the round before."""
-    release(spark, made[:-1])
-    del made[:-1]
+def release_all_but_last(spark: SparkSession, made: list[str], keep: int = 1) -> None:
+    """In a loop whose every round reads only the last tables of the round before."""
+    release(spark, made[:-keep])
+    del made[:-keep]
