@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, importance, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
+from . import bpe, chat, decontaminate, importance, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes, word_bpe
 from .tables import scope, spool, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -91,7 +91,35 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_suffix_dedup, op8_quality_classifier, op9_chat_format, op10_decontamination, op11_word_bpe, op12_importance)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_group_error(codes).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_suffix_dedup, op8_quality_classifier, op9_chat_format, op10_decontamination, op11_word_bpe, op12_importance, op13_vector_codes)}
+
+
+def _codes_sql(rounds: int) -> str:
+    """Lloyd's rounds one after another: a{k} holds each part's least distance and entry as one number."""
+    steps = """
+v as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(x::double * 1024)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+part as (select r, p, x[p * len(x) // 4 + 1 : (p + 1) * len(x) // 4]::double[] as x from v, (select unnest(range(4)) as p)),
+b0 as (select p, e, part.x as c from part join (select r, row_number() over (order by vec_id) - 1 as e from v) using (r) where e < 256)"""
+    for k in range(rounds + 1):
+        steps += f""",
+a{k} as (select r, p, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::bigint * 256 + e) as d from part join b{k} using (p) group by r, p)"""
+        if k < rounds:
+            steps += f""",
+m{k} as (select p, e, i, floor(sum(y) / count(*)) as y from (select p, d % 256 as e, unnest(x) as y, unnest(range(len(x))) as i from part join a{k} using (r, p)) group by p, e, i),
+n{k} as (select p, e, list(y order by i) as c from m{k} group by p, e),
+b{k + 1} as (select p, e, coalesce(n{k}.c, b{k}.c) as c from b{k} left join n{k} using (p, e))"""
+    return f"""
+with {steps.strip()},
+codes as (select vec_id, label, string_agg(printf('%02x', d % 256), '' order by p) as code, sum(d // 256)::bigint as error from v join a{rounds} using (r) group by r, vec_id, label),
+books as (select sha256(string_agg(y::bigint::varchar, ',' order by p, e, i)) as s from (select p, e, unnest(c) as y, unnest(range(len(c))) as i from b{rounds}))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, s as codebooks_sha256 from codes, books"""
+
 
 ORACLE_SQL = {
     "op7_suffix_dedup": r"""
@@ -134,4 +162,5 @@ noise as (select doc_id, len(w) >= 20 as eligible, floor(-1000 * ln(-ln((('0x' |
 scored as (select n.doc_id, eligible, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, coalesce(weight, 0)::bigint + noise as score from noise n left join weight using (doc_id)),
 placed as (select *, row_number() over (partition by eligible order by score desc, doc_id) as place, count(*) filter (where eligible) over () as n from scored)
 select doc_id, n_features, weight, score, case when eligible and place <= 25 * n // 100 then place end as rank from placed""",
+    "op13_vector_codes": _codes_sql(4),
 }

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from fixtures import documents, texts
 
-from paperloom.llm import bpe, chat, decontaminate, importance, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, word_bpe
+from paperloom.llm import bpe, chat, decontaminate, importance, langid, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes, word_bpe
 from paperloom.llm.components import connected_components
 from paperloom.llm.queries import QUERIES, ranks_path, words_path
 
@@ -883,3 +883,99 @@ def test_pieces_of_long_texts_have_the_same_buckets(monkeypatch):
 def test_crc_of_rows():
     rows = np.random.default_rng(0).integers(0, 256, (50, 17), np.uint8)
     assert importance.crc_rows(rows).tolist() == [zlib.crc32(r.tobytes()) for r in rows]
+
+
+# 13 vector codes
+
+
+def plain_codes(rows, positions=4, entries=256, rounds=4):
+    """(vec_id, label, code, error) of each kept row and the codebooks, by plain loops."""
+    import math
+
+    whole = [(i, k, [math.floor(1024 * x) for x in v]) for i, v, k in rows if v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1 << 16 for x in v)]
+    first: dict = {}
+    for i, _, x in whole:
+        first[i] = min(first.get(i, x), x)
+    order = sorted(first, key=lambda i: (i is None, i or 0))
+    length = len(first[order[0]]) if order else 0
+    whole = [r for r in whole if len(r[2]) == length]
+    cut = [length * p // positions for p in range(positions + 1)]
+    seeds = [first[i] for i in order if len(first[i]) == length][:entries]
+    books = [[x[a:z] for x in seeds] for a, z in zip(cut, cut[1:])]
+    far = lambda x, c: sum((p - q) ** 2 for p, q in zip(x, c))
+    near = lambda x, book: min((far(x, c), e) for e, c in enumerate(book))
+    for _ in range(rounds):
+        for p, (a, z) in enumerate(zip(cut, cut[1:])):
+            of = collections.defaultdict(list)
+            for _, _, x in whole:
+                of[near(x[a:z], books[p])[1]].append(x[a:z])
+            for e, xs in of.items():
+                books[p][e] = [sum(c) // len(xs) for c in zip(*xs)]
+    out = []
+    for i, k, x in whole:
+        found = [near(x[a:z], books[p]) for p, (a, z) in enumerate(zip(cut, cut[1:]))]
+        out.append((i, k, "".join(f"{e:02x}" for _, e in found), sum(d for d, _ in found)))
+    return out, books
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, row int, part string, n int"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(*r, 1, "p", 2) for r in rows], VECTORS)
+
+
+@pytest.mark.parametrize("entries", [5, 256])
+def test_codes_equal_plain_lloyd(spark, entries):
+    draw = random.Random(2)
+    vec = lambda: [float(np.float32(draw.gauss(0, 0.2))) for _ in range(8)]
+    rows = [(k, vec(), draw.choice([1, 2, None])) for k in range(150)] + [(200 + k, [0.25] * 8, 7) for k in range(80)]
+    rows += [(300, None, 1), (301, [0.5, None, *[0.0] * 6], 1), (302, [float("nan"), *[0.0] * 7], 1), (303, [float("-inf"), *[0.0] * 7], 2), (304, [1e9, *[0.0] * 7], 2)]
+    rows += [(305, [0.5] * 4, 2), (306, [], 2), (7, vec(), 3), rows[9], (None, vec(), None), (None, [3e4, *[-3e4] * 7], None)]
+    with_scope, books = vector_codes.compress(vectors(spark, rows).repartition(5), entries=entries)
+    want, plain = plain_codes(rows, entries=entries)
+    got = with_scope.collect()
+    assert [b.tolist() for b in books] == plain
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    total = collections.Counter()
+    for r in want:
+        total[r[1]] += r[3]
+    assert {(r.label, r.label_error) for r in vector_codes.with_group_error(with_scope).collect()} == set(total.items())
+
+
+def test_codes_of_nothing_and_little(spark):
+    none, books = vector_codes.compress(vectors(spark, []))
+    assert none.collect() == [] and [b.shape for b in books] == [(0, 0)] * 4 and vector_codes.with_group_error(none).collect() == []
+    for rows in ([(3, [0.5, 0.25, -0.5], None)], [(1, [], 2), (2, [], 2)], [(None, [0.5] * 5, 1)] * 3):
+        got, books = vector_codes.compress(vectors(spark, rows))
+        want, plain = plain_codes(rows)
+        assert sorted((r.code, r.error) for r in got.collect()) == sorted(r[2:] for r in want) and [b.tolist() for b in books] == plain
+
+
+def test_only_parts_that_change_move_and_hot_entries_are_salted(spark):
+    rows = vectors(spark, [(k, [k / 100] * 4, 1) for k in range(40)] + [(100 + k, [0.05] * 4, 1) for k in range(400)])
+    kept, length = vector_codes.whole_vectors(rows.select("vec_id", "embedding"), "embedding", "vec_id")
+    books = vector_codes.first_books(kept, "vec_id", length, 4, 8)
+    members = vector_codes.enter(kept, books, length)
+    new, held = vector_codes.updated(members, books)
+    seen = vector_codes.judged(members, new)
+    where = {(r.row, r.position): r.entry for r in members.collect()}
+    assert all(r.moved == (where[r.row, r.position] != r.entry) for r in seen.collect()) and 0 < seen.where("moved").count() < seen.count() / 4
+    assert sum(held.values()) == 440 * 4
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [len(p) for p in vector_codes.at_owners(members, held).rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(parts) == 440 * 4 and max(parts) < 0.6 * sum(parts)
+
+
+def test_distances_are_exact():
+    rng = np.random.default_rng(3)
+    for most in (9, 1 << 25):
+        parts, book = rng.integers(-most, most, (300, 16)), rng.integers(-most, most, (40, 16))
+        parts[:40], book[20:] = book, book[:20]
+        entry, far = vector_codes.nearest(parts, book)
+        d = ((parts[:, None, :].astype(object) - book[None]) ** 2).sum(axis=2)
+        assert entry.tolist() == d.argmin(axis=1).tolist() and far.tolist() == d.min(axis=1).tolist()
