@@ -58,7 +58,8 @@ def sentences(c: Column) -> Column:
 
 
 def math_spans(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("(?s)" + MATH_SPAN), F.lit(0))
+    may = F.contains(c, F.lit("$")) | F.contains(c, F.lit("\\"))  # cheaper than the pattern
+    return F.when(c.isNull() | may, F.regexp_extract_all(c, F.lit("(?s)" + MATH_SPAN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def math_body(span: Column) -> tuple[Column, Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -19,6 +19,47 @@ def no_tags():
     return F.array().cast(TAGS)
 
 
+def scan(section: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, SCAN)), section).cast("int")
+
+
+def with_metric(paras: DataFrame) -> DataFrame:
+    """The rows with their first metric word, where it stands, and their numbers, for ``result_told``."""
+    word, numbers = T.first(F.col("text"), r"(?i)\b(" + "|".join(METRICS) + r")\b"), F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))
+    may = F.when(F.col("section").isin(SCAN), word)
+    return paras.withColumn("word", may).withColumn("at", F.call_function("instr", F.col("text"), F.col("word"))).withColumn("numbers", F.when(F.col("word").isNotNull(), numbers))
+
+
+def result_told(sentences: Column) -> Column:
+    """task, metric, baseline, score, delta, higher_is_better, context of a paragraph; null where it
+    has no metric word or no number. Rows: see ``with_metric``."""
+    section, text, word, numbers = (F.col(c) for c in ("section", "text", "word", "numbers"))
+    value = lambda x: x.try_cast("double")
+    whole = lambda v: F.when((v == F.floor(v)) & F.contains(text, F.floor(v).cast("string")), F.floor(v).cast("string")).otherwise(v.cast("string"))
+    apart = lambda x: F.abs(F.col("at") - F.call_function("instr", text, whole(value(x))))
+    near = F.array_min(F.transform(numbers, lambda x, i: F.struct(apart(x).alias("far"), i.alias("i"), value(x).alias("v"))))
+    pair = "(?i)" + SCORES
+    low, high = value(T.first(text, pair)), value(T.first(text, pair, 2))
+    baseline, score = F.when(low.isNotNull(), low).otherwise(0.0), F.when(low.isNotNull(), high).otherwise(near["v"])
+    told = F.struct(
+        F.coalesce(T.first(text, "(?U)" + TASK), F.concat(section, F.lit(" evaluation"))).alias("task"),
+        F.when(F.length(word) <= 4, F.upper(word)).otherwise(word).alias("metric"),
+        baseline.alias("baseline"),
+        score.alias("score"),
+        F.round(score - baseline, 6).alias("delta"),
+        (~F.lower(word).isin(LOWER_IS_BETTER)).alias("higher_is_better"),
+        F.substring(F.get(sentences, F.lit(0)), 1, 200).alias("context"),
+    )
+    return F.when(word.isNotNull() & (F.size(numbers) > 0), told)
+
+
+def math_told(text: Column, sentences: Column) -> Column:
+    """expression, description of each span of mathematics of 4 characters or more."""
+    spans = F.filter(F.transform(T.math_spans(text), T.strip), lambda s: F.length(s) >= 4)
+    said = lambda e: F.coalesce(F.get(F.filter(sentences, lambda x: F.contains(x, F.substring(e, 1, 20))), F.lit(0)), F.get(sentences, F.lit(0)))
+    return F.transform(spans, lambda e: F.struct(e.alias("expression"), F.substring(said(e), 1, 300).alias("description")))
+
+
 def benchmark_results(paras: DataFrame, most: int = 10) -> DataFrame:
     """paper_id, ord, task, metric, baseline, score, delta, higher_is_better, context, paragraph_id,
     page_number, section, sources.
@@ -26,26 +67,8 @@ def benchmark_results(paras: DataFrame, most: int = 10) -> DataFrame:
     One result a paragraph: the first metric word, the numbers of ``from x to y``, or else the
     number nearest the metric with baseline 0. Sections are read in the order of SCAN; a
     section stops at ``most`` results in all, but each later one may still add one."""
-    t = F.col("text")
-    word = T.first(t, r"(?i)\b(" + "|".join(METRICS) + r")\b")
-    numbers = F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0))
-    at = F.call_function("instr", t, F.col("word"))
-    value = lambda x: x.try_cast("double")
-    whole = lambda v: F.when((v == F.floor(v)) & F.contains(t, F.floor(v).cast("string")), F.floor(v).cast("string")).otherwise(v.cast("string"))
-    apart = lambda x: F.abs(F.col("at") - F.call_function("instr", t, whole(value(x))))
-    near = F.array_min(F.transform("numbers", lambda x, i: F.struct(apart(x).alias("far"), i.alias("i"), value(x).alias("v"))))
-    pair = "(?i)" + SCORES
-    low, high = value(T.first(t, pair)), value(T.first(t, pair, 2))
-    rank = F.array_position(F.array(*map(F.lit, SCAN)), F.col("section")).cast("int")
-    found = paras.where(F.col("section").isin(SCAN)).withColumn("word", word).withColumn("numbers", numbers).where("word is not null and size(numbers) > 0").withColumn("at", at)
-    found = found.select(
-        "paper_id", "section", rank.alias("scan"), "para_no", "paragraph_id", "page_number",
-        F.coalesce(T.first(t, "(?U)" + TASK), F.concat("section", F.lit(" evaluation"))).alias("task"),
-        F.when(F.length("word") <= 4, F.upper("word")).otherwise(F.col("word")).alias("metric"),
-        F.when(low.isNotNull(), low).otherwise(0.0).alias("baseline"),
-        F.when(low.isNotNull(), high).otherwise(near["v"]).alias("score"),
-        F.substring(F.get(T.sentences(t), F.lit(0)), 1, 200).alias("context"),
-    )
+    found = with_metric(paras.where(F.col("section").isin(SCAN))).where("word is not null").withColumn("told", result_told(T.sentences(F.col("text")))).where("told is not null")
+    found = found.select("paper_id", "section", scan(F.col("section")).alias("scan"), "para_no", "paragraph_id", "page_number", "told.*")
     within = F.row_number().over(Window.partitionBy("paper_id", "scan").orderBy("para_no"))
     n = [F.coalesce(F.max(F.when(F.col("scan") == k, F.col("r"))).over(Window.partitionBy("paper_id")), F.lit(0)) for k in range(1, 5)]
     counted = found.withColumn("r", within).withColumns({f"n{k}": c for k, c in enumerate(n, 1)})
@@ -56,9 +79,7 @@ def benchmark_results(paras: DataFrame, most: int = 10) -> DataFrame:
         before = before + mine
     kept = counted.withColumn("keep", keep).where("r <= keep")
     ord_ = F.row_number().over(Window.partitionBy("paper_id").orderBy("scan", "para_no"))
-    better = ~F.lower("metric").isin(LOWER_IS_BETTER)
-    delta = F.round(F.col("score") - F.col("baseline"), 6)
-    return kept.select("paper_id", ord_.alias("ord"), "task", "metric", "baseline", "score", delta.alias("delta"), better.alias("higher_is_better"), "context", "paragraph_id", "page_number", "section", F.array(T.tag()).alias("sources"))
+    return kept.select("paper_id", ord_.alias("ord"), "task", "metric", "baseline", "score", "delta", "higher_is_better", "context", "paragraph_id", "page_number", "section", F.array(T.tag()).alias("sources"))
 
 
 def executive_bullets(papers: DataFrame, paras: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,28 +27,38 @@ def _numbered(df: DataFrame, order: list) -> DataFrame:
     return df.withColumn("ord", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)))
 
 
+def hyperparameter_values(text: Column) -> Column:
+    """What each pattern finds first, null where it finds nothing."""
+    return F.array(*(F.regexp_replace(T.strip(T.first(text, p)), r"[.,;]+$", "") for p in HYPERPARAMETERS.values()))
+
+
+def dataset_mentions(text: Column, lead: Column) -> Column:
+    """Names known, in their order, then names by shape: place, name, low (its lower case), details."""
+    known = F.filter(F.array(*(F.when(F.contains(text, F.lit(n)) & text.rlike(rf"\b{n}\b"), F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit("").alias("said"))) for i, n in enumerate(DATASETS))), lambda x: x.isNotNull())
+    shape = F.lit("(?U)" + DATASET_SHAPE)
+    may = F.contains(text, F.lit("dataset")) | F.contains(text, F.lit("corpus")) | F.contains(text, F.lit("benchmark"))  # cheaper than the pattern
+    said, names = (F.when(may, F.regexp_extract_all(text, shape, F.lit(k))).otherwise(F.array().cast("array<string>")) for k in (0, 1))
+    shaped = F.transform(F.arrays_zip(said.alias("s"), names.alias("n")), lambda x, i: F.struct((i + 100).alias("place"), x["n"].alias("name"), x["s"].alias("said")))
+    details = lambda x: F.when(x["said"] == "", F.substring(lead, 1, 300)).otherwise(F.concat(x["said"], F.lit(": "), F.substring(lead, 1, 200)))
+    return F.transform(F.concat(known, shaped), lambda x: F.struct(x["place"].alias("place"), x["name"].alias("name"), F.lower(x["name"]).alias("low"), details(x).alias("details")))
+
+
 def hyperparameters(paras: DataFrame) -> DataFrame:
     """paper_id, ord, name, value, paragraph_id, page_number, sources: the first match of each
     name, in the order in which they are met."""
-    found = [F.struct(F.lit(n).alias("name"), F.lit(i).alias("pattern"), T.first(F.col("text"), p).alias("value")) for i, (n, p) in enumerate(HYPERPARAMETERS.items())]
-    hits = paras.select(*HELD, F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("h")).select(*HELD, "h.*")
-    value = F.regexp_replace(T.strip(F.col("value")), r"[.,;]+$", "")
+    named = F.array(*map(F.lit, HYPERPARAMETERS))
+    hits = paras.select(*HELD, F.posexplode(hyperparameter_values(F.col("text"))).alias("pattern", "value")).where("value is not null").withColumn("name", F.get(named, F.col("pattern")))
     first = _first_by(hits, ["paper_id", "name"], ["section_ord", "para_no"])
-    return _numbered(first, ["section_ord", "para_no", "pattern"]).select("paper_id", "ord", "name", value.alias("value"), "paragraph_id", "page_number", F.array(T.tag()).alias("sources"))
+    return _numbered(first, ["section_ord", "para_no", "pattern"]).select("paper_id", "ord", "name", "value", "paragraph_id", "page_number", F.array(T.tag()).alias("sources"))
 
 
 def datasets(paras: DataFrame) -> DataFrame:
     """paper_id, ord, name, details, paragraph_id, sources: known names, then names by shape; the
     first mention, whose details are the paragraph's first sentence, after the mention if by shape."""
-    known = F.filter(F.array(*(F.when(F.col("text").rlike(rf"\b{n}\b"), F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit("").alias("said"))) for i, n in enumerate(DATASETS))), lambda x: x.isNotNull())
-    shape = F.lit("(?U)" + DATASET_SHAPE)
-    said, names = F.regexp_extract_all("text", shape, F.lit(0)), F.regexp_extract_all("text", shape, F.lit(1))
-    shaped = F.transform(F.arrays_zip(said.alias("s"), names.alias("n")), lambda x, i: F.struct((i + 100).alias("place"), x["n"].alias("name"), x["s"].alias("said")))
     lead = F.get(T.sentences(F.col("text")), F.lit(0))
-    hits = paras.select(*HELD, lead.alias("lead"), F.explode(F.concat(known, shaped)).alias("d")).select(*HELD, "lead", "d.*").withColumn("low", F.lower("name"))
-    details = F.when(F.col("said") == "", F.substring("lead", 1, 300)).otherwise(F.concat("said", F.lit(": "), F.substring("lead", 1, 200)))
+    hits = paras.select(*HELD, "text", lead.alias("lead")).select(*HELD, F.explode(dataset_mentions(F.col("text"), F.col("lead"))).alias("d")).select(*HELD, "d.*")
     first = _first_by(hits, ["paper_id", "low"], ["section_ord", "para_no", "place"])
-    return _numbered(first, ["section_ord", "para_no", "place"]).select("paper_id", "ord", "name", details.alias("details"), "paragraph_id", F.array(T.tag()).alias("sources"))
+    return _numbered(first, ["section_ord", "para_no", "place"]).select("paper_id", "ord", "name", "details", "paragraph_id", F.array(T.tag()).alias("sources"))
 
 
 def hardware(paras: DataFrame) -> DataFrame:

@@ -557,20 +557,32 @@ union all select set_id, 'cross_cutting', count(*), string_agg(n::varchar, ',' o
 #: Parts of an envelope and the queries whose rows they hold.
 PARTS = {"bullets": "e2_bullets", "sections": "e3_section_summaries", "tldr": "e4_tldr", "architecture": "e5_architectures", "hyperparameters": "e6_hyperparameters", "losses": "e7_losses", "datasets": "e8_e9_datasets", "hardware": "e10_hardware", "results": "e11_e12_benchmarks"}
 
+PART_FIELDS = {
+    "bullets": ["bullet_no", "text"], "sections": ["section", "text"], "tldr": ["tldr"], "architecture": ["architecture"], "hyperparameters": ["name", "value"],
+    "losses": ["expression", "description"], "datasets": ["name", "details"], "hardware": ["hardware"], "results": ["task", "metric", "baseline", "score", "context"],
+}
+
 
 def _sub(name: str) -> str:
     return _with(*_MAIN[name])
 
 
 _FIRST = _with(_LEADS, "select * from firsts")
+
+
+def _part_lines(part: str, fields: list[str]) -> str:
+    """A part's rows of a paper as one digest, with the paper's first source where one has none."""
+    said = ", ".join(f"round({f} * 1000)::bigint::varchar" if f in ("baseline", "score") else f for f in fields)
+    order = {"bullets": "bullet_no", "tldr": "tldr", "architecture": "architecture", "hardware": "hardware"}.get(part, "ord")
+    line = f"concat_ws('|', {said}, coalesce(nullif(sources, ''), tag, ''))"
+    return f"select paper_id, count(*)::int as n_{part}, md5(string_agg({line}, chr(10) order by {order})) as digest_{part} from x_{part} left join firsts using (paper_id) group by paper_id"
+
+
 _MAIN["e13_envelope"] = (
-    ", ".join(f"x_{n} as {_sub(q)}" for n, q in PARTS.items())
-    + f", firsts as {_FIRST}, "
-    + ", ".join(f"c_{n} as (select paper_id, count(*)::int as n_{n} from x_{n} group by paper_id)" for n in PARTS)
-    + """, bs as (select paper_id, string_agg(coalesce(nullif(sources, ''), tag, ''), '/' order by bullet_no) as bullet_sources from x_bullets left join firsts using (paper_id) group by paper_id)""",
+    ", ".join(f"x_{n} as {_sub(q)}" for n, q in PARTS.items()) + f", firsts as {_FIRST}, " + ", ".join(f"c_{n} as ({_part_lines(n, f)})" for n, f in PART_FIELDS.items()),
     "select paper_id, 'heuristic-fallback' as source, "
-    + ", ".join(f"coalesce(n_{n}, 0)::int as n_{n}" for n in PARTS)
-    + ", tldr, coalesce(settings, '') as settings, bullet_sources from x_tldr join bs using (paper_id) left join (select paper_id, string_agg(name || '=' || value, ';' order by name || '=' || value) as settings from x_hyperparameters group by paper_id) using (paper_id) "
+    + ", ".join(f"coalesce(n_{n}, 0)::int as n_{n}, coalesce(digest_{n}, md5('')) as digest_{n}" for n in PARTS)
+    + " from x_tldr "
     + " ".join(f"left join c_{n} using (paper_id)" for n in PARTS),
 )
 _MAIN["f2_f3_matrix"] = (

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, claims, dense, extract, maintenance, matrix, metadata, nested, search, segment
+from ..operators import chunk, claims, dense, extract, maintenance, matrix, metadata, nested, onepass, search, segment
 from ..sources import intake
 from ..sources.corpus import page_text
 from ..sources.staged import staged
-from .oracle import ORACLE_SQL, PARTS
+from .oracle import ORACLE_SQL, PART_FIELDS, PARTS
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -383,30 +383,20 @@ def e11_e12_benchmarks(spark, sf_dir):
 
 
 def _parts(docs):
-    """Everything extracted from papers whose paragraphs are written once, with sources that exist."""
-    paras, titles = staged(segment.paragraphs(docs), "paragraphs"), metadata.titles(docs)
-    fixed = lambda df, anchor: claims.repair(df.withColumn("anchor", anchor), paras).drop("anchor")
-    return paras, {
-        "bullets": fixed(claims.executive_bullets(docs, paras), _none("string")),
-        "sections": fixed(claims.section_summaries(paras), F.col("section")),
-        "tldr": fixed(claims.tldr(titles, paras), _none("string")),
-        "architecture": claims.architectures(paras),
-        "hyperparameters": extract.hyperparameters(paras),
-        "losses": claims.loss_expressions(paras),
-        "datasets": extract.datasets(paras),
-        "hardware": extract.hardware(paras),
-        "results": claims.benchmark_results(paras),
-    }
+    """Everything extracted from papers in one pass, with sources that exist, written once."""
+    wide = staged(onepass.extracted(metadata.titles(docs), segment.paragraphs(docs)), "extracted")
+    return {name: onepass.part(wide, name) for name in onepass.PARTS}
 
 
 def e13_envelope(spark, sf_dir):
     """Everything extracted from a paper, nested; counted and digested by part."""
     docs = pages(spark, sf_dir)
-    whole = nested.envelope(docs, _parts(docs)[1])
+    whole = onepass.extracted(metadata.titles(docs), segment.paragraphs(docs)).withColumn("source", F.lit("heuristic-fallback"))
     counts = [F.size(n).alias(f"n_{n}") for n in PARTS]
-    settings = F.array_join(F.transform(F.array_sort(F.transform("hyperparameters", lambda h: F.concat(h["name"], F.lit("="), h["value"]))), lambda x: x), ";")
-    tags = F.array_join(F.transform("bullets", lambda b: T.tag_text(b["sources"])), "/")
-    return whole.select("paper_id", "source", *counts, F.get("tldr", F.lit(0))["tldr"].alias("tldr"), settings.alias("settings"), tags.alias("bullet_sources"))
+    said = lambda x, f: F.round(x[f] * 1000).cast("long").cast("string") if f in ("baseline", "score") else x[f].cast("string")
+    line = lambda fields: lambda x: F.concat_ws("|", *(said(x, f) for f in fields), T.tag_text(x["sources"]))
+    digests = [F.md5(F.array_join(F.transform(n, line(fields)), "\n")).alias(f"digest_{n}") for n, fields in PART_FIELDS.items()]
+    return whole.select("paper_id", "source", *counts, *digests)
 
 
 def e14_repair(spark, sf_dir):
@@ -423,7 +413,7 @@ def e14_repair(spark, sf_dir):
 def e15_audit(spark, sf_dir):
     """Claims of which some have lost their sources, are cited on a wrong page, or are missing."""
     docs = pages(spark, sf_dir)
-    paras, parts = _parts(docs)
+    paras, parts = segment.paragraphs(docs), _parts(docs)
     row = lambda df, kind, label: df.select("paper_id", F.lit(kind).alias("kind"), label.cast("string").alias("label"), "sources")
     shifted = F.transform("sources", lambda t: F.struct(t["paragraph_id"].alias("paragraph_id"), (t["page_number"] + 7).alias("page_number"), t["section"].alias("section")))
     bullets = parts["bullets"].where(~((_doc() % 6 == 0) & (F.col("bullet_no") == 3)))
@@ -459,7 +449,7 @@ def f1_paper_refs(spark, sf_dir):
 
 def f2_f3_matrix(spark, sf_dir):
     """All rows of a comparison."""
-    _, parts = _parts(pages(spark, sf_dir))
+    parts = _parts(pages(spark, sf_dir))
     group = sets(spark, sf_dir)
     values = (
         matrix.dimension(parts["tldr"], 1, F.lit("tl_dr"), "metadata", F.col("tldr"))
