@@ -212,12 +212,11 @@ def contexts(heads: DataFrame, paras: DataFrame, budget: int = 15000) -> DataFra
     return kept.groupBy("paper_id", "head").agg(text.alias("t")).select("paper_id", F.concat("head", "t").alias("context"))
 
 
-def badges(tags: DataFrame, shown: int = 4) -> DataFrame:
-    """paper_id, claim_no, badges (``pid · p.N`` of the first tags), more (how many others)."""
-    each = F.sort_array(F.collect_list(F.struct(F.length("paragraph_id").alias("l"), "paragraph_id", "page_number")))
-    made = tags.groupBy("paper_id", "claim_no").agg(each.alias("t"))
-    one = F.transform(F.slice("t", 1, shown), lambda x: F.concat(x["paragraph_id"], F.lit(" · p."), x["page_number"].cast("string")))
-    return made.select("paper_id", "claim_no", F.array_join(one, ", ").alias("badges"), F.greatest(F.size("t") - shown, F.lit(0)).alias("more"))
+def badges(claims: DataFrame, shown: int = 4) -> DataFrame:
+    """The claims with ``badges`` (``pid · p.N`` of the first ``shown`` sources, in the claim's order) and
+    ``more`` (how many others)."""
+    one = F.transform(F.slice("sources", 1, shown), lambda x: F.concat(x["paragraph_id"], F.lit(" · p."), x["page_number"].cast("string")))
+    return claims.withColumns({"badges": F.array_join(one, ", "), "more": F.greatest(F.size("sources") - shown, F.lit(0))})
 
 
 @F.pandas_udf(StringType())

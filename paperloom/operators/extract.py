@@ -109,9 +109,11 @@ def themes(capped: DataFrame) -> DataFrame:
     return tagged.groupBy("set_id", "theme").agg(F.count_distinct("paper_id").alias("n_papers"), F.count("*").alias("n_items")).where("n_papers >= 2")
 
 
-def gap_counts(capped: DataFrame, crossing: DataFrame) -> DataFrame:
+def gap_counts(sets: DataFrame, capped: DataFrame, crossing: DataFrame) -> DataFrame:
     """set_id, category, n, papers (how many each item has, in order) of the three categories and of
-    ``cross_cutting``, whose rows are set_id, ord, paper_ids."""
+    ``cross_cutting``, whose rows are set_id, ord, paper_ids; 0 and empty where a set has none."""
     items = capped.select("set_id", "category", "ord", F.lit(1).alias("k")).unionByName(crossing.select("set_id", F.lit("cross_cutting").alias("category"), "ord", F.size("paper_ids").alias("k")))
     each = F.transform(F.sort_array(F.collect_list(F.struct("ord", "k"))), lambda x: x["k"].cast("string"))
-    return items.groupBy("set_id", "category").agg(F.count("*").alias("n"), F.array_join(each, ",").alias("papers"))
+    found = items.groupBy("set_id", "category").agg(F.count("*").alias("n"), F.array_join(each, ",").alias("papers"))
+    all_ = sets.select("set_id").distinct().select("set_id", F.explode(F.array(*map(F.lit, [*GAPS, "cross_cutting"]))).alias("category"))
+    return all_.join(found, ["set_id", "category"], "left").select("set_id", "category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("papers", F.lit("")).alias("papers"))

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import models
 from .claims import cell_text, no_tags, signed
 
+BUCKETS = ["failure_modes", "dataset_shortfalls", "methodological_blinds", "cross_cutting"]
 MISSING = "—"
 KINDS = ["tl_dr", "architecture", "hyperparameter", "dataset", "benchmark"]
 
@@ -25,6 +27,13 @@ def paper_refs(sets: DataFrame, titles: DataFrame, years: DataFrame) -> DataFram
     return sets.join(titles, "paper_id", "left").join(years, "paper_id", "left").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")))
 
 
+def limited(sets: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The sets of at most ``most`` papers, whose rows and cells are bounded; and set_id, n_papers of the
+    others, which are not compared."""
+    counted = sets.groupBy("set_id").agg(F.count("*").alias("n_papers"))
+    return sets.join(counted.where(F.col("n_papers") > most), "set_id", "left_anti"), counted.where(F.col("n_papers") > most)
+
+
 def dimension(claims: DataFrame, rank: int, name: Column, kind: str, value: Column) -> DataFrame:
     """paper_id, rank, ord, dimension, kind, value, sources for ``cells``."""
     ord_ = F.col("ord") if "ord" in claims.columns else F.lit(1)
@@ -142,3 +151,71 @@ def findings(sets: DataFrame, datasets: DataFrame, results: DataFrame) -> DataFr
     data = dataset_verdicts(sets, datasets).where("verdict = 'consensus'").select("set_id", F.col("verdict").alias("kind"), F.lit("dataset").alias("part"), "row_ord", F.concat(F.lit("Shared evaluation dataset: "), "name", F.lit(".")).alias("statement"), "paper_ids", "sources")
     rows = benchmark_rows(sets, results).where("verdict <> 'single-source'")
     return data.unionByName(rows.select("set_id", F.col("verdict").alias("kind"), F.lit("benchmark").alias("part"), "row_ord", F.col("note").alias("statement"), "paper_ids", "sources"))
+
+
+def verdicts(sets: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """set_id, dimension, verdict, note of every row of a comparison; a summary sentence has none."""
+    row = lambda df, name: df.select("set_id", name.alias("dimension"), "verdict", "note")
+    made = row(sets.select("set_id").distinct().withColumns({"verdict": F.lit("n/a"), "note": F.lit("")}), F.lit("tl_dr"))
+    made = made.unionByName(row(architecture_verdicts(sets, parts["architecture"]), F.lit("architecture")))
+    made = made.unionByName(row(hyperparameter_verdicts(sets, parts["hyperparameters"]), F.concat(F.lit("hyperparameter:"), "name")))
+    made = made.unionByName(row(dataset_verdicts(sets, parts["datasets"]), F.concat(F.lit("dataset:"), "name")))
+    return made.unionByName(row(benchmark_rows(sets, parts["results"]), F.concat(F.lit("benchmark:"), "task", F.lit(" ["), "metric", F.lit("]"))))
+
+
+def values(parts: dict[str, DataFrame]) -> DataFrame:
+    """The values of all dimensions but benchmarks: see ``dimension``."""
+    details = F.coalesce(F.nullif(F.substring("details", 1, 200), F.lit("")), F.lit("evaluated"))
+    return (
+        dimension(parts["tldr"], 1, F.lit("tl_dr"), "metadata", F.col("tldr"))
+        .unionByName(dimension(parts["architecture"], 2, F.lit("architecture"), "methodology", F.substring("architecture", 1, 300)))
+        .unionByName(dimension(parts["hyperparameters"], 3, F.concat(F.lit("hyperparameter:"), "name"), "methodology", F.col("value")))
+        .unionByName(dimension(parts["datasets"], 4, F.concat(F.lit("dataset:"), "name"), "dataset", details))
+    )
+
+
+def _without_architecture(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """A dimension's empty value for sets none of whose papers has an architecture, whose row stays."""
+    some = sets.join(found.select("paper_id"), "paper_id", "left_semi").select("set_id").distinct()
+    rest = sets.join(some, "set_id", "left_anti").select("paper_id").distinct()
+    return dimension(rest.withColumn("sources", no_tags()), 2, F.lit("architecture"), "methodology", F.lit(""))
+
+
+def comparisons(sets: DataFrame, refs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """set_id and the columns of models.COMPARISON: the papers of a set in its order, all rows with their
+    cells, verdicts and notes, what is agreed on and what is contradicted.
+
+    refs: see ``paper_refs``. Sets beyond the limit (see ``limited``) are left out, so a row is bounded."""
+    sets, _ = limited(sets)
+    listed = lambda *fields: F.sort_array(F.collect_list(F.struct(*fields)))
+    within = lambda df, name, order, fields, model: df.groupBy("set_id").agg(listed(order, *fields).alias("held")).select("set_id", F.transform("held", lambda x: _as(x, model)).alias(name))
+    found = cells(sets, values(parts).unionByName(_without_architecture(sets, parts["architecture"])), benchmark_values(sets, parts["results"]))
+    rows = found.groupBy("set_id", "row_ord", "dimension", "kind").agg(listed("paper_ord", "paper_id", "value", "sources").alias("held"))
+    rows = rows.withColumn("cells", F.transform("held", lambda x: _as(x, models.CELL))).join(verdicts(sets, parts), ["set_id", "dimension"], "left")
+    points = findings(sets, parts["datasets"], parts["results"]).withColumn("place", F.struct((F.col("part") == "benchmark").cast("int").alias("a"), F.col("row_ord").alias("b")))
+    out = within(refs.join(sets.select("set_id").distinct(), "set_id", "left_semi"), "papers", "paper_ord", ["paper_id", "title", "year"], models.REF)
+    out = out.withColumn("paper_ids", F.transform("papers", lambda p: p["paper_id"]))
+    out = out.join(within(rows, "rows", "row_ord", list(models.ROW), models.ROW), "set_id", "left")
+    for name, kind in (("consensus_points", "consensus"), ("contradictions", "contradiction")):
+        out = out.join(within(points.where(F.col("kind") == kind), name, "place", list(models.FINDING), models.FINDING), "set_id", "left")
+    out = out.withColumn("generated_by", F.lit("heuristic"))
+    return out.select("set_id", *(models.completed(F.col(n), k, d).alias(n) for n, (k, d) in models.COMPARISON.items()))
+
+
+def _as(x: Column, model: dict) -> Column:
+    """A struct as one of a model, in its order and with its defaults."""
+    return models.completed(x, model, models.MUST)
+
+
+def research_gaps(sets: DataFrame, capped: DataFrame, crossing: DataFrame) -> DataFrame:
+    """set_id and the columns of models.GAPS, from rows of extract.gaps and claims.cross_cutting: all four
+    buckets, empty ones too. Sets beyond the limit are left out."""
+    sets, _ = limited(sets)
+    items = capped.select("set_id", "category", "ord", "statement", F.col("category").alias("said"), F.array("paper_id").alias("paper_ids"), "sources")
+    items = items.unionByName(crossing.select("set_id", F.lit("cross_cutting").alias("category"), "ord", "statement", F.col("category").alias("said"), "paper_ids", "sources"))
+    item = F.struct("ord", "statement", F.col("said").alias("category"), "paper_ids", "sources")
+    held = {c: F.sort_array(F.collect_list(F.when(F.col("category") == c, item))) for c in BUCKETS}
+    whole = items.groupBy("set_id").agg(*(F.transform(c, lambda x: _as(x, models.GAP)).alias(n) for n, c in held.items()))
+    papers = sets.groupBy("set_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("paper_ord", "paper_id"))), lambda p: p["paper_id"]).alias("paper_ids"))
+    out = papers.join(whole, "set_id", "left").withColumn("generated_by", F.lit("heuristic"))
+    return out.select("set_id", *(models.completed(F.col(n), k, d).alias(n) for n, (k, d) in models.GAPS.items()))

@@ -61,10 +61,10 @@ def counts(pages: DataFrame, paras: DataFrame) -> DataFrame:
     return n.join(paras.groupBy("paper_id").agg(F.count("*").alias("paragraph_count")), "paper_id", "left").withColumn("paragraph_count", F.coalesce("paragraph_count", F.lit(0)))
 
 
-def authors(pages: DataFrame, most: int = 20) -> DataFrame:
-    """paper_id, authors: names of the first line after the title, within four, that has any; an empty
-    list where none has."""
-    named = titles(pages).select("paper_id", F.lower(F.substring("title", 1, 25)).alias("head"))
+def authors(pages: DataFrame, most: int = 20, spans: DataFrame | None = None) -> DataFrame:
+    """paper_id, authors: names of the first line after the title (by ``spans`` where they are given),
+    within four, that has any; an empty list where none has."""
+    named = titles(pages, spans).select("paper_id", F.lower(F.substring("title", 1, 25)).alias("head"))
     page = lines(pages).where("page_number = 1 and line <> ''")
     page = page.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("line_no")))
     placed = page.join(named, "paper_id")

@@ -545,11 +545,13 @@ union all select set_id, verdict, 'benchmark', row_ord, note, paper_ids, sources
     "g6_cross_cutting": (_CROSS, "select set_id, ord, theme, category, paper_ids, statement, sources from crossing join sr using (set_id, theme)"),
     "g7_counts": (
         _CROSS,
-        """select set_id, category, count(*) as n, string_agg('1', ',') as papers from gaps group by set_id, category
-union all select set_id, 'cross_cutting', count(*), string_agg(n::varchar, ',' order by ord) from crossing group by set_id""",
+        """select set_id, category, coalesce(n, 0) as n, coalesce(papers, '') as papers
+from (select distinct set_id from sets) cross join (select unnest(['failure_modes', 'dataset_shortfalls', 'methodological_blinds', 'cross_cutting']) as category) left join (
+select set_id, category, count(*) as n, string_agg('1', ',') as papers from gaps group by set_id, category
+union all select set_id, 'cross_cutting', count(*), string_agg(n::varchar, ',' order by ord) from crossing group by set_id) using (set_id, category)""",
     ),
     "g8_badges": (
-        f"{_PARAS}, o as (select *, row_number() over (partition by paper_id, section order by length(paragraph_id), paragraph_id, page_number) as r from paras)",
+        f"{_PARAS}, o as (select *, row_number() over (partition by paper_id, section order by page_number desc, para_no) as r from paras)",
         "select paper_id, section as claim_no, string_agg(paragraph_id || ' · p.' || page_number, ', ' order by r) filter (where r <= 4) as badges, greatest(count(*) - 4, 0)::int as more from o group by paper_id, section",
     ),
 }
@@ -600,4 +602,66 @@ given as (select set_id, dimension, kind, paper_id, min(place) as place, min_by(
 rws as (select set_id, dimension, kind, row_number() over (partition by set_id order by min(place), dimension)::int as row_ord from given group by 1, 2, 3)""",
     "select set_id, row_ord, dimension, kind, sets.paper_ord, paper_id, coalesce(nullif(value, ''), '—') as value, coalesce(sources, '') as sources from rws join sets using (set_id) left join given using (set_id, dimension, kind, paper_id)",
 )
+_MAIN["a3_papers"] = (
+    f"{_PARAS}, {_TITLES}, {_PEOPLE}, {_YEARS}",
+    f"""select paper_id, filename, page_count, paragraph_count, sections, digest,
+  concat_ws('|', title, array_to_string(authors, ','), year::varchar, doi, 'pdf-heuristic', md5(abstract)) as metadata
+from (select paper_id, min(filename) as filename, count(*)::int as page_count from pages group by paper_id)
+left join (select paper_id, count(*)::int as paragraph_count from paras group by paper_id) using (paper_id)
+left join (
+  select paper_id, string_agg(section || '=' || n, ';' order by o) as sections, md5(string_agg(section || '|' || coalesce(t, ''), chr(10) order by o)) as digest, nullif(substr(trim(max(t) filter (where section = 'Abstract')), 1, 2000), '') as abstract
+  from (select paper_id, section, o, coalesce(n, 0) as n, t from (select distinct paper_id from pages) cross join (select unnest({_list(SECTIONS)}) as section, unnest(range(9)) as o)
+    left join (select paper_id, section, count(*) as n, string_agg(text, chr(10) || chr(10) order by para_no) as t from paras group by paper_id, section) using (paper_id, section))
+  where n > 0 or o between 1 and 7 group by paper_id) using (paper_id)
+left join titles using (paper_id) left join people using (paper_id) left join dated using (paper_id)""",
+)
+_MAIN["a3_refused"] = (
+    "bad as (select case doc_id % 9 when 0 then 'good' when 2 then 'summary.executive_summary.sources.page_number: below 1' when 3 then 'extraction_source: unknown' "
+    "when 4 then 'summary.executive_summary: not 3 entries' when 5 then 'summary.technical_tldr: missing' when 7 then 'paper_id: missing' else 'not of the model''s shape' end as refused, doc_id from documents)",
+    "select refused, count(*) as n, count(distinct doc_id) filter (where refused not like '%shape' and refused not like 'paper_id%') as n_papers from bad group by refused",
+)
+
+
+def _lines(part: str, *fields: str) -> str:
+    line = f"concat_ws('|', {', '.join(fields)}, coalesce(nullif(sources, ''), tag, ''))"
+    order = "bullet_no" if part == "bullets" else "ord"
+    return f"select paper_id, md5(string_agg({line}, chr(10) order by {order})) as {part} from x_{part} left join firsts using (paper_id) group by paper_id"
+
+
+_EXTRACTED = {
+    "bullets": _lines("bullets", "text"), "sections": _lines("sections", "section", "text"), "hyperparameters": _lines("hyperparameters", "name", "value"), "losses": _lines("losses", "expression", "description"),
+    "datasets": _lines("datasets", "name", "details"), "results": _lines("results", "task", "metric", "context"),
+}
+_MAIN["e13_extractions"] = (
+    ", ".join(f"x_{n} as {_sub(q)}" for n, q in PARTS.items()) + f", firsts as {_FIRST}, " + ", ".join(f"l_{n} as ({q})" for n, q in _EXTRACTED.items()),
+    "select paper_id, 'heuristic-fallback' as extraction_source, tldr || '|' || coalesce(nullif(t.sources, ''), tag, '') as tldr, "
+    "coalesce(architecture, '') || '|' || coalesce(a.sources, '') as architecture, coalesce(hardware, '') || '|' || coalesce(h.sources, '') as hardware, "
+    + ", ".join(f"coalesce({n}, md5('')) as {n}" for n in _EXTRACTED)
+    + ", coalesce(deltas, 0) as deltas from x_tldr t left join firsts using (paper_id) left join x_architecture a using (paper_id) left join x_hardware h using (paper_id) "
+    + "left join (select paper_id, round(sum(delta), 6) as deltas from x_results group by paper_id) using (paper_id) "
+    + " ".join(f"left join l_{n} using (paper_id)" for n in _EXTRACTED),
+)
+_MAIN["f2_f9_comparisons"] = (
+    f"""cl as {_sub('f2_f3_matrix')}, vd as (
+  select set_id, 'tl_dr' as dimension, 'n/a' as verdict, '' as note from cl where dimension = 'tl_dr' group by set_id
+  union all select set_id, 'architecture', verdict, note from {_sub('f4_architecture_verdicts')}
+  union all select set_id, 'hyperparameter:' || name, verdict, note from {_sub('f5_hyperparameter_verdicts')}
+  union all select set_id, 'dataset:' || name, verdict, note from {_sub('f6_dataset_verdicts')}
+  union all select set_id, 'benchmark:' || task || ' [' || metric || ']', verdict, note from {_sub('f7_f8_benchmark_verdicts')}),
+rows_ as (select set_id, row_ord, concat_ws('|', dimension, kind, any_value(verdict), any_value(note), string_agg(concat_ws('|', paper_id, value, sources), '/' order by paper_ord)) as line
+  from cl join vd using (set_id, dimension) group by set_id, row_ord, dimension, kind),
+said as (select set_id, kind, string_agg(concat_ws('|', statement, paper_ids, sources), chr(10) order by part = 'benchmark', row_ord) as said from {_sub('f9_findings')} group by set_id, kind),
+refs as (select set_id, string_agg(paper_id, ',' order by paper_ord) as paper_ids, string_agg(concat_ws('|', title, year::varchar), chr(10) order by paper_ord) as papers from {_sub('f1_paper_refs')} group by set_id)""",
+    """select paper_ids, papers, n_rows, rows_digest, coalesce(a.said, '') as consensus, coalesce(b.said, '') as contradictions, 'heuristic' as generated_by
+from refs left join (select set_id, count(*)::int as n_rows, md5(string_agg(line, chr(10) order by row_ord)) as rows_digest from rows_ group by set_id) using (set_id)
+left join (select * from said where kind = 'consensus') a using (set_id) left join (select * from said where kind = 'contradiction') b using (set_id)""",
+)
+_MAIN["g_research_gaps"] = (
+    f"""it as (
+  select set_id, category as bucket, ord, concat_ws('|', category, paper_id, statement, sources) as line from {_sub('g3_g4_gaps')}
+  union all select set_id, 'cross_cutting', ord, concat_ws('|', category, paper_ids, statement, sources) from {_sub('g6_cross_cutting')}), {_SETS}""",
+    "select papers, "
+    + ", ".join(f"coalesce(string_agg(line, chr(10) order by ord) filter (where bucket = '{b}'), '') as {b}" for b in [*GAPS, "cross_cutting"])
+    + ", 'heuristic' as generated_by from (select set_id, string_agg(paper_id, ',' order by paper_ord) as papers from sets group by set_id) left join it using (set_id) group by set_id, papers",
+)
 ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, claims, dense, extract, maintenance, matrix, metadata, nested, onepass, search, segment
-from ..sources import intake
+from ..sources import intake, models
 from ..sources.corpus import page_text
-from ..sources.staged import staged
+from ..sources.staged import shared_dir, staged
 from .oracle import ORACLE_SQL, PART_FIELDS, PARTS
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -78,6 +80,44 @@ def a3_nested_papers(spark, sf_dir):
     return nested.flat(staged(made, "nested-papers"))
 
 
+def _filed(rows: DataFrame, model: dict, tag: str, kind: str = "json") -> DataFrame:
+    """Rows of a model, written to files and read back with all checks."""
+    path = f"{shared_dir(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    models.write(rows, path, model, kind)
+    return models.read(rows.sparkSession, path, model, kind)[0]
+
+
+def a3_papers(spark, sf_dir):
+    """Whole papers as files: all seven sections, metadata and counts; read back."""
+    docs = pages(spark, sf_dir)
+    described = nested.metadata(metadata.titles(docs), metadata.authors(docs), metadata.years_dois(docs))
+    held = _filed(nested.whole_papers(docs, segment.paragraphs(docs), described), models.PAPER, "papers")
+    names = F.array_join(F.transform("sections", lambda s: F.concat(s["name"], F.lit("="), F.size(s["paragraphs"]).cast("string"))), ";")
+    whole = F.array_join(F.transform("sections", lambda s: F.concat_ws("|", s["name"], s["text"])), "\n")
+    said = F.concat_ws("|", "metadata.title", F.array_join("metadata.authors", ","), F.col("metadata.year").cast("string"), "metadata.doi", "metadata.enrichment_source", F.md5("metadata.abstract"))
+    return held.select("paper_id", "filename", "page_count", "paragraph_count", names.alias("sections"), F.md5(whole).alias("digest"), said.alias("metadata"))
+
+
+def a3_refused(spark, sf_dir):
+    """Extractions as JSON of which most are cut, of other shape or against a rule: why each is refused."""
+    docs = pages(spark, sf_dir)
+    wide = nested.extractions(onepass.extracted(metadata.titles(docs), segment.paragraphs(docs)))
+    text, n = F.to_json(F.struct(*models.EXTRACTION)), _doc() % 9
+    spoiled = (
+        F.when(n == 1, F.substring(text, 1, 200))
+        .when(n == 2, F.regexp_replace(text, r'"page_number":\d+', '"page_number":0'))
+        .when(n == 3, F.regexp_replace(text, r'"extraction_source":"[^"]*"', '"extraction_source":"elsewhere"'))
+        .when(n == 4, F.to_json(F.struct("paper_id", F.col("summary").withField("executive_summary", F.slice("summary.executive_summary", 1, 2)).alias("summary"))))
+        .when(n == 5, F.to_json(F.struct("paper_id", F.col("summary").dropFields("technical_tldr").alias("summary"))))
+        .when(n == 6, F.to_json(F.struct("paper_id", F.lit("words").alias("summary"))))
+        .when(n == 7, F.to_json(F.struct("summary")))
+        .when(n == 8, "")
+        .otherwise(text)
+    )
+    judged = models.parsed(wide.select("paper_id", spoiled.alias("value")).select("value", F.lit(1).alias("extra")), models.EXTRACTION)
+    return judged.groupBy(F.coalesce("refused", F.lit("good")).alias("refused")).agg(F.count("*").alias("n"), F.count_distinct("paper_id").alias("n_papers"))
+
+
 def a4_upsert(spark, sf_dir):
     """Pages as chunks; page 2 of toxic papers comes again in two versions."""
     stored, new = _arriving(spark, sf_dir)
@@ -399,6 +439,26 @@ def e13_envelope(spark, sf_dir):
     return whole.select("paper_id", "source", *counts, *digests)
 
 
+def e13_extractions(spark, sf_dir):
+    """Extractions as files, read back with all checks."""
+    docs = pages(spark, sf_dir)
+    held = _filed(nested.extractions(onepass.extracted(metadata.titles(docs), segment.paragraphs(docs))), models.EXTRACTION, "extractions")
+    lines = lambda c, *fields: F.md5(F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(x[f] for f in fields), T.tag_text(x["sources"]))), "\n"))
+    return held.select(
+        "paper_id", "extraction_source",
+        lines("summary.executive_summary", "text").alias("bullets"),
+        lines("summary.sectional_summary", "section", "summary").alias("sections"),
+        F.concat_ws("|", "summary.technical_tldr", T.tag_text(F.col("summary.technical_tldr_sources"))).alias("tldr"),
+        F.concat_ws("|", "methodology.architecture", T.tag_text(F.col("methodology.architecture_sources"))).alias("architecture"),
+        F.concat_ws("|", "methodology.hardware_requirements", T.tag_text(F.col("methodology.hardware_sources"))).alias("hardware"),
+        lines("methodology.hyperparameters", "name", "value").alias("hyperparameters"),
+        lines("methodology.loss_functions", "expression_latex", "description").alias("losses"),
+        lines("methodology.datasets", "name", "details").alias("datasets"),
+        lines("quantitative_results.results", "task", "metric_name", "score_context").alias("results"),
+        F.round(F.aggregate("quantitative_results.results", F.lit(0.0), lambda a, r: a + r["sota_delta"]), 6).alias("deltas"),
+    )
+
+
 def e14_repair(spark, sf_dir):
     """Claims of two paragraphs each, of which some or all are cited on a page that lacks them."""
     paras = staged(paragraphs(spark, sf_dir), "paragraphs")
@@ -451,13 +511,27 @@ def f2_f3_matrix(spark, sf_dir):
     """All rows of a comparison."""
     parts = _parts(pages(spark, sf_dir))
     group = sets(spark, sf_dir)
-    values = (
-        matrix.dimension(parts["tldr"], 1, F.lit("tl_dr"), "metadata", F.col("tldr"))
-        .unionByName(matrix.dimension(parts["architecture"], 2, F.lit("architecture"), "methodology", F.substring("architecture", 1, 300)))
-        .unionByName(matrix.dimension(parts["hyperparameters"], 3, F.concat(F.lit("hyperparameter:"), "name"), "methodology", F.col("value")))
-        .unionByName(matrix.dimension(parts["datasets"], 4, F.concat(F.lit("dataset:"), "name"), "dataset", F.coalesce(F.nullif(F.substring("details", 1, 200), F.lit("")), F.lit("evaluated"))))
+    return _said(matrix.cells(group, matrix.values(parts), matrix.benchmark_values(group, parts["results"])))
+
+
+def f2_f9_comparisons(spark, sf_dir):
+    """Whole comparisons as files, read back: rows with cells, verdicts and notes; findings."""
+    docs = pages(spark, sf_dir)
+    parts, group = _parts(docs), sets(spark, sf_dir)
+    refs = matrix.paper_refs(group, metadata.titles(docs), metadata.years_dois(docs).select("paper_id", "year"))
+    held = _filed(matrix.comparisons(group, refs, parts), models.COMPARISON, "comparisons", "parquet")
+    cell = lambda c: F.concat_ws("|", c["paper_id"], c["value"], T.tag_text(c["sources"]))
+    row = lambda r: F.concat_ws("|", r["dimension"], r["kind"], r["verdict"], r["note"], F.array_join(F.transform(r["cells"], cell), "/"))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["statement"], F.array_join(x["paper_ids"], ","), T.tag_text(x["sources"]))), "\n")
+    return held.select(
+        F.array_join("paper_ids", ",").alias("paper_ids"),
+        F.array_join(F.transform("papers", lambda p: F.concat_ws("|", p["title"], p["year"].cast("string"))), "\n").alias("papers"),
+        F.size("rows").alias("n_rows"),
+        F.md5(F.array_join(F.transform("rows", row), "\n")).alias("rows_digest"),
+        said("consensus_points").alias("consensus"),
+        said("contradictions").alias("contradictions"),
+        "generated_by",
     )
-    return _said(matrix.cells(group, values, matrix.benchmark_values(group, parts["results"])))
 
 
 def f4_architecture_verdicts(spark, sf_dir):
@@ -518,23 +592,34 @@ def g6_cross_cutting(spark, sf_dir):
 
 def g7_counts(spark, sf_dir):
     capped = staged(_gaps(spark, sf_dir), "gaps")
-    return extract.gap_counts(capped, claims.cross_cutting(capped))
+    return extract.gap_counts(sets(spark, sf_dir), capped, claims.cross_cutting(capped))
+
+
+def g_research_gaps(spark, sf_dir):
+    """Whole gap reports as files, read back."""
+    capped = staged(_gaps(spark, sf_dir), "gaps")
+    held = _filed(matrix.research_gaps(sets(spark, sf_dir), capped, claims.cross_cutting(capped)), models.GAPS, "gap-reports")
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["category"], F.array_join(x["paper_ids"], ","), x["statement"], T.tag_text(x["sources"]))), "\n").alias(c)
+    return held.select(F.array_join("paper_ids", ",").alias("papers"), *map(said, matrix.BUCKETS), "generated_by")
 
 
 def g8_badges(spark, sf_dir):
-    return claims.badges(paragraphs(spark, sf_dir).select("paper_id", F.col("section").alias("claim_no"), "paragraph_id", "page_number"))
+    """Claims that cite a section's paragraphs, the last page first."""
+    each = F.struct((-F.col("page_number")).alias("p"), "para_no", T.tag().alias("tag"))
+    made = paragraphs(spark, sf_dir).groupBy("paper_id", F.col("section").alias("claim_no")).agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["tag"]).alias("sources"))
+    return claims.badges(made).drop("sources")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         g3_g4_gaps,
-        a1_intake, a2_page_text, a3_nested_papers, a4_upsert, a4_upsert_counts, a5_delete_papers, a6_list_papers, a7_lookup, a7_papers, a8_resolve, a9_reuse,
+        a1_intake, a2_page_text, a3_nested_papers, a3_papers, a3_refused, a4_upsert, a4_upsert_counts, a5_delete_papers, a6_list_papers, a7_lookup, a7_papers, a8_resolve, a9_reuse,
         b1_lines, b2_b3_headings, b4_hint_headings, b4_hinted_paragraphs, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c1_titles_by_font, c1_c2_titles, c2_titles, c3_authors, c4_c5_year_doi, c6_abstracts, c7_counts, c8_enrichment,
         d1_chunks, d3_hashed_vectors, d4_term_statistics, d5_bm25, d7_dense_top_k, d9_hybrid_search, d9_odd_queries, d10_scoped_search, d11_lexical_overlap, d12_citations,
-        e1_lead_sentences, e2_bullets, e3_section_summaries, e4_tldr, e5_architectures, e6_hyperparameters, e7_losses, e8_e9_datasets, e10_hardware, e11_e12_benchmarks, e13_envelope, e14_repair, e15_audit, e16_contexts, e16_whole_contexts,
-        f1_paper_refs, f2_f3_matrix, f4_architecture_verdicts, f5_hyperparameter_verdicts, f6_dataset_verdicts, f7_f8_benchmark_verdicts, f9_findings, f10_cells, f11_wide_matrix,
-        g1_g2_gap_sentences, g5_themes, g6_cross_cutting, g7_counts, g8_badges,
+        e1_lead_sentences, e2_bullets, e3_section_summaries, e4_tldr, e5_architectures, e6_hyperparameters, e7_losses, e8_e9_datasets, e10_hardware, e11_e12_benchmarks, e13_envelope, e13_extractions, e14_repair, e15_audit, e16_contexts, e16_whole_contexts,
+        f1_paper_refs, f2_f3_matrix, f2_f9_comparisons, f4_architecture_verdicts, f5_hyperparameter_verdicts, f6_dataset_verdicts, f7_f8_benchmark_verdicts, f9_findings, f10_cells, f11_wide_matrix,
+        g1_g2_gap_sentences, g5_themes, g6_cross_cutting, g7_counts, g8_badges, g_research_gaps,
     )
 }
