@@ -664,4 +664,14 @@ _MAIN["g_research_gaps"] = (
     + ", ".join(f"coalesce(string_agg(line, chr(10) order by ord) filter (where bucket = '{b}'), '') as {b}" for b in [*GAPS, "cross_cutting"])
     + ", 'heuristic' as generated_by from (select set_id, string_agg(paper_id, ',' order by paper_ord) as papers from sets group by set_id) left join it using (set_id) group by set_id, papers",
 )
+# an index after a series of writes: what each left behind
+_KEPT = """kept as (
+  select doc_id, case when doc_id % 30 = 3 then text when doc_id % 10 = 3 then 'revised ' || coalesce(substr(text, 1, 200), '') || ' edition' || (doc_id % 7) else text end as text
+  from documents where doc_id % 30 = 3 or doc_id not in (select doc_id from labels where toxic = 1))"""
+_KEPT_POST = _POST.replace("from documents", "from kept")
+_MAIN["d4_index_statistics"] = (f"{_KEPT}, {_KEPT_POST}", "select term, count(*) as df, any_value(st.n) as n, round(any_value(mean), 6) as mean from p, st group by term")
+_MAIN["d5_index_search"] = (
+    f"{_KEPT}, {_KEPT_POST}, {_ASKED}, {_BM25}",
+    "select query_id, id, round(bm25, 6) as bm25 from (select *, row_number() over (partition by query_id order by round(bm25, 9) desc, id) as r from bm) where r <= 10",
+)
 ORACLE_SQL = {k: f"with {ctes} {select}" for k, (ctes, select) in _MAIN.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, claims, dense, extract, maintenance, matrix, metadata, nested, onepass, search, segment
+from ..operators import chunk, claims, dense, extract, index, maintenance, matrix, metadata, nested, onepass, search, segment
 from ..sources import intake, models
 from ..sources.corpus import page_text
 from ..sources.staged import shared_dir, staged
@@ -343,6 +343,29 @@ def d5_bm25(spark, sf_dir):
     return search.bm25(_texts(spark, sf_dir), _queries(spark, sf_dir), 10).withColumn("bm25", F.round("bm25", 6))
 
 
+def _maintained(spark, sf_dir) -> index.Index:
+    """An index of all documents; then some come again in another wording, all of a source twice, and
+    those that a label marks as toxic go."""
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id as id", "concat('d', doc_id) as paper_id", "text")
+    held = index.Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "long", buckets=16, slots=16)
+    held.upsert(docs, 1)
+    again = docs.where("id % 10 = 3").selectExpr("id", "paper_id", "explode(array(1, 2)) as version", "text")
+    held.upsert(again.withColumn("text", F.expr("case version when 2 then concat('revised ', coalesce(substr(text, 1, 200), ''), ' edition', id % 7) else 'draft' end")), 2, "version")
+    held.delete(_toxic(spark, sf_dir), 3)
+    held.upsert(docs.where("id % 30 = 3"), 4)
+    return held
+
+
+def d4_index_statistics(spark, sf_dir):
+    """Statistics of a maintained index, which only sums of differences tell."""
+    return _maintained(spark, sf_dir).statistics().withColumn("mean", F.round("mean", 6))
+
+
+def d5_index_search(spark, sf_dir):
+    """The ten best of every query in a maintained index, from the buckets of its terms alone."""
+    return _maintained(spark, sf_dir).bm25(_queries(spark, sf_dir), 10).withColumn("bm25", F.round("bm25", 6))
+
+
 def d7_dense_top_k(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return dense.dense_top_k(rows, rows.where("id % 20 = 0"))
@@ -617,7 +640,7 @@ QUERIES = {
         a1_intake, a2_page_text, a3_nested_papers, a3_papers, a3_refused, a4_upsert, a4_upsert_counts, a5_delete_papers, a6_list_papers, a7_lookup, a7_papers, a8_resolve, a9_reuse,
         b1_lines, b2_b3_headings, b4_hint_headings, b4_hinted_paragraphs, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c1_titles_by_font, c1_c2_titles, c2_titles, c3_authors, c4_c5_year_doi, c6_abstracts, c7_counts, c8_enrichment,
-        d1_chunks, d3_hashed_vectors, d4_term_statistics, d5_bm25, d7_dense_top_k, d9_hybrid_search, d9_odd_queries, d10_scoped_search, d11_lexical_overlap, d12_citations,
+        d1_chunks, d3_hashed_vectors, d4_term_statistics, d4_index_statistics, d5_bm25, d5_index_search, d7_dense_top_k, d9_hybrid_search, d9_odd_queries, d10_scoped_search, d11_lexical_overlap, d12_citations,
         e1_lead_sentences, e2_bullets, e3_section_summaries, e4_tldr, e5_architectures, e6_hyperparameters, e7_losses, e8_e9_datasets, e10_hardware, e11_e12_benchmarks, e13_envelope, e13_extractions, e14_repair, e15_audit, e16_contexts, e16_whole_contexts,
         f1_paper_refs, f2_f3_matrix, f2_f9_comparisons, f4_architecture_verdicts, f5_hyperparameter_verdicts, f6_dataset_verdicts, f7_f8_benchmark_verdicts, f9_findings, f10_cells, f11_wide_matrix,
         g1_g2_gap_sentences, g5_themes, g6_cross_cutting, g7_counts, g8_badges, g_research_gaps,

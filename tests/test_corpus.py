@@ -315,8 +315,8 @@ def test_search_ranks_zero_cosine_and_guards(spark):
             search.hybrid(texts, queries, top_k=bad)
     plain = search.hybrid(texts, queries, dense=False).collect()
     assert {r.query_id for r in plain} == {2} and len(plain) == 4
-    assert search.hybrid(texts.limit(0), queries).collect() == [] and search.bm25(texts, queries.limit(0)).collect() == []
-    assert {(r.query_id, r.id) for r in search.bm25(texts, queries).collect()} == {(2, k) for k in range(4)}
+    assert search.hybrid(texts.limit(0), queries).collect() == [] and search.bm25(texts, queries.limit(0), 5).collect() == []
+    assert {(r.query_id, r.id) for r in search.bm25(texts, queries, 5).collect()} == {(2, k) for k in range(4)}
 
 
 def test_scoped_search_keeps_to_its_papers(spark):
