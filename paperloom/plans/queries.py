@@ -375,6 +375,12 @@ def d9_hybrid_search(spark, sf_dir):
     return search.hybrid(_texts(spark, sf_dir), _queries(spark, sf_dir))
 
 
+def d9_given_vectors(spark, sf_dir):
+    """Hybrid search whose dense part ranks the vectors of ``embeddings`` by their documents' ids."""
+    held = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return search.hybrid(_texts(spark, sf_dir), _queries(spark, sf_dir), vectors=held, query_vectors=held.where("id % 20 = 0").withColumnRenamed("id", "query_id"))
+
+
 def d9_odd_queries(spark, sf_dir):
     """Queries that are blank, have no token, or tokens that hardly any text has: cosine ranks all
     the same."""
@@ -640,7 +646,7 @@ QUERIES = {
         a1_intake, a2_page_text, a3_nested_papers, a3_papers, a3_refused, a4_upsert, a4_upsert_counts, a5_delete_papers, a6_list_papers, a7_lookup, a7_papers, a8_resolve, a9_reuse,
         b1_lines, b2_b3_headings, b4_hint_headings, b4_hinted_paragraphs, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c1_titles_by_font, c1_c2_titles, c2_titles, c3_authors, c4_c5_year_doi, c6_abstracts, c7_counts, c8_enrichment,
-        d1_chunks, d3_hashed_vectors, d4_term_statistics, d4_index_statistics, d5_bm25, d5_index_search, d7_dense_top_k, d9_hybrid_search, d9_odd_queries, d10_scoped_search, d11_lexical_overlap, d12_citations,
+        d1_chunks, d3_hashed_vectors, d4_term_statistics, d4_index_statistics, d5_bm25, d5_index_search, d7_dense_top_k, d9_hybrid_search, d9_given_vectors, d9_odd_queries, d10_scoped_search, d11_lexical_overlap, d12_citations,
         e1_lead_sentences, e2_bullets, e3_section_summaries, e4_tldr, e5_architectures, e6_hyperparameters, e7_losses, e8_e9_datasets, e10_hardware, e11_e12_benchmarks, e13_envelope, e13_extractions, e14_repair, e15_audit, e16_contexts, e16_whole_contexts,
         f1_paper_refs, f2_f3_matrix, f2_f9_comparisons, f4_architecture_verdicts, f5_hyperparameter_verdicts, f6_dataset_verdicts, f7_f8_benchmark_verdicts, f9_findings, f10_cells, f11_wide_matrix,
         g1_g2_gap_sentences, g5_themes, g6_cross_cutting, g7_counts, g8_badges, g_research_gaps,

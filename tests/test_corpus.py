@@ -328,6 +328,35 @@ def test_scoped_search_keeps_to_its_papers(spark):
     assert [(r.query_id, r.id, r.score) for r in search.lexical_overlap(texts, queries).where("rank = 1").orderBy("query_id").collect()] == [(7, 1, 2), (9, 1, 1)]
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_scoped_search_equals_search_of_the_scope_alone(spark, block):
+    import random
+
+    draw = random.Random(9)
+    word = lambda: draw.choice(["alpha", "beta", "gamma", "delta", "pi"]) + draw.choice(["", "s", "7"])
+    texts = spark.createDataFrame([(k, f"p{k // 2}", " ".join(word() for _ in range(draw.randint(0, 9)))) for k in range(40)], "id long, paper_id string, text string")
+    queries = spark.createDataFrame([(q, " ".join(word() for _ in range(3)) if q else "?!") for q in range(7)], "query_id long, text string")
+    named = {q: [f"p{k}" for k in range(20) if q < 5 or (k + q) % 3] for q in range(7)}
+    scope = spark.createDataFrame([(q, p) for q, ps in named.items() for p in ps], "query_id long, paper_id string")
+    got = sorted(map(tuple, search.scoped(texts, queries, scope, block=block).collect()))
+    want = []
+    for q in (0, 5, 6):
+        mine = queries.where("query_id < 5") if q == 0 else queries.where(f"query_id = {q}")
+        want += search.hybrid(texts.where(texts.paper_id.isin(named[q])), mine).collect()
+    assert got == sorted(map(tuple, want))
+    assert search._scopes(scope)[1].select("scope_id").distinct().count() == 3
+
+
+def test_given_vectors_rank_instead_of_hashed_ones(spark):
+    texts = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "gamma"), (4, None)], "id long, text string")
+    queries = spark.createDataFrame([(7, "beta"), (8, "none of it")], "query_id long, text string")
+    vectors = spark.createDataFrame([(1, [0.0, 2.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0]), (3, [9.0, -9.0]), (4, None), (9, [5.0])], "id long, v array<float>")
+    asked = spark.createDataFrame([(7, [0.0, 1.0]), (8, None)], "query_id long, v array<float>")
+    got = {(r.query_id, r["rank"]): (r.id, r.dense_score, r.bm25_score > 0) for r in search.hybrid(texts, queries, vectors=vectors, query_vectors=asked).collect()}
+    assert {got[7, k][0]: got[7, k][1:] for k in range(1, 5)} == {1: (1.0, False), 2: (0.0, True), 3: (round(0.5**0.5, 6), False), 4: (0.0, False)}
+    assert [got[8, k][0] for k in range(1, 5)] == [1, 2, 3, 4] and all(got[8, k][1] == 0 for k in range(1, 5))
+
+
 def test_whole_contexts_hold_a_long_introduction(spark, tmp_path):
     from paperloom.plans import queries
 
