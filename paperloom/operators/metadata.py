@@ -120,27 +120,31 @@ def enrich(papers: DataFrame, catalog: DataFrame, least: float = 0.6, source: st
     The candidate is the first entry, by ``ord``, whose key is that of the title, or begins with its
     first 40 characters, or the other way round; else the first that shares the first 12. It is
     adopted if the keys are alike enough. First entries are found for each distinct key and prefix
-    before they are joined, so titles that many share make no pairs. Empty values count as missing;
+    before they are joined, so titles that many share make no pairs; each row of papers comes once,
+    whatever repeats (entries that share an ``ord`` go by their key). Empty values count as missing;
     papers without a title stay as they are."""
     fields = ["authors", "year", "abstract", "venue", "doi", "url"]
     none = lambda c, kind: F.col(c) if kind.startswith("array") or kind in ("int", "bigint") else F.nullif(F.trim(c), F.lit(""))
     kinds = dict(catalog.dtypes)
-    entries = catalog.select("ord", T.key(F.col("title")).alias("ck"), F.struct(F.col("title"), *(none(f, kinds[f]).alias(f) for f in fields)).alias("c")).where("ck <> ''")
-    keyed = papers.select("paper_id", T.key(F.coalesce("title", F.lit(""))).alias("k")).where("k <> ''")
-
-    firsts = entries.groupBy("ck").agg(F.min("ord").alias("ord"))
-    starts = firsts.select("ord", "ck", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("ck")))).alias("n"))
-    starts = starts.groupBy(F.expr("substring(ck, 1, n)").alias("p")).agg(F.min("ord").alias("ord"))
+    entry = F.struct("ord", F.struct(F.col("title"), *(none(f, kinds[f]).alias(f) for f in fields)).alias("c"))
+    # one entry for each key, the first; of those that share an order the least
+    entries = catalog.select(T.key(F.col("title")).alias("ck"), entry.alias("e")).where("ck <> ''").groupBy("ck").agg(F.min("e").alias("e"))
+    mine = T.key(F.coalesce("title", F.lit("")))
+    keyed = papers.select(mine.alias("k")).where("k <> ''").distinct()
+
+    firsts = entries.select("ck", F.struct(F.col("e.ord").alias("ord"), F.col("ck").alias("at")).alias("first"))
+    starts = firsts.select("first", "ck", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("ck")))).alias("n"))
+    starts = starts.groupBy(F.expr("substring(ck, 1, n)").alias("p")).agg(F.min("first").alias("first"))
     # a title's first 40 characters, if so many, are those of an entry; a shorter one begins one
-    longer = keyed.join(starts, F.substring("k", 1, HEAD) == F.col("p")).select("paper_id", "ord")
-    own = keyed.select("paper_id", "k", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("k")))).alias("n")).select("paper_id", F.expr("substring(k, 1, n)").alias("ck"))
-    shorter = own.join(firsts.where(F.length("ck") < HEAD), "ck").select("paper_id", "ord")
-    alike = longer.unionByName(shorter).groupBy("paper_id").agg(F.min("ord").alias("ord"))
-    blocks = firsts.groupBy(F.substring("ck", 1, BLOCK).alias("p")).agg(F.min("ord").alias("top"))
-    chosen = keyed.join(alike, "paper_id", "left").join(blocks, F.substring("k", 1, BLOCK) == F.col("p"), "left").select("paper_id", "k", F.coalesce("ord", "top").alias("ord")).where("ord is not null")
-    taken = chosen.join(entries, "ord").where(ratio(F.col("k"), F.col("ck"), least) >= least).select("paper_id", "c")
-
-    out = papers.join(taken, "paper_id", "left")
+    longer = keyed.join(starts, F.substring("k", 1, HEAD) == F.col("p")).select("k", "first")
+    own = keyed.select("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("k")))).alias("n")).select("k", F.expr("substring(k, 1, n)").alias("ck"))
+    shorter = own.join(firsts.where(F.length("ck") < HEAD), "ck").select("k", "first")
+    alike = longer.unionByName(shorter).groupBy("k").agg(F.min("first").alias("first"))
+    blocks = firsts.groupBy(F.substring("ck", 1, BLOCK).alias("p")).agg(F.min("first").alias("top"))
+    chosen = keyed.join(alike, "k", "left").join(blocks, F.substring("k", 1, BLOCK) == F.col("p"), "left").select("k", F.coalesce("first", "top")["at"].alias("ck")).where("ck is not null")
+    taken = chosen.join(entries, "ck").where(ratio(F.col("k"), F.col("ck"), least) >= least).select("k", F.col("e.c").alias("c"))
+
+    out = papers.withColumn("k", mine).join(taken, "k", "left").drop("k")
     few = F.coalesce(F.size("authors"), F.lit(0)) <= 1
     given = F.col("c.authors").isNotNull() & (F.size("c.authors") > 0)
     own_kinds = dict(papers.dtypes)

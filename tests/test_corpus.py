@@ -6,7 +6,6 @@ from paperloom.functions import text as T
 from paperloom.operators import chunk, claims, dense, extract, maintenance, matrix, metadata, nested, search, segment
 from paperloom.sources import intake
 from paperloom.sources import nested as nested_files
-from paperloom.streaming import ingest
 
 A = """A Weighted Transformer for Translation
 Ann Writer, Ben Reader
@@ -216,6 +215,16 @@ def test_enrichment_equals_plain_search(spark):
         assert r.authors == (["A", "B"] if i % 2 else ["C", "D"] if hit else [])
 
 
+def test_enrichment_gives_each_paper_once(spark):
+    fields = "authors array<string>, year int, abstract string, venue string, doi string, url string"
+    none = (["A", "B"], None, None, None, None, None)
+    title = "One Title of Some Length"
+    catalog = spark.createDataFrame([(3, title, ["C"], 2003, None, "V", "d3", None), (3, title.upper(), ["C"], 2003, None, "V", "d3", None), (3, "Another Title", ["D"], 1999, None, "W", "d9", None), (8, title, ["C"], 2008, None, "X", "d8", None)], f"ord int, title string, {fields}")
+    papers = spark.createDataFrame([("a", title, *none), ("a", title, *none), ("a", "Another Title", *none), ("b", title, *none), ("c", None, *none)], f"paper_id string, title string, {fields}")
+    got = metadata.enrich(papers, catalog).collect()
+    assert sorted((r.paper_id, str(r.year), str(r.venue)) for r in got) == [("a", "1999", "W"), ("a", "2003", "V"), ("a", "2003", "V"), ("b", "2003", "V"), ("c", "None", "None")]
+
+
 def test_contexts_stop_at_the_budget(spark, paras):
     heads = spark.createDataFrame([("a", "HEAD\n\n")], "paper_id string, head string")
     only = paras.where("paper_id = 'a'")
@@ -242,7 +251,7 @@ def test_dense_top_k(spark):
         assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(-(unit @ unit[q]))[:3].tolist()
 
 
-def test_intake_and_stream(spark, tmp_path):
+def test_intake(spark):
     files = spark.createDataFrame([("a.pdf", 5, bytearray(b"%PDF-")), ("b.txt", 5, bytearray(b"%PDF-")), ("c.PDF", 0, bytearray(b"")), ("d.pdf", 60 << 20, bytearray(b"%PDF")), ("e.pdf", 3, bytearray(b"abc"))], "path string, length long, content binary")
     assert [r.reason for r in intake.judged(files).orderBy("path").collect()] == [None, "name is not .pdf", "empty", "larger than 50 MiB", "not a PDF"]
     assert [r.status for r in intake.judged(files).orderBy("path").collect()] == [201, 400, 422, 413, 422]
@@ -251,10 +260,6 @@ def test_intake_and_stream(spark, tmp_path):
     assert [r.reason for r in intake.judged(files, read.limit(0)).where("path = 'a.pdf'").collect()] == ["no pages"]
     typed = intake.judged(files.selectExpr("*", "case when path = 'a.pdf' then 'text/html' else '' end as content_type"))
     assert typed.where("path = 'a.pdf'").first().reason == "unsupported content type"
-    for n, text in ((1, A), (2, "Results\nagain something")):
-        spark.createDataFrame([("a", "a.pdf", 1, text)], ingest.PAGES).write.mode("append").parquet(f"{tmp_path}/in")
-        ingest.follow(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert [r.text for r in ingest.latest(spark, f"{tmp_path}/out").collect()] == ["again something"]
 
 
 def test_nested_papers_are_read_back(spark, paras, tmp_path):
