@@ -16,6 +16,8 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions.constants import ARXIV, DOI, YEAR
+from ..sources.staged import scope, staged
+from .relevance import relevant
 from .segment import lines
 
 # Lines that are affiliations, and parts that are no names.
@@ -110,39 +112,48 @@ def hint_headings(page_lines: DataFrame, hints: DataFrame, least: float = 0.92)
     return pairs.join(distinct, ["low", "hint"]).groupBy("paper_id", "page_number", "line_no").agg(F.min_by("heading", section_ord(F.col("heading"))).alias("heading"))
 
 
-HEAD, BLOCK = 40, 12
+HEAD = 40
 
 
-def enrich(papers: DataFrame, catalog: DataFrame, least: float = 0.6, source: str = "catalog") -> DataFrame:
+def enrich(papers: DataFrame, catalog: DataFrame, least: float = 0.6, source: str = "catalog", near: float = 0.5, most: int = 5) -> DataFrame:
     """papers(paper_id, title, authors, year, abstract, venue, doi, url) completed from
     catalog(ord, title, authors, year, abstract, venue, doi, url).
 
-    The candidate is the first entry, by ``ord``, whose key is that of the title, or begins with its
-    first 40 characters, or the other way round; else the first that shares the first 12. It is
-    adopted if the keys are alike enough. First entries are found for each distinct key and prefix
-    before they are joined, so titles that many share make no pairs; each row of papers comes once,
-    whatever repeats (entries that share an ``ord`` go by their key). Empty values count as missing;
-    papers without a title stay as they are."""
+    A catalogue is searched for the ``most`` entries whose titles are most relevant (``relevant``, at
+    least ``near``). Two titles match if the keys are equal or one begins with the other's first 40
+    characters. The candidate is the most relevant entry that matches; else the first entry of the whole
+    catalogue, by ``ord``, that matches (titles that are parted into other words); else the most relevant.
+    It is adopted if the keys are alike enough. Entries are found for each distinct key before they are
+    joined, so titles that many share make no pairs; each row of papers comes once, whatever repeats
+    (entries that share an ``ord`` go by their key, titles that share a key by the least). Empty values
+    count as missing; papers without a title stay as they are."""
     fields = ["authors", "year", "abstract", "venue", "doi", "url"]
     none = lambda c, kind: F.col(c) if kind.startswith("array") or kind in ("int", "bigint") else F.nullif(F.trim(c), F.lit(""))
     kinds = dict(catalog.dtypes)
     entry = F.struct("ord", F.struct(F.col("title"), *(none(f, kinds[f]).alias(f) for f in fields)).alias("c"))
-    # one entry for each key, the first; of those that share an order the least
-    entries = catalog.select(T.key(F.col("title")).alias("ck"), entry.alias("e")).where("ck <> ''").groupBy("ck").agg(F.min("e").alias("e"))
     mine = T.key(F.coalesce("title", F.lit("")))
-    keyed = papers.select(mine.alias("k")).where("k <> ''").distinct()
-
-    firsts = entries.select("ck", F.struct(F.col("e.ord").alias("ord"), F.col("ck").alias("at")).alias("first"))
-    starts = firsts.select("first", "ck", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("ck")))).alias("n"))
-    starts = starts.groupBy(F.expr("substring(ck, 1, n)").alias("p")).agg(F.min("first").alias("first"))
-    # a title's first 40 characters, if so many, are those of an entry; a shorter one begins one
-    longer = keyed.join(starts, F.substring("k", 1, HEAD) == F.col("p")).select("k", "first")
-    own = keyed.select("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("k")))).alias("n")).select("k", F.expr("substring(k, 1, n)").alias("ck"))
-    shorter = own.join(firsts.where(F.length("ck") < HEAD), "ck").select("k", "first")
-    alike = longer.unionByName(shorter).groupBy("k").agg(F.min("first").alias("first"))
-    blocks = firsts.groupBy(F.substring("ck", 1, BLOCK).alias("p")).agg(F.min("first").alias("top"))
-    chosen = keyed.join(alike, "k", "left").join(blocks, F.substring("k", 1, BLOCK) == F.col("p"), "left").select("k", F.coalesce("first", "top")["at"].alias("ck")).where("ck is not null")
-    taken = chosen.join(entries, "ck").where(ratio(F.col("k"), F.col("ck"), least) >= least).select("k", F.col("e.c").alias("c"))
+    with scope(papers.sparkSession):
+        # one entry for each key, the first; of those that share an order the least
+        entries = catalog.select(T.key(F.col("title")).alias("ck"), entry.alias("e")).where("ck <> ''").groupBy("ck").agg(F.min("e").alias("e"))
+        entries = staged(entries, "catalogue")
+        keyed = papers.select(mine.alias("k"), "title").where("k <> ''").groupBy("k").agg(F.min("title").alias("title"))
+        keyed = staged(keyed, "titles-asked")
+
+        firsts = entries.select("ck", F.struct(F.col("e.ord").alias("ord"), F.col("ck").alias("at")).alias("first"))
+        starts = firsts.select("first", "ck", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("ck")))).alias("n"))
+        starts = starts.groupBy(F.expr("substring(ck, 1, n)").alias("p")).agg(F.min("first").alias("first"))
+        # a title's first 40 characters, if so many, are those of an entry; a shorter one begins one
+        longer = keyed.join(starts, F.substring("k", 1, HEAD) == F.col("p")).select("k", "first")
+        own = keyed.select("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("k")))).alias("n")).select("k", F.expr("substring(k, 1, n)").alias("ck"))
+        shorter = own.join(firsts.where(F.length("ck") < HEAD), "ck").select("k", "first")
+        alike = longer.unionByName(shorter).groupBy("k").agg(F.min("first").alias("first"))
+        found = relevant(keyed, entries.select("ck", F.col("e.c.title").alias("title"), F.col("e.ord").alias("ord")), near, most)
+        matches = F.startswith("ck", F.substring("k", 1, HEAD)) | F.startswith("k", F.substring("ck", 1, HEAD))
+        found = found.groupBy("k").agg(F.min(F.struct((~matches).alias("other"), "rank", "ck")).alias("near"))
+        first_at, other = F.col("first")["at"], F.col("near")["other"]
+        chosen = alike.join(found, "k", "full").select("k", F.when(other & first_at.isNotNull(), first_at).otherwise(F.coalesce(F.col("near")["ck"], first_at)).alias("ck"))
+        taken = chosen.join(entries, "ck").where(ratio(F.col("k"), F.col("ck"), least) >= least).select("k", F.col("e.c").alias("c"))
+        taken = staged(taken, "titles-taken")
 
     out = papers.withColumn("k", mine).join(taken, "k", "left").drop("k")
     few = F.coalesce(F.size("authors"), F.lit(0)) <= 1

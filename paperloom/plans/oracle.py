@@ -458,16 +458,28 @@ cat as (
   select doc_id, case doc_id % 7 when 1 then 'Study ' || doc_id || ' of Learned' when 2 then 'Study ' || doc_id || ' of Learned Sequence Models: An Extended Report' when 3 then 'Other work ' || doc_id
     when 4 then 'Study ' || doc_id || ' of Le' || repeat('x', 35) when 5 then 'Study ' || doc_id || ' of Lerned Sequence Models' else 'STUDY ' || doc_id || ' of learned sequence models' end as c
   from documents),
+ck as (select *, {_KEY.format('c')} as ck, list_distinct(regexp_extract_all(lower(c), '\w+')) as cw from cat),
+ts as (
+  select substr(paper_id, 2)::bigint as paper, title, {_KEY.format('title')} as k, list_distinct(regexp_extract_all(lower(title), '\w+')) as tw, authors, year, doi
+  from titles join people using (paper_id) join dated using (paper_id)),
+-- words of entries weigh by rarity; the entries that share half the weight, the five best, and last the first one that matches
+wt as (select w, ln(1 + (select count(*) from cat) / count(*)) as g from (select unnest(cw) as w from ck) group by w),
+ew as (select doc_id, w, g, sum(g) over (partition by doc_id) as whole from (select doc_id, unnest(cw) as w from ck) join wt using (w)),
+pw as (select paper, w, g, sum(g) over (partition by paper) as whole from (select paper, unnest(tw) as w from ts) join wt using (w)),
+rs as (select paper, doc_id, round(sum(ew.g) / (any_value(ew.whole) + any_value(pw.whole) - sum(ew.g)), 9) as alike from pw join ew using (w) group by paper, doc_id),
+five as (select *, row_number() over (partition by paper order by alike desc, doc_id) as r from rs where alike >= 0.5 qualify r <= 5),
+cand as (
+  select paper, doc_id, r from five
+  union all select paper, min(doc_id), 6 from ts join ck on starts_with(ck, left(k, 40)) or starts_with(k, left(ck, 40)) group by paper),
 ks as (
-  select doc_id, c, {_KEY.format('c')} as ck, {_KEY.format('title')} as k, title, authors, year, doi
-  from cat join titles on titles.paper_id = 'd' || doc_id join people using (paper_id) join dated using (paper_id)),
--- an entry that the title begins with, or the other way round, matches in the whole shorter key;
--- of those alike in twelve characters the misspelt and the longer ones are alike enough
+  select *, starts_with(ck, left(k, 40)) or starts_with(k, left(ck, 40)) as same from cand join ck using (doc_id) join ts using (paper)
+  qualify row_number() over (partition by paper order by not same, r) = 1),
+-- an entry that matches is alike in the whole shorter key; of the others the misspelt ones and the longer ones are alike enough
 ok as (
-  select *, case when starts_with(ck, left(k, 40)) or starts_with(k, left(ck, 40)) then 2.0 * least(length(k), length(ck)) / (length(k) + length(ck)) >= 0.6
-    else left(k, 12) = left(ck, 12) and doc_id % 7 in (2, 5) end as hit
-  from ks)""",
-        """select 'd' || doc_id as paper_id, case when hit then c else title end as title, coalesce(year, case when hit then (doc_id % 30 + 1990)::int end) as year,
+  select ts.paper, ts.title, ts.authors, ts.year, ts.doi, doc_id, c, coalesce(
+    case when same then 2.0 * least(length(ts.k), length(ck)) / (length(ts.k) + length(ck)) >= 0.6 else doc_id = ts.paper and doc_id % 7 in (2, 5) end, false) as hit
+  from ts left join ks using (paper))""",
+        """select 'd' || paper as paper_id, case when hit then c else title end as title, coalesce(year, case when hit then (doc_id % 30 + 1990)::int end) as year,
   case when hit and doc_id % 7 <> 6 then 'V' end as venue, coalesce(doi, case when hit then '10.1/' || doc_id end) as doi,
   case when hit and len(authors) <= 1 then 'A, B' else array_to_string(authors, ', ') end as authors, case when hit then 'catalog' else 'heuristic' end as enrichment_source from ok""",
     ),

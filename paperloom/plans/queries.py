@@ -295,7 +295,7 @@ def c7_counts(spark, sf_dir):
 
 def c8_enrichment(spark, sf_dir):
     """Papers completed from a catalogue with an entry for each: the title in capitals, cut, longer,
-    another, or the same only at its beginning."""
+    misspelt, another, or the same only at its beginning."""
     docs = pages(spark, sf_dir)
     found = metadata.titles(docs).join(metadata.authors(docs), "paper_id").join(metadata.years_dois(docs), "paper_id")
     found = found.select("paper_id", "title", "authors", "year", _none("string").alias("abstract"), F.lit("").alias("venue"), "doi", _none("string").alias("url"))

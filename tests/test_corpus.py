@@ -1,5 +1,7 @@
 """Two small papers with known results, and the quirks of the segmentation."""
 
+import re
+
 import pytest
 
 from paperloom.functions import text as T
@@ -192,6 +194,53 @@ def test_years_and_dois_are_of_two_pages(spark):
     assert {k: (r.year, r.doi) for k, r in got.items()} == {"a": (1999, None), "b": (2003, "10.1234/x.9,"), "d": (None, None)}
 
 
+def most_relevant(title, entries, near=0.5, most=5):
+    """Places of the entries most like a title, by comparison with every one; entries of equal keys are one."""
+    from math import log1p
+
+    words = lambda t: frozenset(re.findall(r"\w+", (t or "").lower()))
+    said = {"".join(re.findall(r"\w", (e or "").lower())): j for j, e in reversed(list(enumerate(entries)))}
+    held = {j: words(entries[j]) for key, j in said.items() if key}
+    weight = lambda ws: sum(log1p(len(held) / df) for w in ws if (df := sum(w in h for h in held.values())))
+    alike = {j: round(weight(words(title) & h) / weight(words(title) | h), 9) for j, h in held.items()}
+    return sorted((j for j in held if alike[j] >= near), key=lambda j: (-alike[j], j))[:most]
+
+
+def test_relevant_titles_equal_comparison_with_all(spark):
+    import random
+
+    from paperloom.operators.relevance import relevant
+
+    # words of very different frequency; some titles repeat in other case, are empty or very long
+    rng = random.Random(5)
+    some = lambda: " ".join(f"w{min(int(rng.paretovariate(0.5)), 60)}" for _ in range(rng.randint(1, 9)))
+    entries = list(dict.fromkeys(some() for _ in range(150))) + ["Alone", "", None, " ".join(f"w{i}" for i in range(1, 61))]
+    keys = ["".join(re.findall(r"\w", (e or "").lower())) for e in entries]
+    kept = [j for j, key in enumerate(keys) if key and key not in keys[:j]]
+    asked = [some() for _ in range(120)] + ["alone, unknown words", "ALONE", "", None, "unheard", entries[-1], "x " * 3000 + "alone"]
+    asked += ["Entirely Other Start " + e for e in entries[:20]]
+    catalog = spark.createDataFrame([(keys[j], entries[j], j) for j in kept], "ck string, title string, ord int")
+    titles = spark.createDataFrame(list(enumerate(asked)), "k int, title string")
+    for near in (0.3, 0.5, 0.9):
+        got = {}
+        for r in relevant(titles, catalog, near).orderBy("k", "rank").collect():
+            got.setdefault(r.k, []).append(keys.index(r.ck))
+        want = {k: found for k, t in enumerate(asked) if (found := most_relevant(t, entries, near))}
+        assert got == want and len(got) > 20
+    assert relevant(titles, catalog.limit(0)).collect() == [] and relevant(titles.limit(0), catalog).collect() == []
+
+
+def test_enrichment_finds_titles_that_differ_at_the_start(spark):
+    fields = "authors array<string>, year int, abstract string, venue string, doi string, url string"
+    none = ([], None, None, None, None, None)
+    entries = ["Deep Residual Networks for Image Recognition", "Towards Deep Residual Networks for Image Retrieval", "Graph Attention for Molecules", "Attention for Speech"]
+    catalog = spark.createDataFrame([(i, t, ["C"], 2000 + i, None, "V", f"d{i}", None) for i, t in enumerate(entries)], f"ord int, title string, {fields}")
+    asked = ["On Deep Residual Networks for Image Retrieval", "Revisiting Graph Attention for Molecules", "Deep-Residual Networks for Image Recognition", "Attentionforspeech", "Molecules"]
+    papers = spark.createDataFrame([(str(i), t, *none) for i, t in enumerate(asked)], f"paper_id string, title string, {fields}")
+    got = by(metadata.enrich(papers, catalog), "paper_id")
+    assert [got[str(i)].doi for i in range(5)] == ["d1", "d2", "d0", "d3", None]
+
+
 def test_enrichment_equals_plain_search(spark):
     from difflib import SequenceMatcher
 
@@ -206,8 +255,8 @@ def test_enrichment_equals_plain_search(spark):
     for i, t in enumerate(titles):
         k, keys = key(t), [key(e) for e in entries]
         alike = [j for j, c in enumerate(keys) if k and c and (c == k or c.startswith(k[:40]) or k.startswith(c[:40]))]
-        top = [j for j, c in enumerate(keys) if k and c and c[:12] == k[:12]]
-        pick = (alike or top or [None])[0]
+        top = most_relevant(t, entries)
+        pick = ([j for j in top if j in alike] + alike + top + [None])[0]
         hit = pick is not None and SequenceMatcher(None, k, keys[pick]).ratio() >= 0.6
         r = got[str(i)]
         assert r.title == (entries[pick] if hit else t) and (r.enrichment_source == "catalog") == hit, (t, pick)
