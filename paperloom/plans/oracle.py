@@ -311,7 +311,11 @@ pl as (
 pt as (
   select *, list_transform(ps, lambda p: length(p.t)) as ls,
     list_transform(ps, lambda p: case when length(p.t) > 2000
-      then list_reduce({_CUT}, lambda b, s: case when length(b) > 0 and length(b) + length(s) > 1000 then s else trim(b || ' ' || s) end) else p.t end) as tails
+      then list_reduce({_CUT}, lambda b, s: case when length(b) > 0 and length(b) + length(s) > 1000 then s else trim(b || ' ' || s) end) else p.t end) as tails,
+    -- the parts of a long paragraph, the last of them growing, set apart as in a chunk of its own
+    list_transform(ps, lambda p: case when length(p.t) > 2000 then replace(
+      list_reduce({_CUT}, lambda b, s: case when length(string_split(b, chr(1))[-1]) > 0 and length(string_split(b, chr(1))[-1]) + length(s) > 1000 then b || chr(1) || s else trim(b || ' ' || s) end),
+      chr(1), chr(10) || chr(10)) else p.t end) as wholes
   from pl),
 pc as (select *, len(ps) as np, list_transform(range(0, len(ls) + 1), lambda i: coalesce(list_sum(ls[1:i]), 0)) as cs from pt),
 ch as (
@@ -322,7 +326,7 @@ ch as (
     select ch.paper_id, n, z, np, cs, ls, tails, case when z > a then z - 1 else -1 end as nc, c < 0 and z = a + 1 and ls[z] > 2000 as split
     from ch join pc on ch.paper_id = pc.paper_id where z < np))),
 ck as (
-  select ch.*, ps, tails, case when c < 0 then [] else [ps[c + 1]] end || ps[a + 1:z] as items,
+  select ch.*, ps, tails, wholes, case when c < 0 then [] else [ps[c + 1]] end || ps[a + 1:z] as items,
     case when c < 0 then '' when part then tails[c + 1] else ps[c + 1].t end as said from ch join pc on ch.paper_id = pc.paper_id)"""
 
 _HEAD = "'TITLE: ' || title || chr(10) || 'AUTHORS: ' || coalesce(array_to_string(authors, ', '), '') || chr(10) || 'YEAR: ' || coalesce(year::varchar, 'None') || chr(10) || chr(10)"
@@ -487,7 +491,8 @@ ok as (
         "recursive " + _CHUNKS,
         f"""select paper_id || ':c' || n as chunk_id, paper_id, n as chunk_no, items[1].section as section, list_min(list_transform(items, lambda p: p.page)) as page_number,
   array_to_string(list_sort(list_distinct(list_transform(items, lambda p: p.page))), ',') as pages, array_to_string(list_transform(items, lambda p: p.id), ',') as paragraph_ids,
-  len({_tokens("said || ' ' || array_to_string(list_transform(ps[a + 1:z], lambda p: p.t), ' ')")})::int as token_count from ck""",
+  len({_tokens("said || ' ' || array_to_string(list_transform(ps[a + 1:z], lambda p: p.t), ' ')")})::int as token_count,
+  md5(array_to_string(case when c < 0 then [] when z = a and not part then [wholes[c + 1]] else [said] end || case when c < 0 and z = a + 1 then [wholes[z]] else list_transform(ps[a + 1:z], lambda p: p.t) end, chr(10) || chr(10))) as digest from ck""",
     ),
     "d3_hashed_vectors": (_vectors("documents", "doc_id", "v"), "select id, bucket, round(weight, 9) as weight from v"),
     "d4_term_statistics": (_POST, "select term, count(*) as df, sum(tf)::bigint as cf, any_value(st.n) as n, round(any_value(mean), 6) as mean from p, st group by term"),

@@ -327,7 +327,7 @@ def _queries(spark, sf_dir):
 
 def d1_chunks(spark, sf_dir):
     made = chunk.chunks(paragraphs(spark, sf_dir))
-    return made.select("chunk_id", "paper_id", "chunk_no", "section", "page_number", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join(F.array_distinct("paragraph_ids"), ",").alias("paragraph_ids"), "token_count")
+    return made.select("chunk_id", "paper_id", "chunk_no", "section", "page_number", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join(F.array_distinct("paragraph_ids"), ",").alias("paragraph_ids"), "token_count", F.md5("text").alias("digest"))
 
 
 def d3_hashed_vectors(spark, sf_dir):

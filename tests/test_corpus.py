@@ -92,14 +92,60 @@ def test_chunks_cover_paragraphs_in_order(paras):
         assert all(len("".join(r.text.split("\n\n"))) >= 80 for r in mine[:-1])
 
 
-def test_chunk_quirks():
-    para = lambda i, n: ("Results", f"p{i}", 1, "x" * n)
+def plain_split(text, target):
+    groups = []
+    for x in re.split(r"(?<=[.!?])\s+", text):
+        full = groups and groups[-1] and len(groups[-1]) + len(x) > target
+        groups = groups[:-1] + [f"{groups[-1]} {x}".strip()] if groups and not full else groups + [x]
+    return [g for g in groups if g] or [text]
+
+
+def plain_pack(paras, target, overlap):
+    """Chunks of (id, page, text), one paragraph after the other."""
+    at, held, out = 0, [], []
+    while at < len(paras) or held:
+        chunk, began = list(held), at
+        while at < len(paras) and sum(len(p[2]) for p in chunk) < target:
+            chunk.append(paras[at])
+            at += 1
+        if len(chunk) == 1 and len(chunk[0][2]) > 2 * target:
+            chunk = [(*chunk[0][:2], part) for part in plain_split(chunk[0][2], target)]
+        out.append(chunk)
+        held = chunk[-overlap:] if overlap and began < at < len(paras) else []
+    return out
+
+
+PARA = "paper_id string, section_ord int, para_no int, section string, paragraph_id string, page_number int, text string"
+
+
+def test_chunks_equal_plain_packing(spark):
+    import random
+
+    rng = random.Random(3)
+    said = lambda: " ".join("w" * rng.randint(1, 40) + rng.choice([".", "!", " x", "?\u2003", ".\n"]) for _ in range(rng.choice([0, 1, 1, 2, 3, 8, 30])))
+    rows = [(f"p{p}", i % 3, i, f"s{i % 3}", f"p{p}-{i}", rng.randint(1, 4), said()) for p in range(50) for i in range(rng.choice([1, 2, 5, 12]))]
+    rows += [("long", 0, i, "s0", f"long-{i}", 1, "One two. " * 400) for i in range(3)] + [("none", 0, 0, "s0", "n", 1, " "), ("none", 0, 1, "s0", "n", 1, None)]
+    for target, overlap in ((50, 1), (120, 0), (80, 2)):
+        got = {(r.paper_id, r.chunk_no): r for r in chunk.chunks(spark.createDataFrame(rows, PARA), target, overlap).collect()}
+        want = {}
+        for paper in {r[0] for r in rows}:
+            mine = [r for r in sorted((r for r in rows if r[0] == paper), key=lambda r: r[1:3]) if (r[6] or "").strip()]
+            want |= {(paper, n): (mine, c) for n, c in enumerate(plain_pack([r[4:] for r in mine], target, overlap))}
+        assert set(got) == set(want) and "none" not in {p for p, _ in got}
+        for k, (mine, c) in want.items():
+            section = {r[4]: r[3] for r in mine}[c[0][0]]
+            assert (got[k].text, got[k].paragraph_ids, got[k].pages, got[k].section) == ("\n\n".join(x[2] for x in c), [x[0] for x in c], sorted({x[1] for x in c}), section)
+
+
+def test_chunk_quirks(spark):
+    def packed(*paras, target):
+        rows = [("a", 0, i, "Results", p, 1, text) for i, (p, text) in enumerate(paras)]
+        return chunk.chunks(spark.createDataFrame(rows, PARA), target, 1).orderBy("chunk_no").collect()
+
     # a carried paragraph that fills a chunk alone comes again by itself
-    assert [[p[1] for p in c] for c in chunk.pack([para(1, 100), para(2, 10)], 50, 1)] == [["p1"], ["p1"], ["p2"]]
-    long = ("Results", "p1", 1, "One sentence here. " * 20)
-    (only,) = chunk.pack([long], 100, 1)
-    assert len(only) > 1 and {p[1] for p in only} == {"p1"} and all(len(p[3]) <= 100 for p in only)
-    assert list(chunk.pack([], 100, 1)) == []
+    assert [r.paragraph_ids for r in packed(("p1", "x" * 100), ("p2", "x" * 10), target=50)] == [["p1"], ["p1"], ["p2"]]
+    (only,) = packed(("p1", "One sentence here. " * 20), target=100)
+    assert len(only.paragraph_ids) > 1 and set(only.paragraph_ids) == {"p1"} and all(len(p) <= 100 for p in only.text.split("\n\n"))
 
 
 def test_results_and_citations(spark, paras):
