@@ -405,6 +405,12 @@ j as (
         "select path, length, case when reason is null then 201 when reason in ('name is not .pdf', 'unsupported content type') then 400 when reason = 'larger than 50 MiB' then 413 else 422 end as status, reason from j",
     ),
     "a2_page_text": (_PAGES, "select * from pages"),
+    "a2_read_pages": (
+        f"{_PAGES}, x as (select *, substr(paper_id, 2)::bigint % 9 as k from pages)",
+        """select case k when 1 then 'not of the model''s shape' when 2 then 'page_number: below 1' when 3 then 'paper_id: missing' when 5 then 'not of the model''s shape' when 7 then 'paper_id: empty' end as refused,
+  case when k = 7 then ' ' when k not in (1, 3, 5) then paper_id end as paper_id, case when k not in (1, 5) then filename end as filename,
+  case when k = 2 then 0 when k not in (1, 5) then page_number end as page_number, md5(case when k in (1, 4, 5) then '' else text end) as digest, count(*) as n from x group by all""",
+    ),
     "a3_nested_papers": (_PARAS, "select paper_id, section_ord, section, para_no, paragraph_id, page_number, text from paras"),
     "a4_upsert": (
         f"{_PAGES}, tox as (select 'd' || doc_id as paper_id from labels where toxic = 1)",

@@ -73,6 +73,24 @@ def a2_page_text(spark, sf_dir):
     return pages(spark, sf_dir)
 
 
+def a2_read_pages(spark, sf_dir):
+    """Page text as another program may write it, as lines of JSON: some cut, of another type, without
+    their paper, below page 1, without text, or with more fields. What is read, or why it is refused."""
+    text, n = F.to_json(F.struct(*models.PAGE)), _doc() % 9
+    said = (
+        F.when(n == 1, F.substring(text, 1, 20))
+        .when(n == 2, F.regexp_replace(text, r'"page_number":\d+', '"page_number":0'))
+        .when(n == 3, F.to_json(F.struct("filename", "page_number", "text")))
+        .when(n == 4, F.to_json(F.struct("paper_id", "filename", "page_number")))
+        .when(n == 5, F.regexp_replace(text, r'"page_number":\d+', '"page_number":"two"'))
+        .when(n == 6, F.to_json(F.struct(F.array(F.lit(1)).alias("marks"), *models.PAGE)))
+        .when(n == 7, F.to_json(F.struct(F.lit(" ").alias("paper_id"), "filename", "page_number", "text")))
+        .otherwise(text)
+    )
+    read = models.parsed(pages(spark, sf_dir).select(said.alias("value")), models.PAGE)
+    return read.groupBy("refused", "paper_id", "filename", "page_number", F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
 def a3_nested_papers(spark, sf_dir):
     """Papers nested, written to files, read back and laid flat."""
     docs = pages(spark, sf_dir)
@@ -643,7 +661,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         g3_g4_gaps,
-        a1_intake, a2_page_text, a3_nested_papers, a3_papers, a3_refused, a4_upsert, a4_upsert_counts, a5_delete_papers, a6_list_papers, a7_lookup, a7_papers, a8_resolve, a9_reuse,
+        a1_intake, a2_page_text, a2_read_pages, a3_nested_papers, a3_papers, a3_refused, a4_upsert, a4_upsert_counts, a5_delete_papers, a6_list_papers, a7_lookup, a7_papers, a8_resolve, a9_reuse,
         b1_lines, b2_b3_headings, b4_hint_headings, b4_hinted_paragraphs, b5_b8_paragraphs, b9_sections, b10_flat_numbers, b11_math, b12_math_spans, b13_tokens, b14_sentences, b15_keys,
         c1_titles_by_font, c1_c2_titles, c2_titles, c3_authors, c4_c5_year_doi, c6_abstracts, c7_counts, c8_enrichment,
         d1_chunks, d3_hashed_vectors, d4_term_statistics, d4_index_statistics, d5_bm25, d5_index_search, d7_dense_top_k, d9_hybrid_search, d9_given_vectors, d9_odd_queries, d10_scoped_search, d11_lexical_overlap, d12_citations,

@@ -1,4 +1,4 @@
-"""The nested models as files: papers, extractions, comparisons and gaps, one JSON text or row each.
+"""The models as files: page text, papers, extractions, comparisons and gaps, one JSON text or row each.
 
 A model says of every field its type, whether it must be there, what stands for it where it is missing,
 and what it must satisfy. From this come the schema to read with, the completed row, and the reason
@@ -30,6 +30,8 @@ METADATA = {
 }
 PAPER = {"paper_id": ("string", MUST), "filename": ("string", MUST), "metadata": (METADATA, MUST), "sections": ([SECTION], MUST), "page_count": ("int", MUST), "paragraph_count": ("int", MUST)}
 
+PAGE = {"paper_id": ("string", MUST), "filename": ("string", MUST), "page_number": ("int", MUST), "text": ("string", "")}
+
 BULLET = {"text": ("string", MUST), "sources": CITED}
 SECTIONAL = {"section": ("string", MUST), "summary": ("string", MUST), "sources": CITED}
 SUMMARY = {"executive_summary": ([BULLET], MUST), "sectional_summary": ([SECTIONAL], []), "technical_tldr": ("string", MUST), "technical_tldr_sources": CITED}
@@ -107,6 +109,8 @@ def problems(c: Column, kind, default, at: str) -> Column:
 
 def rules(model: dict, c: Column) -> list[Column]:
     """What holds for a model as a whole: text of what is wrong, or null."""
+    if model is PAGE:
+        return [F.when(F.trim(c["paper_id"]) == "", "paper_id: empty")]
     if model is EXTRACTION:
         return [
             F.when(F.size(c["summary"]["executive_summary"]) != 3, "summary.executive_summary: not 3 entries"),

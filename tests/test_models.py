@@ -173,3 +173,18 @@ def test_authors_follow_the_title_by_font(spark):
     spans = spark.createDataFrame([("a", 1, 800.0, 0, 10.0, 9.0, "An Early Line of Some Length"), ("a", 1, 800.0, 1, 40.0, 22.0, "The True Title in Large Type")], "paper_id string, page_number int, page_height double, span_no int, top double, size double, text string")
     assert metadata.authors(pages).first().authors == ["Carl Caption", "Dora Draft"]
     assert metadata.authors(pages, spans=spans).first().authors == ["Eva Editor", "Finn Founder"]
+
+
+@pytest.mark.parametrize("kind", ["json", "parquet"])
+def test_page_text_is_read_with_a_declared_schema(spark, pages, tmp_path, kind):
+    if kind == "json":
+        good_lines = ['{"paper_id": "a", "filename": "a.pdf", "page_number": 1, "text": "Abstract\\nx"}', '{"page_number": 2, "paper_id": "a", "filename": "a.pdf", "more": [1]}']
+        bad_lines = ['{"paper_id": "a", "filename": "a.pdf", "page_number": 0}', '{"paper_id": "a", "page_number": 1}', '{"paper_id": "", "filename": "f", "page_number": 1}', "[1]", "", '{"paper_id": "a", "filename"', '{"paper_id": "a", "filename": "f", "page_number": "one"}']
+        (tmp_path / "p").write_text("\n".join(good_lines + bad_lines))
+        good, bad = models.read(spark, f"{tmp_path}/p", models.PAGE)
+        assert sorted(map(tuple, good.collect())) == [("a", "a.pdf", 1, "Abstract\nx"), ("a", "a.pdf", 2, "")]
+        assert sorted(r.refused for r in bad.collect()) == sorted(["page_number: below 1", "filename: missing", "paper_id: empty"] + ["not of the model's shape"] * 4)
+    models.write(pages, f"{tmp_path}/q", models.PAGE, kind)
+    good, bad = models.read(spark, f"{tmp_path}/q", models.PAGE, kind)
+    assert bad.count() == 0 and sorted(map(str, good.collect())) == sorted(map(str, pages.fillna({"text": ""}).collect()))
+    assert sorted(map(str, segment.paragraphs(good).collect())) == sorted(map(str, segment.paragraphs(pages).collect()))
