@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions.constants import ARXIV, DOI, YEAR
-from ..sources.staged import scope, staged
+from ..sources.staged import exchanged, scope, staged
 from .relevance import relevant
 from .segment import lines
 
@@ -42,7 +42,7 @@ def titles(pages: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     named = pages.groupBy("paper_id").agg(F.min("filename").alias("filename"), F.min(first)["line"].alias("line"))
     if spans is None:
         return named.select("paper_id", F.coalesce("line", stem).alias("title"))
-    return named.join(titles_by_font(spans), "paper_id", "left").select("paper_id", F.coalesce("title", "line", stem).alias("title"))
+    return named.join(exchanged(titles_by_font(spans)), "paper_id", "left").select("paper_id", F.coalesce("title", "line", stem).alias("title"))
 
 
 def years_dois(pages: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def authors(pages: DataFrame, most: int = 20, spans: DataFrame | None = None) ->
     named = titles(pages, spans).select("paper_id", F.lower(F.substring("title", 1, 25)).alias("head"))
     page = lines(pages).where("page_number = 1 and line <> ''")
     page = page.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("line_no")))
-    placed = page.join(named, "paper_id")
+    placed = page.join(exchanged(named), "paper_id")
     whole = Window.partitionBy("paper_id")
     at = F.coalesce(F.min(F.when(F.contains(F.lower("line"), F.col("head")), F.col("n"))).over(whole), F.lit(1))
     stop = F.min(F.when(F.contains(F.lower("line"), F.lit("abstract")) & (F.col("n") > F.col("at")), F.col("n"))).over(whole)
@@ -78,7 +78,7 @@ def authors(pages: DataFrame, most: int = 20, spans: DataFrame | None = None) ->
     near = near.where(~F.col("line").rlike(AFFILIATION)).where((F.col("line").rlike(r"(?i),|\band\b") | words.between(2, 4)) & (F.length("line") < 200) & ~F.col("line").rlike(r"\d"))
     name = F.filter(F.transform(F.split("line", r",|\band\b|;|·|\|"), T.strip), lambda x: F.size(F.split(x, r"\s+")).between(1, 4) & (F.length(x) >= 3) & ~x.rlike(NO_NAME))
     found = near.withColumn("names", name).where("size(names) > 0").groupBy("paper_id").agg(F.min_by("names", "n").alias("names"))
-    return named.join(found, "paper_id", "left").select("paper_id", F.coalesce(F.slice("names", 1, most), F.array().cast("array<string>")).alias("authors"))
+    return named.join(exchanged(found), "paper_id", "left").select("paper_id", F.coalesce(F.slice("names", 1, most), F.array().cast("array<string>")).alias("authors"))
 
 
 def abstracts(paras: DataFrame, most: int = 2000) -> DataFrame:
@@ -143,19 +143,19 @@ def enrich(papers: DataFrame, catalog: DataFrame, least: float = 0.6, source: st
         starts = firsts.select("first", "ck", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("ck")))).alias("n"))
         starts = starts.groupBy(F.expr("substring(ck, 1, n)").alias("p")).agg(F.min("first").alias("first"))
         # a title's first 40 characters, if so many, are those of an entry; a shorter one begins one
-        longer = keyed.join(starts, F.substring("k", 1, HEAD) == F.col("p")).select("k", "first")
+        longer = keyed.join(exchanged(starts), F.substring("k", 1, HEAD) == F.col("p")).select("k", "first")
         own = keyed.select("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("k")))).alias("n")).select("k", F.expr("substring(k, 1, n)").alias("ck"))
-        shorter = own.join(firsts.where(F.length("ck") < HEAD), "ck").select("k", "first")
+        shorter = own.join(exchanged(firsts.where(F.length("ck") < HEAD)), "ck").select("k", "first")
         alike = longer.unionByName(shorter).groupBy("k").agg(F.min("first").alias("first"))
         found = relevant(keyed, entries.select("ck", F.col("e.c.title").alias("title"), F.col("e.ord").alias("ord")), near, most)
         matches = F.startswith("ck", F.substring("k", 1, HEAD)) | F.startswith("k", F.substring("ck", 1, HEAD))
         found = found.groupBy("k").agg(F.min(F.struct((~matches).alias("other"), "rank", "ck")).alias("near"))
         first_at, other = F.col("first")["at"], F.col("near")["other"]
-        chosen = alike.join(found, "k", "full").select("k", F.when(other & first_at.isNotNull(), first_at).otherwise(F.coalesce(F.col("near")["ck"], first_at)).alias("ck"))
-        taken = chosen.join(entries, "ck").where(ratio(F.col("k"), F.col("ck"), least) >= least).select("k", F.col("e.c").alias("c"))
+        chosen = alike.join(exchanged(found), "k", "full").select("k", F.when(other & first_at.isNotNull(), first_at).otherwise(F.coalesce(F.col("near")["ck"], first_at)).alias("ck"))
+        taken = chosen.join(exchanged(entries), "ck").where(ratio(F.col("k"), F.col("ck"), least) >= least).select("k", F.col("e.c").alias("c"))
         taken = staged(taken, "titles-taken")
 
-    out = papers.withColumn("k", mine).join(taken, "k", "left").drop("k")
+    out = papers.withColumn("k", mine).join(exchanged(taken), "k", "left").drop("k")
     few = F.coalesce(F.size("authors"), F.lit(0)) <= 1
     given = F.col("c.authors").isNotNull() & (F.size("c.authors") > 0)
     own_kinds = dict(papers.dtypes)

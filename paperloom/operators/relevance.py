@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staged import scope, staged
+from ..sources.staged import exchanged, scope, staged
 
 SLACK = 1e-9
 
@@ -25,7 +25,7 @@ def _weighed(titles: DataFrame, key: str, weights: DataFrame, often: DataFrame)
     rarest first). Words that hold a thousandth of all are fewer than a thousand: their weights are
     broadcast, and only the others are exchanged by word."""
     words = _words(titles, key)
-    each = words.join(F.broadcast(often), "w").unionByName(words.join(F.broadcast(often.select("w")), "w", "left_anti").join(weights, "w"))
+    each = words.join(F.broadcast(often), "w").unionByName(words.join(F.broadcast(often.select("w")), "w", "left_anti").join(exchanged(weights), "w"))
     title = Window.partitionBy(key)
     before = F.sum("g").over(title.orderBy(F.desc("g"), "w").rowsBetween(Window.unboundedPreceding, -1))
     return each.withColumn("whole", F.sum("g").over(title)).withColumn("rest", F.col("whole") - F.coalesce(before, F.lit(0.0)))
@@ -50,10 +50,10 @@ def relevant(asked: DataFrame, entries: DataFrame, near: float = 0.5, most: int
         mine, theirs = (staged(_weighed(t, key, weights, often), "titles-weighed") for t, key in ((asked, "k"), (entries, "ck")))
         lead = lambda t, key: t.where(F.col("rest") >= near * F.col("whole") - SLACK).select(key, "w", F.col("whole").alias(f"{key}_whole"), F.col("rest").alias(f"{key}_rest"))
         enough = near / (1 + near) * (F.col("k_whole") + F.col("ck_whole")) - SLACK
-        pairs = lead(mine, "k").join(lead(theirs, "ck"), "w").where(F.least("k_rest", "ck_rest") >= enough).select("k", "ck").distinct()
+        pairs = lead(mine, "k").join(exchanged(lead(theirs, "ck")), "w").where(F.least("k_rest", "ck_rest") >= enough).select("k", "ck").distinct()
 
         held = lambda t, key: t.groupBy(key).agg(F.collect_list(F.struct("g", "w")).alias(f"{key}_words"), F.first("whole").alias(f"{key}_whole"))
-        both = pairs.join(held(mine, "k"), "k").join(held(theirs, "ck"), "ck").join(entries.select("ck", "ord"), "ck")
+        both = pairs.join(exchanged(held(mine, "k")), "k").join(exchanged(held(theirs, "ck")), "ck").join(exchanged(entries.select("ck", "ord")), "ck")
         said = F.transform("ck_words", lambda x: x["w"])
         shared = F.aggregate(F.array_sort(F.filter("k_words", lambda x: F.array_contains(said, x["w"]))), F.lit(0.0), lambda a, x: a + x["g"])
         alike = F.round(shared / (F.col("k_whole") + F.col("ck_whole") - shared), 9)

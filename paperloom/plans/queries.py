@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import chunk, claims, dense, extract, index, maintenance, matrix, metadata, nested, onepass, search, segment
 from ..sources import intake, models
 from ..sources.corpus import page_text
-from ..sources.staged import shared_dir, staged
+from ..sources.staged import exchanged, shared_dir, staged
 from .oracle import ORACLE_SQL, PART_FIELDS, PARTS
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -315,7 +315,7 @@ def c8_enrichment(spark, sf_dir):
     """Papers completed from a catalogue with an entry for each: the title in capitals, cut, longer,
     misspelt, another, or the same only at its beginning."""
     docs = pages(spark, sf_dir)
-    found = metadata.titles(docs).join(metadata.authors(docs), "paper_id").join(metadata.years_dois(docs), "paper_id")
+    found = metadata.titles(docs).join(exchanged(metadata.authors(docs)), "paper_id").join(exchanged(metadata.years_dois(docs)), "paper_id")
     found = found.select("paper_id", "title", "authors", "year", _none("string").alias("abstract"), F.lit("").alias("venue"), "doi", _none("string").alias("url"))
     catalog = _table(spark, sf_dir, "documents").selectExpr(
         "doc_id as ord",

@@ -39,6 +39,12 @@ def staged(df: DataFrame, tag: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """The rows, which grow with the input, for a join that exchanges both sides. What Spark broadcasts for
+    being small as a file passes through the driver, many times larger in its memory."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession, names: Iterable[str]) -> None:
     """Delete tables by name, once nothing reads them any more."""
     for path in names:
