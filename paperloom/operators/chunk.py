@@ -7,8 +7,6 @@ cut at sentences; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +15,6 @@ from ..functions import text as T
 ITEM = "struct<i:int,part:int>"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """What ``use`` makes of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def split_long(text: Column, target: int) -> Column:
     """Sentences packed greedily into groups of at most ``target`` characters."""
     sentences = F.split(text, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+")
@@ -57,18 +50,18 @@ def packed(sizes: Column, parts: Column, target: int, overlap: int) -> Column:
             alone = (F.size(xs) == 1) & (F.get(xs, F.lit(0))["part"] < 0) & (F.get(sizes, only) > 2 * target)
             return F.when(alone, F.transform(F.get(parts, only), lambda _, k: item(only, k))).otherwise(xs)
 
-        return _let(F.concat(s["held"], new), cut)
+        return T.let(F.concat(s["held"], new), cut)
 
     def close(s: Column, i: Column) -> Column:
         def then(xs: Column) -> Column:
             held = F.when(i > s["at"], F.slice(xs, F.greatest(F.size(xs) - overlap, F.lit(0)) + 1, overlap)).otherwise(none)
-            return _let(held, lambda h: state(F.array_append(s["out"], xs), h, i, F.aggregate(F.transform(h, size), F.lit(0), lambda a, n: a + n)))
+            return T.let(held, lambda h: state(F.array_append(s["out"], xs), h, i, F.aggregate(F.transform(h, size), F.lit(0), lambda a, n: a + n)))
 
-        return _let(items(s, i), then)
+        return T.let(items(s, i), then)
 
     def step(s: Column, x: Column) -> Column:
         room = lambda s: F.when(s["n"] >= target, close(s, x["i"])).otherwise(s)
-        return _let(_let(room(s), room), lambda s: state(s["out"], s["held"], s["at"], s["n"] + x["n"]))
+        return T.let(T.let(room(s), room), lambda s: state(s["out"], s["held"], s["at"], s["n"] + x["n"]))
 
     each = F.transform(sizes, lambda n, i: F.struct(i.alias("i"), n.alias("n")))
     start = state(F.array().cast(f"array<array<{ITEM}>>"), none, F.lit(0), F.lit(0))

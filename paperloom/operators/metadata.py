@@ -36,7 +36,7 @@ def titles_by_font(spans: DataFrame) -> DataFrame:
 def titles(pages: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """paper_id, title: the largest text of ``spans`` where they are given, else the first line of
     page 1 with 15 characters, else the file's name."""
-    each = F.transform(F.split(F.coalesce("text", F.lit("")), T.NEWLINES, -1), lambda line, i: F.struct(i.alias("i"), T.strip(line).alias("line")))
+    each = F.transform(T.cut_lines(F.coalesce("text", F.lit(""))), lambda line, i: F.struct(i.alias("i"), T.strip(line).alias("line")))
     first = F.when(F.col("page_number") == 1, F.get(F.filter(each, lambda x: F.length(x["line"]) >= 15), F.lit(0)))
     stem = F.replace(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit("_"), F.lit(" "))
     named = pages.groupBy("paper_id").agg(F.min("filename").alias("filename"), F.min(first)["line"].alias("line"))

@@ -16,9 +16,9 @@ from ..functions.constants import SECTIONS
 
 def lines(pages: DataFrame) -> DataFrame:
     """paper_id, page_number, line_no, line (stripped; blank lines stay)."""
-    cut = F.split(F.coalesce("text", F.lit("")), T.NEWLINES, -1)
-    cut = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
-    return pages.select("paper_id", "page_number", F.posexplode(cut).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
+    whole = pages.withColumn("cut", T.cut_lines(F.coalesce("text", F.lit(""))))  # read often and made once
+    cut = F.when(F.element_at("cut", F.lit(-1)) == "", F.slice("cut", 1, F.size("cut") - 1)).otherwise(F.col("cut"))
+    return whole.select("paper_id", "page_number", F.posexplode(cut).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
 
 
 def marked_lines(pages: DataFrame, hints: DataFrame | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def paragraphs(pages: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     )
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "line_no", "body"))), lambda x: x["body"]), " ")
     grouped = placed.where("body is not null").groupBy("paper_id", "grp").agg(joined.alias("text"), F.first("section").alias("section"), F.first("any_heading").alias("any_heading"), F.min("page_number").cast("int").alias("page_number"))
-    kept = grouped.withColumn("text", T.strip(F.regexp_replace("text", r"[ \t]+", " "))).where("length(text) >= 2")
+    kept = grouped.withColumn("text", T.single_spaces(F.col("text"))).where("length(text) >= 2")
     number = F.row_number().over(Window.partitionBy("paper_id").orderBy("grp"))
     section = F.coalesce("section", F.when(F.col("any_heading"), "Preamble").otherwise("Introduction"))
     out = kept.select("paper_id", section.alias("section"), number.alias("para_no"), "page_number", T.latex(F.col("text")).alias("text"))
