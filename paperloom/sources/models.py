@@ -142,9 +142,10 @@ def judged(rows: DataFrame, model: dict, *keep: str) -> DataFrame:
 def parsed(texts: DataFrame, model: dict, column: str = "value") -> DataFrame:
     """Texts of JSON as rows of ``judged``; ``value`` is the text."""
     read = F.from_json(column, f"{columns(model)}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    whole = texts.select(F.col(column).alias("value"), read.alias("m"))
+    # exploded, as a filter on the rows would else be pushed below and read a text once for each field it asks for
+    whole = texts.select(F.col(column).alias("value"), F.explode(F.array(read)).alias("m"))
     bad = F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull() | (F.trim(F.coalesce("value", F.lit(""))) == "")
-    return judged(whole.withColumn("m", F.when(~bad, F.col("m"))), model, "value")
+    return judged(whole.select("value", F.explode(F.array(F.when(~bad, F.col("m")))).alias("m")), model, "value")
 
 
 def write(rows: DataFrame, path: str, model: dict, kind: str = "json", mode: str = "errorifexists") -> None:
