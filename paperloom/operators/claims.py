@@ -25,9 +25,11 @@ def scan(section: Column) -> Column:
 
 def with_metric(paras: DataFrame) -> DataFrame:
     """The rows with their first metric word, where it stands, and their numbers, for ``result_told``."""
-    word, numbers = T.first(F.col("text"), T.ascii_words(r"(?i)\b(" + "|".join(METRICS) + r")\b")), F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))
-    may = F.when(F.col("section").isin(SCAN), word)
-    return paras.withColumn("word", may).withColumn("at", F.call_function("instr", F.col("text"), F.col("word"))).withColumn("numbers", F.when(F.col("word").isNotNull(), numbers))
+    letters = "".join(sorted({m[0].lower() for m in METRICS}))  # the pattern first looks whether a word begins like one of them
+    may = F.col("section").isin(SCAN)
+    word = T.first(F.col("text"), T.ascii_words(rf"(?i)\b(?=[{letters}])(" + "|".join(METRICS) + r")\b"), may=may)
+    numbers = F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))
+    return paras.withColumn("word", word).withColumn("at", F.call_function("instr", F.col("text"), F.col("word"))).withColumn("numbers", F.when(F.col("word").isNotNull(), numbers))
 
 
 def result_told(sentences: Column) -> Column:

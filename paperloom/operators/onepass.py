@@ -21,30 +21,33 @@ from .extract import dataset_mentions, hyperparameter_values
 
 BULLETS = ["Abstract", "Introduction", "Results", "Discussion", "Limitations", "Future Work"]
 MATH = ["Methodology", "Abstract", "Introduction"]
+BUILT = ["Methodology", "Abstract"]
 PARTS = ["bullets", "sections", "tldr", "architecture", "hyperparameters", "losses", "datasets", "hardware", "results"]
 
 
-def gathered(paras: DataFrame) -> DataFrame:
-    """paper_id, ps: the paragraphs of each paper in order, each with what it says by itself."""
+def gathered(paras: DataFrame, texts: bool = False) -> DataFrame:
+    """paper_id, ps: the paragraphs of each paper in order, each with what it says by itself, and with ``texts``
+    its text."""
     read = with_metric(paras).withColumn("sentences", T.sentences(F.col("text")))
     section, text, sentences = F.col("section"), F.col("text"), F.col("sentences")
     lead = F.get(sentences, F.lit(0))
     para = F.struct(
         "section_ord", "para_no", "section", T.tag().alias("tag"),
         F.slice(sentences, 1, 2).alias("lead"),
-        F.lower(text).rlike("|".join(ARCHITECTURE)).alias("built"),
+        (section.isin(BUILT) & F.lower(text).rlike("|".join(ARCHITECTURE))).alias("built"),
         hyperparameter_values(text).alias("settings"),
         dataset_mentions(text, lead).alias("data"),
-        T.first(text, HARDWARE).alias("hardware"),
+        T.first(text, HARDWARE, may=T.digits(text)).alias("hardware"),
         F.when(section.isin(MATH), math_told(text, sentences)).otherwise(F.array()).alias("math"),
         result_told(sentences).alias("result"),
-        "text",
+        *["text"] * texts,
     )
     return read.select("paper_id", para.alias("p")).groupBy("paper_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
 
 
-def _of(*names: str) -> Column:
-    return F.filter("ps", lambda p: p["section"].isin(*names))
+def _opening(name: str) -> Column:
+    """A section's first two paragraphs, each of which has a sentence."""
+    return F.get("opened", F.lit(SECTIONS.index(name)))
 
 
 def _lead(name: str, n: int, most: int = 600, tags: int = 3) -> Column:
@@ -56,14 +59,14 @@ def _lead(name: str, n: int, most: int = 600, tags: int = 3) -> Column:
         cited = F.when(F.size(more) > 0, F.array(p["tag"])).otherwise(no_tags())
         return F.struct(F.concat(so_far["s"], more).alias("s"), F.concat(so_far["t"], cited).alias("t"))
 
-    said = F.aggregate(_of(name), none, read, lambda x: F.struct(F.array_join(x["s"], " ").alias("text"), F.slice(F.array_distinct(x["t"]), 1, tags).alias("sources"), F.size(x["s"]).alias("n")))
-    return F.when(said["n"] > 0, F.struct(said["text"].alias("text"), said["sources"].alias("sources")))
+    whole = lambda x: F.when(F.size(x["s"]) > 0, F.struct(F.array_join(x["s"], " ").alias("text"), F.slice(F.array_distinct(x["t"]), 1, tags).alias("sources")))
+    return F.aggregate(_opening(name), none, read, whole)
 
 
 def _once(items: Column, name: str) -> Column:
     """The first of the items that share a name."""
-    names = F.transform(items, lambda x: x[name])
-    return F.filter(items, lambda x, i: F.array_position(names, x[name]) == i + 1)
+    first = lambda xs: T.let(F.transform(xs, lambda x: x[name]), lambda names: F.filter(xs, lambda x, i: F.array_position(names, x[name]) == i + 1))
+    return T.let(items, first)
 
 
 def _numbered(items: Column, make) -> Column:
@@ -79,7 +82,7 @@ def _held(sources: Column, anchor: Column | None = None) -> Column:
     kept = F.filter(sources, lambda t: F.array_contains("known", F.struct(t["paragraph_id"], t["page_number"])))
     first = F.get("tags", F.lit(0))
     other = first if anchor is None else F.coalesce(F.get(F.filter("tags", lambda t: t["section"] == anchor), F.lit(0)), first)
-    return F.when(F.size(kept) > 0, kept).when(other.isNotNull(), F.array(other)).otherwise(no_tags())
+    return T.let(kept, lambda ts: F.when(F.size(ts) > 0, ts).when(other.isNotNull(), F.array(other)).otherwise(no_tags()))
 
 
 def _said(column: str, names: list[str]) -> dict[str, Column]:
@@ -112,16 +115,22 @@ def _tldr() -> Column:
 
 
 def _architecture() -> Column:
-    near = F.concat(_of("Methodology"), _of("Abstract"))
-    best = F.slice(F.concat(F.filter(near, lambda p: p["built"]), near), 1, 1)
+    built = [F.filter("ps", lambda p: p["built"] & (p["section"] == name)) for name in BUILT]
+    best = F.slice(F.concat(*built, *map(_opening, BUILT)), 1, 1)
     return F.transform(best, lambda p: F.struct(F.get(p["lead"], F.lit(0)).alias("architecture"), p["tag"]["paragraph_id"].alias("paragraph_id"), _cited(p)))
 
 
 def _hyperparameters() -> Column:
-    names = list(HYPERPARAMETERS)
-    first = [F.get(F.filter("ps", lambda p: F.get(p["settings"], F.lit(k)).isNotNull()), F.lit(0)) for k in range(len(names))]
-    met = [F.when(p.isNotNull(), F.struct(p["section_ord"].alias("a"), p["para_no"].alias("b"), F.lit(k).alias("c"), F.lit(n).alias("name"), F.get(p["settings"], F.lit(k)).alias("value"), p["tag"].alias("tag"))) for k, (n, p) in enumerate(zip(names, first))]
-    order = F.array_sort(F.filter(F.array(*met), lambda x: x.isNotNull()))
+    def met(p: Column, k: int, name: str) -> Column:
+        found = F.struct(p["section_ord"].alias("a"), p["para_no"].alias("b"), F.lit(k).alias("c"), F.lit(name).alias("name"), F.get(p["settings"], F.lit(k)).alias("value"), p["tag"].alias("tag"))
+        return F.when(p.isNotNull(), found)
+
+    def each(ps: Column) -> Column:
+        first = [F.get(F.filter(ps, lambda p: F.get(p["settings"], F.lit(k)).isNotNull()), F.lit(0)) for k in range(len(HYPERPARAMETERS))]
+        return F.array(*(T.let(p, lambda p: met(p, k, n)) for k, (n, p) in enumerate(zip(HYPERPARAMETERS, first))))
+
+    some = F.filter("ps", lambda p: F.exists(p["settings"], lambda v: v.isNotNull()))
+    order = F.array_sort(F.filter(T.let(some, each), lambda x: x.isNotNull()))
     return _numbered(order, lambda x: (x["name"].alias("name"), x["value"].alias("value"), x["tag"]["paragraph_id"].alias("paragraph_id"), x["tag"]["page_number"].alias("page_number"), _cited(x)))
 
 
@@ -135,10 +144,9 @@ def _losses() -> Column:
     their opening paragraph."""
     picked, before = F.filter("ps", lambda p: F.lit(False)), F.lit(False)
     for name in MATH:
-        mine = _of(name)
-        has = F.filter(mine, lambda p: F.size(p["math"]) > 0)
-        picked = F.concat(picked, F.when(before, F.slice(mine, 1, 1)).otherwise(F.slice(has, 1, 1)))
-        before = before | (F.size(has) > 0)
+        has = F.filter("ps", lambda p: (p["section"] == name) & (F.size(p["math"]) > 0))
+        picked = F.concat(picked, F.when(before, F.slice(_opening(name), 1, 1)).otherwise(F.slice(has, 1, 1)))
+        before = before | F.exists("ps", lambda p: (p["section"] == name) & (F.size(p["math"]) > 0))
     items = F.transform(_flat(picked, "math"), lambda m: F.struct(m["x"]["expression"].alias("expression"), m["x"]["description"].alias("description"), m["tag"].alias("tag")))
     return _numbered(_once(items, "expression"), lambda x: (x["expression"].alias("expression"), x["description"].alias("description"), x["tag"]["paragraph_id"].alias("paragraph_id"), _cited(x)))
 
@@ -158,10 +166,15 @@ RESULT = ("task", "metric", "baseline", "score", "delta", "higher_is_better", "c
 
 def _results(most: int = 10) -> Column:
     """By the order of SCAN; a section stops at ``most`` in all, but each later one may add one."""
-    kept = F.filter("ps", lambda p: F.lit(False))
-    for k, _ in enumerate(SCAN, 1):
-        told = F.filter("ps", lambda p: p["result"].isNotNull() & (scan(p["section"]) == k))
-        kept = F.concat(kept, F.slice(told, F.lit(1), F.greatest(most - F.size(kept), F.lit(1))))
+
+    def read(told: Column) -> Column:
+        kept = F.slice(F.filter(told, lambda p: scan(p["section"]) == 1), 1, most)
+        for k in range(2, len(SCAN) + 1):
+            mine = F.filter(told, lambda p: scan(p["section"]) == k)
+            kept = T.let(kept, lambda ps: F.concat(ps, F.slice(mine, F.lit(1), F.greatest(most - F.size(ps), F.lit(1)))))
+        return kept
+
+    kept = T.let(F.filter("ps", lambda p: p["result"].isNotNull()), read)
     tag = lambda p: [p["tag"][c].alias(c) for c in ("paragraph_id", "page_number", "section")]
     return _numbered(kept, lambda p: (*(p["result"][c].alias(c) for c in RESULT), *tag(p), _cited(p)))
 
@@ -170,12 +183,14 @@ def extracted(titles: DataFrame, paras: DataFrame, texts: bool = False) -> DataF
     """paper_id, title, an array for each of PARTS, and with ``texts`` the paragraphs themselves (ps).
     titles: paper_id, title, and others that are kept."""
     keys = [c for c in titles.columns if c != "paper_id"]
-    whole = titles.join(gathered(paras), "paper_id", "left")
+    whole = titles.join(gathered(paras, texts), "paper_id", "left")
     whole = whole.withColumn("ps", F.coalesce("ps", F.array().cast(dict(whole.dtypes)["ps"])))
     tags = F.transform("ps", lambda p: p["tag"])
     known = F.transform("ps", lambda p: F.struct(p["tag"]["paragraph_id"], p["tag"]["page_number"]))
+    opened = F.array(*(F.slice(F.filter("ps", lambda p: p["section"] == s), 1, 2) for s in SECTIONS))
+    whole = whole.withColumns({"tags": tags, "known": known, "opened": opened})  # arrays, which are read often and made once
     leads = {"one": F.array(*(_lead(s, 1) for s in BULLETS)), "two": F.array(*(_lead(s, 2) for s in SECTIONS[1:8]))}
-    whole = whole.withColumns({"tags": tags, "known": known} | leads)  # arrays, which are read often and made once
+    whole = whole.withColumns(leads)
     made = (_bullets(), _summaries(), _tldr(), _architecture(), _hyperparameters(), _losses(), _datasets(), _hardware(), _results())
     return whole.select("paper_id", *keys, *(c.alias(n) for n, c in zip(PARTS, made)), *["ps"] * texts)
 
