@@ -76,7 +76,9 @@ def chunks(paras: DataFrame, target: int = 1000, overlap: int = 1) -> DataFrame:
     papers = paras.where(T.strip(F.col("text")) != "").groupBy("paper_id").agg(F.sort_array(F.collect_list(held)).alias("ps"))
     long = lambda p: F.when(F.length(p["text"]) > 2 * target, split_long(p["text"], target))
     papers = papers.withColumn("parts", F.transform("ps", long))
-    made = papers.withColumn("made", packed(F.transform("ps", lambda p: F.length(p["text"])), F.transform("parts", lambda p: F.transform(p, F.length)), target, overlap))
+    # columns, as every step of the packing reads them
+    papers = papers.withColumns({"sizes": F.transform("ps", lambda p: F.length(p["text"])), "part_sizes": F.transform("parts", lambda p: F.transform(p, F.length))})
+    made = papers.withColumn("made", packed(F.col("sizes"), F.col("part_sizes"), target, overlap))
 
     ps, parts = F.col("ps"), F.col("parts")
     said = lambda x: F.when(x["part"] < 0, F.get(ps, x["i"])["text"]).otherwise(F.get(F.get(parts, x["i"]), x["part"]))
