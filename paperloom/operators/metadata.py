@@ -104,7 +104,9 @@ def hint_headings(page_lines: DataFrame, hints: DataFrame, least: float = 0.92)
     itself names a section; the first section of several. hints: paper_id, hint_text."""
     known = hints.select("paper_id", F.lower(T.strip(F.col("hint_text"))).alias("hint")).withColumn("heading", T.heading(F.col("hint"))).where("heading is not null").distinct()
     a, b = F.length("low"), F.length("hint")
-    pairs = page_lines.withColumn("low", F.lower("line")).join(known, "paper_id").where(2 * F.least(a, b) > least * (a + b))
+    # a hint that names a section has at most 100 characters, so longer lines meet none
+    short = page_lines.where(F.length("line") < 250).withColumn("low", F.lower("line")).where(a * least < 100 * (2 - least))
+    pairs = short.join(known, "paper_id").where(2 * F.least(a, b) > least * (a + b))
     # each distinct pair of texts is compared once
     distinct = pairs.select("low", "hint").distinct().where(ratio(F.col("low"), F.col("hint"), least) > least)
     from .segment import section_ord
