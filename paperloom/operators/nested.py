@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.constants import SECTIONS as SECTION_NAMES
 from ..sources import models
 
@@ -65,9 +66,9 @@ def whole_papers(pages: DataFrame, paras: DataFrame, described: DataFrame) -> Da
     out = out.withColumn("ps", F.coalesce("ps", F.array().cast(dict(out.dtypes)["ps"])))
 
     def section(name: Column) -> Column:
-        mine = F.filter("ps", lambda p: p["section"] == name)
-        inner = F.transform(mine, lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), p["page_number"].alias("page_number"), p["text"].alias("text")))
-        return F.struct(name.alias("name"), F.array_join(F.transform(mine, lambda p: p["text"]), "\n\n").alias("text"), inner.alias("paragraphs"))
+        inner = lambda mine: F.transform(mine, lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), p["page_number"].alias("page_number"), p["text"].alias("text")))
+        whole = lambda mine: F.struct(name.alias("name"), F.array_join(F.transform(mine, lambda p: p["text"]), "\n\n").alias("text"), inner(mine).alias("paragraphs"))
+        return T.let(F.filter("ps", lambda p: p["section"] == name), whole)
 
     each = F.transform(F.array(*map(F.lit, SECTION_NAMES)), section)
     out = out.withColumn("sections", F.filter(each, lambda s: s["name"].isin(*models.CANONICAL) | (F.size(s["paragraphs"]) > 0)))
